@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, mixing, repeats, sharding
 from .common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.byte_repeats(table(spark, sf_dir, "documents"), length=200)
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.word_repeats(table(spark, sf_dir, "documents"), length=35)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(table(spark, sf_dir, "documents"), shards=40)
 
@@ -23,7 +31,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sharding, op6_exact_dedup, op8_mixing)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op3_sharding, op5_substring_dedup, op6_exact_dedup, op8_mixing)}
 
 
 OP6_SQL = """

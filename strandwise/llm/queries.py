@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, repeats, sharding
+from . import bpe, exact_dedup, mixing, repeats, sharding, toxicity
 from .common import table
 
 
@@ -14,6 +15,11 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.byte_repeats(table(spark, sf_dir, "documents"), length=200)
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.word_repeats(table(spark, sf_dir, "documents"), length=35)
 
@@ -30,8 +36,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0).drop("source")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op3_sharding, op5_substring_dedup, op6_exact_dedup, op8_mixing)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op3_sharding, op4_bpe, op5_substring_dedup, op6_exact_dedup, op8_mixing, op10_toxicity)}
 
 
 OP6_SQL = """

@@ -51,7 +51,7 @@ def run_state(staged: DataFrame, state_dir: str) -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{state_dir}/states/batch={k}")
 
     folder = staged.inputFiles()[0].rsplit("/", 1)[0]
-    with _settings(spark, **{"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}):
+    with _settings(spark, **{"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}):
         stream = digest_state(spark.readStream.schema(staged.schema).parquet(folder))
         stream.writeStream.outputMode("update").option("checkpointLocation", f"{state_dir}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
     states = spark.read.schema(f"{STATE}, batch long").parquet(f"{state_dir}/states")

@@ -49,16 +49,20 @@ def grams(data: np.ndarray, at: np.ndarray, i: int, j: int) -> Iterator[tuple[np
             yield hashed[same], row[: len(same)][same]
 
 
-def present(data: np.ndarray, at: np.ndarray, i: int, j: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-grams of each row (those of `wanted` alone, if given), and their rows."""
+def present(data: np.ndarray, at: np.ndarray, i: int, j: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams of each row (those of `wanted` alone, if given), their rows, and their values.
+
+    A value is log(1 + occurrences in each 1000 bytes), so that a long text gains nothing by its length.
+    """
     keys = [np.zeros(0, dtype=np.int64)]
     for hashed, row in grams(data, at, i, j):
         if wanted is not None:
             hit = wanted[hashed]
             hashed, row = hashed[hit], row[hit]
         keys.append((row.astype(np.int64) << BITS) | hashed)
-    keys = np.unique(np.concatenate(keys))
-    return keys & ((1 << BITS) - 1), keys >> BITS
+    keys, count = np.unique(np.concatenate(keys), return_counts=True)
+    row = keys >> BITS
+    return keys & ((1 << BITS) - 1), row, np.log1p(1000.0 * count / np.diff(at[i : j + 1])[row])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -68,10 +72,10 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, features: int = 20_000, passes: int = 200, penalty: float = 1e-4) -> Model:
     """Learn from labelled rows that are not held out.
 
-    At most `per_class` rows of each class are taken, by a hash of their id; their whole texts count. For each n-gram the
-    rows of either class that hold it are counted by Spark; the `features` n-grams whose log-count ratio stands out most from its
+    At most `per_class` rows of each class are taken, by a hash of their id; their whole texts count. For each n-gram
+    Spark sums its values over the rows of either class; the `features` n-grams whose log-count ratio stands out most from its
     error are kept. A logistic regression then weighs them, each scaled by its ratio. The driver gets the kept n-grams and
-    which sampled row holds which, so what it holds is bounded by these parameters.
+    their values in the sampled rows, so what it holds is bounded by these parameters.
     Labels that are null, disagree (the larger counts) or name no document do no harm; without rows of
     both classes all scores are the share of toxic labels (0 without labels).
     """
@@ -84,14 +88,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, features: int
     texts = save(texts.repartition(8), "toxic-sample")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, 1 << BITS), dtype=np.int64)
+        counts = np.zeros((2, 1 << BITS))
         for batch in batches:
             data, at = column_bytes(batch.column("text"))
             y = batch.column("toxic").to_numpy()
             for i, j in chunks(at):
-                gram, row = present(data, at, i, j)
+                gram, row, value = present(data, at, i, j)
                 for c in (0, 1):
-                    counts[c] += np.bincount(gram[y[i:j][row] == c], minlength=1 << BITS)
+                    own = y[i:j][row] == c
+                    counts[c] += np.bincount(gram[own], value[own], minlength=1 << BITS)
         seen = np.flatnonzero(counts.sum(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[0][seen]), pa.array(counts[1][seen])], names=["gram", "clean", "toxic"])
 
@@ -101,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, features: int
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
     ratio = F.log((F.col("toxic") + 1.0) / (n[1] + 2.0)) - F.log((F.col("clean") + 1.0) / (n[0] + 2.0))
     error = F.sqrt(1.0 / (F.col("toxic") + 1.0) + 1.0 / (F.col("clean") + 1.0))
-    sums = texts.select("text", "toxic").mapInArrow(counted, "gram long, clean long, toxic long").groupBy("gram").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    sums = texts.select("text", "toxic").mapInArrow(counted, "gram long, clean double, toxic double").groupBy("gram").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     best = sums.withColumn("ratio", ratio).withColumn("z", F.abs(ratio) / error).filter("z > 4").orderBy(F.desc("z"), "gram").limit(features).select("gram", "ratio").collect()
     index, scale = np.array([r.gram for r in best], dtype=np.int64), np.array([r["ratio"] for r in best])
     place = np.full(1 << BITS, -1, dtype=np.int64)
@@ -111,20 +116,21 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, features: int
         for batch in batches:
             data, at = column_bytes(batch.column("text"))
             for i, j in chunks(at):
-                gram, row = present(data, at, i, j, place >= 0)
+                gram, row, value = present(data, at, i, j, place >= 0)
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=j - i))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(i, j - i), pa.ListArray.from_arrays(pa.array(offsets), pa.array(place[gram].astype(np.int32)))], names=["toxic", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(i, j - i), *(pa.ListArray.from_arrays(pa.array(offsets), pa.array(a)) for a in (place[gram].astype(np.int32), value))], names=["toxic", "x", "value"])
 
-    rows = texts.select("text", "toxic").mapInArrow(held, "toxic int, x array<int>").collect()
+    rows = texts.select("text", "toxic").mapInArrow(held, "toxic int, x array<int>, value array<double>").collect()
     y = np.array([r.toxic for r in rows], dtype=float)
     size = np.array([len(r.x) for r in rows])
     row, col = np.repeat(np.arange(len(rows)), size), np.array([i for r in rows for i in r.x], dtype=np.int64)
+    value = np.array([x for r in rows for x in r.value]) * scale[col]
     w, b = np.zeros(len(index)), 0.0
     m, v = np.zeros(len(index) + 1), np.zeros(len(index) + 1)
     for t in range(1, passes + 1):
-        p = 1 / (1 + np.exp(-np.clip(b + np.bincount(row, (scale * w)[col], minlength=len(rows)), -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(b + np.bincount(row, value * w[col], minlength=len(rows)), -30, 30)))
         off = (p - y) / len(y)
-        g = np.append(scale * np.bincount(col, off[row], minlength=len(index)) + penalty * w, off.sum())
+        g = np.append(np.bincount(col, value * off[row], minlength=len(index)) + penalty * w, off.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
@@ -146,8 +152,8 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
         for batch in batches:
             data, at = column_bytes(batch.column("text"))
             for i, j in chunks(at):
-                gram, row = present(data, at, i, j, wanted)
-                total = shared.value.intercept + np.bincount(row, weight[gram].astype(float), minlength=j - i)
+                gram, row, value = present(data, at, i, j, wanted)
+                total = shared.value.intercept + np.bincount(row, weight[gram] * value, minlength=j - i)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("doc_id", "held_out")), pa.array(1 / (1 + np.exp(-np.clip(total, -500, 500))))], names=["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

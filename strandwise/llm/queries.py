@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, repeats, sharding, toxicity
+from . import bpe, exact_dedup, jaccard, mixing, repeats, sharding, toxicity
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=4, share=(85, 100))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0).drop("source")
 
@@ -42,7 +46,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op3_sharding, op4_bpe, op5_substring_dedup, op6_exact_dedup, op8_mixing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op3_sharding, op4_bpe, op5_substring_dedup, op6_exact_dedup, op7_jaccard_join, op8_mixing, op10_toxicity)}
 
 
 OP6_SQL = """

@@ -36,7 +36,7 @@ def targets(sources: DataFrame, weights: Sequence[float] = (3, 1, 2), share: flo
     return s.select("source", F.col("source_size"), F.least(target, F.col("_cap")).alias("target"), "lean")
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, leans: Sequence[float] = LEANS, seed: str = "mix:", keep: Sequence[str] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, leans: Sequence[float] = LEANS, seed: str = "mix:", keep: Sequence[str] = (), ordered: bool = True) -> DataFrame:
     """Which words of which document the mix takes, and when in training.
 
     A source's documents in seeded order are a stream of words, which is read again from its start when it ends. The
@@ -51,7 +51,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     Edge cases: a null text has no words; null sources are one source, last in order; a document without words has
     copies by its place in the stream and takes 0; a source without words has target 0; rows repeated
     in all columns are separate rows, in one place of the order; an empty table gives no rows.
-    `keep` names further columns to return.
+    `keep` names further columns to return, as keep_<name>; rows are sorted only if `ordered`.
     """
     named = docs.select(
         F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_key"),
@@ -72,4 +72,4 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     v, lean = F.col("_start") / F.col("target"), F.col("lean")
     at = F.when(F.col("copies") > 0, 2.0 * v / ((1.0 - lean) + F.sqrt((1.0 - lean) * (1.0 - lean) + 4.0 * lean * v)))
     out = d.withColumn("position", at).select("doc_id", "size", "source_size", "target", "taken", "copies", "position", "source", *(F.col(f"keep_{c}") for c in keep))
-    return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    return out if not ordered else out.orderBy(F.col("position").asc_nulls_last(), "doc_id")

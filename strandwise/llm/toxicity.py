@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -138,8 +138,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, features: int
     return Model(index, scale * w, float(b))
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score (0 to 1), predicted of every row, over its whole text.
+def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, held_out, score (0 to 1), predicted of every row, over its whole text; and the columns that `keep` names.
 
     Edge cases: a null or empty text is scored by the intercept alone; a null doc_id isn't held out; repeated rows get
     the same score; an empty table gives no rows; other columns are not read. The broadcast model has a fixed size.
@@ -154,8 +154,11 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
             for i, j in chunks(at):
                 gram, row, value = present(data, at, i, j, wanted)
                 total = shared.value.intercept + np.bincount(row, weight[gram] * value, minlength=j - i)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("doc_id", "held_out")), pa.array(1 / (1 + np.exp(-np.clip(total, -500, 500))))], names=["doc_id", "held_out", "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in names), pa.array(1 / (1 + np.exp(-np.clip(total, -500, 500))))], names=[*names, "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    scored = rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
+    extra = [c for c in keep if c != "doc_id"]
+    names = ["doc_id", "held_out", *(f"keep_{c}" for c in extra)]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), *(F.col(c).alias(f"keep_{c}") for c in extra), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    types = "".join(f", `keep_{c}` {docs.schema[c].dataType.simpleString()}" for c in extra)
+    scored = rows.mapInArrow(run, f"doc_id long, held_out boolean{types}, score double").withColumnsRenamed({f"keep_{c}": c for c in extra})
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -5,13 +5,16 @@ anywhere else. Both operators start from the same seeds: of the grams of k units
 anchor, so equal windows have equal anchors, and about two of length - k + 2 positions are anchors. Then:
 
 1. Grams are counted; anchors whose gram occurs once are dropped.
-2. The context of an anchor is all windows that hold its gram: up to length - k units before it and length after its
-   start. Contexts are compared by 128-bit hashes; where two are equal, all their windows are repeated.
-3. Of a gram with several contexts, one of each kind is compared with the others window by window: the suffix sort
-   sorts their suffixes (bytes), or seeds are extended both ways to all windows (words).
-
-Only grams, hashes and a context of each kind are shuffled, never all windows or pairs. Joins meet aggregated tables that
-were written before, so Spark can split a frequent gram over tasks.
+2. The context of an anchor is the run of windows that it is the anchor of. Contexts are compared by 128-bit hashes;
+   where two are equal, all their windows are repeated.
+3. Of a gram with several contexts, one of each kind stays open. Its windows are taken in blocks by how far back from the
+   anchor they start: if what all windows of a block share occurs once, none of them is repeated; if what they cover
+   together occurs twice, all are. This leaves the few blocks that hold the end of a common stretch.
+4. Windows of these blocks are compared one by one: the suffix sort sorts suffixes (bytes), or seeds are extended both
+   ways to each window (words, and bytes of very frequent grams), and equal windows are counted.
+
+Only grams, hashes and blocks are shuffled, never all windows or pairs. Joins meet aggregated tables that were written before,
+so Spark can split a frequent gram over tasks.
 """
 
 from __future__ import annotations
@@ -82,21 +85,11 @@ def _with_keys(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text, F.lit("no id"))).alias("did"), F.xxhash64(text).alias("rk"), text.alias("text"))
 
 
-def _context(pos: np.ndarray, n: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.maximum(0, pos - (length - k)), np.minimum(n, pos + length)
-
-
-def _lists(batch: pa.RecordBatch, name: str, field: str, i: int, j: int) -> np.ndarray:
-    """A field of the structs in the lists of rows i to j, flat."""
-    part = batch.column(name).slice(i, j - i)
-    return part.flatten().field(field).to_numpy(zero_copy_only=False)
-
-
-def spans(docs: DataFrame, length: int, k: int, by_word: bool, hot: int = 256) -> tuple[DataFrame, DataFrame]:
+def spans(docs: DataFrame, length: int, k: int, by_word: bool, hot: int, block: int) -> tuple[DataFrame, DataFrame]:
     """Repeated stretches as rows of did, rk, s, e (units; they may overlap), and the texts of the documents concerned.
 
-    A gram with up to `hot` different contexts is resolved in one task by suffix sort (bytes); windows of others, and all windows
-    of words, are counted by their 128-bit hashes, with partial sums before the shuffle.
+    Windows of a gram with up to `hot` different contexts are resolved in one task by suffix sort (bytes); those of others, and
+    all windows of words, are counted by their 128-bit hashes, with partial sums before the shuffle.
     """
     keyed = _with_keys(docs)
 
@@ -109,119 +102,161 @@ def spans(docs: DataFrame, length: int, k: int, by_word: bool, hot: int = 256) -
                 if len(u.codes) < length:
                     continue
                 grams = R.Prefix(u.codes).every(k)
-                a = R.anchors(grams, u.doc, length, k)
+                a, first, last = R.anchors(grams, u.doc, length, k)
                 d = u.doc[a]
-                yield pa.RecordBatch.from_arrays([_signed(grams[a]), pa.array(did[i:j][d]), pa.array(rk[i:j][d]), pa.array((a - u.first[d]).astype(np.int32))], names=["h", "did", "rk", "pos"])
+                place = ((a - u.first[d]) << 16) | ((a - first) << 8) | (a - last)
+                yield pa.RecordBatch.from_arrays([_signed(grams[a]), pa.array(did[i:j][d]), pa.array(rk[i:j][d]), pa.array(place)], names=["h", "did", "rk", "place"])
 
-    found = keyed.select("did", "rk", "text").mapInArrow(seeds, "h long, did long, rk long, pos int")
+    found = keyed.select("did", "rk", "text").mapInArrow(seeds, "h long, did long, rk long, place long")
     again = save(found.groupBy("h").count().filter("count > 1").select("h"), "repeats-grams")
-    by_doc = found.join(again, "h", "left_semi").groupBy("did", "rk").agg(F.collect_list(F.struct("pos", "h")).alias("seeds"))
+    by_doc = found.join(again, "h", "left_semi").groupBy("did", "rk").agg(F.collect_list(F.struct("place", "h")).alias("seeds"))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = column_bytes(batch.column("text"))
             for i, j in chunks(at):
                 u = Units(data, at, i, j, by_word)
-                sizes = batch.column("seeds").slice(i, j - i).value_lengths().to_numpy()
-                d = np.repeat(np.arange(j - i), sizes)
-                pos, h = _lists(batch, "seeds", "pos", i, j).astype(np.int64), _lists(batch, "seeds", "h", i, j)
-                lo, hi = _context(pos, np.diff(u.first)[d], length, k)
-                shape = ((pos - lo) * (2 * length) + (hi - pos)).astype(U)
+                d, sizes, place, h = _seeds_of(batch, "seeds", i, j, "place", "h")
+                own, pos, most, least = _placed(u, d, place)
                 first, second = u.hashes()
-                own = u.first[d]
-                c1, c2 = (R.mix(p.raw(own + lo, own + hi) + shape * U(R.BASES[1])) for p in (first, second))
+                c1, c2 = (R.mix(p.raw(pos - most, pos - least + length) + (place & 0xFFFF).astype(U) * U(R.BASES[1])) for p in (first, second))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                seen = pa.StructArray.from_arrays([pa.array(pos.astype(np.int32)), pa.array(h), _signed(c1), _signed(c2), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["pos", "h", "c1", "c2", "lo", "hi"])
+                seen = pa.StructArray.from_arrays([pa.array(place), pa.array(h), _signed(c1), _signed(c2)], names=["place", "h", "c1", "c2"])
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(i, j - i) for c in ("did", "rk", "text")] + [pa.ListArray.from_arrays(offsets, seen)], names=["did", "rk", "text", "seen"])
 
-    texts = keyed.select("did", "rk", "text").join(by_doc, ["did", "rk"]).mapInArrow(contexts, "did long, rk long, text string, seen array<struct<pos:int,h:long,c1:long,c2:long,lo:int,hi:int>>")
+    texts = keyed.select("did", "rk", "text").join(by_doc, ["did", "rk"]).mapInArrow(contexts, "did long, rk long, text string, seen array<struct<place:long,h:long,c1:long,c2:long>>")
     texts = save(texts, "repeats-texts")
     seen = texts.select("did", "rk", F.explode("seen").alias("x")).select("did", "rk", "x.*")
-    kinds = save(seen.groupBy("h", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("did", "rk", "pos")).alias("one")), "repeats-kinds")
-    whole = seen.join(kinds.filter("n > 1").select("h", "c1", "c2"), ["h", "c1", "c2"], "left_semi").select("did", "rk", F.col("lo").alias("s"), F.col("hi").alias("e"))
+    kinds = save(seen.groupBy("h", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("did", "rk", "place")).alias("one")), "repeats-kinds")
+    pos, most, least = (F.expr(e).cast("int") for e in ("place >> 16", "(place >> 8) & 255", "place & 255"))
+    whole = seen.join(kinds.filter("n > 1").select("h", "c1", "c2"), ["h", "c1", "c2"], "left_semi").select("did", "rk", (pos - most).alias("s"), (pos - least + length).alias("e"))
 
     # Grams that have several kinds of context, one of them at least with a single occurrence.
     several = save(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).filter("m > 1 and least = 1").select("h", "m"), "repeats-several")
-    open_ = save(kinds.join(several, "h").select("one.did", "one.rk", F.struct("one.pos", "h", (F.col("n") == 1).alias("single"), "m").alias("x")), "repeats-open")
-    out = whole.union(_by_windows(open_ if by_word else open_.filter(F.col("x.m") > hot), texts, length, k, by_word))
+    open_ = kinds.join(several, "h").select("one.did", "one.rk", F.struct("one.place", "h", (F.col("n") == 1).alias("single"), (F.col("m") > hot).alias("hot")).alias("x"))
+    texts = texts.select("did", "rk", "text")
+    blocks = save(_blocks(open_, texts, length, by_word, block), "repeats-blocks")
+    cores = save(blocks.groupBy("k1", "k2").count().filter("count > 1").select("k1", "k2"), "repeats-cores")
+    covers = blocks.filter("u1 is not null").groupBy("u1", "u2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("did", "rk", "place")).alias("one"))
+    covers = save(covers.filter("n > 1").select("u1", "u2", "one"), "repeats-covers")
+    live = save(blocks.join(cores, ["k1", "k2"], "left_semi").join(covers, ["u1", "u2"], "left").drop("k1", "k2", "u1", "u2"), "repeats-live")
+    pos = F.expr("place >> 16").cast("int")
+    covered = live.filter("single and one is not null").select("did", "rk", (pos - F.col("most")).alias("s"), (pos - F.col("least") + length).alias("e"))
+    left = live.filter("one is null or (one.did = did and one.rk = rk and one.place = place)")
+    left = left.select("did", "rk", F.struct("place", "h", "most", "least", (F.col("single") & F.col("one").isNull()).alias("single"), (F.col("hot") | F.lit(by_word)).alias("hot")).alias("x"))
+    fine = save(_fine(left, texts, length, by_word), "repeats-fine")
+    more = save(fine.filter("piece is null").groupBy("w1", "w2").count().filter("count > 1").select("w1", "w2"), "repeats-more")
+    counted = fine.filter("piece is null and single").join(more, ["w1", "w2"], "left_semi").select("did", "rk", "s", (F.col("s") + length).alias("e"))
+    out = whole.union(covered).union(counted)
     if not by_word:
-        out = out.union(_by_sorting(open_.filter(F.col("x.m") <= hot), texts, length, k))
-    return out, texts.select("did", "rk", "text")
+        out = out.union(_by_sorting(fine.filter("piece is not null"), length))
+    return out, texts
+
+
+def _seeds_of(batch: pa.RecordBatch, name: str, i: int, j: int, *fields: str) -> tuple[np.ndarray, ...]:
+    """For the structs in the lists of rows i to j: the row of each, the sizes of the lists, and the fields."""
+    part = batch.column(name).slice(i, j - i)
+    sizes, flat = part.value_lengths().to_numpy(), part.flatten()
+    return np.repeat(np.arange(j - i), sizes), sizes, *(flat.field(f).to_numpy(zero_copy_only=False) for f in fields)
+
+
+def _placed(u: Units, d: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """From where a document starts and its anchor's place: the start, the anchor, and how far back its windows start."""
+    own = u.first[d]
+    return own, own + (place >> 16), (place >> 8) & 255, place & 255
 
 
 def _opened(open_: DataFrame, texts: DataFrame) -> DataFrame:
     lists = open_.groupBy("did", "rk").agg(F.collect_list("x").alias("open"))
-    return texts.select("did", "rk", "text").join(lists, ["did", "rk"])
+    return texts.join(lists, ["did", "rk"])
 
 
-def _by_windows(open_: DataFrame, texts: DataFrame, length: int, k: int, by_word: bool) -> DataFrame:
-    """Extend each open anchor both ways to every window that holds it, and count equal windows with equal offsets."""
+def _blocks(open_: DataFrame, texts: DataFrame, length: int, by_word: bool, block: int) -> DataFrame:
+    """Blocks of the open anchors' windows: hashes of what all windows of a block share (k1, k2) and cover (u1, u2)."""
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = column_bytes(batch.column("text"))
-            did, rk = batch.column("did").to_numpy(), batch.column("rk").to_numpy()
-            for i, j in chunks(at, CHUNK // 4):
+            for i, j in chunks(at):
                 u = Units(data, at, i, j, by_word)
-                sizes = batch.column("open").slice(i, j - i).value_lengths().to_numpy()
-                d = np.repeat(np.arange(j - i), sizes)
-                pos, h = (_lists(batch, "open", c, i, j) for c in ("pos", "h"))
-                single = _lists(batch, "open", "single", i, j).astype(bool)
+                d, _, place, h, single, hot = _seeds_of(batch, "open", i, j, "place", "h", "single", "hot")
+                _, _, most, least = _placed(u, d, place)
+                many = most // block - least // block + 1
+                r = np.repeat(np.arange(len(d)), many)
+                q = np.arange(len(r)) - np.repeat(np.cumsum(many) - many, many) + (least // block)[r]
+                own, pos, most, least = _placed(u, d[r], place[r])
+                tag = R.mix(h[r].view(U) + q.astype(U) * U(R.BASES[1]))
                 first, second = u.hashes()
-                total = np.diff(u.first)[d]
-                for r in np.array_split(np.arange(len(d)), max(1, len(d) * (length - k + 1) >> 19)):
-                    back = np.tile(np.arange(length - k + 1), len(r))
-                    r = np.repeat(r, length - k + 1)
-                    start = pos[r] - back
-                    ok = (start >= 0) & (start + length <= total[r])
-                    r, back, start = r[ok], back[ok], start[ok]
-                    x = u.first[d[r]] + start
-                    tag = R.mix(h[r].view(U) + back.astype(U) * U(R.BASES[1]))
-                    w1, w2 = (R.mix(p.raw(x, x + length) + tag) for p in (first, second))
-                    yield pa.RecordBatch.from_arrays([_signed(w1), _signed(w2), pa.array(did[i:j][d[r]]), pa.array(rk[i:j][d[r]]), pa.array(start.astype(np.int32)), pa.array(single[r])], names=["w1", "w2", "did", "rk", "s", "single"])
-
-    if open_.isEmpty():
-        return open_.select("did", "rk", F.lit(0).alias("s"), F.lit(0).alias("e")).limit(0)
-    rows = save(_opened(open_, texts).mapInArrow(windows, "w1 long, w2 long, did long, rk long, s int, single boolean"), "repeats-windows")
-    more = save(rows.groupBy("w1", "w2").count().filter("count > 1").select("w1", "w2"), "repeats-more")
-    return rows.filter("single").join(more, ["w1", "w2"], "left_semi").select("did", "rk", "s", (F.col("s") + length).alias("e"))
-
-
-def _by_sorting(open_: DataFrame, texts: DataFrame, length: int, k: int) -> DataFrame:
-    """Sort the suffixes of the contexts of each gram, and take neighbours that are equal over the whole length."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                core = [R.mix(p.raw(pos - q * block, pos - (q + 1) * block + 1 + length) + tag) for p in (first, second)]
+                lo, hi = pos - (q + 1) * block + 1, pos - q * block + length
+                fits = (lo >= own) & (hi <= u.first[d[r] + 1])
+                lo, hi = np.where(fits, lo, own), np.where(fits, hi, own)
+                cover = [pa.array(R.mix(p.raw(lo, hi) + tag + U(1)).view(np.int64), mask=~fits) for p in (first, second)]
+                ids = [batch.column(c).slice(i, j - i).take(pa.array(d[r])) for c in ("did", "rk")]
+                inside = [np.minimum(most, (q + 1) * block - 1), np.maximum(least, q * block)]
+                yield pa.RecordBatch.from_arrays([*map(_signed, core), *cover, *ids, pa.array(place[r]), pa.array(h[r]), *(pa.array(x.astype(np.int32)) for x in inside), pa.array(single[r].astype(bool)), pa.array(hot[r].astype(bool))], names=["k1", "k2", "u1", "u2", "did", "rk", "place", "h", "most", "least", "single", "hot"])
+
+    return _opened(open_, texts).mapInArrow(run, "k1 long, k2 long, u1 long, u2 long, did long, rk long, place long, h long, most int, least int, single boolean, hot boolean")
+
+
+def _fine(left: DataFrame, texts: DataFrame, length: int, by_word: bool) -> DataFrame:
+    """What is compared window by window: a hash of each window (w1, w2), or the piece of text that holds a block's windows.
+
+    Windows are equal only if they also start as far back from an anchor with the same gram.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = column_bytes(batch.column("text"))
-            sizes = batch.column("open").value_lengths().to_numpy()
-            d = np.repeat(np.arange(len(sizes)), sizes)
-            pos, h = (_lists(batch, "open", c, 0, len(sizes)) for c in ("pos", "h"))
-            single = _lists(batch, "open", "single", 0, len(sizes)).astype(bool)
-            lo, hi = _context(pos.astype(np.int64), np.diff(at)[d], length, k)
-            pieces = [data[a:b].tobytes() for a, b in zip(at[d] + lo, at[d] + hi)]
-            yield pa.RecordBatch.from_arrays([pa.array(h), batch.column("did").take(pa.array(d)), batch.column("rk").take(pa.array(d)), pa.array(lo.astype(np.int32)), pa.array((pos - lo).astype(np.int32)), pa.array(single), pa.array(pieces, pa.binary())], names=["h", "did", "rk", "lo", "off", "single", "piece"])
+            for i, j in chunks(at):
+                u = Units(data, at, i, j, by_word)
+                d, _, place, h, most, least, single, hot = _seeds_of(batch, "open", i, j, "place", "h", "most", "least", "single", "hot")
+                ids = [batch.column(c).slice(i, j - i) for c in ("did", "rk")]
+                own, pos = u.first[d], u.first[d] + (place >> 16)
+
+                def rows(r, w1, w2, back, pieces):
+                    s = (pos[r] - own[r] - back).astype(np.int32)
+                    return pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), pa.array(h[r]), *(x.take(pa.array(d[r])) for x in ids), pa.array(s), pa.array(back.astype(np.int32)), pa.array(single[r].astype(bool)), pieces], names=["w1", "w2", "h", "did", "rk", "s", "back", "single", "piece"])
+
+                r = np.flatnonzero(hot.astype(bool))
+                many = (most - least + 1)[r]
+                back = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                r = np.repeat(r, many)
+                back = back + least[r]
+                first, second = u.hashes()
+                tag, x = R.mix(h[r].view(U) + back.astype(U) * U(R.BASES[1])), pos[r] - back
+                w1, w2 = (R.mix(p.raw(x, x + length) + tag).view(np.int64) for p in (first, second))
+                yield rows(r, w1, w2, back, pa.nulls(len(r), pa.binary()))
+                r = np.flatnonzero(~hot.astype(bool))
+                if len(r):
+                    pieces = [u.data[a:b].tobytes() for a, b in zip(pos[r] - most[r], pos[r] - least[r] + length)]
+                    yield rows(r, np.zeros(len(r), np.int64), np.zeros(len(r), np.int64), most[r].astype(np.int64), pa.array(pieces, pa.binary()))
+
+    return _opened(left, texts).mapInArrow(run, "w1 long, w2 long, h long, did long, rk long, s int, back int, single boolean, piece binary")
+
+
+def _by_sorting(pieces: DataFrame, length: int) -> DataFrame:
+    """Sort the suffixes of the pieces of each gram, and take neighbours that are equal over the whole length."""
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches, "h", 4000):
-            h, lo, off, single = (table.column(c).to_numpy(zero_copy_only=False) for c in ("h", "lo", "off", "single"))
+            h, s, back, single = (table.column(c).to_numpy(zero_copy_only=False) for c in ("h", "s", "back", "single"))
             data, at = column_bytes(table.column("piece"))
             data, at = data[at[0] : at[-1]], at - at[0]
-            # A suffix for each window that holds the gram; its group is the gram and the gram's place in the window.
-            first, last = np.maximum(0, off - (length - k)), np.minimum(off, np.diff(at) - length)
-            many = np.maximum(0, last - first + 1)
+            # A suffix for each window of a piece; its group is the gram and how far back from it the window starts.
+            many = np.diff(at) - length + 1
             r = np.repeat(np.arange(len(h)), many)
-            inner = np.arange(len(r)) - np.repeat(np.cumsum(many) - many, many) + first[r]
+            inner = np.arange(len(r)) - np.repeat(np.cumsum(many) - many, many)
             _, gram = np.unique(h, return_inverse=True)
-            group = gram[r] * length + (off[r] - inner)
-            order, same = R.suffix_sort(data.astype(U) + U(1), group, at[r] + inner, length)
+            order, same = R.suffix_sort(data.astype(U) + U(1), gram[r] * 256 + (back[r] - inner), at[r] + inner, length)
             hit = order[same | np.append(same[1:], False)]
-            hit = hit[single[r[hit]]]
-            s = (lo[r[hit]] + inner[hit]).astype(np.int32)
+            hit = hit[single[r[hit]].astype(bool)]
+            start = (s[r[hit]] + inner[hit]).astype(np.int32)
             ids = [table.column(c).take(pa.array(r[hit])) for c in ("did", "rk")]
-            yield pa.RecordBatch.from_arrays([*ids, pa.array(s), pa.array(s + np.int32(length))], names=["did", "rk", "s", "e"])
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(start), pa.array(start + np.int32(length))], names=["did", "rk", "s", "e"])
 
-    pieces = _opened(open_, texts).mapInArrow(cut, "h long, did long, rk long, lo int, off int, single boolean, piece binary")
-    return pieces.repartition("h").sortWithinPartitions("h").mapInArrow(resolve, "did long, rk long, s int, e int")
+    rows = pieces.select("h", "did", "rk", "s", "back", "single", "piece")
+    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(resolve, "did long, rk long, s int, e int")
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.RecordBatch]:
@@ -242,15 +277,15 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Ite
         yield table.to_batches(max_chunksize=None)[0]
 
 
-def _kept(docs: DataFrame, length: int, k: int, by_word: bool, whole: list, returned: list, hot: int = 256) -> DataFrame:
-    stretches, texts = spans(docs, length, k, by_word, hot)
+def _kept(docs: DataFrame, length: int, k: int, by_word: bool, whole: list, returned: list, hot: int, block: int) -> DataFrame:
+    stretches, texts = spans(docs, length, k, by_word, hot, block)
     lists = stretches.groupBy("did", "rk").agg(F.collect_list(F.struct("s", "e")).alias("cuts"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = column_bytes(batch.column("text"))
             sizes = batch.column("cuts").value_lengths().to_numpy()
-            s, e = (_lists(batch, "cuts", c, 0, len(sizes)).astype(np.int64) for c in ("s", "e"))
+            _, _, s, e = _seeds_of(batch, "cuts", 0, batch.num_rows, "s", "e")
             stop = np.cumsum(sizes)
             removed, runs, digest = [], [], []
             for i in range(batch.num_rows):
@@ -271,7 +306,7 @@ def _kept(docs: DataFrame, length: int, k: int, by_word: bool, whole: list, retu
     return out.select("doc_id", *returned)
 
 
-def byte_repeats(docs: DataFrame, length: int = 200, k: int = 100, hot: int = 256) -> DataFrame:
+def byte_repeats(docs: DataFrame, length: int = 200, k: int = 100, hot: int = 256, block: int = 16) -> DataFrame:
     """Suffix-array deduplication: remove each byte that a repeated string of `length` bytes covers.
 
     Returns per row doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256.
@@ -282,10 +317,10 @@ def byte_repeats(docs: DataFrame, length: int = 200, k: int = 100, hot: int = 25
     """
     whole = [F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole")]
     zero = F.lit(0).cast("long")
-    return _kept(docs, length, k, False, whole, [F.col("n_bytes"), F.coalesce(F.col("n_removed"), zero).alias("n_removed"), F.coalesce(F.col("n_spans"), zero).alias("n_spans"), F.coalesce("cut_sha256", "whole").alias("kept_sha256")], hot)
+    return _kept(docs, length, k, False, whole, [F.col("n_bytes"), F.coalesce(F.col("n_removed"), zero).alias("n_removed"), F.coalesce(F.col("n_spans"), zero).alias("n_spans"), F.coalesce("cut_sha256", "whole").alias("kept_sha256")], hot, block)
 
 
-def word_repeats(docs: DataFrame, length: int = 35, k: int = 18) -> DataFrame:
+def word_repeats(docs: DataFrame, length: int = 35, k: int = 18, block: int = 6) -> DataFrame:
     """Substring deduplication by seeds: remove each word that a repeated window of `length` words covers.
 
     Returns per row doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space), n_spans.
@@ -297,4 +332,4 @@ def word_repeats(docs: DataFrame, length: int = 35, k: int = 18) -> DataFrame:
     flat = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
     whole = [F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"), F.sha2(flat, 256).alias("whole")]
     zero = F.lit(0).cast("long")
-    return _kept(docs, length, k, True, whole, [F.col("n_words"), F.coalesce(F.col("n_removed"), zero).alias("n_removed"), F.coalesce("cut_sha256", "whole").alias("kept_sha256"), F.coalesce(F.col("n_spans"), zero).alias("n_spans")])
+    return _kept(docs, length, k, True, whole, [F.col("n_words"), F.coalesce(F.col("n_removed"), zero).alias("n_removed"), F.coalesce("cut_sha256", "whole").alias("kept_sha256"), F.coalesce(F.col("n_spans"), zero).alias("n_spans")], 0, block)

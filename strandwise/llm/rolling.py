@@ -84,22 +84,25 @@ def sliding(values: np.ndarray, w: int, best) -> np.ndarray:
     return out if have == w else best(out[: len(values) - w + 1], out[w - have : w - have + len(values) - w + 1])
 
 
-def anchors(grams: np.ndarray, doc: np.ndarray, length: int, k: int) -> np.ndarray:
-    """Positions of the least gram of each window, all windows within one document.
+def anchors(grams: np.ndarray, doc: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each run of windows with the same least gram: its place, and the first and last window's start.
 
-    grams: the hash of each k codes; doc: the number of the document of each code. A window has `length` codes, so
-    length - k + 1 grams. The choice depends on the window's content alone, so equal windows have equal anchors.
+    grams: the hash of each k codes; doc: the number of the document of each code. A window has `length` codes of one
+    document, so length - k + 1 grams, of which the least (the leftmost of equals) is its anchor. The choice depends on the
+    window's content alone, so equal windows have their anchors at the same place.
     """
-    w = length - k + 1
-    if len(grams) < w:
-        return np.zeros(0, dtype=np.int64)
-    g = (grams >> U(32)).astype(np.uint32) | np.uint32(1)
-    least = sliding(g, w, np.minimum)
-    n = len(least)
-    least = np.where(doc[:n] == doc[length - 1 : length - 1 + n], least, np.uint32(0))
-    padded = np.zeros(n + 2 * (w - 1), dtype=np.uint32)
-    padded[w - 1 : w - 1 + n] = least
-    return np.flatnonzero(sliding(padded, w, np.maximum)[: len(g)] == g)
+    w, n = length - k + 1, len(doc) - length + 1
+    none = np.zeros(0, dtype=np.int64)
+    if n <= 0:
+        return none, none, none
+    low = (grams & U(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=U)
+    least = (sliding(low, w, np.minimum) & U(0xFFFFFFFF)).astype(np.int64)
+    start = np.flatnonzero(doc[:n] == doc[length - 1 :])
+    at = least[start]
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (at[1:] != at[:-1])
+    first = np.flatnonzero(new)
+    return at[first], start[first], start[np.append(first[1:], len(at)) - 1] if len(at) else none
 
 
 def covered(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:

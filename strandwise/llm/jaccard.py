@@ -6,8 +6,8 @@
 3. Groups: a class whose min-hash equals that of a group's leader, and whose verified similarity with it is high enough, joins its
    group; connected groups are one. In a family of copies this costs a comparison a copy, not one a pair.
 4. Token-group matrix: for each token, the groups that have it in a prefix, with bounds over their members: sizes, and how many
-   tokens follow it. Two groups that meet at a token are opened only if these bounds allow enough overlap. Members of opened
-   groups that pass the same bounds are compared exactly.
+   tokens follow it. Two groups are opened only if these bounds allow enough overlap at some token. Members of opened
+   groups whose own bounds allow it, too, are compared exactly.
 
 Steps 3 and 4 lose no link between classes of different groups, and links within a group don't change components.
 """
@@ -62,18 +62,18 @@ def _prefix_size(n: np.ndarray, share: tuple[int, int]) -> np.ndarray:
 def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
     """Which of the pairs (a, b: class ids) are similar enough, by their whole sets."""
     own = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    wanted = save(classes.join(own, "cid", "left_semi").select("cid", "did", "d1", "d2"), "jaccard-wanted")
+    wanted = save(classes.join(own, "cid", "left_semi").select("did", "cid", "d1", "d2"), "jaccard-wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = column_bytes(batch.column("text"))
             for i, j in chunks(at):
                 grams, first = shingle_sets(data, at, i, j, n)
-                d1, d2 = _digests(grams, first)
-                yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), _lists(grams, np.diff(first))], names=["d1", "d2", "grams"])
+                # Of rows that share a doc_id, those of the class.
+                same = np.logical_and(*(d == batch.column(c).to_numpy()[i:j] for c, d in zip(("d1", "d2"), _digests(grams, first))))
+                yield pa.RecordBatch.from_arrays([batch.column("cid").slice(i, j - i), _lists(grams, np.diff(first))], names=["cid", "grams"]).filter(pa.array(same))
 
-    found = docs.select("did", "text").join(wanted.select("did").distinct(), "did", "left_semi").select("text").mapInArrow(sets, "d1 long, d2 long, grams array<long>")
-    found = save(wanted.select("cid", "d1", "d2").join(found, ["d1", "d2"]).dropDuplicates(["cid"]).select("cid", "grams"), "jaccard-sets")
+    found = save(docs.join(wanted, "did").select("text", "cid", "d1", "d2").mapInArrow(sets, "cid long, grams array<long>"), "jaccard-sets")
     first, second = (found.select(F.col("cid").alias(c), F.col("grams").alias(f"set_{c}")) for c in "ab")
     both = F.size(F.array_intersect("set_a", "set_b"))
     joined = pairs.select("a", "b").join(first, "a").join(second, "b").withColumn("both", both)
@@ -157,13 +157,12 @@ def jaccard_components(docs: DataFrame, n: int = 4, share: tuple[int, int] = (85
     again = F.row_number().over(Window.partitionBy("did").orderBy("d1", "d2"))
     classes = save(classes.withColumn("cid", F.when(again == 1, F.col("did")).otherwise(F.xxhash64("d1", "d2"))), "jaccard-classes")
 
-    # Groups: each class is compared with the leader of each of its min-hashes.
+    # Groups: each class is compared with a leader that has two of its min-hashes at least.
     keys = classes.select("cid", "n", F.posexplode("keys").alias("j", "key"))
-    chance = F.xxhash64("cid", "j")
-    leaders = keys.groupBy("j", "key").agg(F.count(F.lit(1)).alias("m"), F.min_by("cid", chance).alias("a"), F.min_by("n", chance).alias("na"))
+    leaders = keys.groupBy("j", "key").agg(F.count(F.lit(1)).alias("m"), F.min("cid").alias("a"), F.min_by("n", "cid").alias("na"))
     leaders = save(leaders.filter("m > 1").select("j", "key", "a", "na"), "jaccard-leaders")
     stars = keys.join(leaders, ["j", "key"]).filter((F.col("a") != F.col("cid")) & _fits(share, F.col("n"), F.col("na")))
-    stars = save(stars.select(F.least("a", "cid").alias("a"), F.greatest("a", "cid").alias("b")).distinct(), "jaccard-stars")
+    stars = save(stars.groupBy("a", F.col("cid").alias("b")).count().filter("count > 1").select("a", "b"), "jaccard-stars")
     links = save(_similar(stars, classes, docs, n, share), "jaccard-links")
     group = components(links)
 
@@ -176,12 +175,16 @@ def jaccard_components(docs: DataFrame, n: int = 4, share: tuple[int, int] = (85
     matrix = save(entries.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest")), "jaccard-matrix")
     one, two = (matrix.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("g", "least", "most", "rest"))) for k in (1, 2))
     able = (F.col("g1") < F.col("g2")) & (F.col("most1") * share[1] >= F.col("least2") * share[0]) & (F.col("most2") * share[1] >= F.col("least1") * share[0])
-    overlap = F.least("rest1", "rest2") * (share[0] + share[1]) >= (F.col("least1") + F.col("least2")) * share[0]
-    opened = one.join(two, "token").filter(able & overlap).select("token", "g1", "g2")
+    needed = lambda overlap, n1, n2: overlap * (share[0] + share[1]) >= (F.col(n1) + F.col(n2)) * share[0]
+    # The first token that two members share leaves enough overlap; groups open if any token may be that one.
+    met = save(one.join(two, "token").filter(able).select("token", "g1", "g2", needed(F.least("rest1", "rest2"), "least1", "least2").alias("enough")), "jaccard-met")
+    opened = save(met.filter("enough").select("g1", "g2").distinct(), "jaccard-opened")
+    met = met.join(opened, ["g1", "g2"], "left_semi").select("token", "g1", "g2")
     one, two = (entries.select(F.col("token"), *(F.col(c).alias(f"{c}{k}") for c in ("g", "cid", "n", "rest"))) for k in (1, 2))
-    overlap = F.least("rest1", "rest2") * (share[0] + share[1]) >= (F.col("n1") + F.col("n2")) * share[0]
-    pairs = opened.join(one, ["token", "g1"]).join(two, ["token", "g2"]).filter(_fits(share, F.col("n1"), F.col("n2")) & overlap)
-    pairs = save(pairs.select(F.least("cid1", "cid2").alias("a"), F.greatest("cid1", "cid2").alias("b")).distinct(), "jaccard-pairs")
+    pairs = met.join(one, ["token", "g1"]).join(two, ["token", "g2"]).filter(_fits(share, F.col("n1"), F.col("n2")))
+    pairs = pairs.groupBy(F.col("cid1").alias("a"), F.col("cid2").alias("b"), "n1", "n2").agg(F.count(F.lit(1)).alias("c"), F.min("rest1").alias("rest1"), F.min("rest2").alias("rest2"))
+    # All they share up to the last token that both prefixes have, and at most all that follows it.
+    pairs = save(pairs.filter(needed(F.col("c") - 1 + F.least("rest1", "rest2"), "n1", "n2")).select("a", "b"), "jaccard-pairs")
     if not pairs.isEmpty():
         links = save(links.union(_similar(pairs, classes, docs, n, share)), "jaccard-links")
         group = components(links)

@@ -74,14 +74,15 @@ class PerfectHash:
 class Codec:
     """Encodes and decodes by the ranks of a vocabulary."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cached: int = 200_000):
-        self.tokens = list(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cached: int = 300_000):
+        self.ranks, self.tokens = ranks, list(ranks)
         self.ids = np.array(list(ranks.values()), dtype=np.int64)
         self.hash = PerfectHash(self.tokens)
         size = max(ranks.values(), default=-1) + 1
         self.of_id: list[bytes | None] = [None] * size
         for token, rank in ranks.items():
             self.of_id[rank] = token
+        self.names = [str(i) for i in range(size)]
         # White space as Unicode has it, as the merges were made with; without this, \s also takes U+001C to U+001F.
         self.pattern, self.cached = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"), cached
 
@@ -93,61 +94,64 @@ class Codec:
         return int(self.ids[i]) if self.tokens[i] == piece else -1
 
     def merge(self, piece: bytes) -> list[int]:
-        """The ids of a piece that is no token itself: the pair of least rank, the leftmost of equals, merges first."""
-        n = len(piece)
-        end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that starts at a byte: its end, the part before
-        alive, heap = [True] * n, []
-
-        def offer(i: int) -> None:
-            j = end[i]
-            if j < n and (r := self.rank(piece[i : end[j]])) >= 0:
-                heapq.heappush(heap, (r, i, j, end[j]))
-
-        for i in range(n - 1):
-            offer(i)
+        """The ids of a piece that is no token itself: the pair of least rank, the leftmost of equals, merges first.
+
+        Parts are linked by where the next and the one before start; the heap holds rank * n + start of each pair.
+        """
+        n, get = len(piece), self.ranks.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        pair = [get(piece[i : i + 2], -1) for i in range(n - 1)] + [-1]  # the rank of each part with the next
+        heap = [r * n + i for i, r in enumerate(pair) if r >= 0]
+        heapq.heapify(heap)
         while heap:
-            _, i, j, stop = heapq.heappop(heap)
-            if not (alive[i] and end[i] == j and alive[j] and end[j] == stop):
+            r, i = divmod(heapq.heappop(heap), n)
+            if pair[i] != r:
                 continue
-            end[i], alive[j] = stop, False
-            if stop < n:
-                before[stop] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
+            j = after[i]
+            k = after[i] = after[j]
+            pair[i] = pair[j] = -1
+            if k < n:
+                before[k] = i
+                pair[i] = r = get(piece[i : after[k]], -1)
+                if r >= 0:
+                    heapq.heappush(heap, r * n + i)
+            p = before[i]
+            if p >= 0:
+                pair[p] = r = get(piece[p:k], -1)
+                if r >= 0:
+                    heapq.heappush(heap, r * n + p)
         out, i = [], 0
         while i < n:
-            if (r := self.rank(piece[i : end[i]])) < 0:
-                raise ValueError(f"the vocabulary lacks the byte {piece[i]}")
-            out.append(r)
-            i = end[i]
+            out.append(self.ranks[piece[i : after[i]]])
+            i = after[i]
         return out
 
-    def encode_piece(self, piece: str) -> tuple[list[int], str]:
+    def encode_piece(self, piece: str) -> tuple[int, ...]:
         data = piece.encode()
         r = self.rank(data)
-        ids = [r] if r >= 0 else self.merge(data)
-        return ids, " ".join(map(str, ids))
+        return (r,) if r >= 0 else tuple(self.merge(data))
 
     def encoder(self):
-        """A function from a text to its ids and their decimal text; it keeps pieces it has met, up to a bound."""
+        """A function from a text to its ids; it keeps pieces it has met, up to a bound."""
         find, met, most = regex.compile(self.pattern).findall, {}, self.cached
 
-        def add(piece: str) -> tuple[list[int], str]:
-            entry = self.encode_piece(piece)
+        def add(piece: str) -> tuple[int, ...]:
+            ids = self.encode_piece(piece)
             if len(piece) <= 64:
                 if len(met) >= most:
                     met.clear()
-                met[piece] = entry
-            return entry
+                met[piece] = ids
+            return ids
 
-        def encode(text: str) -> tuple[list[int], str]:
+        def encode(text: str) -> list[int]:
             get = met.get
-            entries = [get(p) or add(p) for p in find(text)]
-            return list(chain.from_iterable(e[0] for e in entries)), " ".join([e[1] for e in entries])
+            return list(chain.from_iterable([get(p) or add(p) for p in find(text)]))
 
         return encode
 
+    def decimal(self, ids: Sequence[int]) -> str:
+        return " ".join(map(self.names.__getitem__, ids))
+
     def decode(self, ids: Sequence[int]) -> bytes:
         return b"".join(map(self.of_id.__getitem__, ids))
 
@@ -178,14 +182,14 @@ def encode(docs: DataFrame, path: str, pattern: str, outputs: Sequence[str] = ("
                 batch = whole.slice(start, 256)
                 out: dict[str, list] = {k: [] for k in outputs}
                 for text in batch.column(batch.num_columns - 1).to_pylist():
-                    ids, decimal = to_ids(text)
+                    ids = to_ids(text)
                     for k in outputs:
                         if k == "n_tokens":
                             out[k].append(len(ids))
                         elif k == "ids":
                             out[k].append(ids)
                         elif k == "ids_sha256":
-                            out[k].append(hashlib.sha256(decimal.encode()).hexdigest())
+                            out[k].append(hashlib.sha256(c.decimal(ids).encode()).hexdigest())
                         else:
                             data = c.decode(ids)
                             out[k].append(data if k == "decoded" else hashlib.sha256(data).hexdigest())

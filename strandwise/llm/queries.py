@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jaccard, mixing, repeats, sharding, toxicity
+from . import bpe, exact_dedup, jaccard, licences, mixing, neighbours, repeats, sharding, toxicity
 from .common import table
 
 
@@ -24,6 +25,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.word_repeats(table(spark, sf_dir, "documents"), length=35)
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), k=20)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(table(spark, sf_dir, "documents"), shards=40)
 
@@ -40,13 +45,20 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0).drop("source")
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths; here each source is a tree, with directories of up to a thousand and a hundred ids."""
+    i = F.coalesce(F.col("doc_id"), F.lit(-1))
+    path = F.concat_ws("/", F.coalesce(F.col("source"), F.lit("unknown")), F.floor(i / 1000), F.floor(i / 100), i)
+    return licences.scan(table(spark, sf_dir, "documents"), path)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), threshold=0.3)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op3_sharding, op4_bpe, op5_substring_dedup, op6_exact_dedup, op7_jaccard_join, op8_mixing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_neighbours, op3_sharding, op4_bpe, op5_substring_dedup, op6_exact_dedup, op7_jaccard_join, op8_mixing, op9_licences, op10_toxicity)}
 
 
 OP6_SQL = """

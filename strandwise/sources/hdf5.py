@@ -1,0 +1,55 @@
+"""Raw reads in HDF5, if h5py is installed: one file is one row of bytes, read by the task that has it."""
+
+from __future__ import annotations
+
+import io
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+
+from ..schemas import READS
+
+
+def _text(value) -> str:
+    return value.decode() if isinstance(value, bytes) else str(value)
+
+
+def parse(data: bytes, group: str, subgroup: str) -> dict:
+    """A row of READS from the bytes of a file."""
+    import h5py
+
+    with h5py.File(io.BytesIO(data), "r") as f:
+        read = next(iter(f["Raw/Reads"].values()))
+        channel = f["UniqueGlobalKey/channel_id"].attrs
+        called = f[f"Analyses/{group}/{subgroup}"]
+        events = called["Events"]
+        shift = int(events.attrs["read_start_rel_to_raw"])
+        where = called["Alignment"].attrs if "Alignment" in called else {}
+        return {
+            "read_id": _text(read.attrs["read_id"]), "raw": [float(x) for x in read["Signal"][()]],
+            "events": [{"start": int(e["start"]) + shift, "length": int(e["length"]), "base": _text(e["base"])} for e in events[()]],
+            "align_strand": _text(where.get("mapped_strand", "")), "chrom": _text(where.get("mapped_chrom", "")), "chrom_start": int(where["mapped_start"]) if "mapped_start" in where else None,
+            "read_strand": "t" if subgroup.endswith("template") else "c", **{k: float(channel[k]) for k in ("digitisation", "range", "offset")},
+        }
+
+
+def reads(spark: SparkSession, path: str, recursive: bool = True, group: str = "RawGenomeCorrected_000", subgroup: str = "BaseCalled_template") -> DataFrame:
+    """Reads of all *.fast5 files in a folder; a file that can't be read gives no row."""
+    try:
+        import h5py  # noqa: F401
+    except ImportError as e:
+        raise ImportError("reading HDF5 needs h5py, which isn't installed; give reads as Parquet instead") from e
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for data in frame["content"]:
+                try:
+                    rows.append(parse(data, group, subgroup))
+                except (KeyError, OSError, StopIteration, ValueError):
+                    continue
+            yield pd.DataFrame(rows, columns=READS.names)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.fast5").option("recursiveFileLookup", str(recursive).lower())
+    return files.load(path).select("content").mapInPandas(run, READS)

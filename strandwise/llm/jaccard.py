@@ -5,9 +5,10 @@
    n - ceil(share * n) + 1 of each (their prefixes), so only prefixes are looked at.
 3. Groups: a class whose min-hash equals that of a group's leader, and whose verified similarity with it is high enough, joins its
    group; connected groups are one. In a family of copies this costs a comparison a copy, not one a pair.
-4. Token-group matrix: for each token, the groups that have it in a prefix, with bounds over their members: sizes, and how many
-   tokens follow it. Two groups are opened only if these bounds allow enough overlap at some token. Members of opened
-   groups whose own bounds allow it, too, are compared exactly.
+4. Token-group matrix: for each token, the groups that have it in a prefix, with bounds over their members' sizes. For groups that
+   meet there, overlap is bounded by how many prefix tokens they share and what follows the last, and by the groups'
+   unions, as the most that a member has in each of 64 buckets of tokens. Only groups whose bounds allow enough overlap are
+   opened; their members whose own bounds allow it, too, are compared exactly.
 
 Steps 3 and 4 lose no link between classes of different groups, and links within a group don't change components.
 """
@@ -29,6 +30,8 @@ from .repeats import Units, chunks, column_bytes
 U = np.uint64
 #: A token is frequent from this count on, or from the least doubling of it that leaves no more than MOST_FREQUENT tokens.
 FREQUENT, MOST_FREQUENT = 32, 200_000
+#: A set's sketch counts its tokens in so many buckets; sets with over 127 in any have none.
+BUCKETS = 64
 SEEDS = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=U)
 
 
@@ -90,6 +93,25 @@ def _digests(grams: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out[0], out[1]
 
 
+def _sketches(grams: np.ndarray, first: np.ndarray) -> pa.Array:
+    """How many tokens of each set fall into each bucket, null where a count doesn't fit."""
+    n = len(first) - 1
+    row = np.repeat(np.arange(n), np.diff(first))
+    counts = np.bincount(row * BUCKETS + (grams >> U(58)).astype(np.int64), minlength=n * BUCKETS)
+    offsets = pa.array(np.arange(0, n * BUCKETS + 1, BUCKETS, dtype=np.int32), mask=np.append(counts.reshape(n, -1).max(axis=1, initial=0) > 127, False))
+    return pa.ListArray.from_arrays(offsets, pa.array(np.minimum(counts, 127).astype(np.int8)))
+
+
+def _needed(share: tuple[int, int], overlap, n1, n2):
+    """Whether so much overlap may be enough for sets of these sizes."""
+    return overlap * (share[0] + share[1]) >= (n1 + n2) * share[0]
+
+
+def _common(a: str, b: str):
+    """The most that sets, or members of groups, with these sketches can have in common; null if one has none."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda s, x: s + x)
+
+
 def _fits(share: tuple[int, int], n1, n2):
     return (n1 * share[1] >= n2 * share[0]) & (n2 * share[1] >= n1 * share[0])
 
@@ -117,8 +139,8 @@ def jaccard_components(docs: DataFrame, n: int = 4, share: tuple[int, int] = (85
                 grams, first = shingle_sets(data, at, i, j, n)
                 size = np.diff(first)
                 place = np.arange(len(grams)) - np.repeat(first[:-1], size)
-                # half as many again as a prefix: what moves up where frequent tokens move last
-                yield pa.RecordBatch.from_arrays([pa.array(grams[place < np.repeat(_prefix_size(size, share) * 3 // 2 + 8, size)].view(np.int64))], names=["token"])
+                # a quarter more than a prefix: what moves up where frequent tokens move last
+                yield pa.RecordBatch.from_arrays([pa.array(grams[place < np.repeat(_prefix_size(size, share) * 5 // 4 + 8, size)].view(np.int64))], names=["token"])
 
     counts = save(docs.select("text").mapInArrow(least, "token long").groupBy("token").count().filter(F.col("count") >= FREQUENT), "jaccard-counts")
     bound = FREQUENT
@@ -147,12 +169,12 @@ def jaccard_components(docs: DataFrame, n: int = 4, share: tuple[int, int] = (85
                     if len(some):
                         keys[some, k] = np.minimum.reduceat(R.mix(grams * seed), first[:-1][some])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("did").slice(i, j - i), pa.array(size.astype(np.int64)), pa.array(d1), pa.array(d2), _lists(keys.ravel(), np.full(j - i, len(SEEDS))), _lists(head, p)],
-                    names=["did", "n", "d1", "d2", "keys", "prefix"],
+                    [batch.column("did").slice(i, j - i), pa.array(size.astype(np.int64)), pa.array(d1), pa.array(d2), _lists(keys.ravel(), np.full(j - i, len(SEEDS))), _lists(head, p), _sketches(grams, first)],
+                    names=["did", "n", "d1", "d2", "keys", "prefix", "sketch"],
                 )
 
-    rows = save(docs.mapInArrow(rows_of, "did long, n long, d1 long, d2 long, keys array<long>, prefix array<long>"), "jaccard-rows")
-    classes = rows.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("did").alias("did"), F.any_value("keys").alias("keys"), F.any_value("prefix").alias("prefix"))
+    rows = save(docs.mapInArrow(rows_of, "did long, n long, d1 long, d2 long, keys array<long>, prefix array<long>, sketch array<tinyint>"), "jaccard-rows")
+    classes = rows.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("did").alias("did"), F.any_value("keys").alias("keys"), F.any_value("prefix").alias("prefix"), F.any_value("sketch").alias("sketch"))
     # Of classes whose smallest doc_id is the same, as ids repeat, all but one take another id.
     again = F.row_number().over(Window.partitionBy("did").orderBy("d1", "d2"))
     classes = save(classes.withColumn("cid", F.when(again == 1, F.col("did")).otherwise(F.xxhash64("d1", "d2"))), "jaccard-classes")
@@ -162,29 +184,40 @@ def jaccard_components(docs: DataFrame, n: int = 4, share: tuple[int, int] = (85
     leaders = keys.groupBy("j", "key").agg(F.count(F.lit(1)).alias("m"), F.min("cid").alias("a"), F.min_by("n", "cid").alias("na"))
     leaders = save(leaders.filter("m > 1").select("j", "key", "a", "na"), "jaccard-leaders")
     stars = keys.join(leaders, ["j", "key"]).filter((F.col("a") != F.col("cid")) & _fits(share, F.col("n"), F.col("na")))
-    stars = save(stars.groupBy("a", F.col("cid").alias("b")).count().filter("count > 1").select("a", "b"), "jaccard-stars")
+    stars = stars.groupBy("a", F.col("cid").alias("b")).count().filter("count > 1").select("a", "b")
+    sketch = save(classes.select("cid", "n", "sketch"), "jaccard-sketches")
+    sides = [sketch.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in "ab"]
+    allowed = lambda pairs: pairs.join(sides[0], "a").join(sides[1], "b").filter(_fits(share, F.col("n_a"), F.col("n_b")) & F.coalesce(_needed(share, _common("s_a", "s_b"), F.col("n_a"), F.col("n_b")), F.lit(True))).select("a", "b")
+    stars = save(allowed(stars), "jaccard-stars")
     links = save(_similar(stars, classes, docs, n, share), "jaccard-links")
     group = components(links)
 
     # The matrix: tokens by groups.
-    members = classes.join(group, classes.cid == group.node, "left").select("cid", "n", F.coalesce(F.col("comp"), F.col("cid")).alias("g"), "prefix")
-    members = save(members, "jaccard-members")
-    entries = members.select("cid", "n", "g", F.posexplode("prefix").alias("pos", "token"))
+    members = save(classes.join(group, classes.cid == group.node, "left").select("cid", "n", F.coalesce(F.col("comp"), F.col("cid")).alias("g"), "prefix", "sketch"), "jaccard-members")
+    entries = members.select("n", "g", F.posexplode("prefix").alias("pos", "token")).withColumn("rest", F.col("n") - F.col("pos"))
     shared = save(entries.groupBy("token").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).filter("g1 < g2").select("token"), "jaccard-tokens")
-    entries = save(entries.join(shared, "token", "left_semi").withColumn("rest", F.col("n") - F.col("pos")), "jaccard-entries")
-    matrix = save(entries.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest")), "jaccard-matrix")
+    matrix = save(entries.join(shared, "token", "left_semi").groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest")), "jaccard-matrix")
     one, two = (matrix.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("g", "least", "most", "rest"))) for k in (1, 2))
     able = (F.col("g1") < F.col("g2")) & (F.col("most1") * share[1] >= F.col("least2") * share[0]) & (F.col("most2") * share[1] >= F.col("least1") * share[0])
-    needed = lambda overlap, n1, n2: overlap * (share[0] + share[1]) >= (F.col(n1) + F.col(n2)) * share[0]
-    # The first token that two members share leaves enough overlap; groups open if any token may be that one.
-    met = save(one.join(two, "token").filter(able).select("token", "g1", "g2", needed(F.least("rest1", "rest2"), "least1", "least2").alias("enough")), "jaccard-met")
-    opened = save(met.filter("enough").select("g1", "g2").distinct(), "jaccard-opened")
-    met = met.join(opened, ["g1", "g2"], "left_semi").select("token", "g1", "g2")
-    one, two = (entries.select(F.col("token"), *(F.col(c).alias(f"{c}{k}") for c in ("g", "cid", "n", "rest"))) for k in (1, 2))
-    pairs = met.join(one, ["token", "g1"]).join(two, ["token", "g2"]).filter(_fits(share, F.col("n1"), F.col("n2")))
-    pairs = pairs.groupBy(F.col("cid1").alias("a"), F.col("cid2").alias("b"), "n1", "n2").agg(F.count(F.lit(1)).alias("c"), F.min("rest1").alias("rest1"), F.min("rest2").alias("rest2"))
-    # All they share up to the last token that both prefixes have, and at most all that follows it.
-    pairs = save(pairs.filter(needed(F.col("c") - 1 + F.least("rest1", "rest2"), "n1", "n2")).select("a", "b"), "jaccard-pairs")
+    met = one.join(two, "token").filter(able).groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("c"), F.min("rest1").alias("rest1"), F.min("rest2").alias("rest2"))
+    # Groups: sizes, and of each bucket the most that a member has in it (none if a member has no sketch).
+    alone = members.groupBy("g").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("g")
+    alone = save(alone, "jaccard-several")
+    single = members.join(alone, "g", "left_anti").select("g", F.col("n").alias("least"), F.lit(True).alias("single"), "sketch")
+    tops = members.join(alone, "g", "left_semi").select("g", "n", F.col("sketch").isNull().alias("lacks"), F.posexplode_outer("sketch").alias("bucket", "x"))
+    tops = tops.groupBy("g", "bucket").agg(F.max("x").alias("x"), F.min("n").alias("least"), F.max("lacks").alias("lacks"))
+    tops = tops.groupBy("g").agg(F.min("least").alias("least"), F.max("lacks").alias("lacks"), F.array_sort(F.collect_list(F.struct("bucket", "x"))).alias("s"))  # a row a bucket
+    several = tops.select("g", "least", F.lit(False).alias("single"), F.when(~F.col("lacks"), F.transform("s", lambda e: e["x"])).alias("sketch"))
+    groups = save(single.union(several), "jaccard-groups")
+    g1, g2 = (groups.select(*(F.col(c).alias(f"{c}{k}") for c in ("g", "least", "single")), F.col("sketch").alias(f"sketch{k}")) for k in (1, 2))
+    # All that two sets share up to the last token of both prefixes, and at most all that follows it.
+    tail = ~F.col("single1") | ~F.col("single2") | _needed(share, F.col("c") - 1 + F.least("rest1", "rest2"), F.col("least1"), F.col("least2"))
+    small = [g.select(f"g{k}", f"least{k}", f"single{k}") for k, g in ((1, g1), (2, g2))]
+    met = save(met.join(small[0], "g1").join(small[1], "g2").filter(tail).select("g1", "g2"), "jaccard-met")
+    opened = met.join(g1, "g1").join(g2, "g2").filter(F.coalesce(_needed(share, _common("sketch1", "sketch2"), F.col("least1"), F.col("least2")), F.lit(True)))
+    opened = save(opened.select("g1", "g2"), "jaccard-opened")
+    one, two = (members.select(F.col("g").alias(f"g{k}"), F.col("cid").alias(c)) for k, c in ((1, "a"), (2, "b")))
+    pairs = save(allowed(opened.join(one, "g1").join(two, "g2").select("a", "b")), "jaccard-pairs")
     if not pairs.isEmpty():
         links = save(links.union(_similar(pairs, classes, docs, n, share)), "jaccard-links")
         group = components(links)

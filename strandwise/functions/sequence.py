@@ -74,17 +74,32 @@ def kmer_class(k_mer: Column) -> Column:
     return motif_class(F.substring(k_mer, (F.floor(F.length(k_mer) / 2) + 1).cast("int"), F.lit(3)))
 
 
-def scan_motifs(contigs: DataFrame, motifs: Iterable[str], offset: int = 0, tile: int = 100_000) -> DataFrame:
-    """name and pos of each motif's base `offset`, overlaps included, in contigs of name and seq.
+def tiles(contigs: DataFrame, left: int = 0, right: int = 0, size: int = 512, large: int = 1 << 20) -> DataFrame:
+    """name, begin, first, part, whole: pieces of contigs (name, seq), each `size` bases from `begin` on.
 
-    A contig is cut into tiles that overlap by a motif less one base, so a chromosome is scanned by many tasks.
+    `part` starts at `first` and has up to `left` bases before and `right` after; `whole` is the contig's length. A contig is
+    cut twice, into large pieces first: finding a place in a string takes time in proportion to it, and no step does so over
+    a whole chromosome for each small piece.
     """
+    def cut(rows: DataFrame, start: Column, stop: Column, step: int) -> DataFrame:
+        rows = rows.withColumn("_b", F.explode(F.when(stop > start, F.sequence(start, stop - 1, F.lit(step)))))
+        first = F.greatest(F.col("_b") - left, F.lit(0))
+        part = F.substring(F.col("part"), first - F.col("first") + 1, F.lit(step + right) + F.col("_b") - first)
+        return rows.select("name", F.col("_b").alias("begin"), first.alias("first"), part.alias("part"), "whole", F.least(F.col("_b") + step, F.col("whole")).alias("end"))
+
+    whole = contigs.select("name", F.lit(0).alias("first"), F.col("seq").alias("part"), F.length("seq").alias("whole"))
+    pieces = cut(whole, F.lit(0), F.col("whole"), large)
+    return cut(pieces, F.col("begin"), F.col("end"), size).drop("end")
+
+
+def scan_motifs(contigs: DataFrame, motifs: Iterable[str], offset: int = 0, size: int = 512) -> DataFrame:
+    """name and pos of each motif's base `offset`, overlaps included, in contigs of name and seq."""
     motifs = list(motifs)
     width = len(motifs[0])
-    starts = F.explode(F.when(F.length("seq") >= width, F.sequence(F.lit(0), F.length("seq") - width, F.lit(tile))))
-    tiles = contigs.select("name", "seq", starts.alias("begin")).select("name", "begin", F.substring("seq", F.col("begin") + 1, F.lit(tile + width - 1)).alias("part"))
-    hits = F.filter(F.sequence(F.lit(0), F.length("part") - width), lambda i: F.substring(F.col("part"), i + 1, F.lit(width)).isin(motifs))
-    return tiles.select("name", (F.col("begin") + F.explode(hits) + offset).cast("long").alias("pos"))
+    rows = tiles(contigs, 0, width - 1, size)
+    places = F.sequence(F.lit(0), F.length("part") - width)
+    hits = F.filter(F.when(F.length("part") >= width, places), lambda i: F.substring(F.col("part"), i + 1, F.lit(width)).isin(motifs))
+    return rows.select("name", "begin", F.explode(hits).alias("i")).select("name", (F.col("begin") + F.col("i") + offset).cast("long").alias("pos"))
 
 
 def triplet(seq: Column, pos: Column, strand: Column) -> Column:

@@ -46,7 +46,7 @@ def transcript_lengths(rows: DataFrame) -> DataFrame:
 def transcript_coordinates(rows: DataFrame) -> DataFrame:
     """parent, at (from 0), chrom, strand, pos of each base of each transcript, exons by rank, backwards on the minus strand."""
     strands = rows.filter("feature <> 'exon' and id is not null").groupBy("id").agg(F.max_by(F.struct("chrom", "strand"), F.col("start")).alias("t"))
-    w = Window.partitionBy("parent").orderBy("rank", "start").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("parent").orderBy("rank", "start", "end").rowsBetween(Window.unboundedPreceding, -1)
     placed = exons(rows).select("parent", "rank", "start", "end", F.coalesce(F.sum(F.col("end") - F.col("start")).over(w), F.lit(0)).alias("begin"))
     placed = placed.join(strands, placed.parent == strands.id).select("parent", "t.chrom", "t.strand", "start", "end", "begin")
     steps = F.explode(F.when(F.col("end") > F.col("start"), F.sequence(F.lit(0).cast("long"), F.col("end") - F.col("start") - 1)))

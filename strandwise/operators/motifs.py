@@ -13,20 +13,19 @@ def classify(rows: DataFrame, k_mer: str = "k_mer") -> DataFrame:
     return rows.withColumn("motif", S.kmer_class(F.col(k_mer)))
 
 
-def triplets(contigs: DataFrame, tile: int = 100_000) -> DataFrame:
+def triplets(contigs: DataFrame) -> DataFrame:
     """chrom, pos, strand and three bases of every cytosine of either strand.
 
     Contigs are cut into tiles, so no chromosome is sent along with rows.
     """
-    starts = F.explode(F.when(F.length("seq") > 0, F.sequence(F.lit(0), F.length("seq") - 1, F.lit(tile))))
-    tiles = contigs.select("name", starts.alias("begin"), "seq").select("name", "begin", F.substring("seq", F.greatest(F.col("begin") - 1, F.lit(0)), F.lit(tile + 4)).alias("part"), F.length("seq").alias("whole"))
-    # A tile's part starts two bases before it, where the contig has them.
-    shift = F.when(F.col("begin") == 0, 0).otherwise(2)
-    here = F.sequence(F.lit(0), F.least(F.lit(tile), F.col("whole") - F.col("begin")) - 1)
-    own = lambda i: F.struct((F.col("begin") + i).cast("long").alias("pos"), F.lit("+").alias("strand"), F.substring(F.col("part"), i + shift + 1, F.lit(3)).alias("three"))
-    other = lambda i: F.struct((F.col("begin") + i).cast("long").alias("pos"), F.lit("-").alias("strand"), F.when(F.col("begin") + i >= 2, S.reverse_complement(F.substring(F.col("part"), i + shift - 1, F.lit(3)), strict=True)).otherwise("").alias("three"))
-    both = F.flatten(F.transform(here, lambda i: F.array(own(i), other(i))))
-    return tiles.select(F.col("name").alias("chrom"), F.explode(both).alias("x")).select("chrom", "x.*").filter("three like 'C%'")
+    rows = S.tiles(contigs, 2, 2).withColumn("i", F.explode(F.sequence(F.col("begin") - F.col("first"), F.least(F.col("begin") + 512, F.col("whole")) - 1 - F.col("first"))))
+    three = lambda i: F.substring(F.col("part"), i, F.lit(3))
+    both = F.array(
+        F.struct(F.lit("+").alias("strand"), three(F.col("i") + 1).alias("three")),
+        F.struct(F.lit("-").alias("strand"), F.when(F.col("first") + F.col("i") >= 2, S.reverse_complement(three(F.col("i") - 1), strict=True)).otherwise("").alias("three")),
+    )
+    each = rows.select(F.col("name").alias("chrom"), (F.col("first") + F.col("i")).cast("long").alias("pos"), F.explode(both).alias("x"))
+    return each.select("chrom", "pos", "x.*").filter("three like 'C%'")
 
 
 def classify_by_reference(rows: DataFrame, contigs: DataFrame, pos: str = "pos") -> DataFrame:

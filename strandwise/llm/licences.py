@@ -88,10 +88,12 @@ def scan(docs: DataFrame, path: Column, templates: Mapping[str, str] = TEMPLATES
     hint = lambda limit: r"(?i)(?<![a-z0-9.])(?:" + "|".join(map(re.escape, telling(vectors, idf, limit))) + r")(?![a-z0-9])"
     names, by_term = sorted(vectors), _literal(idf)
 
-    def best(text: Column) -> Column:
+    def weighed(words: Column) -> Column:
+        """The distinct terms and their weights."""
+        return F.transform(F.array_sort(F.array_distinct(words)), lambda t: F.struct(t.alias("t"), (F.size(F.filter(words, lambda u: u == t)) * by_term[t]).alias("x")))
+
+    def best(own: Column) -> Column:
         """The best cosine and its template, as a struct that sorts by cosine (ties: the first name)."""
-        words = F.filter(_terms(text), lambda t: F.array_contains(F.array(*map(F.lit, vocabulary)), t))
-        own = F.transform(F.array_sort(F.array_distinct(words)), lambda t: F.struct(t.alias("t"), (F.size(F.filter(words, lambda u: u == t)) * by_term[t]).alias("x")))
         norm = F.sqrt(F.aggregate(own, F.lit(0.0), lambda a, e: a + e["x"] * e["x"]))
 
         def against(k: int, name: str) -> Column:
@@ -99,12 +101,17 @@ def scan(docs: DataFrame, path: Column, templates: Mapping[str, str] = TEMPLATES
             dot = F.aggregate(own, F.lit(0.0), lambda a, e: a + e["x"] * F.coalesce(v[e["t"]], F.lit(0.0)))
             return F.struct((dot / norm).alias("score"), F.lit(-k).alias("place"), F.lit(name).alias("name"))
 
-        scores = [against(k, name) for k, name in enumerate(names)]
-        return F.when(F.size(own) > 0, F.array_max(F.array(*scores)))
-
-    low = min(threshold, file_threshold)
-    lines = F.transform(F.filter(F.split("text", "[\r\n]+"), lambda x: x.rlike(hint(threshold))), lambda x: F.struct(best(x).alias("b"), x.alias("line")))
-    marked = rows.withColumn("found", F.when(F.col("text").rlike(hint(low)), F.struct(F.array_max(lines).alias("own"), best(F.col("text")).alias("whole")))).select("doc_id", "path", "found.*")
+        return F.when(F.size(own) > 0, F.array_max(F.array(*(against(k, name) for k, name in enumerate(names)))))
+
+    known = F.array(*map(F.lit, vocabulary))
+    words = lambda text: F.filter(_terms(text), lambda t: F.array_contains(known, t))
+    lines = F.filter(F.split("text", "[\r\n]+"), lambda x: x.rlike(hint(threshold)))
+    # The whole text comes first, then its lines; each step reads what the one before it made.
+    units = F.transform(F.concat(F.array("text"), lines), lambda x, i: F.struct(F.when(i > 0, x).alias("line"), words(x).alias("w")))
+    units = F.transform(units, lambda e: F.struct(e["line"].alias("line"), weighed(e["w"]).alias("own")))
+    units = F.transform(units, lambda e: F.struct(best(e["own"]).alias("b"), e["line"].alias("line")))
+    marked = rows.select("doc_id", "path", F.when(F.col("text").rlike(hint(min(threshold, file_threshold))), units).alias("units"))
+    marked = marked.select("doc_id", "path", F.array_max(F.filter("units", lambda e: e["line"].isNotNull())).alias("own"), F.element_at("units", 1)["b"].alias("whole"))
     directory = F.when(F.instr("path", "/") > 0, F.regexp_extract("path", "^(.*)/[^/]*$", 1))
     marked = marked.select(
         "doc_id", "path", directory.alias("dir"), F.when(F.col("own.b.score") >= threshold, F.col("own")).alias("own"), F.when(F.col("whole.score") >= file_threshold, F.col("whole")).alias("whole"),

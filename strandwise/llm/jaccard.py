@@ -6,8 +6,8 @@
 3. Groups: a class whose min-hash equals that of a group's leader, and whose verified similarity with it is high enough, joins its
    group; connected groups are one. In a family of copies this costs a comparison a copy, not one a pair.
 4. Token-group matrix: for each token, the groups that have it in a prefix, with bounds over their members' sizes. For groups that
-   meet there, overlap is bounded by how many prefix tokens they share and what follows the last, and by the groups'
-   unions, as the most that a member has in each of 64 buckets of tokens. Only groups whose bounds allow enough overlap are
+   meet there, overlap is bounded by what follows the first token they share, and by the groups'
+   unions, as the most that a member has in each of 256 buckets of tokens. Only groups whose bounds allow enough overlap are
    opened; their members whose own bounds allow it, too, are compared exactly.
 
 Steps 3 and 4 lose no link between classes of different groups, and links within a group don't change components.
@@ -29,9 +29,9 @@ from .repeats import Units, chunks, column_bytes
 
 U = np.uint64
 #: A token is frequent from this count on, or from the least doubling of it that leaves no more than MOST_FREQUENT tokens.
-FREQUENT, MOST_FREQUENT = 32, 200_000
+FREQUENT, MOST_FREQUENT = 8, 300_000
 #: A set's sketch counts its tokens in so many buckets; sets with over 127 in any have none.
-BUCKETS = 64
+BUCKETS = 256
 SEEDS = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=U)
 
 
@@ -97,7 +97,7 @@ def _sketches(grams: np.ndarray, first: np.ndarray) -> pa.Array:
     """How many tokens of each set fall into each bucket, null where a count doesn't fit."""
     n = len(first) - 1
     row = np.repeat(np.arange(n), np.diff(first))
-    counts = np.bincount(row * BUCKETS + (grams >> U(58)).astype(np.int64), minlength=n * BUCKETS)
+    counts = np.bincount(row * BUCKETS + (grams >> U(56)).astype(np.int64), minlength=n * BUCKETS)
     offsets = pa.array(np.arange(0, n * BUCKETS + 1, BUCKETS, dtype=np.int32), mask=np.append(counts.reshape(n, -1).max(axis=1, initial=0) > 127, False))
     return pa.ListArray.from_arrays(offsets, pa.array(np.minimum(counts, 127).astype(np.int8)))
 
@@ -196,28 +196,32 @@ def jaccard_components(docs: DataFrame, n: int = 4, share: tuple[int, int] = (85
     members = save(classes.join(group, classes.cid == group.node, "left").select("cid", "n", F.coalesce(F.col("comp"), F.col("cid")).alias("g"), "prefix", "sketch"), "jaccard-members")
     entries = members.select("n", "g", F.posexplode("prefix").alias("pos", "token")).withColumn("rest", F.col("n") - F.col("pos"))
     shared = save(entries.groupBy("token").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).filter("g1 < g2").select("token"), "jaccard-tokens")
-    matrix = save(entries.join(shared, "token", "left_semi").groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest")), "jaccard-matrix")
-    one, two = (matrix.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("g", "least", "most", "rest"))) for k in (1, 2))
+    entries = members.select("cid", "n", "g", F.posexplode("prefix").alias("pos", "token")).withColumn("rest", F.col("n") - F.col("pos"))
+    entries = save(entries.join(shared, "token", "left_semi").select("token", "cid", "n", "g", "rest"), "jaccard-entries")
+    matrix = save(entries.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest")), "jaccard-matrix")
+    one, two = (matrix.select(F.col("token").alias(f"t{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("g", "least", "most", "rest"))) for k in (1, 2))
     able = (F.col("g1") < F.col("g2")) & (F.col("most1") * share[1] >= F.col("least2") * share[0]) & (F.col("most2") * share[1] >= F.col("least1") * share[0])
-    met = one.join(two, "token").filter(able).groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("c"), F.min("rest1").alias("rest1"), F.min("rest2").alias("rest2"))
+    # Of the first token that two sets share, what follows it in either bounds their overlap.
+    first = _needed(share, F.least("rest1", "rest2"), F.col("least1"), F.col("least2"))
+    met = save(one.join(two, (F.col("t1") == F.col("t2")) & able & first).select("g1", "g2").distinct(), "jaccard-met")
     # Groups: sizes, and of each bucket the most that a member has in it (none if a member has no sketch).
     alone = members.groupBy("g").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("g")
     alone = save(alone, "jaccard-several")
-    single = members.join(alone, "g", "left_anti").select("g", F.col("n").alias("least"), F.lit(True).alias("single"), "sketch")
+    single = members.join(alone, "g", "left_anti").select("g", F.col("n").alias("least"), "sketch")
     tops = members.join(alone, "g", "left_semi").select("g", "n", F.col("sketch").isNull().alias("lacks"), F.posexplode_outer("sketch").alias("bucket", "x"))
     tops = tops.groupBy("g", "bucket").agg(F.max("x").alias("x"), F.min("n").alias("least"), F.max("lacks").alias("lacks"))
     tops = tops.groupBy("g").agg(F.min("least").alias("least"), F.max("lacks").alias("lacks"), F.array_sort(F.collect_list(F.struct("bucket", "x"))).alias("s"))  # a row a bucket
-    several = tops.select("g", "least", F.lit(False).alias("single"), F.when(~F.col("lacks"), F.transform("s", lambda e: e["x"])).alias("sketch"))
+    several = tops.select("g", "least", F.when(~F.col("lacks"), F.transform("s", lambda e: e["x"])).alias("sketch"))
     groups = save(single.union(several), "jaccard-groups")
-    g1, g2 = (groups.select(*(F.col(c).alias(f"{c}{k}") for c in ("g", "least", "single")), F.col("sketch").alias(f"sketch{k}")) for k in (1, 2))
-    # All that two sets share up to the last token of both prefixes, and at most all that follows it.
-    tail = ~F.col("single1") | ~F.col("single2") | _needed(share, F.col("c") - 1 + F.least("rest1", "rest2"), F.col("least1"), F.col("least2"))
-    small = [g.select(f"g{k}", f"least{k}", f"single{k}") for k, g in ((1, g1), (2, g2))]
-    met = save(met.join(small[0], "g1").join(small[1], "g2").filter(tail).select("g1", "g2"), "jaccard-met")
+    g1, g2 = (groups.select(*(F.col(c).alias(f"{c}{k}") for c in ("g", "least")), F.col("sketch").alias(f"sketch{k}")) for k in (1, 2))
     opened = met.join(g1, "g1").join(g2, "g2").filter(F.coalesce(_needed(share, _common("sketch1", "sketch2"), F.col("least1"), F.col("least2")), F.lit(True)))
     opened = save(opened.select("g1", "g2"), "jaccard-opened")
-    one, two = (members.select(F.col("g").alias(f"g{k}"), F.col("cid").alias(c)) for k, c in ((1, "a"), (2, "b")))
-    pairs = save(allowed(opened.join(one, "g1").join(two, "g2").select("a", "b")), "jaccard-pairs")
+    inside = save(entries.join(opened.select(F.col("g1").alias("g")).union(opened.select("g2")).distinct(), "g", "left_semi"), "jaccard-inside")
+    one, two = (inside.select(F.col("token").alias(f"t{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("g", "cid", "n", "rest"))) for k in (1, 2))
+    first = _needed(share, F.least("rest1", "rest2"), F.col("n1"), F.col("n2"))
+    pairs = one.join(two, (F.col("t1") == F.col("t2")) & (F.col("g1") < F.col("g2")) & _fits(share, F.col("n1"), F.col("n2")) & first)
+    pairs = pairs.select("g1", "g2", F.col("cid1").alias("a"), F.col("cid2").alias("b")).distinct().join(opened, ["g1", "g2"], "left_semi").select("a", "b")
+    pairs = save(allowed(pairs), "jaccard-pairs")
     if not pairs.isEmpty():
         links = save(links.union(_similar(pairs, classes, docs, n, share)), "jaccard-links")
         group = components(links)

@@ -6,12 +6,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import save
 
 
+FOUND = pa.list_(pa.struct([("minus", pa.float64()), ("vec_id", pa.int64())]))
+
+
 @dataclass
 class Router:
     """A linear softmax classifier from a vector to partitions, and how many partitions a query looks at."""
@@ -121,7 +124,7 @@ def _matrix(table: pa.Table, name: str) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 8192, rows_a_part: int = 1500, most_parts: int = 64, block: int = 4096) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 8192, rows_a_part: int = 3000, most_parts: int = 64, block: int = 4096) -> DataFrame:
     """The k nearest found for each query: query_id, rank (from 1), vec_id, score, largest inner product first.
 
     `queries` are rows of the same columns, whose own id is no candidate; without it, those whose id is divisible by 20. The router is
@@ -174,7 +177,8 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, id
     right = asked.join(blocks, "part").select("part", "vec_id", "v", *deal("asking", "blocks"))
 
     def best(vectors_: pa.Table, queries_: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "score": []}
+        """The k best of a block, an array for each query."""
+        asking_, found_ = [], []
         if vectors_.num_rows and queries_.num_rows:
             v, ids = _matrix(vectors_, "v"), vectors_.column("vec_id").to_numpy()
             q, asking = _matrix(queries_, "v"), queries_.column("vec_id").to_numpy()
@@ -187,14 +191,18 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, id
                 exact = (q[i + row] * v[col]).sum(axis=1)
                 order = np.lexsort((ids[col], -exact, row))
                 row, col, exact = row[order], col[order], exact[order]
-                first = np.searchsorted(row, row)
-                top = np.arange(len(row)) - first < k
-                out["query_id"].append(asking[i + row[top]])
-                out["vec_id"].append(ids[col[top]])
-                out["score"].append(exact[top])
-        return pa.table({c: pa.array(np.concatenate(a) if a else [], pa.float64() if c == "score" else pa.int64()) for c, a in out.items()})
+                top = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, col, exact = row[top], col[top], exact[top]
+                pairs = pa.StructArray.from_arrays([pa.array(-exact), pa.array(ids[col])], names=["minus", "vec_id"])
+                offsets = pa.array(np.searchsorted(row, np.arange(len(s) + 1)).astype(np.int32))
+                asking_.append(pa.array(asking[i : i + 256]))
+                found_.append(pa.ListArray.from_arrays(offsets, pairs))
+        return pa.table({"query_id": pa.chunked_array(asking_, pa.int64()), "found": pa.chunked_array(found_, FOUND)})
 
     meet = ["part", "b", "a"]
-    found = left.groupBy(*meet).cogroup(right.groupBy(*meet)).applyInArrow(best, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = left.groupBy(*meet).cogroup(right.groupBy(*meet)).applyInArrow(best, "query_id long, found array<struct<minus:double,vec_id:long>>")
+    # Blocks' results are merged twice, so the list of a query stays short however many blocks it meets.
+    first = F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k)
+    spread = F.pmod(F.monotonically_increasing_id(), F.lit(16))
+    merged = found.groupBy("query_id", spread.alias("s")).agg(first.alias("found")).groupBy("query_id").agg(first.alias("found"))
+    return merged.select("query_id", F.posexplode("found").alias("at", "x")).select("query_id", (F.col("at") + 1).alias("rank"), "x.vec_id", (-F.col("x.minus")).alias("score"))

@@ -14,36 +14,42 @@ def rescale(raw: Column, scaling: Column, offset: Column) -> Column:
     return F.transform(raw, lambda x: scaling * (x + offset))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once; inside a lambda, an expression is evaluated for each element otherwise."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def mean(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x)
 
 
 def std(x: Column) -> Column:
     """Population standard deviation."""
-    m = mean(x)
-    return F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / F.size(x))
+    return let(mean(x), lambda m: F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / F.size(x)))
 
 
 def median(x: Column) -> Column:
-    s, n = F.array_sort(x), F.size(x)
-    return (F.element_at(s, F.floor((n - 1) / 2).cast("int") + 1) + F.element_at(s, F.floor(n / 2).cast("int") + 1)) / 2
+    return let(F.array_sort(x), lambda s: (F.element_at(s, F.floor((F.size(s) - 1) / 2).cast("int") + 1) + F.element_at(s, F.floor(F.size(s) / 2).cast("int") + 1)) / 2)
 
 
 def normalize(x: Column, method: str = "mad", digits: int = 6) -> Column:
     """Signal less its centre over its scale, rounded; a scale of zero leaves the signal as it is."""
     if method == "mad":
-        shift = median(x)
-        scale = median(F.transform(x, lambda v: F.abs(v - shift))) / NORMAL_QUARTILE
+        centre, spread = median, lambda v, shift: median(F.transform(v, lambda e: F.abs(e - shift))) / NORMAL_QUARTILE
     elif method == "zscore":
-        shift, scale = mean(x), std(x)
+        centre, spread = mean, lambda v, shift: std(v)
     else:
         raise ValueError(f"unknown method: {method}")
-    return F.when(scale == 0, x).otherwise(F.transform(x, lambda v: F.bround((v - shift) / scale, digits)))
+
+    def scaled(v: Column, shift: Column, scale: Column) -> Column:
+        return F.when(scale == 0, v).otherwise(F.transform(v, lambda e: F.bround((e - shift) / scale, digits)))
+
+    return let(x, lambda v: let(centre(v), lambda shift: let(spread(v, shift), lambda scale: scaled(v, shift, scale))))
 
 
 def per_base(x: Column, events: Column) -> Column:
     """The samples of each event (start, length)."""
-    return F.transform(events, lambda e: F.slice(x, e["start"].cast("int") + 1, e["length"]))
+    return let(x, lambda v: F.transform(events, lambda e: F.slice(v, e["start"].cast("int") + 1, e["length"])))
 
 
 def rectangle(x: Column, width: int, key: Column, seed: int = 0) -> Column:

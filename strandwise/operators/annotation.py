@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.signal import let
+
 
 def attributes(text: Column) -> Column:
     """The map of `key=value;...`: of equal keys the last counts, and a value ends where another = follows."""
     pairs = F.filter(F.transform(F.split(text, ";"), lambda x: F.split(F.trim(x), "=")), lambda p: F.size(p) > 1)
-    keys = F.array_distinct(F.transform(pairs, lambda p: p[0]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p[0] == k), -1)[1]))
+    names = lambda ps: F.array_distinct(F.transform(ps, lambda p: p[0]))
+    return let(pairs, lambda ps: F.map_from_arrays(names(ps), F.transform(names(ps), lambda k: F.element_at(F.filter(ps, lambda p: p[0] == k), -1)[1])))
 
 
 def annotate(gff: DataFrame) -> DataFrame:

@@ -100,8 +100,8 @@ ORACLE = {
 select {CLASS.format('three')} as motif, count(*) as n from both_ where three like 'C%' group by 1""",
     "q_contig_len": f"with {CONTIGS} select name, len(seq) as len from contigs",
     "q_signal_stats": f"{SAMPLE} select read_id, round(avg(x), 6) as mean, round(stddev_pop(x), 6) as std, round(median(x), 6) as median from (select read_id, 0.18::double * (v + 12) as x from s) group by read_id",
-    "q_zscore": f"{SAMPLE} select s.read_id, i, round(round((v - m) / sd, 6), 4) as v from s join (select read_id, avg(v) as m, stddev_pop(v) as sd from s group by 1) g using (read_id)",
-    "q_mad": f"{SAMPLE}, m as (select read_id, median(v) as m from s group by 1), d as (select read_id, median(abs(v - m)) as d from s join m using (read_id) group by 1) select read_id, i, round(round((v - m) / (d / 0.6744897501960817::double), 6), 4) as v from s join m using (read_id) join d using (read_id)",
+    "q_zscore": f"{SAMPLE} select s.read_id, i, round((v - m) / sd, 4) + 0.0 as v from s join (select read_id, avg(v) as m, stddev_pop(v) as sd from s group by 1) g using (read_id)",
+    "q_mad": f"{SAMPLE}, m as (select read_id, median(v) as m from s group by 1), d as (select read_id, median(abs(v - m)) as d from s join m using (read_id) group by 1) select read_id, i, round((v - m) / (d / 0.6744897501960817::double), 4) + 0.0 as v from s join m using (read_id) join d using (read_id)",
     "q_base_stats": f"{SAMPLE} select read_id, i // 4 as base, count(*) as n, round(avg(v), 6) as mean, round(stddev_pop(v), 6) as std from s group by 1, 2",
     "q_rect_pad": f"{SAMPLE} select read_id, i + 1 as i, v from s where i < 5 union all select read_id, j, 0.0 from reads, (select unnest([0, 6, 7]) as j)",
     "q_rect_sample": f"{SAMPLE}, p as (select *, row_number() over (partition by read_id order by md5('3|' || read_id || '|' || i), i) as r from s) select read_id, row_number() over (partition by read_id order by i) - 1 as i, v from p where r <= 6",

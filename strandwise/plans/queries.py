@@ -134,13 +134,13 @@ def q_signal_stats(spark, d):
 
 @query
 def q_zscore(spark, d):
-    r = V.signals(spark, d).select("read_id", F.posexplode(G.normalize(F.col("raw"), "zscore")).alias("i", "v"))
+    r = V.signals(spark, d).select("read_id", F.posexplode(G.normalize(F.col("raw"), "zscore", 12)).alias("i", "v"))
     return r.select("read_id", "i", F.round("v", 4).alias("v"))
 
 
 @query
 def q_mad(spark, d):
-    r = V.signals(spark, d).select("read_id", F.posexplode(G.normalize(F.col("raw"), "mad")).alias("i", "v"))
+    r = V.signals(spark, d).select("read_id", F.posexplode(G.normalize(F.col("raw"), "mad", 12)).alias("i", "v"))
     return r.select("read_id", "i", F.round("v", 4).alias("v"))
 
 

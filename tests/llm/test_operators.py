@@ -1,0 +1,265 @@
+"""Each operator against a plain version, and its edge cases: nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
+
+import hashlib
+import random
+import sys
+import zlib
+from collections import Counter
+from pathlib import Path
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+sys.path.insert(0, str(Path(__file__).parent))
+import brute  # noqa: E402
+
+from strandwise.llm import bpe, exact_dedup, jaccard, licences, mixing, neighbours, repeats, rolling, sharding, toxicity  # noqa: E402
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, part int, h long"
+
+
+def corpus():
+    """Copies, near copies, shared passages, nulls, empty, odd and long texts; ids repeat, and columns clash with inner names."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgéß") for _ in range(rng.randint(1, 6)))
+    texts = [" ".join(word() for _ in range(rng.choice([0, 1, 3, 20, 60, 200]))) for _ in range(60)]
+    passage, base = " ".join(word() for _ in range(70)), " ".join(word() for _ in range(120))
+    texts += [f"{word()} {word()}\n{passage} {word()}" for _ in range(6)] + [texts[5]] * 3 + [passage + "\t" + passage]
+    for edits in (0, 1, 1, 2, 3, 6):
+        w = base.split(" ")
+        for _ in range(edits):
+            w[rng.randrange(len(w))] = word()
+        texts.append(" ".join(w))
+    texts += [None, "", "", " \n\t", "x", "a" * 700, "ab" * 400, " ".join(word() for _ in range(4000)), "Same Words Here Now", "same words here now"]
+    rows = [(i, t, "en", None if i % 11 == 0 else f"s{i % 3}", 1, "d", 2, 3) for i, t in enumerate(texts)]
+    return rows + [rows[7], rows[7], (7, "another text with an id that repeats", "en", "s0", 1, "d", 2, 3)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), SCHEMA).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def pairs(rows=None):
+    return [(r[0], r[1]) for r in (rows or corpus())]
+
+
+def got(df, n=None):
+    return sorted((tuple(r)[:n] for r in df.collect()), key=str)
+
+
+@pytest.mark.parametrize("hot", [256, 1])
+def test_byte_repeats(docs, hot):
+    assert got(repeats.byte_repeats(docs, hot=hot), 5) == sorted(brute.byte_repeats(pairs()), key=str)
+
+
+def test_word_repeats(docs):
+    assert got(repeats.word_repeats(docs), 4) == sorted(brute.word_repeats(pairs()), key=str)
+
+
+def test_null_ids_and_empty_tables_of_repeats(spark, empty):
+    long = "z y x w v u t s r q " * 60
+    rows = spark.createDataFrame([(None, long), (None, "b" + long), (1, None)], "doc_id long, text string")
+    assert sorted(r.n_removed for r in repeats.word_repeats(rows).collect()) == sorted(r[2] for r in brute.word_repeats([(0, long), (1, "b" + long), (2, None)]))
+    assert repeats.byte_repeats(empty).count() == repeats.word_repeats(empty).count() == 0
+
+
+def test_suffix_sort():
+    rng = np.random.default_rng(1)
+    data = rng.integers(0, 2, 3000).astype(np.uint64)
+    start = rng.choice(2900, 700, replace=False)
+    group = rng.integers(0, 5, 700)
+    order, same = rolling.suffix_sort(data + np.uint64(1), group, start, 12)
+    keys = [(int(group[i]), tuple(data[start[i] : start[i] + 12])) for i in order]
+    assert keys == sorted(keys)
+    assert same.tolist() == [False] + [a == b for a, b in zip(keys, keys[1:])]
+
+
+def test_jaccard(docs, empty):
+    rows = [r for r in corpus() if r[1] != "another text with an id that repeats"]
+    once = list({r[0]: r for r in rows}.values())
+    for n, share in ((4, (85, 100)), (5, (80, 100)), (2, (50, 100))):
+        found = jaccard.jaccard_components(docs.filter("text is null or text not like 'another%'"), n, share)
+        assert sorted(set(got(found)), key=str) == sorted(brute.jaccard_components(pairs(once), n, share), key=str)
+    assert jaccard.jaccard_components(empty).count() == 0
+
+
+def test_jaccard_of_null_ids(spark):
+    rows = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e"), (5, "a b c d e"), (None, "q")], "doc_id long, text string")
+    assert got(jaccard.jaccard_components(rows)) == sorted([(None, 2, 5), (None, 2, 5), (5, 2, 5), (None, 1, None)], key=str)
+
+
+@pytest.mark.parametrize("digest", [None, lambda c: F.substring(F.sha2(c, 256), 1, 1)])
+def test_exact_dedup(docs, empty, digest):
+    """The second digest has 16 values: all that keeps texts apart then is the comparison of whole texts."""
+    rows, groups = corpus(), {}
+    for r in rows:
+        groups.setdefault(r[1] or "", []).append(r[0])
+    found = exact_dedup.exact_dedup(docs, digest).collect()
+    assert len(found) == len(rows)
+    want = Counter((r[0], max(groups[r[1] or ""]), len(groups[r[1] or ""]), hashlib.sha256((r[1] or "").encode()).hexdigest()) for r in rows)
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in found) == want
+    assert sum(r.kept for r in found) == len(groups) and all(r.doc_id == r.keep_id for r in found if r.kept)
+    assert exact_dedup.exact_dedup(empty).count() == 0
+
+
+def test_state_grows_over_runs(spark, tmp_path):
+    """A second run with the same state takes new rows only, and knows the old ones."""
+    part = lambda rows: spark.createDataFrame(rows, "doc_id long, digest string, n_bytes long, locator string")
+    path = f"file://{tmp_path}/staged"
+    part([(1, "a", 1, "x"), (2, "b", 1, "y")]).write.parquet(path)
+    exact_dedup.run_state(spark.read.parquet(path), f"file://{tmp_path}/state")
+    part([(9, "a", 1, "z")]).write.mode("append").parquet(path)
+    states = {r.digest: (r.keep_id, r.n_rows) for r in exact_dedup.run_state(spark.read.parquet(path), f"file://{tmp_path}/state").collect()}
+    assert states == {"a": (9, 2), "b": (2, 1)}
+
+
+def test_sharding(docs, empty):
+    rows = corpus()
+    found = sharding.interleave(docs, shards=7).collect()
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in found) == Counter((r[0], len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode())) for r in rows)
+    shards = Counter(r.shard for r in found)
+    assert set(shards) == set(range(7)) and max(shards.values()) - min(shards.values()) <= 1
+    for s in shards:
+        assert sorted(r.slot for r in found if r.shard == s) == list(range(shards[s]))
+    for source, n in Counter(r.source for r in found).items():
+        for s in shards:
+            assert abs(sum(r.source == source for r in found if r.shard == s) - n / 7) <= 1.5
+    assert got(sharding.interleave(docs, shards=7)) == sorted((tuple(r) for r in found), key=str)
+    assert sharding.interleave(empty).count() == 0
+
+
+def test_mixing(docs, empty):
+    found = mixing.mix(docs).collect()
+    total = sum(r["size"] for r in found)
+    by = {s: [r for r in found if r.source == s] for s in {r.source for r in found}}
+    assert abs(sum(rows[0].target for rows in by.values()) - 1.5 * total) < 1e-6 * total
+    for rows in by.values():
+        assert sum(r["size"] for r in rows) == rows[0].source_size and rows[0].target <= 2 * rows[0].source_size
+        assert sum(r.taken for r in rows) == round(rows[0].target)
+        assert all(0 <= r.taken <= 2 * r["size"] for r in rows)
+    at = [r.position for r in found if r.position is not None]
+    assert at == sorted(at) and all(0 <= x <= 1 for x in at)
+    assert mixing.mix(empty).count() == 0
+
+
+def test_targets_stop_and_reshare(spark):
+    sources = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 100), (None, 0)], "source string, source_size long")
+    t = {r.source: r.target for r in mixing.targets(sources).collect()}
+    assert t == {"a": 20.0, "b": 1.5 * 1110 - 20 - 200, "c": 200.0, None: 0.0}
+
+
+def test_bpe(docs, empty):
+    path = P.path("byte_bpe_50k.tiktoken")
+    ranks = bpe.read_ranks(path)
+    reference = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    outputs = ("ids", "n_tokens", "ids_sha256", "decoded", "decoded_sha256")
+    found = bpe.encode(docs, path, P.PATTERN, outputs, keep=("doc_id", "text"))
+    for r in found.collect():
+        want = reference.encode_ordinary(r.text or "")
+        assert r.ids == want and r.n_tokens == len(want) and bytes(r.decoded) == (r.text or "").encode()
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()
+    assert all(bytes(r.decoded) == (r.text or "").encode() for r in bpe.decode(found, path, keep=("doc_id", "text")).collect())
+    assert bpe.encode(empty, path, P.PATTERN).count() == 0
+
+
+def test_bpe_of_odd_texts():
+    ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    reference = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    encode, rng = bpe.Codec(ranks, P.PATTERN).encoder(), random.Random(3)
+    bits = ["a", "b", "Z", "é", " ", "  ", "\n", "\t", "\x1c", "\x85", " ", " ", "1", "٣", "½", "'s", "'LL", "!", "漢", "😀", "́", "\x00", "th", "ing", "<|endoftext|>"]
+    for text in ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(500)] + ["x" * 20000 + "qzj" * 9000]:
+        assert encode(text) == reference.encode_ordinary(text)
+
+
+def test_perfect_hash():
+    keys = [str(i * i).encode() for i in range(3000)]
+    h = bpe.PerfectHash(keys)
+    assert sorted(h.at.tolist()) == list(range(3000)) and all(h.index(k) == i for i, k in enumerate(keys))
+
+
+def test_toxicity_on_held_out_rows(spark, empty):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").filter("held_out").collect()
+    tp, fp, fn = (sum((r.predicted, r.toxic) == x for r in scored) for x in ((1, 1), (1, 0), (0, 1)))
+    assert tp >= 2 * (fp + fn), (tp, fp, fn)
+
+
+def test_toxicity_of_edge_cases(spark, docs, empty):
+    labels = spark.createDataFrame([(1, 0, 1), (1, 0, 0), (None, 0, 1), (999, 0, 1), (3, 1, None), (4, 1, 0)], "doc_id long, quality int, toxic int")
+    for rows in (labels, labels.limit(0)):
+        found = toxicity.score(docs, toxicity.fit(docs, rows)).collect()
+        assert len(found) == len(corpus()) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in found)
+        assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in found)
+    assert toxicity.score(empty, toxicity.fit(empty, labels)).count() == 0
+
+
+def exact_neighbours(rows, k):
+    rows = [(i, np.array(v, dtype=float)) for i, v in rows]
+    return {q: sorted((-float((x * v).sum()), i) for i, v in rows if i != q)[:k] for q, x in rows if q % 20 == 0}
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(0, 1, 8).astype(np.float32).tolist()) for i in range(3000)] + [(5000 + i, [0.5] * 8) for i in range(300)]
+    odd = [(20000, None), (20020, [0.0] * 8), (20040, [float("nan")] * 8), (20060, [1.0, None] + [1.0] * 6), (20080, []), (20100, [1.0, 2.0]), (None, [1.0] * 8), (20120, [float("inf")] * 8)]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").withColumn("part", F.lit(1))
+    want = exact_neighbours(rows, 20)
+    for settings in ({}, {"rows_a_part": 400, "block": 500}):
+        found = {}
+        for r in neighbours.search(df, k=20, **settings).collect():
+            found.setdefault(r.query_id, {})[r["rank"]] = (-r.score, r.vec_id)
+        assert set(found) == set(want) and all(sorted(x) == list(range(1, 21)) for x in found.values())
+        hits = sum(len({i for _, i in found[q].values()} & {i for _, i in want[q]}) for q in want)
+        assert hits >= (0.9 if settings else 1.0) * 20 * len(want)
+        assert all([found[q][k] for k in range(1, 21)] == sorted(found[q].values()) for q in want)
+    few = neighbours.search(spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<float>"))
+    assert [tuple(r) for r in few.collect()] == [(0, 1, 1, 1.0)]
+    assert neighbours.search(df.limit(0)).count() == 0
+
+
+def test_licences(spark, empty):
+    rows = [
+        (1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/x", "words only"), (3, "a/b/c/LICENSE", "All rights reserved."), (4, "a/b/c/d/y", None), (5, "z/q", "nothing\nLicensed under the Apache License, Version 2.0.\nmore words of no licence " * 3),
+        (6, "z/r", ""), (7, None, "the"), (8, "top", "this is the version of the work"), (2, "a/b/x", "words only"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string").withColumn("dir", F.lit("clash"))
+    found = {r.doc_id: (r.licence, r.basis, r.from_dir) for r in licences.scan(df, F.col("path")).collect()}
+    assert found == {
+        1: ("MIT", "statement", None), 2: ("MIT", "inherited", "a"), 3: ("proprietary", "statement", None), 4: ("proprietary", "inherited", "a/b/c"),
+        5: ("Apache-2.0", "statement", None), 6: (None, "none", None), 7: (None, "none", None), 8: (None, "none", None),
+    }
+    assert licences.scan(df, F.col("path")).count() == len(rows)
+    assert licences.scan(empty, F.col("source")).count() == 0
+
+
+def test_licence_scores_against_plain_cosine(spark):
+    """Scores of lines equal those of a plain version, and pruning by telling terms loses none above the threshold."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = [(r.doc_id, r.text or "") for r in d.collect()]
+    vocabulary = {t for x in licences.TEMPLATES.values() for t in licences.terms(x)}
+    df = Counter(t for _, x in texts for t in set(licences.terms(x)) & vocabulary)
+    idf = {t: np.log((1 + len(texts)) / (1 + df[t])) + 1 for t in vocabulary}
+    vectors = licences.weights(idf, licences.TEMPLATES)
+    want = {}
+    for i, text in texts:
+        best = (0.0, "")
+        for line in text.split("\n"):
+            own = {t: n * idf[t] for t, n in Counter(licences.terms(line)).items() if t in vocabulary}
+            norm = np.sqrt(sum(x * x for x in own.values()))
+            for name, v in vectors.items():
+                if own and (s := sum(x * v.get(t, 0.0) for t, x in own.items()) / norm) > best[0] + 1e-12:
+                    best = (s, name)
+        if best[0] >= 0.75:
+            want[i] = (best[1], round(best[0], 9))
+    found = {r.doc_id: (r.licence, round(r.score, 9)) for r in licences.scan(d, F.lit("a/b")).filter("basis = 'statement'").collect()}
+    assert found == want and want

@@ -29,7 +29,7 @@ from .repeats import Units, chunks, column_bytes
 
 U = np.uint64
 #: A token is frequent from this count on, or from the least doubling of it that leaves no more than MOST_FREQUENT tokens.
-FREQUENT, MOST_FREQUENT = 8, 300_000
+FREQUENT, MOST_FREQUENT = 4, 300_000
 #: A set's sketch counts its tokens in so many buckets; sets with over 127 in any have none.
 BUCKETS = 256
 SEEDS = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=U)
@@ -169,20 +169,21 @@ def jaccard_components(docs: DataFrame, n: int = 4, share: tuple[int, int] = (85
                     if len(some):
                         keys[some, k] = np.minimum.reduceat(R.mix(grams * seed), first[:-1][some])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("did").slice(i, j - i), pa.array(size.astype(np.int64)), pa.array(d1), pa.array(d2), _lists(keys.ravel(), np.full(j - i, len(SEEDS))), _lists(head, p), _sketches(grams, first)],
-                    names=["did", "n", "d1", "d2", "keys", "prefix", "sketch"],
+                    [batch.column("did").slice(i, j - i), pa.array(size.astype(np.int64)), pa.array(d1), pa.array(d2), _lists(keys.ravel(), np.full(j - i, len(SEEDS))), _lists(head, p), _sketches(grams, first), pa.array(1000 * np.bincount(row, late, minlength=j - i).astype(np.int64) // np.maximum(size, 1))],
+                    names=["did", "n", "d1", "d2", "keys", "prefix", "sketch", "usual"],
                 )
 
-    rows = save(docs.mapInArrow(rows_of, "did long, n long, d1 long, d2 long, keys array<long>, prefix array<long>, sketch array<tinyint>"), "jaccard-rows")
-    classes = rows.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("did").alias("did"), F.any_value("keys").alias("keys"), F.any_value("prefix").alias("prefix"), F.any_value("sketch").alias("sketch"))
+    rows = save(docs.mapInArrow(rows_of, "did long, n long, d1 long, d2 long, keys array<long>, prefix array<long>, sketch array<tinyint>, usual long"), "jaccard-rows")
+    classes = rows.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("did").alias("did"), F.any_value("keys").alias("keys"), F.any_value("prefix").alias("prefix"), F.any_value("sketch").alias("sketch"), F.any_value("usual").alias("usual"))
     # Of classes whose smallest doc_id is the same, as ids repeat, all but one take another id.
     again = F.row_number().over(Window.partitionBy("did").orderBy("d1", "d2"))
     classes = save(classes.withColumn("cid", F.when(again == 1, F.col("did")).otherwise(F.xxhash64("d1", "d2"))), "jaccard-classes")
 
     # Groups: each class is compared with a leader that has two of its min-hashes at least.
-    keys = classes.select("cid", "n", F.posexplode("keys").alias("j", "key"))
-    leaders = keys.groupBy("j", "key").agg(F.count(F.lit(1)).alias("m"), F.min("cid").alias("a"), F.min_by("n", "cid").alias("na"))
-    leaders = save(leaders.filter("m > 1").select("j", "key", "a", "na"), "jaccard-leaders")
+    # The leader is the one with the largest share of frequent tokens: of a family, the member that edits changed least.
+    keys = classes.select("cid", "n", "usual", F.posexplode("keys").alias("j", "key"))
+    leaders = keys.groupBy("j", "key").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("usual", (-F.col("cid")).alias("minus"), "n")).alias("top"))
+    leaders = save(leaders.filter("m > 1").select("j", "key", (-F.col("top.minus")).alias("a"), F.col("top.n").alias("na")), "jaccard-leaders")
     stars = keys.join(leaders, ["j", "key"]).filter((F.col("a") != F.col("cid")) & _fits(share, F.col("n"), F.col("na")))
     stars = stars.groupBy("a", F.col("cid").alias("b")).count().filter("count > 1").select("a", "b")
     sketch = save(classes.select("cid", "n", "sketch"), "jaccard-sketches")

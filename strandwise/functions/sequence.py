@@ -88,7 +88,7 @@ def tiles(contigs: DataFrame, left: int = 0, right: int = 0, size: int = 512, la
         return rows.select("name", F.col("_b").alias("begin"), first.alias("first"), part.alias("part"), "whole", F.least(F.col("_b") + step, F.col("whole")).alias("end"))
 
     whole = contigs.select("name", F.lit(0).alias("first"), F.col("seq").alias("part"), F.length("seq").alias("whole"))
-    pieces = cut(whole, F.lit(0), F.col("whole"), large)
+    pieces = cut(whole, F.lit(0), F.col("whole"), max(1, large // size) * size)
     return cut(pieces, F.col("begin"), F.col("end"), size).drop("end")
 
 

@@ -73,7 +73,7 @@ def select_like(positive: DataFrame, negative: DataFrame, seed: int = 0) -> Data
     have = kmer_counts(negative).join(ratios, "k_mer", "left")
     total = positive.count()
     have = have.withColumn("_quota", F.when(F.col("ratio").isNotNull(), F.ceil(F.lit(total) * F.col("ratio"))))
-    sums = have.agg(F.coalesce(F.sum(F.least("_quota", "n")), F.lit(0)).alias("got"), F.count_if(F.col("_quota").isNull()).alias("others")).first()
+    sums = have.agg(F.coalesce(F.sum(F.when(F.col("_quota").isNotNull(), F.least("_quota", "n"))), F.lit(0)).alias("got"), F.count_if(F.col("_quota").isNull()).alias("others")).first()
     lack = total - sums.got
     share = -(-lack // sums.others) if lack > 0 and sums.others else 0
     quotas = have.select("k_mer", F.coalesce(F.col("_quota"), F.lit(share)).cast("long").alias("_quota"))

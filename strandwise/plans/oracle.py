@@ -116,7 +116,7 @@ select chrom, cast(sum(new_) - 1 as bigint) as runs, cast((sum(new_) - 1) // 2 a
     "q_kmer_overlap": f"with {CALLS}, a as (select distinct k_mer from calls where called_label = 1 and chrom = 'chr1'), b as (select distinct k_mer from calls where called_label = 0 and chrom <> 'chr1') select count(*) filter (a.k_mer is not null and b.k_mer is not null) as common, count(*) filter (b.k_mer is null) as only_a, count(*) filter (a.k_mer is null) as only_b from a full join b on a.k_mer = b.k_mer",
     "q_stratified_neg": f"""with {SAMPLES}, pos as (select * from samples where methy_label = 1 and k_mer like 'A%' and chrom = 'chr1'), neg as (select * from samples where methy_label = 0), t as (select count(*) as total from pos),
 h as (select n.k_mer, n.n, case when p.n is null then null else ceil(total * (p.n::double / total)) end as quota from (select k_mer, count(*) as n from neg group by 1) n left join (select k_mer, count(*) as n from pos group by 1) p using (k_mer), t),
-u as (select greatest(ceil((total - coalesce((select sum(least(quota, n)) from h), 0)) / nullif((select count(*) from h where quota is null), 0)), 0) as share from t),
+u as (select greatest(ceil((total - coalesce((select sum(least(quota, n)) from h where quota is not null), 0)) / nullif((select count(*) from h where quota is null), 0)), 0) as share from t),
 q as (select k_mer, n, coalesce(quota, (select share from u), 0) as quota, quota is null as other from h),
 r as (select neg.*, q.quota, q.other, row_number() over (partition by k_mer order by {chance(1)}, idx) as r from neg join q using (k_mer)),
 one as (select k_mer from r where r <= quota), lack as (select greatest((select total from t) - (select count(*) from one), 0) as n),

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from ..schemas import READS
+from ..schemas import READS, names
 
 
 def _text(value) -> str:
@@ -49,7 +49,7 @@ def reads(spark: SparkSession, path: str, recursive: bool = True, group: str = "
                     rows.append(parse(data, group, subgroup))
                 except (KeyError, OSError, StopIteration, ValueError):
                     continue
-            yield pd.DataFrame(rows, columns=READS.names)
+            yield pd.DataFrame(rows, columns=names(READS))
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.fast5").option("recursiveFileLookup", str(recursive).lower())
     return files.load(path).select("content").mapInPandas(run, READS)

@@ -6,14 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from .. import schemas
 from ..operators.annotation import annotate
 from ..operators.extract import from_text
 
 
-def tsv(spark: SparkSession, paths: str | Sequence[str], schema: StructType, contains: str | None = None) -> DataFrame:
+def tsv(spark: SparkSession, paths: str | Sequence[str], schema: str, contains: str | None = None) -> DataFrame:
     """Rows of files, or of the files of folders whose name holds `contains`; files have `file_idx`, rows their order in a file."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     if not paths:

@@ -107,7 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, features: int
     ratio = F.log((F.col("toxic") + 1.0) / (n[1] + 2.0)) - F.log((F.col("clean") + 1.0) / (n[0] + 2.0))
     error = F.sqrt(1.0 / (F.col("toxic") + 1.0) + 1.0 / (F.col("clean") + 1.0))
     sums = texts.select("text", "toxic").mapInArrow(counted, "gram long, clean double, toxic double").groupBy("gram").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    best = sums.withColumn("ratio", ratio).withColumn("z", F.abs(ratio) / error).filter("z > 4").orderBy(F.desc("z"), "gram").limit(features).select("gram", "ratio").collect()
+    best = sums.withColumn("ratio", ratio).withColumn("z", F.abs(ratio) / error).filter("z > 3").orderBy(F.desc("z"), "gram").limit(features).select("gram", "ratio").collect()
     index, scale = np.array([r.gram for r in best], dtype=np.int64), np.array([r["ratio"] for r in best])
     place = np.full(1 << BITS, -1, dtype=np.int64)
     place[index] = np.arange(len(index))

@@ -63,13 +63,13 @@ def _literal(values: Mapping[str, float]) -> Column:
     return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
 
 
-def scan(docs: DataFrame, path: Column, templates: Mapping[str, str] = TEMPLATES, threshold: float = 0.75, file_threshold: float = 0.6) -> DataFrame:
+def scan(docs: DataFrame, path: Column, templates: Mapping[str, str] = TEMPLATES, threshold: float = 0.75, file_threshold: float = 0.6, file_share: float = 0.6) -> DataFrame:
     """One row per document: doc_id, path, licence, score, basis, from_dir, statement.
 
     Document frequencies of the templates' terms are counted over all whole texts; words outside the templates have no weight.
     A line whose cosine with a template is `threshold` or more is a statement; a document's best one gives its licence (basis
-    `statement`; ties: the first name). A text whose cosine as a whole is `file_threshold` or more is a licence file, and
-    declares the licence of its directory; of several, the best score, then the first name. A document without a statement takes
+    `statement`; ties: the first name). A text whose cosine as a whole is `file_threshold` or more, and of whose words a share of
+    `file_share` are the templates', is a licence file, and declares the licence of its directory; of several, the best score, then the first name. A document without a statement takes
     the licence of the nearest of its directories, its own first, that has one (basis `inherited`). Directories, which are far fewer
     than documents, are resolved first; documents are then joined by their directory.
 
@@ -107,11 +107,11 @@ def scan(docs: DataFrame, path: Column, templates: Mapping[str, str] = TEMPLATES
     words = lambda text: F.filter(_terms(text), lambda t: F.array_contains(known, t))
     lines = F.filter(F.split("text", "[\r\n]+"), lambda x: x.rlike(hint(threshold)))
     # The whole text comes first, then its lines; each step reads what the one before it made.
-    units = F.transform(F.concat(F.array("text"), lines), lambda x, i: F.struct(F.when(i > 0, x).alias("line"), words(x).alias("w")))
-    units = F.transform(units, lambda e: F.struct(e["line"].alias("line"), weighed(e["w"]).alias("own")))
-    units = F.transform(units, lambda e: F.struct(best(e["own"]).alias("b"), e["line"].alias("line")))
+    units = F.transform(F.concat(F.array("text"), lines), lambda x, i: F.struct(F.when(i > 0, x).alias("line"), words(x).alias("w"), F.when(i == 0, F.size(_terms(x))).alias("n")))
+    units = F.transform(units, lambda e: F.struct(e["line"].alias("line"), weighed(e["w"]).alias("own"), (F.size(e["w"]) / e["n"]).alias("share")))
+    units = F.transform(units, lambda e: F.struct(best(e["own"]).alias("b"), e["line"].alias("line"), e["share"].alias("share")))
     marked = rows.select("doc_id", "path", F.when(F.col("text").rlike(hint(min(threshold, file_threshold))), units).alias("units"))
-    marked = marked.select("doc_id", "path", F.array_max(F.filter("units", lambda e: e["line"].isNotNull())).alias("own"), F.element_at("units", 1)["b"].alias("whole"))
+    marked = marked.select("doc_id", "path", F.array_max(F.filter("units", lambda e: e["line"].isNotNull())).alias("own"), F.when(F.element_at("units", 1)["share"] >= file_share, F.element_at("units", 1)["b"]).alias("whole"))
     directory = F.when(F.instr("path", "/") > 0, F.regexp_extract("path", "^(.*)/[^/]*$", 1))
     marked = marked.select(
         "doc_id", "path", directory.alias("dir"), F.when(F.col("own.b.score") >= threshold, F.col("own")).alias("own"), F.when(F.col("whole.score") >= file_threshold, F.col("whole")).alias("whole"),

@@ -118,17 +118,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, features: int
             for i, j in chunks(at):
                 gram, row, value = present(data, at, i, j, place >= 0)
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=j - i))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(i, j - i), *(pa.ListArray.from_arrays(pa.array(offsets), pa.array(a)) for a in (place[gram].astype(np.int32), value))], names=["toxic", "x", "value"])
+                yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(i, j - i), *(pa.ListArray.from_arrays(pa.array(offsets), pa.array(a)) for a in (place[gram].astype(np.int32), value.astype(np.float32)))], names=["toxic", "x", "value"])
 
-    rows = texts.select("text", "toxic").mapInArrow(held, "toxic int, x array<int>, value array<double>").collect()
-    y = np.array([r.toxic for r in rows], dtype=float)
-    size = np.array([len(r.x) for r in rows])
-    row, col = np.repeat(np.arange(len(rows)), size), np.array([i for r in rows for i in r.x], dtype=np.int64)
-    value = np.array([x for r in rows for x in r.value]) * scale[col]
+    rows = texts.select("text", "toxic").mapInArrow(held, "toxic int, x array<int>, value array<float>").toArrow().combine_chunks()
+    y = rows.column("toxic").to_numpy().astype(float)
+    x, value = (rows.column(c).combine_chunks() for c in ("x", "value"))
+    row, col = np.repeat(np.arange(len(y), dtype=np.int32), x.value_lengths().to_numpy()), x.flatten().to_numpy()
+    value = value.flatten().to_numpy() * scale[col]
     w, b = np.zeros(len(index)), 0.0
     m, v = np.zeros(len(index) + 1), np.zeros(len(index) + 1)
     for t in range(1, passes + 1):
-        p = 1 / (1 + np.exp(-np.clip(b + np.bincount(row, value * w[col], minlength=len(rows)), -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(b + np.bincount(row, value * w[col], minlength=len(y)), -30, 30)))
         off = (p - y) / len(y)
         g = np.append(np.bincount(col, value * off[row], minlength=len(index)) + penalty * w, off.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g

@@ -1,8 +1,7 @@
 """A pipeline over documents: toxicity, exact dedup, near dedup, mixing, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of documents. Near copies are dropped by doc_id: rows without one stay, and
-rows that share one go together.
+stage's docs. All but the last return the columns of documents. Near copies are dropped by row, so ids may be null or repeat.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwise.llm import bpe, exact_dedup, jaccard, mixing, toxicity
-from strandwise.llm.common import shared_dir
+from strandwise.llm.common import save, shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -34,9 +33,14 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents whose five-word shingles are similar to 0.8 or more, the smallest doc_id stays."""
-    found = jaccard.jaccard_components(docs, n=5, share=(80, 100))
-    return docs.join(found.filter("component_id < doc_id").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    """Of each component of rows whose five-word shingles are similar to 0.8 or more, one stays: that of the smallest doc_id, null last."""
+    keyed = save(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_key")), "near-rows")
+    found = jaccard.jaccard_components(keyed.select(F.col("_key").alias("doc_id"), "text"), n=5, share=(80, 100))
+    found = save(found.filter("component_id < doc_id").select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_of")), "near-found")
+    members = found.union(found.select(F.col("_of").alias("_key"), "_of").distinct())
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "_key")).alias("stays")
+    stays = members.join(keyed.select("_key", "doc_id"), "_key").groupBy("_of").agg(least).select("stays._key")
+    return keyed.join(members.join(stays, "_key", "left_anti"), "_key", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,3 +31,15 @@ def test_edge_cases(spark):
     assert C.tokenize(spark, docs, "").count() == 6
     none = docs.limit(0)
     assert all(f(spark, none, "/root/testdata/sf0.001").count() == 0 for _, f in C.STAGES)
+
+
+def test_near_copies_of_null_and_repeated_ids(spark):
+    """One row of each component stays, and every clean row, whatever the ids are."""
+    near = lambda name, last: " ".join(f"{name}{i}" for i in range(60)) + " " + last
+    rows = [(1, near("a", "x")), (1, near("b", "x")), (0, near("b", "y")), (2, near("c", "x")), (2, near("c", "y")), (None, near("d", "x")), (None, near("d", "y")), (7, near("e", "x")), (None, near("e", "y"))]
+    rows += [(2**63 - 1, near("f", "x")), (2**63 - 2, near("f", "y")), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    stays = C.drop_near_copies(spark, docs, "")
+    assert stays.columns == docs.columns
+    found = sorted((str(r.doc_id), (r.text or "")[:1]) for r in stays.collect())
+    assert found == sorted([("1", "a"), ("0", "b"), ("2", "c"), ("None", "d"), ("7", "e"), (str(2**63 - 2), "f"), ("None", ""), ("None", "")])

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import rolling as R
-from .common import save
+from .common import discard, save
 from .graph import components
 from .repeats import Units, chunks, column_bytes
 
@@ -65,7 +65,7 @@ def _prefix_size(n: np.ndarray, share: tuple[int, int]) -> np.ndarray:
 def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
     """Which of the pairs (a, b: class ids) are similar enough, by their whole sets."""
     own = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    wanted = save(classes.join(own, "cid", "left_semi").select("did", "cid", "d1", "d2"), "jaccard-wanted")
+    wanted = save(classes.join(own, "cid", "left_semi").select("did", "lacks", "cid", "d1", "d2"), "jaccard-wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,12 +76,15 @@ def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, shar
                 same = np.logical_and(*(d == batch.column(c).to_numpy()[i:j] for c, d in zip(("d1", "d2"), _digests(grams, first))))
                 yield pa.RecordBatch.from_arrays([batch.column("cid").slice(i, j - i), _lists(grams, np.diff(first))], names=["cid", "grams"]).filter(pa.array(same))
 
-    found = save(docs.join(wanted, "did").select("text", "cid", "d1", "d2").mapInArrow(sets, "cid long, grams array<long>"), "jaccard-sets")
+    found = save(docs.join(wanted, ["did", "lacks"]).select("text", "cid", "d1", "d2").mapInArrow(sets, "cid long, grams array<long>"), "jaccard-sets")
     first, second = (found.select(F.col("cid").alias(c), F.col("grams").alias(f"set_{c}")) for c in "ab")
     both = F.size(F.array_intersect("set_a", "set_b"))
     joined = pairs.select("a", "b").join(first, "a").join(second, "b").withColumn("both", both)
     enough = F.col("both") * share[1] >= (F.size("set_a") + F.size("set_b") - F.col("both")) * share[0]
-    return joined.filter(enough).select("a", "b")
+    links = save(joined.filter(enough).select("a", "b"), "jaccard-links")
+    for done in (wanted, found):
+        discard(done)
+    return links
 
 
 def _digests(grams: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,9 +131,10 @@ def jaccard_components(docs: DataFrame, n: int = 4, share: tuple[int, int] = (85
     a doc_id each has its own links; an empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    far = 1 << 62
-    stand_in = F.xxhash64("text").bitwiseAND(F.lit(far - 1)).bitwiseOR(F.lit(far))
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), stand_in).alias("did"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    # A hash of the text stands in for a null id; `lacks` tells it from an id, as any long may be one.
+    own = F.col("doc_id").cast("long")
+    docs = docs.select(F.coalesce(own, F.xxhash64("text")).alias("did"), own.isNull().alias("lacks"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    known = F.when(~F.col("lacks"), F.col("did"))
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,12 +173,12 @@ def jaccard_components(docs: DataFrame, n: int = 4, share: tuple[int, int] = (85
                     if len(some):
                         keys[some, k] = np.minimum.reduceat(R.mix(grams * seed), first[:-1][some])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("did").slice(i, j - i), pa.array(size.astype(np.int64)), pa.array(d1), pa.array(d2), _lists(keys.ravel(), np.full(j - i, len(SEEDS))), _lists(head, p), _sketches(grams, first)],
-                    names=["did", "n", "d1", "d2", "keys", "prefix", "sketch"],
+                    [batch.column("did").slice(i, j - i), batch.column("lacks").slice(i, j - i), pa.array(size.astype(np.int64)), pa.array(d1), pa.array(d2), _lists(keys.ravel(), np.full(j - i, len(SEEDS))), _lists(head, p), _sketches(grams, first)],
+                    names=["did", "lacks", "n", "d1", "d2", "keys", "prefix", "sketch"],
                 )
 
-    rows = save(docs.mapInArrow(rows_of, "did long, n long, d1 long, d2 long, keys array<long>, prefix array<long>, sketch array<tinyint>"), "jaccard-rows")
-    classes = rows.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("did").alias("did"), F.any_value("keys").alias("keys"), F.any_value("prefix").alias("prefix"), F.any_value("sketch").alias("sketch"))
+    rows = save(docs.mapInArrow(rows_of, "did long, lacks boolean, n long, d1 long, d2 long, keys array<long>, prefix array<long>, sketch array<tinyint>"), "jaccard-rows")
+    classes = rows.filter("n > 0").groupBy("d1", "d2", "n").agg(F.coalesce(F.min(known), F.min("did")).alias("did"), F.min("lacks").alias("lacks"), F.any_value("keys").alias("keys"), F.any_value("prefix").alias("prefix"), F.any_value("sketch").alias("sketch"))
     # Of classes whose smallest doc_id is the same, as ids repeat, all but one take another id.
     again = F.row_number().over(Window.partitionBy("did").orderBy("d1", "d2"))
     classes = save(classes.withColumn("cid", F.when(again == 1, F.col("did")).otherwise(F.xxhash64("d1", "d2"))), "jaccard-classes")
@@ -189,7 +193,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, share: tuple[int, int] = (85
     sides = [sketch.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in "ab"]
     allowed = lambda pairs: pairs.join(sides[0], "a").join(sides[1], "b").filter(_fits(share, F.col("n_a"), F.col("n_b")) & F.coalesce(_needed(share, _common("s_a", "s_b"), F.col("n_a"), F.col("n_b")), F.lit(True))).select("a", "b")
     stars = save(allowed(stars), "jaccard-stars")
-    links = save(_similar(stars, classes, docs, n, share), "jaccard-links")
+    links = _similar(stars, classes, docs, n, share)
     group = components(links)
 
     # The matrix: tokens by groups.
@@ -226,10 +230,12 @@ def jaccard_components(docs: DataFrame, n: int = 4, share: tuple[int, int] = (85
         links = save(links.union(_similar(pairs, classes, docs, n, share)), "jaccard-links")
         group = components(links)
 
-    named = classes.join(group, classes.cid == group.node, "left").select("d1", "d2", "n", "did", F.coalesce(F.col("comp"), F.col("cid")).alias("comp"))
+    named = classes.join(group, classes.cid == group.node, "left").select("d1", "d2", "n", "did", "lacks", F.coalesce(F.col("comp"), F.col("cid")).alias("comp"))
     named = save(named, "jaccard-named")
-    top = named.groupBy("comp").agg(F.min("did").alias("top"))
+    top = named.groupBy("comp").agg(F.min(known).alias("top"))
     named = save(named.join(top, "comp").select("d1", "d2", "n", "top"), "jaccard-tops")
-    out = rows.select("did", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")
-    known = lambda c: F.when(c < far, c)
-    return out.select(known(F.col("did")).alias("doc_id"), F.col("n").alias("n_shingles"), known(F.coalesce(F.col("top"), F.col("did"))).alias("component_id"))
+    out = rows.select(known.alias("doc_id"), "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")
+    out = save(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("top", "doc_id").alias("component_id")), "jaccard-found")
+    for done in (counts, rows, classes, leaders, sketch, stars, links, members, shared, entries, matrix, met, alone, groups, opened, inside, pairs, named):
+        discard(done)
+    return out

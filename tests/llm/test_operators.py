@@ -97,6 +97,15 @@ def test_jaccard_of_null_ids(spark):
     assert got(jaccard.jaccard_components(rows)) == sorted([(None, 2, 5), (None, 2, 5), (5, 2, 5), (None, 1, None)], key=str)
 
 
+def test_jaccard_of_large_ids(spark):
+    """Every long may be an id: none is taken for a null."""
+    ids = [2**62 - 1, 2**62, 2**63 - 1, -(2**63), -1]
+    rows = [(i, "a b c d e") for i in ids[:3]] + [(i, "k l m n o") for i in ids[2:]] + [(2**62 + 5, "f g h i j"), (None, "f g h i j"), (2**63 - 2, "q"), (None, None)]
+    found = got(jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")))
+    want = [(i, 2, ids[0]) for i in ids[:3]] + [(i, 2, ids[3]) for i in ids[2:]] + [(2**62 + 5, 2, 2**62 + 5), (None, 2, 2**62 + 5), (2**63 - 2, 1, 2**63 - 2), (None, 0, None)]
+    assert found == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("digest", [None, lambda c: F.substring(F.sha2(c, 256), 1, 1)])
 def test_exact_dedup(docs, empty, digest):
     """The second digest has 16 values: all that keeps texts apart then is the comparison of whole texts."""

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from strandwise.llm import bpe, exact_dedup, jaccard, licences, mixing, neighbours, repeats, rolling, sharding, toxicity  # noqa: E402
+from strandwise.llm import bpe, exact_dedup, jaccard, licences, mixing, neighbours, queries, repeats, rolling, sharding, toxicity  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, part int, h long"
 
@@ -251,6 +251,15 @@ def test_licences(spark, empty):
     assert licences.scan(empty, F.col("source")).count() == 0
 
 
+def test_licence_query_takes_prose_for_no_licence_file(spark, tmp_path):
+    prose = "river stone cloud paper window " * 6 + "\nReleased under the MIT License.\n" + "garden letter bridge lamp " * 6
+    rows = [(i, prose if i == 5 else "All rights reserved." if i == 205 else "plain words", "s") for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in queries.op9_licences(spark, str(tmp_path)).collect()}
+    assert [i for i, r in found.items() if r.licence_file] == [205]
+    assert (found[5].licence, found[5].basis) == ("MIT", "statement") and "MIT" not in {r.licence for i, r in found.items() if i != 5}
+
+
 def test_licence_scores_against_plain_cosine(spark):
     """Scores of lines equal those of a plain version, and pruning by telling terms loses none above the threshold."""
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")

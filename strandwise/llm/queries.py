@@ -46,9 +46,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents have no paths; here each source is a tree, with directories of up to a thousand and a hundred ids."""
+    """Documents have no paths; here each source is a tree, with directories of up to a thousand and a hundred ids.
+
+    By a hash of the id, a tenth lies directly under the source, a fifth under the thousand, the others under the hundred.
+    """
     i = F.coalesce(F.col("doc_id"), F.lit(-1))
-    path = F.concat_ws("/", F.coalesce(F.col("source"), F.lit("unknown")), F.floor(i / 1000), F.floor(i / 100), i)
+    depth = F.pmod(F.xxhash64(i), F.lit(10))
+    path = F.concat_ws("/", F.coalesce(F.col("source"), F.lit("unknown")), F.when(depth > 0, F.floor(i / 1000)), F.when(depth > 2, F.floor(i / 100)), i)
     return licences.scan(table(spark, sf_dir, "documents"), path)
 
 

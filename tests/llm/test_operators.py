@@ -260,6 +260,15 @@ def test_licence_query_takes_prose_for_no_licence_file(spark, tmp_path):
     assert (found[5].licence, found[5].basis) == ("MIT", "statement") and "MIT" not in {r.licence for i, r in found.items() if i != 5}
 
 
+def test_licence_query_inherits_from_upper_directories(spark, tmp_path):
+    rows = [(i, "All rights reserved." if i % 97 == 5 else "plain words", "s") for i in range(1000)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op9_licences(spark, str(tmp_path)).collect()
+    own = lambda r: r.path.rsplit("/", 1)[0]
+    assert {own(r).count("/") for r in found} == {0, 1, 2}
+    assert any(r.basis == "inherited" and len(r.from_dir) < len(own(r)) for r in found)
+
+
 def test_licence_scores_against_plain_cosine(spark):
     """Scores of lines equal those of a plain version, and pruning by telling terms loses none above the threshold."""
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")

@@ -145,6 +145,7 @@ select cf as prob_cf, total_num, called_num, correct, called_num::double / total
     "q_gff_features": "select 'exon' as feature union all select 'mRNA'",
     "q_transcript_len": f"""with {GFF} select parent, cast(sum("end" - start) as bigint) as length, count(*) as exons from exons group by 1""",
     "q_positions_distinct": f"with {CALLS} select distinct chrom, pos, strand from calls",
+    "q_sites_sorted": f"with {CALLS}, {freq()} select {FREQ_COLUMNS}, row_number() over (order by chrom, pos, strand) as n from freq",
     "q_site_top": f"with {CALLS}, {freq()} select {FREQ_COLUMNS}, row_number() over (order by chrom, pos) as n from (select * from freq order by coverage desc, chrom, pos limit 10)",
 }
 ORACLE["q_transcript_coords"] = f"""with {GFF}, o as (select *, coalesce(sum("end" - start) over (partition by parent order by rank, start, "end" rows between unbounded preceding and 1 preceding), 0) as begin_ from exons),

@@ -368,6 +368,19 @@ def q_positions_distinct(spark, d):
     return V.calls(spark, d).select("chrom", "pos", "strand").distinct()
 
 
+@query
+def q_sites_sorted(spark, d):
+    """All sites in the order of sorted_sites, with their positions: sites before their bucket, and a row number within it."""
+    bucket = F.floor(F.col("pos") / 512)
+    freq = _freq(spark, d).withColumn("bucket", bucket)
+    before = Window.orderBy("chrom", "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = freq.groupBy("chrom", "bucket").agg(F.count(F.lit(1)).alias("m"))  # a row a bucket
+    counts = counts.select("chrom", "bucket", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("chrom", "bucket").orderBy("pos", "strand"))
+    placed = freq.join(counts, ["chrom", "bucket"]).withColumn("n", F.col("before") + inside).drop("bucket", "before")
+    return frequency.sorted_sites(placed, True)
+
+
 @query
 def q_site_top(spark, d):
     """The order of sorted_sites, as row numbers of the ten best covered sites."""

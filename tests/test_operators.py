@@ -11,6 +11,7 @@ from strandwise.functions import sequence as S
 from strandwise.functions import signal as G
 from strandwise.operators import annotation, denoise, evaluate, extract, frequency, motifs, samples, score
 from strandwise.plans import views as V
+from strandwise.plans.queries import QUERIES
 from strandwise.sources import sinks, text
 
 D = "/root/testdata/sf0.001"
@@ -188,3 +189,10 @@ def test_streaming(spark, tmp_path):
     a = stream.latest(spark, f"{tmp_path}/out").select("chrom", "pos", "met", "coverage")
     b = frequency.site_frequency(c, V.ORDER).select("chrom", "pos", "met", "coverage")
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_all_sites_are_sorted(spark):
+    d = "/root/testdata/sf0.001"
+    found = [(r.chrom, r.pos, r.strand, r.n) for r in QUERIES["q_sites_sorted"](spark, d).collect()]
+    assert len(found) == QUERIES["q_call_freq"](spark, d).count() > 10
+    assert [x[:3] for x in found] == sorted(x[:3] for x in found) and [x[3] for x in found] == list(range(1, len(found) + 1))

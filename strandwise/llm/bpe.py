@@ -25,50 +25,60 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class PerfectHash:
-    """A minimal perfect hash of the keys: n keys take the slots 0 to n - 1.
+    """A minimal perfect hash of distinct keys: n keys take the slots 0 to n - 1.
 
     Keys fall into buckets; from the largest bucket down, each gets the first displacement that puts its keys into free slots, and
-    buckets of one key, at last, get one of the slots that are left (written as a negative number).
+    buckets of one key, at last, get one of the slots that are left (written as a negative number). A displacement is mixed with
+    both halves of a key's hash, so each is an independent try; if a bucket finds none within `tries`, all starts again
+    with the next seed.
     """
 
-    def __init__(self, keys: Sequence[bytes]):
-        self.n, self.buckets = len(keys), max(1, len(keys) // 3)
-        self.shift = np.zeros(self.buckets, dtype=np.int32)
+    def __init__(self, keys: Sequence[bytes], tries: int | None = None):
+        self.n, self.buckets, self.seed = len(keys), max(1, len(keys) // 2), 0
+        while not self._build(keys, tries or 1000 * (1 + self.n)):
+            self.seed += 1
+
+    def _build(self, keys: Sequence[bytes], tries: int) -> bool:
+        self.shift, self.at = np.zeros(self.buckets, dtype=np.int64), np.zeros(self.n, dtype=np.int64)
         groups: dict[int, list[tuple[int, int, int]]] = {}
         for i, key in enumerate(keys):
             bucket, a, b = self._hash(key)
             groups.setdefault(bucket, []).append((a, b, i))
-        self.at = np.zeros(self.n, dtype=np.int32)
-        free = np.ones(self.n, dtype=bool)
+        free = np.ones(self.n, dtype=bool).tolist()
         ordered = sorted(groups.items(), key=lambda g: -len(g[1]))
         for bucket, members in ordered:
             if len(members) == 1:
                 break
-            d = 0
-            while True:
-                slots = {(a + d * b) % self.n for a, b, _ in members}
-                if len(slots) == len(members) and all(free[s] for s in slots):
+            for d in range(tries):
+                slots = [self._slot(a, b, d) for a, b, _ in members]
+                if all(map(free.__getitem__, slots)) and len(set(slots)) == len(members):
                     break
-                d += 1
+            else:
+                return False
             self.shift[bucket] = d
-            for a, b, i in members:
-                slot = (a + d * b) % self.n
+            for slot, (_, _, i) in zip(slots, members, strict=True):
                 free[slot], self.at[slot] = False, i
-        rest = iter(np.flatnonzero(free).tolist())
+        rest = (slot for slot, is_free in enumerate(free) if is_free)
         for bucket, members in ordered:
             if len(members) == 1:
                 slot = next(rest)
                 self.shift[bucket], self.at[slot] = -slot - 1, members[0][2]
+        return True
 
     def _hash(self, key: bytes) -> tuple[int, int, int]:
-        h = xxhash.xxh3_128_intdigest(key)
-        return (h >> 64) % self.buckets, h & MASK, ((h >> 96) | 1)
+        h = xxhash.xxh3_128_intdigest(key, self.seed)
+        return (h >> 64) % self.buckets, h & MASK, (h >> 64) | 1
+
+    def _slot(self, a: int, b: int, d: int) -> int:
+        x = (a + d * b) & MASK
+        x = ((x ^ (x >> 32)) * 0x9E3779B97F4A7C15) & MASK
+        return (x >> 32) % self.n
 
     def index(self, key: bytes) -> int:
         """Of the key that alone can be at the slot of this key; the caller compares."""
         bucket, a, b = self._hash(key)
         d = int(self.shift[bucket])
-        return int(self.at[-d - 1 if d < 0 else (a + d * b) % self.n])
+        return int(self.at[-d - 1 if d < 0 else self._slot(a, b, d)])
 
 
 class Codec:

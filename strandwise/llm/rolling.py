@@ -1,7 +1,14 @@
-"""Prefix polynomial hashes over sequences of 64-bit codes (bytes or words), and what is made of them; NumPy only."""
+"""Prefix polynomial hashes over sequences of codes (bytes or words), and what is made of them; NumPy only.
+
+`Prefix` works modulo 2**64: it is fast, and equal stretches have equal hashes, but there are structured texts on which
+different ones have, too. It serves as a filter alone; whatever it lets through is compared by content. `Prime`
+works modulo the prime 2**61 - 1, where two different stretches of n codes collide with a probability of n / 2**61 at most.
+"""
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
 U = np.uint64
@@ -9,6 +16,10 @@ MASK = (1 << 64) - 1
 #: Two odd bases: their inverses modulo 2**64 exist, so the hash of any stretch is a difference times a power.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: The prime, two bases below it, and masks of 31 and 30 bits.
+PRIME, M31, M30 = U((1 << 61) - 1), U((1 << 31) - 1), U((1 << 30) - 1)
+PRIME_BASES = (1_640_531_527_198_710_399, 1_181_783_497_276_652_981)
+_primes: dict[int, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -56,6 +67,63 @@ class Prefix:
         return mix((self.p[k:] - self.p[:-k]) * self.down[: len(self.p) - k])
 
 
+def fold(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime."""
+    x = (x & PRIME) + (x >> U(61))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, of numbers below it, by halves of 30 and 31 bits."""
+    ah, al, bh, bl = a >> U(31), a & M31, b >> U(31), b & M31
+    mid = al * bh + ah * bl
+    return fold(((ah * bh) << U(1)) + (mid >> U(30)) + ((mid & M30) << U(31)) + al * bl)
+
+
+def prime_powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of a base modulo the prime."""
+    have = _primes.get(base)
+    if have is None or len(have) < n:
+        have, size = np.ones(1, dtype=U), max(n, 1 << 12)
+        while len(have) < size:
+            have = np.concatenate([have, times(have, U(pow(base, len(have), int(PRIME))))])
+        _primes[base] = have
+    return have
+
+
+class Prime:
+    """Hashes of stretches of one sequence of codes of up to 9 bits, modulo the prime.
+
+    The two halves of the powers are summed apart, in spans that can't overflow, and reduced only where a hash is asked for.
+    """
+
+    SPAN = 1 << 22
+
+    def __init__(self, codes: np.ndarray, base: int = PRIME_BASES[0]):
+        n = len(codes)
+        self.down, power = prime_powers(pow(base, -1, int(PRIME)), n + 1), prime_powers(base, n + 1)
+        self.high, self.low = np.zeros(n + 1, dtype=U), np.zeros(n + 1, dtype=U)
+        for i in range(0, n, self.SPAN):
+            j = min(n, i + self.SPAN)
+            np.cumsum(codes[i:j] * (power[i:j] >> U(31)), out=self.high[i + 1 : j + 1])
+            np.cumsum(codes[i:j] * (power[i:j] & M31), out=self.low[i + 1 : j + 1])
+            self.low[i + 1 : j + 1] += self._to(np.array([i]))
+
+    def _to(self, end: np.ndarray) -> np.ndarray:
+        high = fold(self.high[end])
+        return fold(((high << U(31)) & PRIME) + (high >> U(30)) + fold(self.low[end]))
+
+    def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return times(fold(self._to(end) + PRIME - self._to(start)), self.down[start])
+
+
+def contents(data: np.ndarray, start: np.ndarray, end: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 128-bit BLAKE2 digests of stretches of bytes as two integers, the first combined with a tag."""
+    view = memoryview(np.ascontiguousarray(data))
+    both = np.frombuffer(b"".join([blake2b(view[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)]), dtype=U).reshape(-1, 2)
+    return both[:, 0] ^ tag, both[:, 1].copy()
+
+
 def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the words of UTF-8 bytes start and end."""
     space = np.ones(len(data) + 2, dtype=np.int8)
@@ -64,10 +132,18 @@ def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
-def word_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = BASES[0]) -> np.ndarray:
-    """A 64-bit code for each word."""
-    raw = Prefix(BYTE_CODES[data], base).raw(start, end)
-    return mix(raw + (end - start).astype(U) * U(base))
+def single_spaces(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every run of white space as one space, and where the places `at` are then."""
+    space = SPACE[data]
+    keep = ~space
+    keep[1:] |= ~space[:-1]
+    keep[:1] = True
+    return np.where(space, np.uint8(32), data)[keep], np.concatenate([[0], np.cumsum(keep)])[at]
+
+
+def word_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A code below the prime for each word, of its bytes (no code is 0, so words of zero bytes differ by length)."""
+    return Prime(data.astype(U) + U(1)).raw(start, end)
 
 
 def lower(data: np.ndarray) -> np.ndarray:
@@ -119,36 +195,37 @@ def suffix_sort(codes: np.ndarray, group: np.ndarray, start: np.ndarray, limit:
     Two suffixes compare by their longest common extension, found by binary search over prefix hashes, and by the code that
     follows it. Runs of 1, 2, 4 ... suffixes of a group are merged, all pairs of runs at once: a suffix's place is its place in
     its own run and the number of smaller suffixes in the other, found by binary search. Each suffix has `limit` codes at least.
-    Returns the order, and for each place whether the suffix there equals the one before it in all `limit` codes (verified
-    on the codes themselves, so a collision of hashes never counts as equal).
+    Returns the order, and for each place whether the suffix there equals the one before it in all `limit` codes, verified
+    on the codes themselves. If hashes of different codes turn out to be equal, the suffixes are sorted by their codes instead.
     """
-    prefix = Prefix(codes)
-    p, down = prefix.p, prefix.down
+    prefix = Prime(codes)
+    span, collided = np.arange(limit), False
     order = np.argsort(group, kind="stable")
     first = np.flatnonzero(np.diff(group[order], prepend=-1))
     size = np.diff(np.append(first, len(order)))
     base, count = np.repeat(first, size), np.repeat(size, size)  # of the group, by place
 
     def common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        lo, hi = np.zeros(len(x), dtype=np.int64), np.full(len(x), limit, dtype=np.int64)
-        px, py, dx, dy = p[x], p[y], down[x], down[y]
-        same = (p[x + limit] - px) * dx == (p[y + limit] - py) * dy
+        lo, hi = np.zeros(len(x), dtype=np.int64), np.full(len(x), limit - 1, dtype=np.int64)
+        same = prefix.raw(x, x + limit) == prefix.raw(y, y + limit)
         lo[same] = limit
         live = np.flatnonzero(~same)
-        hi -= 1
         while len(live):
             mid = (lo[live] + hi[live] + 1) >> 1
             a, b = x[live], y[live]
-            eq = (p[a + mid] - px[live]) * dx[live] == (p[b + mid] - py[live]) * dy[live]
+            eq = prefix.raw(a, a + mid) == prefix.raw(b, b + mid)
             lo[live[eq]] = mid[eq]
             hi[live[~eq]] = mid[~eq] - 1
             live = live[lo[live] < hi[live]]
         return lo
 
     def less(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        nonlocal collided
         n = common(x, y)
         differ = n < limit
         at = np.minimum(n, limit - 1)
+        # Where an extension ends, the codes differ, or hashes of different codes were equal.
+        collided |= bool((differ & (codes[x + at] == codes[y + at])).any())
         return differ & (codes[x + at] < codes[y + at])
 
     width = 1
@@ -179,12 +256,19 @@ def suffix_sort(codes: np.ndarray, group: np.ndarray, start: np.ndarray, limit:
         to[free] = order[place[~left]]
         order = np.where(to >= 0, to, order)
         width *= 2
-    x, y = start[order[:-1]], start[order[1:]]
+    def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether suffixes are equal in all codes, by the codes themselves."""
+        parts = max(1, len(x) * limit >> 20)
+        return np.concatenate([(codes[a[:, None] + span] == codes[b[:, None] + span]).all(axis=1) for a, b in zip(np.array_split(x, parts), np.array_split(y, parts), strict=True)])
+
     same = np.zeros(len(order), dtype=bool)
     if len(order) > 1:
         near = np.flatnonzero(group[order[:-1]] == group[order[1:]])
-        full = near[(p[x[near] + limit] - p[x[near]]) * down[x[near]] == (p[y[near] + limit] - p[y[near]]) * down[y[near]]]
-        for part in np.array_split(full, max(1, len(full) * limit >> 22)):
-            span = np.arange(limit)
-            same[part + 1] = (codes[x[part][:, None] + span] == codes[y[part][:, None] + span]).all(axis=1)
+        x, y = start[order[near]], start[order[near + 1]]
+        full = prefix.raw(x, x + limit) == prefix.raw(y, y + limit)
+        same[near[full] + 1] = alike(x[full], y[full])
+        if collided or same.sum() < full.sum():  # sorted by the codes themselves
+            keys = [(int(g), codes[a : a + limit].tobytes()) for g, a in zip(group, start, strict=True)]
+            order = np.array(sorted(range(len(order)), key=keys.__getitem__))
+            same = np.array([i > 0 and keys[order[i]] == keys[order[i - 1]] for i in range(len(order))])
     return order, same

@@ -56,7 +56,7 @@ def got(df, n=None):
     return sorted((tuple(r)[:n] for r in df.collect()), key=str)
 
 
-@pytest.mark.parametrize("hot", [256, 1])
+@pytest.mark.parametrize("hot", [4096, 1])
 def test_byte_repeats(docs, hot):
     assert got(repeats.byte_repeats(docs, hot=hot), 5) == sorted(brute.byte_repeats(pairs()), key=str)
 
@@ -290,3 +290,52 @@ def test_licence_scores_against_plain_cosine(spark):
             want[i] = (best[1], round(best[0], 9))
     found = {r.doc_id: (r.licence, round(r.score, 9)) for r in licences.scan(d, F.lit("a/b")).filter("basis = 'statement'").collect()}
     assert found == want and want
+
+
+def thue_morse(n, a="a", b="b"):
+    s = a
+    while len(s) < n:
+        s += s.translate(str.maketrans(a + b, b + a))
+    return s[:n]
+
+
+def test_structured_texts(spark):
+    """Words and passages on which polynomial hashes modulo 2**64 collide."""
+    one, other = thue_morse(1024), thue_morse(1024, "b", "a")
+    common = [f"w{i}" for i in range(34)]
+    rows = [(1, " ".join([*common[:17], one, *common[17:]])), (2, " ".join([*common[:17], other, *common[17:]])), (3, f"p {one}"), (4, f"p {other}")]
+    rows += [(5, "x" * 150 + one + "y" * 150), (6, "x" * 150 + other + "y" * 150), (7, thue_morse(4096)), (8, thue_morse(4096, "b", "a"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(repeats.word_repeats(df), 4) == sorted(brute.word_repeats(rows), key=str)
+    for hot in (4096, 1):
+        assert got(repeats.byte_repeats(df, hot=hot), 5) == sorted(brute.byte_repeats(rows), key=str)
+    assert got(jaccard.jaccard_components(df)) == sorted(brute.jaccard_components(rows), key=str)
+
+
+@pytest.mark.parametrize(("rows", "queries", "step"), [(2048, 4096, 32), (5, 3, 8)])
+def test_families_in_blocks(spark, monkeypatch, rows, queries, step):
+    """Families around several originals, near and under the limit, in one block or many."""
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(jaccard, "BLOCK_QUERIES", queries)
+    monkeypatch.setattr(jaccard, "STEP", step)
+    rng = random.Random(4)
+    data, i = [], 0
+    for size in (12, 60, 200):
+        base = [f"v{rng.randrange(5000)}" for _ in range(size)]
+        for edits in [0, 0, 1, 1, 2, 2, 3, 4, 5, 6, 8, 10, 12] * 2:
+            w = list(base)
+            for _ in range(edits * size // 100 + edits % 2):
+                w[rng.randrange(size)] = f"u{rng.randrange(50)}"
+            data.append((i, " ".join(w[rng.randrange(2) :])))
+            i += 1
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    for n, share in ((4, (85, 100)), (5, (80, 100))):
+        assert got(jaccard.jaccard_components(df, n, share)) == sorted(brute.jaccard_components(data, n, share), key=str)
+
+
+def test_perfect_hash_of_any_size():
+    for n in [*range(40), 100, 256, 500]:
+        keys = [bytes([i % 256, i // 256]) for i in range(n)]
+        h = bpe.PerfectHash(keys)
+        assert sorted(h.at.tolist()) == list(range(n)) and all(h.index(k) == i for i, k in enumerate(keys))
+    assert bpe.PerfectHash([b"a", b"b", b"c", b"d", b"e"], tries=2).seed > 0

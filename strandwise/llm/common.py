@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +17,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a temporary one."""
     if not (path := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -24,17 +29,54 @@ def shared_dir(spark: SparkSession) -> str:
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends there, and lost executors cost no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Where folders are noted while a caller collects them; see collecting().
+_noted: list[list[str]] = []
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own below the shared one."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for noted in _noted[-1:]:
+        noted.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def collecting(noted: list[str]) -> Iterator[None]:
+    """Note the folders that are made here, for a caller who knows when they can be removed."""
+    _noted.append(noted)
+    try:
+        yield
+    finally:
+        _noted.pop()
+
+
+def remove(spark: SparkSession, folders: list[str]) -> None:
+    """Delete folders, and empty the list."""
+    while folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folders.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that save() made and that no later step reads."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove(df.sparkSession, [file.rsplit("/", 1)[0] for file in df.inputFiles()[:1]])
+
+
+def row_keys(df: DataFrame, key: str) -> DataFrame:
+    """Add a key for each row that is the same whenever the table is read: the file and the row's place in it.
+
+    A table that isn't read from Parquet files is written first, as numbers of rows may change from one reading to the next.
+    """
+    try:
+        return df.withColumn(key, F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index")))
+    except AnalysisException:
+        return save(df.withColumn(key, F.monotonically_increasing_id().cast("string")), "rows")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -3,22 +3,28 @@
 from __future__ import annotations
 
 import contextlib
+import math
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, shared_dir
+from .common import new_folder, save
 
-#: Stands for a null doc_id.
-NO_ID = -(1 << 63)
-STATE = "digest string, n_bytes long, keep_id long, locator string, n_rows long"
+STATE = "digest string, n_bytes long, stays struct<doc_id:long,locator:string>, n_rows long"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+KEY = ["digest", "n_bytes"]
 
 
 @contextlib.contextmanager
-def _settings(spark, **values):
+def _settings(spark, values: dict[str, str]):
     old = {k: spark.conf.get(k, None) for k in values}
     try:
         for k, v in values.items():
@@ -33,63 +39,64 @@ def digest_state(rows: DataFrame) -> DataFrame:
     """The streaming plan: state keyed by digest and length, which never expires.
 
     `rows` (a stream) has digest, n_bytes, doc_id and locator; the state of a key is the largest doc_id (the stable
-    identifier of the row that stays), the locator of that row's content, and the number of rows. Rows are combined before
-    the shuffle, so a digest that a third of all rows share costs one row a task.
+    identifier of the row that stays; null is the smallest), the locator of that row's content, and the number of rows.
+    Rows are combined before the shuffle, so a digest that a third of all rows share costs one row a task.
     """
-    return rows.groupBy("digest", "n_bytes").agg(F.max("doc_id").alias("keep_id"), F.max_by("locator", "doc_id").alias("locator"), F.count(F.lit(1)).alias("n_rows"))
+    return rows.groupBy(*KEY).agg(F.max(F.struct("doc_id", "locator")).alias("stays"), F.count(F.lit(1)).alias("n_rows"))
 
 
-def run_state(staged: DataFrame, state_dir: str) -> DataFrame:
-    """Feed the rows of a written table through digest_state, as far as they are there, and return the last state of each key.
+def run_state(rows: DataFrame, state_dir: str, batches: int) -> DataFrame:
+    """Feed what is new in {state_dir}/rows through digest_state and return the last state of each key.
 
-    A later call with the same state_dir takes only files that are new. Each micro-batch writes the states it changed into a
-    folder of its own, over what a failed attempt left there.
+    New files come in `batches` micro-batches, each of which meets the state that the ones before it, of this call or an earlier
+    one, left in the store. A micro-batch writes the states it changed into a folder of its own, over what a failed attempt
+    left there.
     """
-    spark = staged.sparkSession
+    spark = rows.sparkSession
 
     def put(batch: DataFrame, k: int) -> None:
         batch.write.mode("overwrite").parquet(f"{state_dir}/states/batch={k}")
 
-    folder = staged.inputFiles()[0].rsplit("/", 1)[0]
-    with _settings(spark, **{"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}):
-        stream = digest_state(spark.readStream.schema(staged.schema).parquet(folder))
+    each = max(1, math.ceil(len(rows.inputFiles()) / batches))
+    with _settings(spark, STORE):
+        stream = digest_state(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", each).parquet(f"{state_dir}/rows"))
         stream.writeStream.outputMode("update").option("checkpointLocation", f"{state_dir}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
     states = spark.read.schema(f"{STATE}, batch long").parquet(f"{state_dir}/states")
-    return states.groupBy("digest", "n_bytes").agg(F.max_by(F.struct("keep_id", "locator", "n_rows"), "batch").alias("s")).select("digest", "n_bytes", "s.*")
+    return states.groupBy(*KEY).agg(F.max_by(F.struct("stays", "n_rows"), "batch").alias("s")).select(*KEY, "s.*")
 
 
-def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] | None = None, state_dir: str | None = None) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] | None = None, state_dir: str | None = None, batches: int = 4, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, and the columns that `keep` names as keep_<name>.
 
-    Equal texts form a group, of which the row with the largest doc_id stays. Digests go through the streaming state
-    (`digest` is SHA-256 of the whole UTF-8 text unless given). Then, on each hit, the whole text is compared with that of
-    the row whose identifier the state holds; where a digest turns out to stand for different texts, its rows form
-    groups by the text itself.
+    Equal texts form a group, of which the row with the largest doc_id stays. Rows are written to the state's folder with a locator
+    each. Digests go through the streaming state in micro-batches (`digest` is SHA-256 of the whole UTF-8 text
+    unless given). On each hit, the whole text is compared with the content at the locator that the state holds;
+    where a digest turns out to stand for different texts, its rows form groups by the text itself.
+
+    With a `state_dir` that earlier calls used, their rows count, too: groups reach over all calls, hits on earlier rows are checked
+    against what these calls wrote, and the rows of this call are returned.
 
     Edge cases: a null text counts as empty; a null doc_id is smaller than any other; of several rows with the largest
-    doc_id one stays; an empty table gives no rows; other columns are not read.
+    doc_id the one with the largest locator stays; an empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    state_dir = state_dir or f"{shared_dir(spark)}/dedup-{uuid.uuid4().hex}"
-    of = digest or (lambda c: F.sha2(c, 256))
-    read = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    read = read.withColumn("digest", of(F.col("text"))).withColumn("n_bytes", F.octet_length("text").cast("long"))
-    staged = save(read.select("doc_id", "digest", "n_bytes", F.sha2("text", 256).alias("text_sha256"), F.concat_ws("#", F.input_file_name(), "doc_id").alias("locator")), "dedup-rows")
-    if staged.isEmpty():
-        states = spark.createDataFrame([], STATE)
-    else:
-        states = save(run_state(staged, state_dir), "dedup-states")
-    key = ["digest", "n_bytes"]
-    hits = save(read.join(states.filter("n_rows > 1").select(*key, "keep_id"), key), "dedup-hits")
-    # Several rows with the largest doc_id may stand for different texts under one digest: all of them are compared.
-    stays = hits.filter("doc_id = keep_id").select(*key, F.col("text").alias("kept_text"))
-    differ = save(hits.join(stays, key).filter("text <> kept_text").select(*key), "dedup-differ")
-    rows = staged.join(states.select(*key, "keep_id", F.col("n_rows").alias("group_size")), key)
-    if not differ.isEmpty():
-        rows = rows.join(differ.distinct(), key, "left_anti").drop("digest", "n_bytes", "locator")
-        apart = hits.join(differ.distinct(), key, "left_semi").select("doc_id", "text", F.sha2("text", 256).alias("text_sha256"))
-        by_text = save(apart.groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "dedup-by-text")
-        rows = rows.unionByName(apart.join(by_text, "text").drop("text"))
-    again = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy("keep_id"))
-    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
-    return rows.withColumn("_copy", again).select(known("doc_id"), known("keep_id"), "group_size", ((F.col("doc_id") == F.col("keep_id")) & (F.col("_copy") == 1)).alias("kept"), "text_sha256")
+    state_dir = state_dir or new_folder(spark, "dedup")
+    of, call = digest or (lambda c: F.sha2(c, 256)), uuid.uuid4().hex
+    extra = [F.col(c).alias(f"keep_{c}") for c in keep if c != "text"]
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").isNull().alias("lacks"), F.coalesce(F.col("text"), F.lit("")).alias("content"), *extra)
+    read = read.withColumn("digest", of(F.col("content"))).withColumn("n_bytes", F.octet_length("content").cast("long")).withColumn("text_sha256", F.sha2("content", 256))
+    read.withColumn("locator", F.concat_ws("#", F.lit(call), F.monotonically_increasing_id())).write.mode("append").option("compression", "zstd").parquet(f"{state_dir}/rows")
+    rows = spark.read.schema(read.withColumn("locator", F.lit("")).schema).parquet(f"{state_dir}/rows")
+    mine = F.col("locator").startswith(call)
+    states = save(run_state(rows, state_dir, batches), "dedup-states") if not rows.isEmpty() else spark.createDataFrame([], STATE)
+
+    met = save(rows.select(*KEY, "locator", "content").join(states.filter("n_rows > 1"), KEY).select(*KEY, "content", (F.col("locator") == F.col("stays.locator")).alias("at_locator")), "dedup-hits")
+    stays = met.filter("at_locator").select(*KEY, F.col("content").alias("kept_content"))
+    differ = save(met.join(stays, KEY).filter("content <> kept_content").select(*KEY).distinct(), "dedup-differ")
+    kept = [F.when(~F.col("lacks"), F.col("content")).alias("keep_text")] if "text" in keep else []
+    shown = ["doc_id", F.col("stays.doc_id").alias("keep_id"), F.col("n_rows").alias("group_size"), (F.col("locator") == F.col("stays.locator")).alias("kept"), "text_sha256", *kept, *(f"keep_{c}" for c in keep if c != "text")]
+    if differ.isEmpty():
+        return rows.filter(mine).join(states, KEY).select(*shown)
+    apart = rows.join(differ, KEY, "left_semi")
+    by_text = save(apart.groupBy("content").agg(F.max(F.struct("doc_id", "locator")).alias("stays"), F.count(F.lit(1)).alias("n_rows")), "dedup-by-text")
+    return rows.filter(mine).join(states.join(differ, KEY, "left_anti"), KEY).select(*shown).unionByName(apart.filter(mine).join(by_text, "content").select(*shown))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -12,71 +13,95 @@ from pyspark.sql import functions as F
 
 from . import rolling as R
 from .common import save
-from .repeats import chunks, column_bytes
+from .repeats import chunks
 
 U = np.uint64
-BITS = 20
-SIZES = (3, 4, 5, 6)
-#: White space of any kind is one character to the model.
-FOLD = np.arange(256, dtype=np.uint8)
-FOLD[65:91] += 32
-FOLD[R.SPACE] = 32
+#: Sizes of n-grams in characters (code points).
+SIZES = (2, 3, 4, 5, 6)
+FACTORS = R.mix(np.arange(1, 7, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
+#: Bits of the filter through which n-grams pass before they are looked up.
+FILTER_BITS = 22
 
 
 @dataclass
 class Model:
-    """The weight of each hashed n-gram, by its hash, and the intercept."""
+    """The weight of each n-gram by its 64-bit hash, in order of the hashes, and the intercept."""
 
-    index: np.ndarray
+    grams: np.ndarray
     weight: np.ndarray
     intercept: float
 
-    def dense(self) -> np.ndarray:
-        w = np.zeros(1 << BITS, dtype=np.float32)
-        w[self.index] = self.weight
-        return w
-
-
-def grams(data: np.ndarray, at: np.ndarray, i: int, j: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each size, the hashed n-grams of the bytes of rows i to j, and their rows."""
-    own = FOLD[data[at[i] : at[j]]]
-    row = np.repeat(np.arange(j - i, dtype=np.int32), np.diff(at[i : j + 1]))
-    prefix = R.Prefix(R.BYTE_CODES[own])
-    for n in SIZES:
-        if len(own) >= n:
-            same = row[n - 1 :] == row[: len(row) - n + 1]
-            hashed = (R.mix((prefix.p[n:] - prefix.p[:-n]) * prefix.down[: len(own) - n + 1] + U(n)) >> U(64 - BITS)).astype(np.int64)
-            yield hashed[same], row[: len(same)][same]
-
-
-def present(data: np.ndarray, at: np.ndarray, i: int, j: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct n-grams of each row (those of `wanted` alone, if given), their rows, and their values.
-
-    A value is log(1 + occurrences in each 1000 bytes), so that a long text gains nothing by its length.
-    """
-    keys = [np.zeros(0, dtype=np.int64)]
-    for hashed, row in grams(data, at, i, j):
-        if wanted is not None:
-            hit = wanted[hashed]
-            hashed, row = hashed[hit], row[hit]
-        keys.append((row.astype(np.int64) << BITS) | hashed)
+    @cached_property
+    def likely(self) -> np.ndarray:
+        hit = np.zeros(1 << FILTER_BITS, dtype=bool)
+        hit[(self.grams >> U(64 - FILTER_BITS)).astype(np.int64)] = True
+        return hit
+
+    def places(self, hashed: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The places of the n-grams that are here, and what stands beside them in `others`."""
+        some = np.flatnonzero(self.likely[(hashed >> U(64 - FILTER_BITS)).astype(np.int64)])
+        at = np.searchsorted(self.grams, hashed[some])
+        here = self.grams[np.minimum(at, len(self.grams) - 1)] == hashed[some] if len(self.grams) else np.zeros(0, dtype=bool)
+        return at[here], *(x[some[here]] for x in others)
+
+
+def characters(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of lower-cased texts, any white space as one kind, and the row of each."""
+    lower = [t.lower() for t in texts]
+    x = np.frombuffer("".join(lower).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    space = (x <= 32) | (x == 0xA0) | (x == 0x3000) | ((x >= 0x2000) & (x <= 0x200B))
+    return np.where(space, np.uint32(32), x).astype(U), np.repeat(np.arange(len(lower)), [len(t) for t in lower])
+
+
+def grams(texts: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each size, the hashed n-grams of the texts' characters, and their rows."""
+    x, row = characters(texts)
+    total = x * FACTORS[0]
+    for n in range(2, max(SIZES) + 1):
+        if len(x) < n:
+            return
+        total = total[:-1] + x[n - 1 :] * FACTORS[n - 1]
+        if n in SIZES:
+            own = np.flatnonzero(row[n - 1 :] == row[: len(row) - n + 1])
+            yield R.mix(total[own] + U(n)), row[own]
+
+
+def values(counts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """log(1 + occurrences in each 1000 characters), so that a long text gains nothing by its length."""
+    return np.log1p(1000.0 * counts / lengths)
+
+
+def known_values(texts: Sequence[str], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The model's n-grams in each text: their places, rows and values."""
+    n, keys = max(1, len(model.grams)), [np.zeros(0, dtype=np.int64)]
+    for hashed, row in grams(texts):
+        at, row = model.places(hashed, row)
+        keys.append(row * n + at)
     keys, count = np.unique(np.concatenate(keys), return_counts=True)
-    row = keys >> BITS
-    return keys & ((1 << BITS) - 1), row, np.log1p(1000.0 * count / np.diff(at[i : j + 1])[row])
+    row = keys // n
+    return keys % n, row, values(count, np.array([len(t.lower()) for t in texts])[row])
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, features: int = 20_000, passes: int = 200, penalty: float = 1e-4) -> Model:
+def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[str]]]:
+    """Rows i to j and their texts, about a chunk of bytes at once."""
+    texts = batch.column("text").to_pylist()
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    for i, j in chunks(at):
+        yield i, j, texts[i:j]
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, error: float = 3.0, passes: int = 200, penalty: float = 1e-4) -> Model:
     """Learn from labelled rows that are not held out.
 
     At most `per_class` rows of each class are taken, by a hash of their id; their whole texts count. For each n-gram
-    Spark sums its values over the rows of either class; the `features` n-grams whose log-count ratio stands out most from its
-    error are kept. A logistic regression then weighs them, each scaled by its ratio. The driver gets the kept n-grams and
-    their values in the sampled rows, so what it holds is bounded by these parameters.
-    Labels that are null, disagree (the larger counts) or name no document do no harm; without rows of
+    Spark sums its values over the rows of either class; those whose log-count ratio is `error` times its standard error or more
+    are features, however many there are. A logistic regression then weighs them, each scaled by its ratio. The driver gets the
+    features and their values in the sampled rows: with the defaults, 8000 rows at most.
+    N-grams stand as 64-bit hashes. Labels that are null, disagree (the larger counts) or name no document do no harm; without rows of
     both classes all scores are the share of toxic labels (0 without labels).
     """
     known = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -88,72 +113,73 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, features: int
     texts = save(texts.repartition(8), "toxic-sample")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, 1 << BITS))
         for batch in batches:
-            data, at = column_bytes(batch.column("text"))
             y = batch.column("toxic").to_numpy()
-            for i, j in chunks(at):
-                gram, row, value = present(data, at, i, j)
-                for c in (0, 1):
-                    own = y[i:j][row] == c
-                    counts[c] += np.bincount(gram[own], value[own], minlength=1 << BITS)
-        seen = np.flatnonzero(counts.sum(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[0][seen]), pa.array(counts[1][seen])], names=["gram", "clean", "toxic"])
+            for i, _, part in _pieces(batch):
+                lengths, own = np.array([len(t.lower()) for t in part]), y[i : i + len(part)] == 1
+                for hashed, row in grams(part):
+                    order = np.lexsort((row, hashed))
+                    hashed, row = hashed[order], row[order]
+                    new = np.flatnonzero(np.concatenate([[True], (hashed[1:] != hashed[:-1]) | (row[1:] != row[:-1])])) if len(row) else order
+                    value = values(np.diff(np.append(new, len(row))), lengths[row[new]])
+                    toxic, hashed = own[row[new]], hashed[new]
+                    first = np.flatnonzero(np.concatenate([[True], hashed[1:] != hashed[:-1]])) if len(new) else new
+                    sums = [np.add.reduceat(np.where(toxic == c, value, 0.0), first) if len(first) else value for c in (False, True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(hashed[first].view(np.int64)), *map(pa.array, sums)], names=["gram", "clean", "toxic"])
 
     n = {r.toxic: r["n"] for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         share = prior.get(1, 0) / max(1, sum(prior.values()))
-        return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
+        return Model(np.zeros(0, U), np.zeros(0), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
     ratio = F.log((F.col("toxic") + 1.0) / (n[1] + 2.0)) - F.log((F.col("clean") + 1.0) / (n[0] + 2.0))
-    error = F.sqrt(1.0 / (F.col("toxic") + 1.0) + 1.0 / (F.col("clean") + 1.0))
+    off_by = F.sqrt(1.0 / (F.col("toxic") + 1.0) + 1.0 / (F.col("clean") + 1.0))
     sums = texts.select("text", "toxic").mapInArrow(counted, "gram long, clean double, toxic double").groupBy("gram").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    best = sums.withColumn("ratio", ratio).withColumn("z", F.abs(ratio) / error).filter("z > 3").orderBy(F.desc("z"), "gram").limit(features).select("gram", "ratio").collect()
-    index, scale = np.array([r.gram for r in best], dtype=np.int64), np.array([r["ratio"] for r in best])
-    place = np.full(1 << BITS, -1, dtype=np.int64)
-    place[index] = np.arange(len(index))
+    best = sums.select("gram", ratio.alias("ratio"), (F.abs(ratio) / off_by).alias("z")).filter(F.col("z") >= error).select("gram", "ratio").toArrow()
+    hashed, ratios = best.column("gram").to_numpy().view(U), best.column("ratio").to_numpy()
+    order = np.argsort(hashed)
+    features, scale = Model(hashed[order], np.zeros(len(order)), 0.0), ratios[order]
+    shared = docs.sparkSession.sparkContext.broadcast(features)
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = column_bytes(batch.column("text"))
-            for i, j in chunks(at):
-                gram, row, value = present(data, at, i, j, place >= 0)
+            for i, j, part in _pieces(batch):
+                at, row, value = known_values(part, shared.value)
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=j - i))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(i, j - i), *(pa.ListArray.from_arrays(pa.array(offsets), pa.array(a)) for a in (place[gram].astype(np.int32), value.astype(np.float32)))], names=["toxic", "x", "value"])
+                yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(i, j - i), *(pa.ListArray.from_arrays(pa.array(offsets), pa.array(a)) for a in (at.astype(np.int32), value.astype(np.float32)))], names=["toxic", "x", "value"])
 
     rows = texts.select("text", "toxic").mapInArrow(held, "toxic int, x array<int>, value array<float>").toArrow().combine_chunks()
     y = rows.column("toxic").to_numpy().astype(float)
     x, value = (rows.column(c).combine_chunks() for c in ("x", "value"))
     row, col = np.repeat(np.arange(len(y), dtype=np.int32), x.value_lengths().to_numpy()), x.flatten().to_numpy()
     value = value.flatten().to_numpy() * scale[col]
-    w, b = np.zeros(len(index)), 0.0
-    m, v = np.zeros(len(index) + 1), np.zeros(len(index) + 1)
+    w, b = np.zeros(len(scale)), 0.0
+    m, v = np.zeros(len(scale) + 1), np.zeros(len(scale) + 1)
     for t in range(1, passes + 1):
         p = 1 / (1 + np.exp(-np.clip(b + np.bincount(row, value * w[col], minlength=len(y)), -30, 30)))
         off = (p - y) / len(y)
-        g = np.append(np.bincount(col, value * off[row], minlength=len(index)) + penalty * w, off.sum())
+        g = np.append(np.bincount(col, value * off[row], minlength=len(scale)) + penalty * w, off.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
     b += np.log(prior[1] / prior[0]) - np.log(n[1] / n[0])  # the classes' shares among all labels, not in the sample
-    return Model(index, scale * w, float(b))
+    return Model(features.grams, scale * w, float(b))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: Sequence[str] = ()) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted of every row, over its whole text; and the columns that `keep` names.
 
     Edge cases: a null or empty text is scored by the intercept alone; a null doc_id isn't held out; repeated rows get
-    the same score; an empty table gives no rows; other columns are not read. The broadcast model has a fixed size.
+    the same score; an empty table gives no rows; other columns are not read. The broadcast model is as large as the
+    features of the bounded sample.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = shared.value.dense()
-        wanted = weight != 0
+        m = shared.value
         for batch in batches:
-            data, at = column_bytes(batch.column("text"))
-            for i, j in chunks(at):
-                gram, row, value = present(data, at, i, j, wanted)
-                total = shared.value.intercept + np.bincount(row, weight[gram] * value, minlength=j - i)
+            for i, j, part in _pieces(batch):
+                at, row, value = known_values(part, m)
+                total = m.intercept + np.bincount(row, m.weight[at] * value, minlength=j - i)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in names), pa.array(1 / (1 + np.exp(-np.clip(total, -500, 500))))], names=[*names, "score"])
 
     extra = [c for c in keep if c != "doc_id"]

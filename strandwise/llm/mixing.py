@@ -36,7 +36,7 @@ def targets(sources: DataFrame, weights: Sequence[float] = (3, 1, 2), share: flo
     return s.select("source", F.col("source_size"), F.least(target, F.col("_cap")).alias("target"), "lean")
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, leans: Sequence[float] = LEANS, seed: str = "mix:", keep: Sequence[str] = (), ordered: bool = True) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, leans: Sequence[float] = LEANS, seed: str = "mix:", keep: Sequence[str] = (), ordered: bool = True, passes: bool = False) -> DataFrame:
     """Which words of which document the mix takes, and when in training.
 
     A source's documents in seeded order are a stream of words, which is read again from its start when it ends. The
@@ -51,7 +51,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     Edge cases: a null text has no words; null sources are one source, last in order; a document without words has
     copies by its place in the stream and takes 0; a source without words has target 0; rows repeated
     in all columns are separate rows, in one place of the order; an empty table gives no rows.
-    `keep` names further columns to return, as keep_<name>; rows are sorted only if `ordered`.
+    `keep` names further columns to return, as keep_<name>; rows are sorted only if `ordered`; `passes` adds `positions`, that of
+    each pass that begins within the target.
     """
     named = docs.select(
         F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_key"),
@@ -64,12 +65,19 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     placed = running(base, ["source"], "_bucket", [F.col("_key"), F.col("doc_id"), F.col("size"), F.col("_tie")], F.col("size"), "_start", "_whole")
     g = goals.select(F.col("source").alias("_source"), "source_size", "target", "lean", F.round("target").cast("long").alias("_goal"))
     d = placed.join(g, F.col("source").eqNullSafe(F.col("_source")))
-    passes = F.sequence(F.lit(0), F.lit(int(most)))
+    rounds = F.sequence(F.lit(0), F.lit(int(most)))
     offset = lambda k: k.cast("long") * F.col("source_size") + F.col("_start")
-    taken = F.aggregate(passes, F.lit(0).cast("long"), lambda a, k: a + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("_goal") - offset(k))))
-    copies = F.aggregate(passes, F.lit(0), lambda a, k: a + F.when(offset(k) < F.col("_goal"), 1).otherwise(0))
+    taken = F.aggregate(rounds, F.lit(0).cast("long"), lambda a, k: a + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("_goal") - offset(k))))
+    copies = F.aggregate(rounds, F.lit(0), lambda a, k: a + F.when(offset(k) < F.col("_goal"), 1).otherwise(0))
     d = d.withColumn("taken", taken).withColumn("copies", copies)
-    v, lean = F.col("_start") / F.col("target"), F.col("lean")
-    at = F.when(F.col("copies") > 0, 2.0 * v / ((1.0 - lean) + F.sqrt((1.0 - lean) * (1.0 - lean) + 4.0 * lean * v)))
-    out = d.withColumn("position", at).select("doc_id", "size", "source_size", "target", "taken", "copies", "position", "source", *(F.col(f"keep_{c}") for c in keep))
+    lean = F.col("lean")
+
+    def at(read):
+        """When in training the demand reaches this number of words."""
+        v = read / F.col("target")
+        return 2.0 * v / ((1.0 - lean) + F.sqrt((1.0 - lean) * (1.0 - lean) + 4.0 * lean * v))
+
+    begun = F.filter(rounds, lambda k: offset(k) < F.col("_goal"))
+    d = d.withColumn("position", F.when(F.col("copies") > 0, at(F.col("_start")))).withColumn("positions", F.transform(begun, lambda k: at(offset(k))))
+    out = d.select("doc_id", "size", "source_size", "target", "taken", "copies", "position", "source", *(F.col(f"keep_{c}") for c in keep), *(["positions"] if passes else []))
     return out if not ordered else out.orderBy(F.col("position").asc_nulls_last(), "doc_id")

@@ -120,15 +120,24 @@ def test_exact_dedup(docs, empty, digest):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
-def test_state_grows_over_runs(spark, tmp_path):
-    """A second run with the same state takes new rows only, and knows the old ones."""
-    part = lambda rows: spark.createDataFrame(rows, "doc_id long, digest string, n_bytes long, locator string")
-    path = f"file://{tmp_path}/staged"
-    part([(1, "a", 1, "x"), (2, "b", 1, "y")]).write.parquet(path)
-    exact_dedup.run_state(spark.read.parquet(path), f"file://{tmp_path}/state")
-    part([(9, "a", 1, "z")]).write.mode("append").parquet(path)
-    states = {r.digest: (r.keep_id, r.n_rows) for r in exact_dedup.run_state(spark.read.parquet(path), f"file://{tmp_path}/state").collect()}
-    assert states == {"a": (9, 2), "b": (2, 1)}
+@pytest.mark.parametrize("digest", [None, lambda c: F.lit("same")])
+def test_state_over_calls(spark, tmp_path, digest):
+    """A second call with the same state knows the rows of the first, also where one digest stands for all texts of a length."""
+    path = f"file://{tmp_path}/state"
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    first, second = [(1, "a"), (5, "b"), (2, "a"), (None, None), (3, "cc")], [(9, "a"), (4, "b"), (7, "d"), (8, ""), (8, "")]
+    view = lambda df: sorted((tuple(r)[:4] for r in df.collect()), key=str)
+    assert view(exact_dedup.exact_dedup(table(first), digest, path)) == sorted([(1, 2, 2, False), (5, 5, 1, True), (2, 2, 2, True), (None, None, 1, True), (3, 3, 1, True)], key=str)
+    assert view(exact_dedup.exact_dedup(table(second), digest, path)) == sorted([(9, 9, 3, True), (4, 5, 2, False), (7, 7, 1, True), (8, 8, 3, True), (8, 8, 3, False)], key=str)
+
+
+def test_state_is_met_across_batches(spark, tmp_path):
+    """Copies that come in different micro-batches of one call."""
+    table = spark.createDataFrame([(i, f"t{i % 4}") for i in range(40)], "doc_id long, text string").repartition(8)
+    found = exact_dedup.exact_dedup(table, state_dir=f"file://{tmp_path}/state", batches=4).collect()
+    assert all((r.keep_id, r.group_size, r.kept) == (36 + r.doc_id % 4, 10, r.doc_id >= 36) for r in found) and len(found) == 40
+    batches = spark.read.parquet(f"file://{tmp_path}/state/states").groupBy("batch").count().collect()
+    assert len(batches) == 4
 
 
 def test_sharding(docs, empty):

@@ -2,36 +2,55 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents. Near copies are dropped by row, so ids may be null or repeat.
+A stage removes what the one before it left in the shared folder, so run one pipeline at a time in a process.
 """
 
 from __future__ import annotations
 
-import uuid
+import functools
+from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwise.llm import bpe, exact_dedup, jaccard, mixing, toxicity
-from strandwise.llm.common import save, shared_dir
+from strandwise.llm.common import collecting, new_folder, remove, row_keys, save
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+#: Folders that the last stage wrote on its way; its output is written when the next one starts.
+_spent: list[str] = []
+
+
+def stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage first removes what the one before it wrote on its way to `docs`, which is written by now."""
+
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, _spent)
+        with collecting(_spent):
+            return function(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it learns from the labels of documents that are here."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model, threshold=0.3, keep=COLUMNS).filter("predicted = 0").select(*COLUMNS)
 
 
+@stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest doc_id stays."""
-    stays = exact_dedup.exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    marked = docs.withColumn("text_sha256", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    rows = marked.join(stays, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_sha256") == F.col("_sha")), "left_semi")
-    return rows.dropDuplicates(["text_sha256"]).select(*COLUMNS)
+    kept = exact_dedup.exact_dedup(docs, keep=COLUMNS).filter("kept")
+    return kept.select(*(F.col(f"keep_{c}").alias(c) for c in COLUMNS))
 
 
+@stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of rows whose five-word shingles are similar to 0.8 or more, one stays: that of the smallest doc_id, null last."""
     keyed = save(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_key")), "near-rows")
@@ -43,13 +62,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return keyed.join(members.join(stays, "_key", "left_anti"), "_key", "left_anti").select(*COLUMNS)
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document stays as many times as the mix reads it, whole each time; documents it never reaches go."""
-    mixed = mixing.mix(docs, keep=("text", "lang", "n_chars"), ordered=False)
-    repeated = mixed.filter("copies > 0").withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return repeated.select("doc_id", F.col("keep_text").alias("text"), F.col("keep_lang").alias("lang"), "source", F.col("keep_n_chars").alias("n_chars"))
+    """A document stays as often as the mix reads it, whole each time, in the order of training; documents it never reaches go.
+
+    Positions are found on keys and sizes; texts join them and are range-sorted by position. The last document of a source may be read
+    in part by the mix but stands here whole, so the words of a source exceed its target by less than that document's.
+    """
+    keyed = row_keys(docs, "_key")
+    mixed = mixing.mix(keyed, keep=("_key",), ordered=False, passes=True)
+    read = save(mixed.filter("copies > 0").select(F.col("keep__key").alias("_key"), F.explode("positions").alias("position")), "mixed")
+    return keyed.join(read, "_key").orderBy("position", "doc_id", "_key").select(*COLUMNS)
 
 
+@stage
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, and digests that show that they decode to its text."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -65,8 +91,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over documents; what a stage returns is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES[:-1]):
-        path = f"{shared_dir(spark)}/pipeline-{k}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+    for k, (_, step) in enumerate(STAGES[:-1]):
+        path = new_folder(spark, f"pipeline-{k}")
+        step(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

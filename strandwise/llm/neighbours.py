@@ -88,10 +88,11 @@ def balanced_parts(x: np.ndarray, near: np.ndarray, parts: int, rounds: int = 12
 def fit(sample: np.ndarray, parts: int, k: int = 20, recall: float = 0.96, steps: int = 150, seed: int = 3) -> Router:
     """Partition the neighbour graph of the sample and learn to route.
 
-    The classifier's target for a vector is how its neighbours spread over the partitions. `probes` is the least number of
-    partitions that holds `recall` of the sample's own neighbours; vectors of a larger table are nearer to their
-    neighbours than those of a sample, so this errs to the safe side.
+    The classifier's target for a vector is how its neighbours spread over the partitions. Every eighth vector is held out of graph
+    and classifier: `probes` is the least number of partitions in which these find `recall` of their neighbours among
+    the others. Vectors of a larger table are nearer to their neighbours than those of a sample, so this errs to the safe side.
     """
+    held, sample = sample[7::8], np.delete(sample, np.s_[7::8], axis=0)
     n, d = sample.shape
     near = neighbour_lists(sample, min(k, n - 1))
     part = balanced_parts(sample, near, parts, seed=seed)
@@ -112,10 +113,11 @@ def fit(sample: np.ndarray, parts: int, k: int = 20, recall: float = 0.96, steps
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-10)
         w, b = w - step[:-1], b - step[-1]
     router = Router(w * scale, b, parts)
-    order = router.order(sample)
-    place = np.argsort(order, axis=1)  # of each partition in a row's order
-    at = place[np.repeat(np.arange(n), near.shape[1]), order[near.ravel(), 0]]
-    router.probes = int(np.searchsorted(np.cumsum(np.bincount(at, minlength=parts)) / len(at), recall) + 1)
+    if len(held):
+        home, order = router.order(sample)[:, 0], router.order(held)
+        wanted = np.argsort(-(held @ sample.T), axis=1, kind="stable")[:, :k]
+        at = np.take_along_axis(np.argsort(order, axis=1), home[wanted], axis=1)  # where a neighbour's partition stands in a query's order
+        router.probes = int(np.searchsorted(np.cumsum(np.bincount(at.ravel(), minlength=parts)) / at.size, recall) + 1)
     return router
 
 
@@ -124,19 +126,20 @@ def _matrix(table: pa.Table, name: str) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 8192, rows_a_part: int = 3000, most_parts: int = 64, block: int = 4096) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 16384, block: int = 4096, recall: float = 0.96) -> DataFrame:
     """The k nearest found for each query: query_id, rank (from 1), vec_id, score, largest inner product first.
 
     `queries` are rows of the same columns, whose own id is no candidate; without it, those whose id is divisible by 20. The router is
-    fitted on at most `sample` vectors, taken by a hash of their id; every vector is indexed, in its most probable partition,
-    and each query is routed to the router's `probes` most probable partitions. There, vectors and queries meet in blocks of
+    fitted on at most `sample` vectors, taken by a hash of their id: 256 for each of about sqrt(n) / 4 partitions, a power of two
+    from 2 on, or 64 where `sample` allows no more; so beyond some millions of vectors `sample` has to grow, too. Every vector is
+    indexed, in its most probable partition, and each query is routed to the router's `probes` most probable partitions. There, vectors and queries meet in blocks of
     at most about `block` rows, so a partition of any size, and one vector repeated any number of times, is spread over tasks.
     Scores that a block's matrix product puts among the k best, all ties included, are computed again row by row in
     double precision, then ordered by score and id.
 
     Edge cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows without an id;
     of several dimensions the most frequent (the smaller of ties) takes part; rows that share an id are candidates
-    each (of queries that share an id, the least vector is asked); fewer than k candidates are all returned; an empty table gives no rows; other columns are not read.
+    each; fewer than four vectors are one partition (of queries that share an id, the least vector is asked); fewer than k candidates are all returned; an empty table gives no rows; other columns are not read.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col, None)
@@ -147,13 +150,12 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, id
     rows = rows.filter(F.size("v") == dims.d)
     asked = rows.filter(F.pmod("vec_id", F.lit(20)) == 0) if queries is None else usable(queries, id_col, vector_col, dims.d)
     asked = asked.groupBy("vec_id").agg(F.min("v").alias("v"))
-    n = dims["count"]
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()["v"]
-    x = np.array(picked.tolist(), dtype=np.float64)
-    parts = 1
-    while parts * 2 <= min(most_parts, n / rows_a_part, len(x) / 40):
+    parts = 2
+    while parts * 2 <= min(dims["count"] ** 0.5 / 4, sample / 64):
         parts *= 2
-    router = fit(x, parts, k) if parts > 1 else Router(np.zeros((dims.d, 1)), np.zeros(1), 1)
+    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(sample, max(2048, 256 * parts))).select("v").toPandas()["v"]
+    x = np.array(picked.tolist(), dtype=np.float64)
+    router = fit(x, parts, k, recall) if len(x) >= 4 else Router(np.zeros((dims.d, 1)), np.zeros(1), 1)
     shared = spark.sparkContext.broadcast(router)
 
     def route(probes: int):
@@ -169,7 +171,10 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, id
 
     routed = "vec_id long, v array<double>, part int"
     base = save(rows.mapInArrow(route(1), routed), "ann-index")
-    asked = save(asked.mapInArrow(route(router.probes), routed), "ann-queries")
+    # However uneven the partitions are, those that a query looks at hold k candidates, or all there are.
+    filled = sorted(r["count"] for r in base.groupBy("part").count().collect())  # a row a partition
+    enough = len(router.intercept) - len(filled) + int(np.searchsorted(np.cumsum(filled), k + 1)) + 1
+    asked = save(asked.mapInArrow(route(max(router.probes, enough)), routed), "ann-queries")
     count = lambda df, name: df.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
     blocks = F.broadcast(count(base, "blocks").join(count(asked, "asking"), "part"))  # a row a partition
     deal = lambda mine, other: (F.pmod(F.xxhash64("vec_id"), F.col(mine)).cast("int").alias(mine[0]), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other[0]))

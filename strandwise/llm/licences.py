@@ -5,25 +5,43 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import save
 
-#: Short statements of common licences, as they stand in headers. More, or full texts, may be given.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD 3-Clause License.",
-    "CC-BY-4.0": "This work is licensed under CC BY 4.0, Creative Commons Attribution.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "This file is subject to the Mozilla Public License, version 2.0.",
-    "proprietary": "All rights reserved.",
-}
+#: Statements, headers and texts of common licences, each with the licence it stands for. More may be given.
+TEMPLATES = (
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD 3-Clause License."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("CC-BY-4.0", "This work is licensed under CC BY 4.0, Creative Commons Attribution."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0 Universal, Public Domain Dedication."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."),
+    ("MIT", "Released under the MIT License."),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'),
+    ("MPL-2.0", "This file is subject to the Mozilla Public License, version 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("proprietary", "All rights reserved."),
+    ("proprietary", "Proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited."),
+)
+#: Names of licence files, and endings of files that can hold a licence for others.
+LICENCE_NAME, PLAIN_NAME = r"(?i)(^|/)(un)?(licen[cs]e|copying|copyright|notice)[^/]*$", r"(?i)(^|/)[^/.]*(\.(txt|md|rst|html?))?$"
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 
 
@@ -35,25 +53,25 @@ def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
-def weights(idf: Mapping[str, float], templates: Mapping[str, str]) -> dict[str, dict[str, float]]:
+def weights(idf: Mapping[str, float], texts: Sequence[str]) -> list[dict[str, float]]:
     """Each template as a unit vector of TF-IDF."""
-    out = {}
-    for name, text in templates.items():
+    out = []
+    for text in texts:
         v = {t: n * idf[t] for t, n in sorted(Counter(terms(text)).items())}
         norm = math.sqrt(sum(x * x for x in v.values()))
-        out[name] = {t: x / norm for t, x in v.items()}
+        out.append({t: x / norm for t, x in v.items()})
     return out
 
 
-def telling(vectors: Mapping[str, Mapping[str, float]], idf: Mapping[str, float], threshold: float) -> list[str]:
-    """Terms without one of which no text reaches the threshold.
+def telling(vectors: Sequence[Mapping[str, float]], idf: Mapping[str, float], threshold: float, there: Collection[str]) -> list[str]:
+    """Terms without one of which no text reaches the threshold; `there` are the terms that occur in any text.
 
     A text's cosine with a template is at most the norm of the template's vector over the terms they share. So the terms
     of each template are added, the heaviest first, until those that are left have a norm below the threshold.
     """
     out: set[str] = set()
-    for v in vectors.values():
-        rest = sorted(v, key=lambda t: (-idf[t], t))
+    for v in vectors:
+        rest = sorted((t for t in v if t in there), key=lambda t: (-idf[t], t))
         while rest and math.sqrt(sum(v[t] ** 2 for t in rest)) >= threshold * (1 - 1e-9):
             out.add(rest.pop(0))
     return sorted(out)
@@ -63,58 +81,86 @@ def _literal(values: Mapping[str, float]) -> Column:
     return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
 
 
-def scan(docs: DataFrame, path: Column, templates: Mapping[str, str] = TEMPLATES, threshold: float = 0.75, file_threshold: float = 0.6, file_share: float = 0.6) -> DataFrame:
-    """One row per document: doc_id, path, licence, score, basis, from_dir, statement.
+def scan(docs: DataFrame, path: Column, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = 0.75, file_threshold: float = 0.6) -> DataFrame:
+    """One row per document: doc_id, path, licence, score, basis, from_dir, statement, licence_file.
 
-    Document frequencies of the templates' terms are counted over all whole texts; words outside the templates have no weight.
-    A line whose cosine with a template is `threshold` or more is a statement; a document's best one gives its licence (basis
-    `statement`; ties: the first name). A text whose cosine as a whole is `file_threshold` or more, and of whose words a share of
-    `file_share` are the templates', is a licence file, and declares the licence of its directory; of several, the best score, then the first name. A document without a statement takes
+    Texts and templates are vectors of TF-IDF over all their words. Document frequencies of the templates' terms are counted over all
+    whole texts; words outside the templates have the mean weight of the templates' terms. The units of a
+    text are its lines, its paragraphs (headers may be wrapped; marks of comments are no words) and the whole text. A unit whose cosine
+    with a template is `threshold` or more is a statement; a document's best one gives its licence (basis
+    `statement`; ties: the first template by licence and place). A file that is named as one is a licence file if
+    its best paragraph or the whole text reaches `file_threshold`; another one whose name has no ending, or that of a
+    plain text, if its whole text reaches `threshold`. It declares the licence of its directory; of several, the best score, then the first
+    licence. A document without a statement takes
     the licence of the nearest of its directories, its own first, that has one (basis `inherited`). Directories, which are far fewer
     than documents, are resolved first; documents are then joined by their directory.
 
-    Lines and texts without a telling term (see `telling`) can't reach a threshold and aren't scored.
+    Units without a telling term (see `telling`) can't reach a threshold and aren't scored.
 
     Edge cases: a null text has no statement; a null path has no directory, and inherits nothing; ids and rows may repeat;
     an empty table gives no rows; templates must hold a term each; other columns are not read.
     """
-    vocabulary = sorted({t for text in templates.values() for t in terms(text)})
+    templates = sorted(templates, key=lambda t: t[0])
+    vocabulary = sorted({t for _, text in templates for t in terms(text)})
     rows = docs.select("doc_id", path.alias("path"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     total = rows.count()
     present = rows.select(F.explode(F.array_intersect(_terms(F.col("text")), F.array(*map(F.lit, vocabulary)))).alias("term"))
     counted = {r.term: r["count"] for r in present.groupBy("term").count().collect()}  # a row a term of the templates
     idf = {t: math.log((1 + total) / (1 + counted.get(t, 0))) + 1 for t in vocabulary}
-    vectors = weights(idf, templates)
-    hint = lambda limit: r"(?i)(?<![a-z0-9.])(?:" + "|".join(map(re.escape, telling(vectors, idf, limit))) + r")(?![a-z0-9])"
-    names, by_term = sorted(vectors), _literal(idf)
+    other = sum(idf.values()) / len(idf)
+    vectors = weights(idf, [text for _, text in templates])
+    low = min(threshold, file_threshold)
+    tell = {limit: telling(vectors, idf, limit, counted) for limit in (threshold, low)}
+
+    def hint(x: Column, limit: float) -> Column:
+        """Whether a line or paragraph has a telling term."""
+        return x.rlike(r"(?i)(?<![a-z0-9.])(?:" + "|".join(map(re.escape, tell[limit])) + r")(?![a-z0-9])") if tell[limit] else F.lit(False)
+
+    by_term = _literal(idf)
 
     def weighed(words: Column) -> Column:
         """The distinct terms and their weights."""
         return F.transform(F.array_sort(F.array_distinct(words)), lambda t: F.struct(t.alias("t"), (F.size(F.filter(words, lambda u: u == t)) * by_term[t]).alias("x")))
 
-    def best(own: Column) -> Column:
-        """The best cosine and its template, as a struct that sorts by cosine (ties: the first name)."""
-        norm = F.sqrt(F.aggregate(own, F.lit(0.0), lambda a, e: a + e["x"] * e["x"]))
+    def squares(words: Column) -> Column:
+        """The sum of the squared frequencies of words, by runs of equal ones."""
+        none = F.struct(F.lit("").alias("word"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
+
+        def step(a: Column, word: Column) -> Column:
+            run = F.when(word == a["word"], a["run"]).otherwise(0.0)
+            return F.struct(word.alias("word"), (run + 1.0).alias("run"), (a["sum"] + 2.0 * run + 1.0).alias("sum"))
+
+        return F.aggregate(F.array_sort(words), none, step)["sum"]
+
+    def best(own: Column, outside: Column) -> Column:
+        """The best cosine and its template, as a struct that sorts by cosine (ties: the first template)."""
+        norm = F.sqrt(F.aggregate(own, outside * other * other, lambda a, e: a + e["x"] * e["x"]))
 
-        def against(k: int, name: str) -> Column:
-            v = _literal(vectors[name])
+        def against(k: int) -> Column:
+            v = _literal(vectors[k])
             dot = F.aggregate(own, F.lit(0.0), lambda a, e: a + e["x"] * F.coalesce(v[e["t"]], F.lit(0.0)))
-            return F.struct((dot / norm).alias("score"), F.lit(-k).alias("place"), F.lit(name).alias("name"))
+            return F.struct((dot / norm).alias("score"), F.lit(-k).alias("place"), F.lit(templates[k][0]).alias("name"))
 
-        return F.when(F.size(own) > 0, F.array_max(F.array(*(against(k, name) for k, name in enumerate(names)))))
+        return F.when(F.size(own) > 0, F.array_max(F.array(*(against(k) for k in range(len(templates))))))
 
     known = F.array(*map(F.lit, vocabulary))
-    words = lambda text: F.filter(_terms(text), lambda t: F.array_contains(known, t))
-    lines = F.filter(F.split("text", "[\r\n]+"), lambda x: x.rlike(hint(threshold)))
-    # The whole text comes first, then its lines; each step reads what the one before it made.
-    units = F.transform(F.concat(F.array("text"), lines), lambda x, i: F.struct(F.when(i > 0, x).alias("line"), words(x).alias("w"), F.when(i == 0, F.size(_terms(x))).alias("n")))
-    units = F.transform(units, lambda e: F.struct(e["line"].alias("line"), weighed(e["w"]).alias("own"), (F.size(e["w"]) / e["n"]).alias("share")))
-    units = F.transform(units, lambda e: F.struct(best(e["own"]).alias("b"), e["line"].alias("line"), e["share"].alias("share")))
-    marked = rows.select("doc_id", "path", F.when(F.col("text").rlike(hint(min(threshold, file_threshold))), units).alias("units"))
-    marked = marked.select("doc_id", "path", F.array_max(F.filter("units", lambda e: e["line"].isNotNull())).alias("own"), F.when(F.element_at("units", 1)["share"] >= file_share, F.element_at("units", 1)["b"]).alias("whole"))
+    words = lambda terms_: F.filter(terms_, lambda t: F.array_contains(known, t))
+    lines = F.filter(F.split("text", "[\r\n]+"), lambda x: hint(x, threshold))
+    paragraphs = F.filter(F.split("text", r"\r?\n[^A-Za-z0-9\r\n]*\r?\n"), lambda x: hint(x, low) & (F.instr(x, "\n") > 0))
+    # The whole text comes first, then paragraphs, then lines; each step reads what the one before it made.
+    kind = lambda units, k: F.transform(units, lambda x: F.struct(x.alias("line"), F.lit(k).alias("kind")))
+    units = F.concat(kind(F.array("text"), 0), kind(paragraphs, 1), kind(lines, 2))
+    units = F.transform(units, lambda e: F.struct(e["line"].alias("line"), e["kind"].alias("kind"), _terms(e["line"]).alias("all")))
+    units = F.transform(units, lambda e: F.struct(e["line"].alias("line"), e["kind"].alias("kind"), words(e["all"]).alias("w"), squares(F.filter(e["all"], lambda t: ~F.array_contains(known, t))).alias("outside")))
+    units = F.transform(units, lambda e: F.struct(e["line"].alias("line"), e["kind"].alias("kind"), weighed(e["w"]).alias("own"), e["outside"].alias("outside")))
+    units = F.transform(units, lambda e: F.struct(best(e["own"], e["outside"]).alias("b"), e["kind"].alias("kind"), F.when(e["kind"] > 0, e["line"]).alias("line")))
+    marked = rows.select("doc_id", "path", F.when(F.arrays_overlap(_terms(F.col("text")), F.array(*map(F.lit, tell[low])).cast("array<string>")), units).alias("units"))
+    named = F.col("path").rlike(LICENCE_NAME)
+    of_file = F.filter("units", lambda e: F.when(named, e["kind"] < 2).otherwise((e["kind"] == 0) & F.col("path").rlike(PLAIN_NAME)))
+    marked = marked.select("doc_id", "path", F.array_max("units").alias("own"), F.array_max(F.transform(of_file, lambda e: e["b"])).alias("whole"))
     directory = F.when(F.instr("path", "/") > 0, F.regexp_extract("path", "^(.*)/[^/]*$", 1))
     marked = marked.select(
-        "doc_id", "path", directory.alias("dir"), F.when(F.col("own.b.score") >= threshold, F.col("own")).alias("own"), F.when(F.col("whole.score") >= file_threshold, F.col("whole")).alias("whole"),
+        "doc_id", "path", directory.alias("dir"), F.when(F.col("own.b.score") >= threshold, F.col("own")).alias("own"), F.when(F.col("whole.score") >= F.when(named, file_threshold).otherwise(threshold), F.col("whole")).alias("whole"),
     )
     marked = save(marked, "licence-rows")
     declared = marked.filter("whole is not null and dir is not null").groupBy("dir").agg(F.max("whole").alias("w"))

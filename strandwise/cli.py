@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.sequence import parse_motifs
 from .operators import denoise, evaluate, frequency, motifs, samples, score
-from .operators.extract import Region, features
+from .operators.extract import Region, failed_reads, features
 from .sources import hdf5, sinks, text
 
 
@@ -21,16 +21,24 @@ def _reads(spark, a):
     return hdf5.reads(spark, a.reads, a.recursive) if a.hdf5 else text.reads(spark, a.reads)
 
 
-def extract(spark, a):
+def _features(spark, a):
     contigs = text.fasta(spark, a.reference).select("name", "len") if a.reference else None
     positions = text.positions(spark, a.positions) if a.positions else None
-    rows = features(_reads(spark, a), parse_motifs(a.motifs, rna=not a.dna), contigs, positions, Region.parse(a.region), a.offset, a.k, a.width, a.label, a.method)
-    sinks.features(rows, a.out, a.gzip, rows_a_file=a.rows_a_file)
+    reads = _reads(spark, a)
+    if a.report:
+        sinks.evaluation(failed_reads(reads), a.report)
+    return features(reads, parse_motifs(a.motifs, rna=not a.dna), contigs, positions, Region.parse(a.region), a.offset, a.k, a.width, a.label, a.method)
+
+
+def extract(spark, a):
+    sinks.features(_features(spark, a), a.out, a.gzip, rows_a_file=a.rows_a_file)
 
 
 def call(spark, a):
+    """Features are read, or made of reads and scored at once, without a file between."""
+    rows = text.features(spark, a.features) if a.features else _features(spark, a)
     model = score.BiLSTM(score.load_weights(spark, a.model), a.branch_layers, a.joined_layers, a.hidden, a.module, a.base, a.length)
-    sinks.calls(score.neural(text.features(spark, a.features), model, a.batch), a.out, a.gzip)
+    sinks.calls(score.neural(rows, model, a.batch), a.out, a.gzip)
 
 
 def freq(spark, a):
@@ -77,10 +85,38 @@ def sample(spark, a):
         samples.complement(rows, picked).select("value").write.text(a.rest)
 
 
+def by_label(spark, a):
+    sinks.features(samples.with_label(text.features(spark, a.features), a.label), a.out)
+
+
+def by_positions(spark, a):
+    sinks.features(samples.at_positions(text.features(spark, a.features), text.positions(spark, a.positions, 2, a.header), a.label), a.out)
+
+
+def shuffle(spark, a):
+    """The lines of one or more files in random order."""
+    rows = None
+    for path in a.rows:
+        lines = text.ordered(spark.read.text(path)).select("value", F.concat(F.lit(f"{path}|"), F.to_json("line")).alias("idx"))
+        rows = lines if rows is None else rows.unionByName(lines)
+    samples.shuffle(rows, a.seed).select("value").write.text(a.out)
+
+
+def contigs(spark, a):
+    sinks.contig_names(text.contig_names(spark, a.reference), a.out)
+
+
+def annotation(spark, a):
+    rows = text.gff3(spark, a.gff)
+    sinks.annotation(rows.filter(F.col("feature").isin(a.features.split(","))) if a.features else rows, a.out)
+
+
 def clean(spark, a):
     rows = text.features(spark, a.features).withColumn("idx", F.monotonically_increasing_id())
     wide = rows.select("*", *(F.col("signal_means")[i].alias(f"m{i}") for i in range(a.k)))
-    kept = denoise.denoise(denoise.written(wide, "denoise-input"), score.Linear(tuple(f"m{i}" for i in range(a.k))), a.iterations, a.rounds, a.score_cf, a.kept_ratio, a.negatives)
+    kept = denoise.denoise(denoise.written(wide, "denoise-input"), score.Linear(tuple(f"m{i}" for i in range(a.k))), a.iterations, a.rounds, a.score_cf, a.kept_ratio, a.negatives, report=(report := []))
+    if a.report:
+        sinks.evaluation(spark.createDataFrame(report), a.report)
     sinks.features(kept.select(rows.columns).drop("idx"), a.out)
 
 
@@ -96,14 +132,20 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--out", required=True)
 
     need, flag = {"required": True}, {"type": yes, "default": False}
-    command(
-        extract, "features of sites from reads", ("--reads", need), ("--hdf5", flag), ("--recursive", {"type": yes, "default": True}), ("--reference", {}), ("--positions", {}), ("--region", {}), ("--motifs", {"default": "CG"}), ("--offset", {"type": int, "default": 0}),
-        ("--dna", {"type": yes, "default": True}), ("--k", {"type": int, "default": 13}), ("--width", {"type": int, "default": 16}), ("--label", {"type": int, "default": 1}), ("--method", {"default": "mad", "choices": ["mad", "zscore"]}), ("--gzip", flag), ("--rows_a_file", {"type": int, "default": 0}),
+    reading = (
+        ("--hdf5", flag), ("--recursive", {"type": yes, "default": True}), ("--reference", {}), ("--positions", {}), ("--region", {}), ("--motifs", {"default": "CG"}), ("--offset", {"type": int, "default": 0}),
+        ("--dna", {"type": yes, "default": True}), ("--k", {"type": int, "default": 13}), ("--width", {"type": int, "default": 16}), ("--label", {"type": int, "default": 1}), ("--method", {"default": "mad", "choices": ["mad", "zscore"]}), ("--report", {"help": "where counts of reads and failures go"}),
     )
+    command(extract, "features of sites from reads", ("--reads", need), *reading, ("--gzip", flag), ("--rows_a_file", {"type": int, "default": 0}))
     command(
-        call, "calls from features", ("--features", need), ("--model", need), ("--branch_layers", {"type": int, "default": 1}), ("--joined_layers", {"type": int, "default": 3}), ("--hidden", {"type": int, "default": 256}),
+        call, "calls from features or reads", ("--features", {}), ("--reads", {}), *reading, ("--model", need), ("--branch_layers", {"type": int, "default": 1}), ("--joined_layers", {"type": int, "default": 3}), ("--hidden", {"type": int, "default": 256}),
         ("--module", {"default": "both", "choices": ["both", "seq", "signal"]}), ("--base", {"type": yes, "default": True}), ("--length", {"type": yes, "default": True}), ("--batch", {"type": int, "default": 512}), ("--gzip", flag),
     )
+    command(by_label, "features of one label", ("--features", need), ("--label", need | {"type": int}))
+    command(by_positions, "features at positions, with another label if given", ("--features", need), ("--positions", need), ("--header", flag), ("--label", {"type": int}))
+    command(shuffle, "lines of files in random order", ("--rows", need | {"nargs": "+"}), ("--seed", {"type": int, "default": 0}))
+    command(contigs, "names of contigs", ("--reference", need))
+    command(annotation, "rows of an annotation as GFF3", ("--gff", need), ("--features", {}))
     command(freq, "frequencies of sites from calls", ("--calls", need | {"nargs": "+"}), ("--contains", {}), ("--contigs", {}), ("--prob_cf", {"type": float, "default": 0.5}), ("--bed", flag), ("--sort", flag), ("--gzip", flag))
     command(combine, "sum frequency files", ("--freq", need | {"nargs": "+"}), ("--bed", flag), ("--sort", flag), ("--gzip", flag))
     command(strands, "sum both strands of CG sites", ("--freq", need), ("--reference", need), ("--bed", flag))
@@ -111,7 +153,7 @@ def parser() -> argparse.ArgumentParser:
     command(split, "rows by motif", ("--rows", need), ("--calls", flag), ("--reference", {}))
     command(quality, "evaluate calls", ("--methylated", need | {"nargs": "+"}), ("--unmethylated", need | {"nargs": "+"}), ("--sites", {"type": int, "default": 100_000}))
     command(sample, "random lines", ("--rows", need), ("--n", need | {"type": int}), ("--seed", {"type": int, "default": 0}), ("--rest", {}))
-    command(clean, "denoise training samples", ("--features", need), ("--k", {"type": int, "default": 13}), ("--iterations", {"type": int, "default": 10}), ("--rounds", {"type": int, "default": 3}), ("--score_cf", {"type": float, "default": 0.5}), ("--kept_ratio", {"type": float, "default": 0.99}), ("--negatives", flag))
+    command(clean, "denoise training samples", ("--features", need), ("--k", {"type": int, "default": 13}), ("--iterations", {"type": int, "default": 10}), ("--rounds", {"type": int, "default": 3}), ("--score_cf", {"type": float, "default": 0.5}), ("--kept_ratio", {"type": float, "default": 0.99}), ("--negatives", flag), ("--report", {}))
     return top
 
 

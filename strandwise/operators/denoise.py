@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -12,10 +13,12 @@ from . import samples as P
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage with a table in the folder that the cluster shares (spark.checkpoint.dir), or a checkpoint where that is unset."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df
+    """Cut lineage with a table in the folder that the cluster shares (spark.checkpoint.dir); a local session may leave that unset."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = folder or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
@@ -54,10 +57,11 @@ def kept_ratio(rows: DataFrame, kept: DataFrame, negatives_too: bool = False) ->
     return both.select("all_pos", "all_neg", "kept_pos", "kept_neg", ((pos + neg) / 2 if negatives_too else pos).alias("ratio"))
 
 
-def denoise(rows: DataFrame, scorer, iterations: int = 10, n: int = 3, score_cf: float = 0.5, ratio: float = 0.99, negatives_too: bool = False, seed: int = 0) -> DataFrame:
+def denoise(rows: DataFrame, scorer, iterations: int = 10, n: int = 3, score_cf: float = 0.5, ratio: float = 0.99, negatives_too: bool = False, seed: int = 0, report: list | None = None) -> DataFrame:
     """Repeat: score in rounds, keep what is likely right, balance negatives to the positives' k-mers; until few rows go.
 
-    Only counts come to the driver. Each iteration's rows are written, so plans don't grow.
+    Only counts come to the driver. Each iteration's rows are written, so plans don't grow. `report`, a list, gets a dictionary for
+    each iteration: its number, what there was, what was kept, and the share.
     """
     pool = rows.filter(F.col("methy_label") != 1)
     for i in range(iterations):
@@ -66,6 +70,8 @@ def denoise(rows: DataFrame, scorer, iterations: int = 10, n: int = 3, score_cf:
         positive = kept.filter(F.col("methy_label") == 1)
         negative = kept.filter(F.col("methy_label") != 1) if negatives_too else pool
         share = kept_ratio(rows, kept, negatives_too).first()
+        if report is not None:
+            report.append({"iteration": i, **share.asDict()})
         rows = written(positive.unionByName(P.select_like(positive, negative, seed + i)), "denoise-rows")
         if share.kept_pos == 0 or share.ratio >= ratio:
             break

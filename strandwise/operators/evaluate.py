@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import divided
@@ -29,6 +29,13 @@ def confusion(calls: DataFrame) -> DataFrame:
     )
 
 
+def batch_accuracy(calls: DataFrame, number: Column, batch: int = 512) -> DataFrame:
+    """The mean of the accuracies of batches of `batch` rows, by the rows' numbers (from 0); the last may be smaller."""
+    right = (F.col("called_label") == 1) == F.col("truth")
+    each = calls.groupBy(F.floor(number / batch).alias("_b")).agg(F.avg(right.cast("double")).alias("accuracy"))
+    return each.agg(F.count(F.lit(1)).alias("batches"), F.avg("accuracy").alias("mean_accuracy"))
+
+
 def auroc(calls: DataFrame) -> DataFrame:
     """The area under the ROC curve by prob_1, 0 with one class only.
 

@@ -51,15 +51,20 @@ def bin_join(reads: DataFrame, regions: DataFrame, width: int = 10_000) -> DataF
     return both.filter(over & (F.col("bin") == F.floor(F.greatest("read_start", "region_start") / width))).drop("bin")
 
 
-def usable(reads: DataFrame) -> DataFrame:
-    """Reads whose parts are all there and whose events lie within their signal; a read that fails goes whole."""
+def is_usable() -> Column:
+    """Whether a read's parts are all there and its events lie within its signal."""
     fits = F.forall("events", lambda e: (e["start"] >= 0) & (e["start"] + e["length"] <= F.size("raw")))
     known = F.col("chrom").isNotNull() & (F.col("chrom") != "") & F.col("chrom_start").isNotNull() & F.col("align_strand").isin("+", "-")
-    return reads.filter(known & F.col("raw").isNotNull() & (F.size("events") > 0) & fits & (F.col("digitisation") != 0))
+    return F.coalesce(known & F.col("raw").isNotNull() & (F.size("events") > 0) & fits & (F.col("digitisation") != 0), F.lit(False))
+
+
+def usable(reads: DataFrame) -> DataFrame:
+    """Reads that are usable; a read that fails goes whole."""
+    return reads.filter(is_usable())
 
 
 def failed_reads(reads: DataFrame) -> DataFrame:
-    return reads.agg(F.count(F.lit(1)).alias("reads")).crossJoin(usable(reads).agg(F.count(F.lit(1)).alias("used"))).select("reads", (F.col("reads") - F.col("used")).alias("failed"))
+    return reads.agg(F.count(F.lit(1)).alias("reads"), F.count_if(~is_usable()).alias("failed"))
 
 
 def features(

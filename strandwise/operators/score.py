@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import sequence as S
 
-CODES = {b: i for i, b in enumerate(S.DNA_CODES)}
+#: The code of a base by its byte; letters without one count as N.
+CODES = np.full(256, S.DNA_CODES.index("N"))
+CODES[[ord(b) for b in S.DNA_CODES]] = np.arange(len(S.DNA_CODES))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -137,7 +139,7 @@ def neural(rows: DataFrame, model: BiLSTM, batch: int = 512) -> DataFrame:
             for i in range(0, len(frame), batch):
                 f = frame.iloc[i : i + batch]
                 stack = lambda c: np.array([np.asarray(x, dtype=np.float32) for x in f[c]])
-                bases = np.array([[CODES[b] for b in k] for k in f["k_mer"]])
+                bases = CODES[np.frombuffer("".join(f["k_mer"]).upper().encode("latin-1", "replace"), dtype=np.uint8)].reshape(len(f), -1)
                 signals = np.array([[np.asarray(s, dtype=np.float32) for s in site] for site in f["raw_signals"]])
                 p = shared.value(bases, stack("signal_means"), stack("signal_stds"), stack("signal_lens"), signals).astype(float)
                 yield f.drop(columns=["signal_means", "signal_stds", "signal_lens", "raw_signals"]).assign(p0=p[:, 0], p1=p[:, 1])

@@ -106,6 +106,13 @@ select {CLASS.format('three')} as motif, count(*) as n from both_ where three li
     "q_rect_pad": f"{SAMPLE} select read_id, i + 1 as i, v from s where i < 5 union all select read_id, j, 0.0 from reads, (select unnest([0, 6, 7]) as j)",
     "q_rect_sample": f"{SAMPLE}, p as (select *, row_number() over (partition by read_id order by md5('3|' || read_id || '|' || i), i) as r from s) select read_id, row_number() over (partition by read_id order by i) - 1 as i, v from p where r <= 6",
     "q_features": f"with {located(5, "'C'", 1)} select chrom, pos, strand as alignstrand, case chrom when 'chr1' then case when strand = '-' then 99999 - pos else pos end when 'chr2' then case when strand = '-' then 199999 - pos else pos end when 'chr3' then case when strand = '-' then 299999 - pos else pos end else -1 end as pos_in_strand, read_id as readname, k_mer from located",
+    "q_feature_signals": f"""with {located(5, "'C'", 1)}, s as (select read_id, unnest(range(0, len(raw))) as i, unnest(raw) as v from reads),
+  m as (select read_id, median(v) as m from s group by 1), d as (select read_id, median(abs(v - m)) as d from s join m using (read_id) group by 1),
+  z as (select read_id, i // 4 as base, i % 4 as r, round_even((v - m) / (d / 0.6744897501960817::double), 6) as v from s join m using (read_id) join d using (read_id)),
+  g as (select read_id, base, avg(v) as mean, stddev_pop(v) as std, count(*) as n from z group by 1, 2),
+  b as (select chrom, pos, strand, read_id, i + j as base, j + 2 as at from located, (select unnest(range(-2, 3)) as j))
+select chrom, pos, strand as alignstrand, read_id as readname, at, round(mean, 4) + 0.0 as mean, round(std, 4) as std, n, p as r, coalesce(round(v, 4), 0.0) + 0.0 as v
+from b join g using (read_id, base) cross join (select unnest(range(0, 6)) as p) left join z on z.read_id = b.read_id and z.base = b.base and z.r = p - 1""",
     "q_features_region": f"with {located(3, "'CA', 'CG'", 2)} select chrom, pos, strand as alignstrand, read_id as readname, k_mer from located where chrom = 'chr2' and pos >= 1000 and pos < 2500 and chrom_start < 2500 and chrom_start + 16 > 1000",
     "q_features_positions": f"with {CALLS}, {located(3, "'C'", 1)} select l.chrom, l.pos, l.strand as alignstrand, read_id as readname, l.k_mer from located l semi join (select * from calls where pos % 7 = 0) c on l.chrom = c.chrom and l.pos = c.pos and l.strand = c.strand",
     "q_interval_join": f"with {READS} select read_id as read_read_id, p_partkey as region_p_partkey from reads join part on chrom = 'chr' || (p_partkey % 5 + 1) and chrom_start < p_partkey + p_size and chrom_start + 16 > p_partkey",
@@ -132,6 +139,7 @@ select k_mer, count(*) as n from (select k_mer from one union all select k_mer f
     "q_clean_samples": f"with {SCORES} select chrom, methy_label, count(*) as n from samples join stats using (idx) where {KEEP} group by 1, 2",
     "q_kept_ratio": f"with {SCORES}, k as (select methy_label, {KEEP} as keep from samples join stats using (idx)), c as (select count(*) filter (methy_label = 1) as all_pos, count(*) filter (methy_label <> 1) as all_neg, count(*) filter (methy_label = 1 and keep) as kept_pos, count(*) filter (methy_label <> 1 and keep) as kept_neg from k) select *, (kept_pos::double / all_pos + kept_neg::double / all_neg) / 2 as ratio from c",
     "q_denoise_round": f"with {CALLS} select cast(floor(cast(prob_1 as double) * 10) as bigint) as decile, count(*) as n from calls group by 1",
+    "q_batch_accuracy": f"with {CALLS} select count(*) as batches, round(avg(a), 9) as mean_accuracy from (select avg(case when (called_label = 1) = truth then 1.0::double else 0.0 end) as a from calls group by ord1 // 512)",
     "q_confusion": f"with {CALLS} {CONFUSION.format('calls')}",
     "q_auroc": f"with {CALLS}, s as (select prob_1, count(*) filter (truth) as p, count(*) filter (not truth) as q from calls group by 1), a as (select p * (coalesce(sum(q) over (order by prob_1 rows between unbounded preceding and 1 preceding), 0) + q / 2.0) as a, p, q from s) select round(cast(sum(a) as double) / cast(sum(p) * sum(q) as double), 10) as auc from a",
     "q_threshold_sweep": f"""with {CALLS}, t as (select unnest(range(0, 28)) * 25 / 1000.0::double as cf), g as (select cast(prob_1 - prob_0 as double) as gap, truth, count(*) as n from calls group by 1, 2),

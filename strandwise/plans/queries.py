@@ -169,6 +169,15 @@ def q_features(spark, d):
     return f.select("chrom", "pos", "alignstrand", "pos_in_strand", "readname", "k_mer")
 
 
+@query
+def q_feature_signals(spark, d):
+    """What extraction makes of the signal: for each base of each site its mean, deviation, length and rectangle."""
+    f = extract.features(V.signals(spark, d), ["C"], k=5, width=6)
+    each = f.select("chrom", "pos", "alignstrand", "readname", F.posexplode(F.arrays_zip("signal_means", "signal_stds", "signal_lens", "raw_signals")).alias("at", "x"))
+    stats = each.select("chrom", "pos", "alignstrand", "readname", "at", F.round("x.signal_means", 4).alias("mean"), F.round("x.signal_stds", 4).alias("std"), F.col("x.signal_lens").alias("n"), F.posexplode("x.raw_signals").alias("r", "v"))
+    return stats.withColumn("v", F.round("v", 4) + F.lit(0.0)).withColumn("mean", F.col("mean") + F.lit(0.0))
+
+
 @query
 def q_features_region(spark, d):
     f = extract.features(V.signals(spark, d), ["CA", "CG"], region=extract.Region("chr2", 1000, 2500), k=3)
@@ -293,6 +302,11 @@ def q_denoise(spark, d):
     return kept.groupBy("methy_label").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def q_batch_accuracy(spark, d):
+    return evaluate.batch_accuracy(V.calls(spark, d), F.col("ord1"), 512).withColumn("mean_accuracy", F.round("mean_accuracy", 9))
+
+
 @query
 def q_confusion(spark, d):
     return evaluate.confusion(V.calls(spark, d))

@@ -41,5 +41,17 @@ def frequencies(df: DataFrame, path: str, bed: bool = False, sort: bool = False,
         tsv(rows.select("chrom", "pos", "strand", "pos_in_strand", fixed("prob_0_sum", 3), fixed("prob_1_sum", 3), "met", "unmet", "coverage", fixed("rmet", 4), "k_mer"), path, gzip)
 
 
+def contig_names(df: DataFrame, path: str) -> None:
+    """A name a line, sorted, each once."""
+    df.select("name").distinct().orderBy("name").write.text(path)
+
+
+def annotation(df: DataFrame, path: str) -> None:
+    """Annotation rows as GFF3 lines, starts from 1 again, attributes in the order of their keys."""
+    pairs = F.transform(F.array_sort(F.map_entries("attrs")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    columns = [F.col(c) for c in ("chrom", "source", "feature")] + [F.col("start") + 1, F.col("end")] + [F.col(c) for c in ("score", "strand", "phase")] + [F.array_join(pairs, ";")]
+    df.select(F.array_join(F.array(*(c.cast("string") for c in columns)), "\t", ".").alias("value")).write.text(path)
+
+
 def evaluation(df: DataFrame, path: str) -> None:
     tsv(df, path, one_file=True, header=True)

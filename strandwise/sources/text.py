@@ -73,11 +73,11 @@ def contig_names(spark: SparkSession, source: str) -> DataFrame:
 
 
 def positions(spark: SparkSession, path: str, columns: int = 3, header: bool = False) -> DataFrame:
-    """Distinct chrom, pos and, of three columns, strand; a line with fewer columns is an error."""
-    lines = spark.read.text(path)
+    """Distinct chrom, pos and, of three columns, strand; a line with fewer columns is an error. With `header`, each file has one."""
+    # Spark leaves out the header of each file, however files are split; a line is one column, as nothing parts it.
+    whole = spark.read.schema("value string").option("sep", "\x01").option("quote", "")
+    lines = whole.option("header", True).csv(path) if header else spark.read.text(path)
     words = F.split(F.rtrim("value"), r"\s+")
-    if header:
-        lines = ordered(lines).filter(F.col("line.at") % F.lit(1 << 33) != 0).select("value")
     short = F.raise_error(F.concat(F.lit(f"fewer than {columns} columns: "), F.col("value")))
     cells = lines.filter(F.length(F.trim("value")) > 0).select(F.when(F.size(words) >= columns, words).otherwise(short.cast("array<string>")).alias("w"))
     picked = [F.col("w")[0].alias("chrom"), F.col("w")[1].alias("pos")] + ([F.col("w")[2].alias("strand")] if columns > 2 else [])

@@ -147,6 +147,72 @@ def test_neural_scores_do_not_depend_on_batches(spark):
     assert {c for r in score.neural(rows, model).collect() for c in [r.called_label]} <= {0, 1}
 
 
+def test_network_against_plain_loops():
+    """One layer a branch and two joined, over three bases, by loops over units, steps and gates."""
+    model = score.BiLSTM.random(5, 3, 4, 6, joined_layers=2)
+    w, sig = model.weights, lambda x: 1 / (1 + math.exp(-x))
+    rng = np.random.default_rng(2)
+    bases, means, stds, lens, signals = rng.integers(0, 5, (1, 3)), rng.normal(size=(1, 3)), rng.random((1, 3)), rng.integers(1, 9, (1, 3)), rng.normal(size=(1, 3, 4))
+    dot = lambda a, b: sum(float(x) * float(y) for x, y in zip(a, b, strict=True))
+
+    def lstm(xs, name, layers):
+        for layer in range(layers):
+            ways = []
+            for way, steps in (("", xs), ("_reverse", xs[::-1])):
+                wi, wh, b = (w[f"{name}.{k}_l{layer}{way}"] for k in ("weight_ih", "weight_hh", "bias"))
+                n = len(b) // 4
+                h, c, out = [0.0] * n, [0.0] * n, []
+                for x in steps:
+                    gate = [dot(wi[r], x) + dot(wh[r], h) + float(b[r]) for r in range(4 * n)]
+                    c = [sig(gate[n + u]) * c[u] + sig(gate[u]) * math.tanh(gate[2 * n + u]) for u in range(n)]
+                    h = [sig(gate[3 * n + u]) * math.tanh(c[u]) for u in range(n)]
+                    out.append(h)
+                ways.append(out if not way else out[::-1])
+            xs = [f + r for f, r in zip(*ways, strict=True)]
+        return xs
+
+    linear = lambda x, name: [dot(row, x) + float(b) for row, b in zip(w[f"{name}.weight"], w[f"{name}.bias"], strict=True)]
+    relu = lambda x: [max(0.0, v) for v in x]
+    seq = [[*w["embed"][bases[0, t]], means[0, t], stds[0, t], lens[0, t]] for t in range(3)]
+    joined = [a + b for a, b in zip(*([relu(linear(x, f"{name}_fc")) for x in lstm(xs, name, 1)] for name, xs in (("seq", seq), ("signal", [list(x) for x in signals[0]]))), strict=True)]
+    last = lstm(joined, "joined", 2)
+    n = len(last[0]) // 2
+    top = linear(relu(linear(last[2][:n] + last[0][n:], "fc1")), "fc2")
+    want = [math.exp(x) / sum(map(math.exp, top)) for x in top]
+    assert np.allclose(model(bases, means, stds, lens, signals)[0], want, atol=1e-5)
+
+
+def test_unknown_bases_count_as_n(spark):
+    rows = extract.features(V.signals(spark, D), ["C"], k=5, width=6).limit(5)
+    model = score.BiLSTM.random(1, 5, 6, 8)
+    scores = lambda k: sorted(r.prob_1 for r in score.neural(rows.withColumn("k_mer", F.lit(k)), model).collect())
+    assert scores("acnxT") == scores("ACNNT") and len(scores("ACNNT")) == 5
+
+
+def test_headers_of_positions(spark, tmp_path):
+    """Each file's header is left out, and nothing else, however the files are split."""
+    for k in range(6):
+        (tmp_path / f"{k}.txt").write_text("chrom\tpos\tstrand\n" + "".join(f"chr{k}\t{i}\t+\n" for i in range(3000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        found = text.positions(spark, str(tmp_path), header=True)
+        assert found.count() == 18_000 and found.filter("pos is null or chrom = 'chrom'").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_names_and_annotation_are_written(spark, tmp_path):
+    (tmp_path / "x.fa").write_text(">b one\nAC\n>a\nGG\n")
+    sinks.contig_names(text.contig_names(spark, f"{tmp_path}/x.fa"), f"{tmp_path}/names")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/names").collect()] == ["a", "b"]
+    (tmp_path / "x.gff3").write_text("##gff-version 3\nchr1\tmade\tgene\t5\t9\t.\t+\t.\tID=gene:g1;Name=n\n")
+    rows = text.gff3(spark, f"{tmp_path}/x.gff3")
+    sinks.annotation(rows, f"{tmp_path}/out")
+    again = text.gff3(spark, f"{tmp_path}/out")
+    assert [tuple(r) for r in again.collect()] == [tuple(r) for r in rows.collect()] and rows.first().start == 4
+
+
 def test_select_like_fills_up(spark):
     pos = spark.createDataFrame([(i, "A" if i < 6 else "B") for i in range(10)], "idx int, k_mer string")
     neg = spark.createDataFrame([(i, "A" if i < 3 else "C" if i < 20 else "B") for i in range(40)], "idx int, k_mer string")

@@ -109,10 +109,10 @@ select {CLASS.format('three')} as motif, count(*) as n from both_ where three li
     "q_feature_signals": f"""with {located(5, "'C'", 1)}, s as (select read_id, unnest(range(0, len(raw))) as i, unnest(raw) as v from reads),
   m as (select read_id, median(v) as m from s group by 1), d as (select read_id, median(abs(v - m)) as d from s join m using (read_id) group by 1),
   z as (select read_id, i // 4 as base, i % 4 as r, round_even((v - m) / (d / 0.6744897501960817::double), 6) as v from s join m using (read_id) join d using (read_id)),
-  g as (select read_id, base, avg(v) as mean, stddev_pop(v) as std, count(*) as n from z group by 1, 2),
-  b as (select chrom, pos, strand, read_id, i + j as base, j + 2 as at from located, (select unnest(range(-2, 3)) as j))
-select chrom, pos, strand as alignstrand, read_id as readname, at, round(mean, 4) + 0.0 as mean, round(std, 4) as std, n, p as r, coalesce(round(v, 4), 0.0) + 0.0 as v
-from b join g using (read_id, base) cross join (select unnest(range(0, 6)) as p) left join z on z.read_id = b.read_id and z.base = b.base and z.r = p - 1""",
+  g as (select read_id, base, round_even(avg(v), 6) as mean, round_even(stddev_pop(v), 6) as std, count(*) as n from z group by 1, 2),
+  b as (select chrom, pos, strand, read_id, i + j as base, j + 2 as place from located, (select unnest(range(-2, 3)) as j))
+select chrom, pos, strand as alignstrand, read_id as readname, place, cast(floor(mean * 1000 + 0.30303::double) as bigint) as mean, cast(floor(std * 1000 + 0.30303::double) as bigint) as std, n, k as r, cast(floor(coalesce(v, 0.0) * 1000 + 0.30303::double) as bigint) as v
+from b join g using (read_id, base) cross join (select unnest(range(0, 6)) as k) left join z on z.read_id = b.read_id and z.base = b.base and z.r = k - 1""",
     "q_features_region": f"with {located(3, "'CA', 'CG'", 2)} select chrom, pos, strand as alignstrand, read_id as readname, k_mer from located where chrom = 'chr2' and pos >= 1000 and pos < 2500 and chrom_start < 2500 and chrom_start + 16 > 1000",
     "q_features_positions": f"with {CALLS}, {located(3, "'C'", 1)} select l.chrom, l.pos, l.strand as alignstrand, read_id as readname, l.k_mer from located l semi join (select * from calls where pos % 7 = 0) c on l.chrom = c.chrom and l.pos = c.pos and l.strand = c.strand",
     "q_interval_join": f"with {READS} select read_id as read_read_id, p_partkey as region_p_partkey from reads join part on chrom = 'chr' || (p_partkey % 5 + 1) and chrom_start < p_partkey + p_size and chrom_start + 16 > p_partkey",

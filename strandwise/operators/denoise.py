@@ -2,26 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import divided
 from . import samples as P
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage with a table in the folder that the cluster shares (spark.checkpoint.dir); a local session may leave that unset."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = folder or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+from .tables import written
 
 
 def rounds(rows: DataFrame, scorer, n: int = 3, seed: int = 0) -> DataFrame:

@@ -29,9 +29,14 @@ def triplets(contigs: DataFrame) -> DataFrame:
 
 
 def classify_by_reference(rows: DataFrame, contigs: DataFrame, pos: str = "pos") -> DataFrame:
-    """Add the motif by the reference's three bases from a site on, on its strand; null where it has none."""
-    known = triplets(contigs).select("chrom", F.col("pos").alias(pos), "strand", S.motif_class(F.col("three")).alias("motif"))
-    return rows.join(known, ["chrom", pos, "strand"], "left")
+    """Add the motif by the reference's three bases from a site on, on its strand; null where it has none.
+
+    A row meets the tile of the reference that its site lies in, and three bases are cut from that.
+    """
+    tiles = S.tiles(contigs, 2, 2).select(F.col("name").alias("_chrom"), F.floor(F.col("begin") / 512).alias("_tile"), F.col("first").alias("_first"), F.col("part").alias("_part"))
+    met = rows.join(tiles, (F.col("chrom") == F.col("_chrom")) & (F.floor(F.col(pos) / 512) == F.col("_tile")), "left")
+    three = F.when(F.col("strand").isin("+", "-"), S.triplet(F.col("_part"), F.col(pos) - F.col("_first"), F.col("strand")))
+    return met.withColumn("motif", S.motif_class(three)).drop("_chrom", "_tile", "_first", "_part")
 
 
 def split(classified: DataFrame, path: str) -> None:

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import written
+
+#: Rows are dealt to 16 to this power buckets by the first digits of their chance.
+DIGITS = 3
+
 
 def chance(seed: int, *keys: str) -> Column:
     """A value that orders rows at random, the same in each run and engine."""
@@ -22,9 +27,21 @@ def at_positions(rows: DataFrame, positions: DataFrame, label: int | None = None
     return kept if label is None else kept.withColumn("methy_label", F.lit(label))
 
 
-def sample(rows: DataFrame, n: int, seed: int = 0, key: str = "idx") -> DataFrame:
-    """n rows (all, if there are fewer). Spark keeps the best n of each task, so rows aren't sorted as a whole."""
-    return rows.orderBy(chance(seed, key), key).limit(n)
+def sample(rows: DataFrame, n: int, seed: int = 0, key: str = "idx", few: int = 100_000) -> DataFrame:
+    """n rows (all, if there are fewer): those of the least chance.
+
+    Up to `few`, Spark keeps the best n of each task and merges those. More are taken by whole buckets of the chance's first five
+    digits, counted first, and only the bucket in which the last row lies is sorted; so no task holds n rows.
+    """
+    if n <= few:
+        return rows.orderBy(chance(seed, key), key).limit(n)
+    rows = rows.withColumn("_b", F.conv(F.substring(chance(seed, key), 1, 5), 16, 10).cast("int"))
+    upto = F.sum("m").over(Window.orderBy("_b"))  # a row a bucket, 16 ** 5 at most
+    last = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("m")).withColumn("upto", upto).filter(F.col("upto") >= n).orderBy("_b").first()
+    if last is None:
+        return rows.drop("_b")
+    edge = rows.filter(F.col("_b") == last["_b"]).orderBy(chance(seed, key), key).limit(n - last.upto + last.m)
+    return rows.filter(F.col("_b") < last["_b"]).unionByName(edge).drop("_b")
 
 
 def complement(rows: DataFrame, picked: DataFrame, key: str = "idx") -> DataFrame:
@@ -62,36 +79,56 @@ def kmer_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.agg(F.count_if(F.col("a") & F.col("b")).alias("common"), F.count_if(F.col("b").isNull()).alias("only_a"), F.count_if(F.col("a").isNull()).alias("only_b"))
 
 
+def _bucket(seed: int) -> Column:
+    return F.substring(chance(seed, "idx"), 1, DIGITS)
+
+
 def select_like(positive: DataFrame, negative: DataFrame, seed: int = 0) -> DataFrame:
     """Negative rows whose k-mers are spread as the positive ones'.
 
     Of a k-mer that positives have, ceil(total * ratio) rows; if these are fewer than the positives, the rest is shared
     evenly among the other k-mers; what still lacks comes from the rows that are left. Quotas come from counts of k-mers, so
-    the three steps are one ranking within k-mers and one choice among what is left.
+    the three steps are one ranking within k-mers and one choice among what is left. A k-mer's rows are ranked in buckets, so a
+    frequent one isn't sorted in one task.
     """
-    ratios = kmer_ratios(positive).select("k_mer", "total", "ratio")
-    have = kmer_counts(negative).join(ratios, "k_mer", "left")
-    total = positive.count()
-    have = have.withColumn("_quota", F.when(F.col("ratio").isNotNull(), F.ceil(F.lit(total) * F.col("ratio"))))
+    ratios = written(kmer_ratios(positive).select("k_mer", "n", "ratio"), "ratios")
+    total = ratios.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = written(negative.groupBy("k_mer", _bucket(seed).alias("_b")).agg(F.count(F.lit(1)).alias("m")), "buckets")
+    have = buckets.groupBy("k_mer").agg(F.sum("m").alias("n")).join(ratios.select("k_mer", "ratio"), "k_mer", "left")
+    have = written(have.withColumn("_quota", F.when(F.col("ratio").isNotNull(), F.ceil(F.lit(total) * F.col("ratio")))), "quotas")
     sums = have.agg(F.coalesce(F.sum(F.when(F.col("_quota").isNotNull(), F.least("_quota", "n"))), F.lit(0)).alias("got"), F.count_if(F.col("_quota").isNull()).alias("others")).first()
     lack = total - sums.got
     share = -(-lack // sums.others) if lack > 0 and sums.others else 0
     quotas = have.select("k_mer", F.coalesce(F.col("_quota"), F.lit(share)).cast("long").alias("_quota"))
-    rank = F.row_number().over(Window.partitionBy("k_mer").orderBy(chance(seed, "idx"), "idx"))
-    ranked = negative.join(quotas, "k_mer").withColumn("_r", rank)
+    before = F.sum("m").over(Window.partitionBy("k_mer").orderBy("_b")) - F.col("m")
+    placed = buckets.select("k_mer", "_b", before.alias("_before")).join(quotas, "k_mer")
+    rank = F.row_number().over(Window.partitionBy("k_mer", "_b").orderBy(chance(seed, "idx"), "idx"))
+    ranked = negative.withColumn("_b", _bucket(seed)).join(placed, ["k_mer", "_b"]).withColumn("_r", F.col("_before") + rank).drop("_b", "_before")
     picked = ranked.filter(F.col("_r") <= F.col("_quota")).drop("_r", "_quota")
     # Rows of other k-mers are in the pool only if a share of theirs was taken.
     taken = have.select(F.sum(F.least(F.coalesce(F.col("_quota"), F.lit(share)), F.col("n")))).first()[0] or 0
     if taken >= total:
         return picked
     pool = ranked.filter(F.col("_r") > F.col("_quota")).join(have.filter(F.col("_quota").isNotNull() | F.lit(share > 0)).select("k_mer"), "k_mer", "left_semi")
-    rest = pool.orderBy(chance(seed + 1, "idx"), "idx").limit(int(total - taken)).drop("_r", "_quota")
-    return picked.unionByName(rest)
+    return picked.unionByName(sample(pool.drop("_r", "_quota"), int(total - taken), seed + 1))
 
 
 def read_runs(rows: DataFrame, reads: int, order: list[str], within: str) -> DataFrame:
-    """Number the runs of consecutive rows of one read, and batches of so many runs, within each `within` (a file)."""
-    w = Window.partitionBy(within).orderBy(*order)
-    new = F.when(F.lag("readname").over(w).eqNullSafe(F.col("readname")), 0).otherwise(1)
-    runs = rows.withColumn("_new", new).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("_new")
-    return runs.withColumn("batch", F.floor(F.col("run") / reads))
+    """Number the runs of consecutive rows of one read, and batches of so many runs, within each `within` (a file).
+
+    Rows are range-partitioned by file and order. Runs are numbered within each piece; then, from one row a piece, come the runs
+    before it, less one where a run goes on from the piece before.
+    """
+    pieces = written(rows.repartitionByRange(within, *order).withColumn("_p", F.spark_partition_id()), "pieces")
+    w = Window.partitionBy(within, "_p").orderBy(*order)
+    new = F.when(F.row_number().over(w) == 1, 1).when(F.lag("readname").over(w).eqNullSafe(F.col("readname")), 0).otherwise(1)
+    runs = pieces.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    place = F.struct(*order)
+    ends = runs.groupBy(within, "_p").agg(F.max("_run").alias("n"), F.min_by(F.struct("readname"), place).alias("first"), F.max_by(F.struct("readname"), place).alias("last"))
+    files = Window.partitionBy(within).orderBy("_p")  # a row a piece
+    ends = ends.withColumn("on", F.lag("last").over(files).eqNullSafe(F.col("first")).cast("int"))
+    net = F.col("n") - F.col("on")
+    ends = ends.select(F.col(within).alias("_w"), F.col("_p").alias("_q"), (F.sum(net).over(files) - F.col("n")).alias("_before"))
+    at = runs[within].eqNullSafe(ends["_w"]) & (runs["_p"] == ends["_q"])
+    numbered = runs.join(ends, at).withColumn("run", F.col("_run") + F.col("_before") - 1)
+    return numbered.drop("_new", "_run", "_before", "_p", "_w", "_q").withColumn("batch", F.floor(F.col("run") / reads))

@@ -103,7 +103,7 @@ select {CLASS.format('three')} as motif, count(*) as n from both_ where three li
     "q_zscore": f"{SAMPLE} select s.read_id, i, round((v - m) / sd, 4) + 0.0 as v from s join (select read_id, avg(v) as m, stddev_pop(v) as sd from s group by 1) g using (read_id)",
     "q_mad": f"{SAMPLE}, m as (select read_id, median(v) as m from s group by 1), d as (select read_id, median(abs(v - m)) as d from s join m using (read_id) group by 1) select read_id, i, round((v - m) / (d / 0.6744897501960817::double), 4) + 0.0 as v from s join m using (read_id) join d using (read_id)",
     "q_base_stats": f"{SAMPLE} select read_id, i // 4 as base, count(*) as n, round(avg(v), 6) as mean, round(stddev_pop(v), 6) as std from s group by 1, 2",
-    "q_rect_pad": f"{SAMPLE} select read_id, i + 1 as i, v from s where i < 5 union all select read_id, j, 0.0 from reads, (select unnest([0, 6, 7]) as j)",
+    "q_rect_pad": f"{SAMPLE} select read_id, i // 4 as base, i % 4 + 1 as i, v from s union all select read_id, b, j, 0.0 from reads, (select unnest(range(0, 16)) as b), (select unnest([0, 5, 6]) as j)",
     "q_rect_sample": f"{SAMPLE}, p as (select *, row_number() over (partition by read_id order by md5('3|' || read_id || '|' || i), i) as r from s) select read_id, row_number() over (partition by read_id order by i) - 1 as i, v from p where r <= 6",
     "q_features": f"with {located(5, "'C'", 1)} select chrom, pos, strand as alignstrand, case chrom when 'chr1' then case when strand = '-' then 99999 - pos else pos end when 'chr2' then case when strand = '-' then 199999 - pos else pos end when 'chr3' then case when strand = '-' then 299999 - pos else pos end else -1 end as pos_in_strand, read_id as readname, k_mer from located",
     "q_feature_signals": f"""with {located(5, "'C'", 1)}, s as (select read_id, unnest(range(0, len(raw))) as i, unnest(raw) as v from reads),
@@ -114,14 +114,14 @@ select {CLASS.format('three')} as motif, count(*) as n from both_ where three li
 select chrom, pos, strand as alignstrand, read_id as readname, place, cast(floor(mean * 1000 + 0.30303::double) as bigint) as mean, cast(floor(std * 1000 + 0.30303::double) as bigint) as std, n, k as r, cast(floor(coalesce(v, 0.0) * 1000 + 0.30303::double) as bigint) as v
 from b join g using (read_id, base) cross join (select unnest(range(0, 6)) as k) left join z on z.read_id = b.read_id and z.base = b.base and z.r = k - 1""",
     "q_features_region": f"with {located(3, "'CA', 'CG'", 2)} select chrom, pos, strand as alignstrand, read_id as readname, k_mer from located where chrom = 'chr2' and pos >= 1000 and pos < 2500 and chrom_start < 2500 and chrom_start + 16 > 1000",
-    "q_features_positions": f"with {CALLS}, {located(3, "'C'", 1)} select l.chrom, l.pos, l.strand as alignstrand, read_id as readname, l.k_mer from located l semi join (select * from calls where pos % 7 = 0) c on l.chrom = c.chrom and l.pos = c.pos and l.strand = c.strand",
+    "q_features_positions": f"with {CALLS}, {located(3, "'C'", 1)} select l.chrom, l.pos, l.strand as alignstrand, read_id as readname, l.k_mer from located l semi join (select * from calls where truth) c on l.chrom = c.chrom and l.pos = c.pos and l.strand = c.strand",
     "q_interval_join": f"with {READS} select read_id as read_read_id, p_partkey as region_p_partkey from reads join part on chrom = 'chr' || (p_partkey % 5 + 1) and chrom_start < p_partkey + p_size and chrom_start + 16 > p_partkey",
     "q_failed_reads": "select count(*) as reads, count(*) filter (vec_id % 5 = 2) as failed from embeddings",
     "q_read_runs": f"""with {CALLS}, r as (select chrom, ord1, ord2, ord3, ord4, ord5, case when lag(readname) over w is not distinct from readname then 0 else 1 end as new_ from calls window w as (partition by chrom order by ord3, ord1, ord2, ord3, ord4, ord5))
 select chrom, cast(sum(new_) - 1 as bigint) as runs, cast((sum(new_) - 1) // 2 as bigint) as batches from r group by chrom""",
     "q_kmer_ratio": f"with {CALLS} select k_mer, count(*) as n, cast(sum(count(*)) over () as bigint) as total, count(*)::double / sum(count(*)) over () as ratio from calls group by k_mer",
-    "q_kmer_overlap": f"with {CALLS}, a as (select distinct k_mer from calls where called_label = 1 and chrom = 'chr1'), b as (select distinct k_mer from calls where called_label = 0 and chrom <> 'chr1') select count(*) filter (a.k_mer is not null and b.k_mer is not null) as common, count(*) filter (b.k_mer is null) as only_a, count(*) filter (a.k_mer is null) as only_b from a full join b on a.k_mer = b.k_mer",
-    "q_stratified_neg": f"""with {SAMPLES}, pos as (select * from samples where methy_label = 1 and k_mer like 'A%' and chrom = 'chr1'), neg as (select * from samples where methy_label = 0), t as (select count(*) as total from pos),
+    "q_kmer_overlap": f"with {CALLS}, a as (select distinct k_mer from calls where called_label = 1), b as (select distinct k_mer from calls where called_label = 0) select count(*) filter (a.k_mer is not null and b.k_mer is not null) as common, count(*) filter (b.k_mer is null) as only_a, count(*) filter (a.k_mer is null) as only_b from a full join b on a.k_mer = b.k_mer",
+    "q_stratified_neg": f"""with {SAMPLES}, pos as (select * from samples where methy_label = 1), neg as (select * from samples where methy_label = 0), t as (select count(*) as total from pos),
 h as (select n.k_mer, n.n, case when p.n is null then null else ceil(total * (p.n::double / total)) end as quota from (select k_mer, count(*) as n from neg group by 1) n left join (select k_mer, count(*) as n from pos group by 1) p using (k_mer), t),
 u as (select greatest(ceil((total - coalesce((select sum(least(quota, n)) from h where quota is not null), 0)) / nullif((select count(*) from h where quota is null), 0)), 0) as share from t),
 q as (select k_mer, n, coalesce(quota, (select share from u), 0) as quota, quota is null as other from h),
@@ -134,7 +134,7 @@ select k_mer, count(*) as n from (select k_mer from one union all select k_mer f
     "q_shuffle_concat": f"with {SAMPLES} select case methy_label when 1 then 0 else 1 end as part, count(*) as n, min(idx) as first from samples group by 1",
     "q_first_n": f"with {SAMPLES} select chrom, idx from (select chrom, idx, row_number() over (partition by chrom order by {chance(3)}, idx) as r from samples) where r <= 40",
     "q_filter_label": f"with {CALLS} select chrom, count(*) as n from calls where called_label = 1 group by chrom",
-    "q_filter_positions": f"with {CALLS} select a.chrom, a.pos, 1 as methy_label, count(*) as n from calls a semi join (select * from calls where pos % 11 = 0 and truth) b on a.chrom = b.chrom and a.pos = b.pos group by 1, 2",
+    "q_filter_positions": f"with {CALLS} select a.chrom, a.pos, 1 as methy_label, count(*) as n from calls a semi join (select * from calls where truth) b on a.chrom = b.chrom and a.pos = b.pos group by 1, 2",
     "q_probs_stats": f"with {SCORES} select idx, round(m, 6) as mean_prob, round(sd, 6) as std_prob from stats",
     "q_clean_samples": f"with {SCORES} select chrom, methy_label, count(*) as n from samples join stats using (idx) where {KEEP} group by 1, 2",
     "q_kept_ratio": f"with {SCORES}, k as (select methy_label, {KEEP} as keep from samples join stats using (idx)), c as (select count(*) filter (methy_label = 1) as all_pos, count(*) filter (methy_label <> 1) as all_neg, count(*) filter (methy_label = 1 and keep) as kept_pos, count(*) filter (methy_label <> 1 and keep) as kept_neg from k) select *, (kept_pos::double / all_pos + kept_neg::double / all_neg) / 2 as ratio from c",
@@ -145,7 +145,7 @@ select k_mer, count(*) as n from (select k_mer from one union all select k_mer f
     "q_threshold_sweep": f"""with {CALLS}, t as (select unnest(range(0, 28)) * 25 / 1000.0::double as cf), g as (select cast(prob_1 - prob_0 as double) as gap, truth, count(*) as n from calls group by 1, 2),
 x as (select cf, cast(sum(n) as bigint) as total_num, cast(coalesce(sum(n) filter (abs(gap) >= cf), 0) as bigint) as called_num, cast(coalesce(sum(n) filter (abs(gap) >= cf and (gap >= cf) = truth), 0) as bigint) as correct from t, g group by cf)
 select cf as prob_cf, total_num, called_num, correct, called_num::double / total_num as called_ratio, case when called_num = 0 then 0 else correct::double / called_num end as called_accuracy from x""",
-    "q_evaluate_sampled": f"with {SAMPLES}, e as (select idx, called_label, ord1 % 3 = 0 as truth from samples where ord1 % 3 < 2), p as (select *, row_number() over (partition by truth order by {chance(4)}, idx) as r from e), q as (select * from p where r <= 2000) {CONFUSION.format('q')}",
+    "q_evaluate_sampled": f"with {SAMPLES}, p as (select *, row_number() over (partition by truth order by {chance(4)}, idx) as r from samples), q as (select * from p where r <= 2000) {CONFUSION.format('q')}",
     "q_train_quality": f"with {CALLS} select count(*) as n, (count(*) filter ((prob_1 > 0.5) = truth))::double / count(*) as accuracy, (count(*) filter (prob_1 > 0.5 and truth))::double / count(*) filter (prob_1 > 0.5) as precision, (count(*) filter (prob_1 > 0.5 and truth))::double / count(*) filter (truth) as recall from calls",
     "q_gff_attrs": f"""with {GFF} select 'exon' as feature, name, flag, rank, count(*) as n, min(start) as start, max("end") as "end" from exons group by name, flag, rank union all select 'mRNA', null, null, null, count(distinct parent), 0, 10 from exons""",
     "q_gff_filter": f"with {GFF} select chrom, strand, count(*) as n from exons where flag = 'R' group by 1, 2",

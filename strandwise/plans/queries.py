@@ -115,8 +115,10 @@ def q_motif_class(spark, d):
 
 @query
 def q_motif_class_ref(spark, d):
+    """All cytosines of both strands that have two bases after them on the minus strand."""
     c = V.contigs(spark, d)
-    return motifs.failures(motifs.classify_by_reference(motifs.triplets(c).select("chrom", "pos", "strand"), c))
+    plus, minus = S.scan_motifs(c, ["C"]).withColumn("strand", F.lit("+")), S.scan_motifs(c, ["G"]).filter("pos >= 2").withColumn("strand", F.lit("-"))
+    return motifs.failures(motifs.classify_by_reference(plus.unionByName(minus).withColumnRenamed("name", "chrom"), c))
 
 
 @query
@@ -153,8 +155,8 @@ def q_base_stats(spark, d):
 
 @query
 def q_rect_pad(spark, d):
-    r = V.signals(spark, d).select("read_id", F.posexplode(G.rectangle(F.slice("raw", 1, 5), 8, F.col("read_id"))).alias("i", "v"))
-    return r
+    b = V.signals(spark, d).select("read_id", F.posexplode(G.per_base(F.col("raw"), F.col("events"))).alias("base", "p"))
+    return b.select("read_id", "base", F.posexplode(G.rectangle(F.col("p"), 7, F.col("read_id"))).alias("i", "v"))
 
 
 @query
@@ -190,7 +192,7 @@ def q_features_region(spark, d):
 
 @query
 def q_features_positions(spark, d):
-    wanted = V.calls(spark, d).filter("pos % 7 = 0").select("chrom", "pos", "strand").distinct()
+    wanted = V.calls(spark, d).filter("truth").select("chrom", "pos", "strand").distinct()
     f = extract.features(V.signals(spark, d), ["C"], positions=wanted, k=3)
     return f.select("chrom", "pos", "alignstrand", "readname", "k_mer")
 
@@ -227,14 +229,13 @@ def q_kmer_ratio(spark, d):
 @query
 def q_kmer_overlap(spark, d):
     s = V.samples(spark, d)
-    return samples.kmer_overlap(samples.with_label(s, 1).filter("chrom = 'chr1'"), samples.with_label(s, 0).filter("chrom <> 'chr1'"))
+    return samples.kmer_overlap(samples.with_label(s, 1), samples.with_label(s, 0))
 
 
 @query
 def q_stratified_neg(spark, d):
     s = V.samples(spark, d)
-    positive = samples.with_label(s, 1).filter("k_mer like 'A%'").filter("chrom = 'chr1'")
-    return samples.select_like(positive, samples.with_label(s, 0), 1).groupBy("k_mer").agg(F.count(F.lit(1)).alias("n"))
+    return samples.select_like(samples.with_label(s, 1), samples.with_label(s, 0), 1).groupBy("k_mer").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -267,7 +268,7 @@ def q_filter_label(spark, d):
 
 @query
 def q_filter_positions(spark, d):
-    wanted = V.calls(spark, d).filter("pos % 11 = 0 and truth").select("chrom", F.col("pos").cast("string").alias("pos"))
+    wanted = V.calls(spark, d).filter("truth").select("chrom", F.col("pos").cast("string").alias("pos"))
     return samples.at_positions(V.samples(spark, d), wanted, 1).groupBy("chrom", "pos", "methy_label").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -306,6 +307,29 @@ def q_denoise(spark, d):
     return kept.groupBy("methy_label").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _noisy(spark, d):
+    """Samples among whose positives are rows that were called unmethylated."""
+    label = ((F.col("methy_label") == 1) | F.col("truth")).cast("int")
+    return V.samples(spark, d).withColumn("methy_label", label).withColumn("m", F.col("prob_1").cast("double"))
+
+
+@query
+def q_denoise_trained(spark, d):
+    """One iteration of three rounds in which halves learn to score each other."""
+    kept = denoise.denoise(_noisy(spark, d), score.Linear(("m",)), 1)
+    return kept.groupBy("methy_label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def q_train_linear(spark, d):
+    """Settings learn on one half of the samples; the best is measured on the other."""
+    half = samples.chance(7, "idx") < "8"
+    rows = _noisy(spark, d)
+    settings = [score.Linear(("m",), settings={"maxIter": 20, "regParam": r}) for r in (0.1, 0.01, 0.001)]
+    best, _ = train.train(rows.filter(half), rows.filter(~half), settings)
+    return train.quality(best.transform(rows.filter(~half)))
+
+
 @query
 def q_batch_accuracy(spark, d):
     return evaluate.batch_accuracy(V.calls(spark, d), F.col("ord1"), 512).withColumn("mean_accuracy", F.round("mean_accuracy", 9))
@@ -328,8 +352,8 @@ def q_threshold_sweep(spark, d):
 
 @query
 def q_evaluate_sampled(spark, d):
-    s = V.samples(spark, d).withColumnRenamed("methy_label", "called_label").drop("truth")
-    rows = evaluate.labelled(s.filter("ord1 % 3 = 0"), s.filter("ord1 % 3 = 1"), 2000, 4)
+    s = V.samples(spark, d).withColumnRenamed("methy_label", "called_label")
+    rows = evaluate.labelled(s.filter("truth"), s.filter("not truth"), 2000, 4)
     return evaluate.confusion(rows)
 
 

@@ -262,3 +262,56 @@ def test_all_sites_are_sorted(spark):
     found = [(r.chrom, r.pos, r.strand, r.n) for r in QUERIES["q_sites_sorted"](spark, d).collect()]
     assert len(found) == QUERIES["q_call_freq"](spark, d).count() > 10
     assert [x[:3] for x in found] == sorted(x[:3] for x in found) and [x[3] for x in found] == list(range(1, len(found) + 1))
+
+
+@pytest.mark.parametrize("n", [0, 1, 37, 999, 1000, 5000])
+def test_sample_by_buckets_takes_the_same_rows(spark, n):
+    rows = spark.range(1000).select(F.col("id").alias("idx"))
+    few, many = samples.sample(rows, n, 5), samples.sample(rows, n, 5, few=-1)
+    assert sorted(r.idx for r in many.collect()) == sorted(r.idx for r in few.collect()) and many.columns == ["idx"]
+
+
+def test_read_runs_go_on_over_pieces(spark):
+    data = [(f, i, (None, "a", "b", "c")[(i * i // 50 + i // 90) % 4]) for f, m in (("x", 400), ("y", 1), ("z", 57)) for i in range(m)]
+    data += [(None, i, "a") for i in range(30)]
+    rows = spark.createDataFrame(data, "file string, at long, readname string").repartition(7)
+    want, last = {}, {}
+    for f, i, name in data:
+        run, before = last.get(f, (-1, object()))
+        run += before != name
+        last[f], want[f, i] = (run, name), (run, run // 3)
+    got = samples.read_runs(rows, 3, ["at"], "file")
+    assert got.columns == ["file", "at", "readname", "run", "batch"]
+    assert {(r.file, r.at): (r.run, r.batch) for r in got.collect()} == want
+
+
+def test_auroc_of_any_scores(spark):
+    rng = np.random.default_rng(3)
+    scores = [*rng.random(150).tolist(), *[0.0, 0.25, 0.25, 0.25, 0.2500001, 1.0, 1.0] * 3]
+    data = [(s, bool(rng.integers(2))) for s in scores]
+    p, q = [s for s, t in data if t], [s for s, t in data if not t]
+    want = sum((a > b) + (a == b) / 2 for a in p for b in q) / (len(p) * len(q))
+    assert math.isclose(evaluate.auroc(spark.createDataFrame(data, "prob_1 double, truth boolean")).first().auc, want)
+    assert evaluate.auroc(spark.createDataFrame([(0.5, True)], "prob_1 double, truth boolean")).first().auc == 0
+
+
+def test_classes_by_reference_match_triplets(spark):
+    rng = np.random.default_rng(4)
+    seq = "".join(rng.choice(list("ACGTN"), 1500, p=[0.24, 0.24, 0.24, 0.24, 0.04]))
+    c = spark.createDataFrame([("x", seq)], "name string, seq string")
+    sites = [("x", i, s) for i in range(-3, len(seq) + 3) for s in ("+", "-", None)] + [("y", 5, "+"), (None, 5, "+"), ("x", None, "+")]
+    got = motifs.classify_by_reference(spark.createDataFrame(sites, "chrom string, pos long, strand string"), c).collect()
+    known = {(r.pos, r.strand): r.motif for r in motifs.triplets(c).select("pos", "strand", S.motif_class(F.col("three")).alias("motif")).collect()}
+    assert len(got) == len(sites) and all(r.motif == (known.get((r.pos, r.strand)) if r.chrom == "x" else None) for r in got)
+
+
+def test_trained_scorers(spark):
+    """On D, wrongly labelled positives score below half, so the kept positives are those of high prob_1."""
+    best = QUERIES["q_train_linear"](spark, D).first()
+    assert best.n > 2500 and best.accuracy > 0.7 and best.recall > 0.75
+    from strandwise.plans.queries import _noisy
+
+    rows = _noisy(spark, D)
+    kept = rows.join(denoise.clean(rows, denoise.statistics(denoise.rounds(rows, score.Linear(("m",)), 3))), "idx", "left_semi")
+    limits = kept.agg(F.min("m").alias("low"), F.min("methy_label").alias("label")).first()
+    assert limits.label == 1 and 0.2 < limits.low <= 0.5 and kept.count() < rows.filter("methy_label = 1").count()

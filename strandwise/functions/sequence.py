@@ -95,7 +95,13 @@ def tiles(contigs: DataFrame, left: int = 0, right: int = 0, size: int = 512, la
 
 
 def scan_motifs(contigs: DataFrame, motifs: Iterable[str], offset: int = 0, size: int = 1 << 18) -> DataFrame:
-    """name and pos of each motif's base `offset`, overlaps included, in contigs of name and seq (a byte a base).
+    """name and pos of each motif's base `offset`, overlaps included, in contigs of name and seq (a byte a base)."""
+    motifs = list(motifs)
+    return scan_tiles(tiles(contigs, 0, len(motifs[0]) - 1, size), motifs, offset)
+
+
+def scan_tiles(cut: DataFrame, motifs: Iterable[str], offset: int = 0) -> DataFrame:
+    """The same in tiles that have no bases before and a motif's length less one after.
 
     Places in a tile are found by comparing its bytes with each motif's, in Arrow batches: built-in functions would take
     a substring at every base.
@@ -105,17 +111,60 @@ def scan_motifs(contigs: DataFrame, motifs: Iterable[str], offset: int = 0, size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, begin, part in zip(*(batch.column(c).to_pylist() for c in ("name", "begin", "part")), strict=True):
+            names, found, sizes = batch.column("name"), [np.zeros(0, dtype=np.int64)], []
+            for begin, part in zip(batch.column("begin").to_pylist(), batch.column("part").to_pylist()):
                 x = np.frombuffer(part.encode("latin-1", "replace"), dtype=np.uint8)
-                if len(x) < width:
-                    continue
-                hit = np.zeros(len(x) - width + 1, dtype=bool)
-                for m in codes:
+                hit = np.zeros(max(0, len(x) - width + 1), dtype=bool)
+                for m in codes if len(hit) else ():
                     hit |= np.logical_and.reduce([x[j : len(hit) + j] == m[j] for j in range(width)])
-                pos = np.flatnonzero(hit) + (begin + offset)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(pos), pa.string()), pa.array(pos, pa.int64())], names=["name", "pos"])
+                found.append(np.flatnonzero(hit) + (begin + offset))
+                sizes.append(len(found[-1]))
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), pa.array(np.concatenate(found))], names=["name", "pos"])
+
+    return cut.select("name", "begin", "part").mapInArrow(run, "name string, pos long")
+
+
+#: The class of a cytosine by the two bases after it: of letters A, C, T, G, N, H and others, as codes 0 to 6. 0 stands for none.
+LETTERS = np.full(256, 6, dtype=np.int64)
+LETTERS[[ord(b) for b in "ACTGNH"]] = range(6)
+CLASSES = (None, "CG", "CHG", "CHH")
+
+
+def class_codes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places in CLASSES by codes of the two bases after a cytosine; the same classes as motif_class."""
+    plain = lambda v: v < 3
+    out = np.where((x == 3) & (y < 5), 1, 0)
+    out = np.where((plain(x) | (x == 5)) & (y == 3), 2, out)
+    return np.where((plain(x) & plain(y)) | ((x == 5) & (y == 5)), 3, out)
 
-    return tiles(contigs, 0, width - 1, size).select("name", "begin", "part").mapInArrow(run, "name string, pos long")
+
+def scan_cytosines(cut: DataFrame, size: int) -> DataFrame:
+    """name, pos, strand and motif (null: none) of each cytosine of either strand, in tiles of `size` with two bases more on both sides.
+
+    On the minus strand a cytosine is a G with two bases before it; the bases after it are the complements of those.
+    """
+    lut = np.full(256, ord("?"), dtype=np.uint8)
+    lut[[ord(b) for b in DNA]] = [ord(b) for b in DNA_COMPLEMENT]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("begin", "first", "end", "part"))
+            out: list[tuple] = []
+            for i, (begin, first, end, part) in enumerate(zip(*columns)):
+                x = np.frombuffer(b"??" + part.encode("latin-1", "replace") + b"??", dtype=np.uint8)
+                at = np.arange(begin, end) - first + 2
+                for minus, base, step in ((False, ord("C"), 1), (True, ord("G"), -1)):
+                    here = at[x[at] == base]
+                    codes = [LETTERS[lut[x[here + step * j]] if minus else x[here + step * j]] for j in (1, 2)]
+                    some = here + first - 2 >= (2 if minus else 0)
+                    out.append((np.full(some.sum(), i), here[some] + first - 2, np.full(some.sum(), minus), class_codes(*codes)[some]))
+            row, pos, minus, kind = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, dtype=np.int64),) * 4
+            strands = pa.DictionaryArray.from_arrays(pa.array(minus.astype(np.int8)), pa.array(["+", "-"])).cast(pa.string())
+            motifs = pa.DictionaryArray.from_arrays(pa.array((kind - 1).astype(np.int8), mask=kind == 0), pa.array(CLASSES[1:])).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("name").take(pa.array(row)), pa.array(pos.astype(np.int64)), strands, motifs], names=["name", "pos", "strand", "motif"])
+
+    rows = cut.select("name", "begin", "first", F.least(F.col("begin") + size, F.col("whole")).alias("end"), "part")
+    return rows.mapInArrow(run, "name string, pos long, strand string, motif string")
 
 
 def triplet(seq: Column, pos: Column, strand: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.signal import let
+from .intervals import carried, interval_join
 
 
 def attributes(text: Column) -> Column:
@@ -45,12 +46,39 @@ def transcript_lengths(rows: DataFrame) -> DataFrame:
     return exons(rows).groupBy("parent").agg(F.sum(F.col("end") - F.col("start")).alias("length"), F.count(F.lit(1)).alias("exons"))
 
 
-def transcript_coordinates(rows: DataFrame) -> DataFrame:
-    """parent, at (from 0), chrom, strand, pos of each base of each transcript, exons by rank, backwards on the minus strand."""
+def transcript_map(rows: DataFrame) -> DataFrame:
+    """parent, chrom, strand, start, end, begin, length: where each exon lies in the genome, and from which base on in its transcript.
+
+    Exons are in the order of their rank, and run backwards on the minus strand.
+    """
     strands = rows.filter("feature <> 'exon' and id is not null").groupBy("id").agg(F.max_by(F.struct("chrom", "strand"), F.col("start")).alias("t"))
     w = Window.partitionBy("parent").orderBy("rank", "start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    placed = exons(rows).select("parent", "rank", "start", "end", F.coalesce(F.sum(F.col("end") - F.col("start")).over(w), F.lit(0)).alias("begin"))
-    placed = placed.join(strands, placed.parent == strands.id).select("parent", "t.chrom", "t.strand", "start", "end", "begin")
-    steps = F.explode(F.when(F.col("end") > F.col("start"), F.sequence(F.lit(0).cast("long"), F.col("end") - F.col("start") - 1)))
-    each = placed.select("parent", "chrom", "strand", "start", "end", "begin", steps.alias("i"))
-    return each.select("parent", (F.col("begin") + F.col("i")).alias("at"), "chrom", "strand", F.when(F.col("strand") == "-", F.col("end") - 1 - F.col("i")).otherwise(F.col("start") + F.col("i")).alias("pos"))
+    length = F.col("end") - F.col("start")
+    placed = exons(rows).select("parent", "rank", "start", "end", F.coalesce(F.sum(length).over(w), F.lit(0)).alias("begin"))
+    return placed.join(strands, placed.parent == strands.id).select("parent", "t.chrom", "t.strand", "start", "end", "begin", length.alias("length"))
+
+
+def place(at: Column) -> Column:
+    """The genome position of base `at` of a transcript, by the row of transcript_map that holds it."""
+    i = at - F.col("begin")
+    return F.when(F.col("strand") == "-", F.col("end") - 1 - i).otherwise(F.col("start") + i)
+
+
+def to_genome(placed: DataFrame, points: DataFrame) -> DataFrame:
+    """Points (parent, at, and other columns) with chrom, strand and pos; those beyond their transcript go."""
+    found = carried(points, placed, ["parent"], "at", "begin", "length", ["chrom", "strand", "start", "end", "begin"])
+    return found.withColumn("pos", place(F.col("at"))).select(*points.columns, "chrom", "strand", "pos")
+
+
+def to_transcripts(placed: DataFrame, points: DataFrame) -> DataFrame:
+    """Points (chrom, pos, and other columns) with parent, strand and at of each transcript that has an exon there."""
+    spots = points.withColumns({"start": F.col("pos"), "end": F.col("pos") + 1})
+    both = interval_join(spots, placed.select("chrom", "start", "end", "parent", "strand", "begin"), ("point", "exon"))
+    at = F.col("exon_begin") + F.when(F.col("exon_strand") == "-", F.col("exon_end") - 1 - F.col("point_pos")).otherwise(F.col("point_pos") - F.col("exon_start"))
+    return both.select(*(F.col(f"point_{c}").alias(c) for c in points.columns), F.col("exon_parent").alias("parent"), F.col("exon_strand").alias("strand"), at.alias("at"))
+
+
+def transcript_coordinates(rows: DataFrame) -> DataFrame:
+    """parent, at (from 0), chrom, strand, pos of each base of each transcript: transcript_map written out, for those who want a row a base."""
+    each = transcript_map(rows).filter("length > 0").withColumn("at", F.explode(F.sequence(F.col("begin"), F.col("begin") + F.col("length") - 1)))
+    return each.select("parent", "at", "chrom", "strand", place(F.col("at")).alias("pos"))

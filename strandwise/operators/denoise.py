@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import divided
 from . import samples as P
-from .tables import written
+from .tables import exists, new_folder, removed, written
+
+LOG = "iteration int, all_pos long, all_neg long, kept_pos long, kept_neg long, ratio double, stop boolean"
 
 
 def rounds(rows: DataFrame, scorer, n: int = 3, seed: int = 0) -> DataFrame:
@@ -43,22 +45,42 @@ def kept_ratio(rows: DataFrame, kept: DataFrame, negatives_too: bool = False) ->
     return both.select("all_pos", "all_neg", "kept_pos", "kept_neg", ((pos + neg) / 2 if negatives_too else pos).alias("ratio"))
 
 
-def denoise(rows: DataFrame, scorer, iterations: int = 10, n: int = 3, score_cf: float = 0.5, ratio: float = 0.99, negatives_too: bool = False, seed: int = 0, report: list | None = None) -> DataFrame:
+def denoise(
+    rows: DataFrame, scorer, iterations: int = 10, n: int = 3, score_cf: float = 0.5, ratio: float = 0.99, negatives_too: bool = False, seed: int = 0, report: list | None = None, path: str | None = None
+) -> DataFrame:
     """Repeat: score in rounds, keep what is likely right, balance negatives to the positives' k-mers; until few rows go.
 
-    Only counts come to the driver. Each iteration's rows are written, so plans don't grow. `report`, a list, gets a dictionary for
-    each iteration: its number, what there was, what was kept, and the share.
+    Only counts come to the driver. Each iteration writes the probabilities of its rows, the rows it leaves, and then an entry of its log
+    under `path`: a call with the same path goes on after the last iteration that has an entry, and gives the rows of one call that was never
+    stopped. `report`, a list, gets the log.
     """
-    pool = rows.filter(F.col("methy_label") != 1)
-    for i in range(iterations):
-        stats = written(statistics(rounds(rows, scorer, n, seed + 100 * i)), "denoise-scores")
-        kept = written(clean(rows, stats, score_cf, negatives_too), "denoise-kept")
+    spark, pool = rows.sparkSession, rows.filter(F.col("methy_label") != 1)
+    path = path or new_folder(spark, "denoise")
+    log: list[dict] = []
+    while exists(spark, f"{path}/{len(log):04d}/log/_SUCCESS"):
+        log.append(spark.read.schema(LOG).parquet(f"{path}/{len(log):04d}/log").first().asDict())
+    if log:
+        rows = spark.read.schema(rows.schema).parquet(f"{path}/{len(log) - 1:04d}/rows")
+    for i in range(len(log), iterations):
+        if log and log[-1]["stop"]:
+            break
+        at = f"{path}/{i:04d}"
+        statistics(rounds(rows, scorer, n, seed + 100 * i)).write.mode("overwrite").parquet(f"{at}/probabilities")
+        kept = written(clean(rows, probabilities(spark, path, i), score_cf, negatives_too), "denoise-kept")
         positive = kept.filter(F.col("methy_label") == 1)
         negative = kept.filter(F.col("methy_label") != 1) if negatives_too else pool
         share = kept_ratio(rows, kept, negatives_too).first()
-        if report is not None:
-            report.append({"iteration": i, **share.asDict()})
-        rows = written(positive.unionByName(P.select_like(positive, negative, seed + i)), "denoise-rows")
-        if share.kept_pos == 0 or share.ratio >= ratio:
-            break
+        positive.unionByName(P.select_like(positive, negative, seed + i)).write.mode("overwrite").parquet(f"{at}/rows")
+        entry = {"iteration": i, **share.asDict(), "stop": bool(share.kept_pos == 0 or share.ratio >= ratio)}
+        spark.createDataFrame([entry], LOG).coalesce(1).write.mode("overwrite").parquet(f"{at}/log")
+        rows = spark.read.schema(rows.schema).parquet(f"{at}/rows")
+        removed(kept)
+        log.append(entry)
+    if report is not None:
+        report += log
     return rows
+
+
+def probabilities(spark: SparkSession, path: str, iteration: int = 0) -> DataFrame:
+    """idx, mean_prob and std_prob of the rows that an iteration scored."""
+    return spark.read.parquet(f"{path}/{iteration:04d}/probabilities")

@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
-from ..functions import sequence as S
 from ..functions import signal as G
 
 
@@ -42,15 +41,6 @@ class Region:
         return (chrom == self.chrom) & low & high
 
 
-def bin_join(reads: DataFrame, regions: DataFrame, width: int = 10_000) -> DataFrame:
-    """Pairs of reads and regions (both chrom, start, end) that overlap: an equi-join on bins, each pair once, at its first common bin."""
-    bins = lambda d, s: d.select(*(F.col(c).alias(f"{s}_{c}") for c in d.columns), F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))).alias("bin"))
-    a, b = bins(reads.filter("end > start"), "read"), bins(regions.filter("end > start"), "region")
-    both = a.join(b, (a.read_chrom == b.region_chrom) & (a.bin == b.bin)).drop(b.bin)
-    over = (F.col("read_start") < F.col("region_end")) & (F.col("read_end") > F.col("region_start"))
-    return both.filter(over & (F.col("bin") == F.floor(F.greatest("read_start", "region_start") / width))).drop("bin")
-
-
 def is_usable() -> Column:
     """Whether a read's parts are all there and its events lie within its signal."""
     fits = F.forall("events", lambda e: (e["start"] >= 0) & (e["start"] + e["length"] <= F.size("raw")))
@@ -63,33 +53,58 @@ def usable(reads: DataFrame) -> DataFrame:
     return reads.filter(is_usable())
 
 
+def _counts(reads: DataFrame) -> list[Column]:
+    """Reads, those that fail, and among them files that couldn't be read, where reads tell (see sources/raw.py)."""
+    lost = [F.count_if(F.col("reason").isNotNull()).alias("unreadable")] if "reason" in reads.columns else []
+    return [F.count(F.lit(1)).alias("reads"), F.count_if(~is_usable()).alias("failed"), *lost]
+
+
 def failed_reads(reads: DataFrame) -> DataFrame:
-    return reads.agg(F.count(F.lit(1)).alias("reads"), F.count_if(~is_usable()).alias("failed"))
+    return reads.agg(*_counts(reads))
+
+
+def observed(reads: DataFrame, counts: Observation) -> DataFrame:
+    """Reads as they are; once they have been read for some result, `counts` holds what failed_reads would tell, from the same scan."""
+    return reads.observe(counts, *_counts(reads))
+
+
+def motif_sites(motifs: Sequence[str], offset: int, half: int) -> Column:
+    """Places of the motifs' base `offset` in a read, at least `half` bases from its ends; bases are taken from events one by one."""
+    wide, n = len(motifs[0]), F.size("events")
+    at = lambda i: F.concat(*(F.get(F.col("events"), i + j)["base"] for j in range(wide)))
+    found = F.filter(F.sequence(F.lit(0), n - wide), lambda i: at(i).isin(list(motifs)) & (i + offset >= half) & (i + offset < n - half))
+    return F.when(n >= wide, F.transform(found, lambda i: i + offset))
 
 
 def features(
-    reads: DataFrame, motifs: Sequence[str], contigs: DataFrame | None = None, positions: DataFrame | None = None, region: Region = Region(), offset: int = 0, k: int = 13, width: int = 16, label: int = 1, method: str = "mad", seed: int = 0
+    reads: DataFrame, motifs: Sequence[str], contigs: DataFrame | None = None, positions: DataFrame | None = None, region: Region = Region(), offset: int = 0, k: int = 13, width: int = 16, label: int = 1, method: str = "mad", seed: int = 0,
+    counts: Observation | None = None,
 ) -> DataFrame:
     """One row for each motif site of each usable read, at least k // 2 bases from its ends, in the region, at the positions.
 
-    The region prunes reads before their signal is touched. Signals stay arrays of a read until sites are exploded; the
-    position filter is a semi-join on sites alone. `contigs` (name, len) gives pos_in_strand, -1 where unknown.
+    The region prunes reads before their signal is touched. Positions meet sites as pairs of a read's key and a place, without
+    signal or events; those of reads that keep a site are fetched by key afterwards, and normalised once a read. `contigs` (name, len) gives
+    pos_in_strand, -1 where unknown. `counts` observes the reads (see observed).
     """
-    half = k // 2
-    rows = reads.filter(F.col("chrom") == region.chrom) if region.chrom else reads
-    rows = usable(rows).withColumn("seq", F.array_join(F.transform("events", lambda e: e["base"]), ""))
-    rows = rows.filter(region.holds(F.col("chrom"), F.col("chrom_start"), F.col("chrom_start") + F.length("seq")))
+    half, n = k // 2, F.size("events")
+    seen = reads if counts is None else observed(reads, counts)
+    here = lambda rows: usable(rows.filter(F.col("chrom") == region.chrom) if region.chrom else rows).filter(region.holds(F.col("chrom"), F.col("chrom_start"), F.col("chrom_start") + n))
+    pos = N.genome_position(F.col("align_strand"), F.col("chrom_start"), n, F.col("loc")).cast("long")
+    inside = (F.lit(True) if region.start is None else F.col("pos") >= region.start) & (F.lit(True) if region.end is None else F.col("pos") < region.end)
     scaled = G.rescale(F.col("raw"), F.col("range") / F.col("digitisation"), F.col("offset"))
-    rows = rows.withColumn("signal", G.normalize(scaled, method))
-    wide, last = len(motifs[0]), F.length("seq") - half - 1
-    sites = F.filter(F.sequence(F.lit(0), F.length("seq") - wide), lambda i: F.substring(F.col("seq"), i + 1, F.lit(wide)).isin(list(motifs)) & (i + offset >= half) & (i + offset <= last))
-    rows = rows.withColumn("loc", F.explode(F.when(F.length("seq") >= wide, sites))).withColumn("loc", F.col("loc") + offset)
-    rows = rows.withColumn("pos", N.genome_position(F.col("align_strand"), F.col("chrom_start"), F.length("seq"), F.col("loc")).cast("long"))
-    if region.chrom:
-        rows = rows.filter((F.lit(True) if region.start is None else F.col("pos") >= region.start) & (F.lit(True) if region.end is None else F.col("pos") < region.end))
-    if positions is not None:
+    with_signal = lambda rows: rows.withColumn("signal", G.normalize(scaled, method))
+    if positions is None:
+        rows = with_signal(here(seen)).withColumn("loc", F.explode(motif_sites(motifs, offset, half))).withColumn("pos", pos)
+        rows = rows.filter(inside) if region.chrom else rows
+    else:
+        # Reads may share an id: what tells them apart is all that they hold. Reads that are the same in all have the same sites.
+        key = [F.col("read_id").alias("_id"), F.xxhash64(*reads.columns).alias("_key")]
         wanted = positions.select("chrom", "pos", F.col("strand").alias("align_strand")).distinct()
-        rows = rows.join(wanted, ["chrom", "pos", "align_strand"], "left_semi")
+        sites = here(seen).select(*key, "chrom", "chrom_start", "align_strand", n.alias("_n"), F.explode(motif_sites(motifs, offset, half)).alias("loc"))
+        sites = sites.withColumn("pos", N.genome_position(F.col("align_strand"), F.col("chrom_start"), F.col("_n"), F.col("loc")).cast("long"))
+        sites = (sites.filter(inside) if region.chrom else sites).join(wanted, ["chrom", "pos", "align_strand"], "left_semi")
+        locs = sites.groupBy("_id", "_key").agg(F.array_sort(F.collect_set("loc")).alias("_locs"))
+        rows = with_signal(here(reads).select("*", *key).join(locs, ["_id", "_key"])).withColumn("loc", F.explode("_locs")).withColumn("pos", pos)
     length = F.lit(None).cast("long")
     if contigs is not None:
         rows = rows.join(contigs.select(F.col("name").alias("chrom"), F.col("len").cast("long").alias("_len")), "chrom", "left")
@@ -99,7 +114,7 @@ def features(
     key = lambda i: F.concat_ws("|", "read_id", "pos", i)
     return rows.select(
         "chrom", "pos", F.col("align_strand").alias("alignstrand"), N.strand_position(F.col("align_strand"), F.col("pos"), length).alias("pos_in_strand"),
-        F.col("read_id").alias("readname"), "read_strand", S.window(F.col("seq"), F.col("loc"), k).alias("k_mer"),
+        F.col("read_id").alias("readname"), "read_strand", F.array_join(F.transform("near", lambda e: e["base"]), "").alias("k_mer"),
         F.transform("parts", lambda p: F.bround(G.mean(p), 6)).alias("signal_means"), F.transform("parts", lambda p: F.bround(G.std(p), 6)).alias("signal_stds"),
         F.transform("near", lambda e: e["length"]).alias("signal_lens"), F.transform("parts", lambda p, i: G.rectangle(p, width, key(i), seed)).alias("raw_signals"), F.lit(label).alias("methy_label"),
     )

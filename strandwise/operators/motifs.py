@@ -13,30 +13,26 @@ def classify(rows: DataFrame, k_mer: str = "k_mer") -> DataFrame:
     return rows.withColumn("motif", S.kmer_class(F.col(k_mer)))
 
 
-def triplets(contigs: DataFrame) -> DataFrame:
-    """chrom, pos, strand and three bases of every cytosine of either strand.
+def reference_sites(contigs: DataFrame, size: int = 1 << 18) -> DataFrame:
+    """chrom, pos, strand and motif (null: none) of every cytosine of either strand; on the minus strand, of those with two bases before them.
 
-    Contigs are cut into tiles, so no chromosome is sent along with rows.
+    Contigs (name, seq) are cut into tiles, in which the kernel that finds a cytosine looks at its next two bases, too.
     """
-    rows = S.tiles(contigs, 2, 2).withColumn("i", F.explode(F.sequence(F.col("begin") - F.col("first"), F.least(F.col("begin") + 512, F.col("whole")) - 1 - F.col("first"))))
-    three = lambda i: F.substring(F.col("part"), i, F.lit(3))
-    both = F.array(
-        F.struct(F.lit("+").alias("strand"), three(F.col("i") + 1).alias("three")),
-        F.struct(F.lit("-").alias("strand"), F.when(F.col("first") + F.col("i") >= 2, S.reverse_complement(three(F.col("i") - 1), strict=True)).otherwise("").alias("three")),
-    )
-    each = rows.select(F.col("name").alias("chrom"), (F.col("first") + F.col("i")).cast("long").alias("pos"), F.explode(both).alias("x"))
-    return each.select("chrom", "pos", "x.*").filter("three like 'C%'")
+    return sites_of_tiles(S.tiles(contigs, 2, 2, size), size)
 
 
-def classify_by_reference(rows: DataFrame, contigs: DataFrame, pos: str = "pos") -> DataFrame:
-    """Add the motif by the reference's three bases from a site on, on its strand; null where it has none.
+def sites_of_tiles(tiles: DataFrame, size: int) -> DataFrame:
+    """The same from tiles of `size` with two bases more on both sides, as sources.text.fasta_tiles gives."""
+    return S.scan_cytosines(tiles, size).withColumnRenamed("name", "chrom")
 
-    A row meets the tile of the reference that its site lies in, and three bases are cut from that.
+
+def classify_by_reference(rows: DataFrame, sites: DataFrame, pos: str = "pos") -> DataFrame:
+    """Add the motif of the reference's cytosine at a site (see reference_sites), on its strand; null where there is none.
+
+    Rows meet sites by contig, place and strand, so neither carries any sequence.
     """
-    tiles = S.tiles(contigs, 2, 2).select(F.col("name").alias("_chrom"), F.floor(F.col("begin") / 512).alias("_tile"), F.col("first").alias("_first"), F.col("part").alias("_part"))
-    met = rows.join(tiles, (F.col("chrom") == F.col("_chrom")) & (F.floor(F.col(pos) / 512) == F.col("_tile")), "left")
-    three = F.when(F.col("strand").isin("+", "-"), S.triplet(F.col("_part"), F.col(pos) - F.col("_first"), F.col("strand")))
-    return met.withColumn("motif", S.motif_class(three)).drop("_chrom", "_tile", "_first", "_part")
+    named = sites.select(F.col("chrom").alias("_chrom"), F.col("pos").alias("_pos"), F.col("strand").alias("_strand"), "motif")
+    return rows.join(named, (F.col("chrom") == F.col("_chrom")) & (F.col(pos) == F.col("_pos")) & (F.col("strand") == F.col("_strand")), "left").drop("_chrom", "_pos", "_strand")
 
 
 def split(classified: DataFrame, path: str) -> None:

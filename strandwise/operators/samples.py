@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,12 +52,41 @@ def complement(rows: DataFrame, picked: DataFrame, key: str = "idx") -> DataFram
 
 
 def shuffle(rows: DataFrame, seed: int = 0, key: str = "idx") -> DataFrame:
-    return rows.orderBy(chance(seed, key), key)
+    """The rows in random order."""
+    return in_order(mixed_order([rows], seed, key)).drop("part", "position")
 
 
 def concat_shuffled(a: DataFrame, b: DataFrame, seed: int = 0, key: str = "idx") -> DataFrame:
-    """The rows of both in one random order; `part` tells where a row is from."""
-    return a.withColumn("part", F.lit(0)).unionByName(b.withColumn("part", F.lit(1))).orderBy(chance(seed, "part", key), "part", key)
+    """The rows of both in one random order, in proportion everywhere; `part` tells where a row is from."""
+    return in_order(mixed_order([a, b], seed, key)).drop("position")
+
+
+def mixed_order(parts: Sequence[DataFrame], seed: int = 0, key: str = "idx", stretch: int = 1000) -> DataFrame:
+    """The rows of all parts with `part` and their `position` (from 0) in an order in which every stretch has its share of each part.
+
+    In two passes: rows of a part are ranked at random and cut into as many buckets as there are stretches of about `stretch` rows, so a bucket has
+    each part in proportion to its size, to a row; within a bucket all are ranked at random. Ranks in a part come from counts of the first digits of a
+    row's chance, and rows before a bucket from the parts' sizes, so no pass sorts more than a bucket or the rows of one value of the digits.
+    """
+    rows = reduce(DataFrame.unionByName, (p.withColumn("part", F.lit(i)) for i, p in enumerate(parts)))
+    rows = rows.withColumn("_c", chance(seed, "part", key)).withColumn("_b", F.conv(F.substring("_c", 1, 4), 16, 10).cast("int"))
+    counts = written(rows.groupBy("part", "_b").agg(F.count(F.lit(1)).alias("_m")), "mixed-counts")
+    sizes = {r.part: r.n for r in counts.groupBy("part").agg(F.sum("_m").alias("n")).collect()}  # a row a part
+    total = sum(sizes.values())
+    buckets = max(1, min(1 << 20, -(-total // stretch)))
+    upto = F.sum("_m").over(Window.partitionBy("part").orderBy("_b")) - F.col("_m")  # a row a value of four digits
+    rank = F.col("_upto") + F.row_number().over(Window.partitionBy("part", "_b").orderBy("_c", key)) - 1
+    size = reduce(lambda found, x: F.when(F.col("part") == x[0], F.lit(x[1]).cast("long")).otherwise(found), sizes.items(), F.lit(1).cast("long"))
+    ranked = rows.join(counts.select("part", "_b", upto.alias("_upto")), ["part", "_b"]).withColumn("_rank", rank).withColumn("_size", size)
+    ranked = ranked.withColumn("_bucket", F.expr(f"_rank * {buckets} div _size"))
+    before = F.expr(" + ".join([f"(_bucket * {n}L + {buckets - 1}) div {buckets}" for n in sizes.values()]) or "0L")
+    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(chance(seed + 1, "part", key), "part", key)) - 1
+    return ranked.withColumn("position", before + inside).drop("_c", "_b", "_upto", "_rank", "_size", "_bucket")
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """Rows in files, or tasks, by their position."""
+    return rows.repartitionByRange("position").sortWithinPartitions("position")
 
 
 def first_n(rows: DataFrame, by: str, n: int, seed: int = 0, key: str = "idx") -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import VectorAssembler
@@ -130,23 +130,37 @@ def load_checkpoint(path: str, names: Mapping[str, str]) -> dict[str, np.ndarray
     return out
 
 
+def _values(column: pa.ChunkedArray | pa.Array, kind: type = np.float32) -> np.ndarray:
+    """The numbers of a column of lists, or of lists of lists, as one flat array."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    while pa.types.is_list(column.type):
+        column = column.flatten()
+    return column.to_numpy(zero_copy_only=False).astype(kind)
+
+
+def tensors(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """bases, means, deviations, lengths and signals of features (all k-mers of one length), from Arrow's buffers."""
+    n = table.num_rows
+    letters = np.frombuffer("".join(table.column("k_mer").to_pylist()).upper().encode("latin-1", "replace"), dtype=np.uint8)
+    flat = [_values(table.column(c)).reshape(n, -1) for c in ("signal_means", "signal_stds", "signal_lens")]
+    steps = flat[0].shape[1]
+    return CODES[letters].reshape(n, steps), *flat, _values(table.column("raw_signals")).reshape(n, steps, -1)
+
+
 def neural(rows: DataFrame, model: BiLSTM, batch: int = 512) -> DataFrame:
     """Calls of features. The model has a fixed size and is broadcast; each Arrow batch is scored in steps of `batch` rows."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
+    kept = ["chrom", "pos", "alignstrand", "pos_in_strand", "readname", "read_strand", "k_mer"]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for i in range(0, len(frame), batch):
-                f = frame.iloc[i : i + batch]
-                stack = lambda c: np.array([np.asarray(x, dtype=np.float32) for x in f[c]])
-                bases = CODES[np.frombuffer("".join(f["k_mer"]).upper().encode("latin-1", "replace"), dtype=np.uint8)].reshape(len(f), -1)
-                signals = np.array([[np.asarray(s, dtype=np.float32) for s in site] for site in f["raw_signals"]])
-                p = shared.value(bases, stack("signal_means"), stack("signal_stds"), stack("signal_lens"), signals).astype(float)
-                yield f.drop(columns=["signal_means", "signal_stds", "signal_lens", "raw_signals"]).assign(p0=p[:, 0], p1=p[:, 1])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, batch):
+                part = whole.slice(i, batch)
+                p = shared.value(*tensors(pa.Table.from_batches([part]))).astype(float)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(p[:, 0]), pa.array(p[:, 1])], names=[*kept, "p0", "p1"])
 
-    kept = ["chrom", "pos", "alignstrand", "pos_in_strand", "readname", "read_strand", "k_mer"]
     schema = "chrom string, pos long, alignstrand string, pos_in_strand long, readname string, read_strand string, k_mer string, p0 double, p1 double"
-    scored = rows.select(*kept, "signal_means", "signal_stds", "signal_lens", "raw_signals").mapInPandas(run, schema)
+    scored = rows.select(*kept, "signal_means", "signal_stds", "signal_lens", "raw_signals").mapInArrow(run, schema)
     return as_calls(scored)
 
 

@@ -159,3 +159,42 @@ select cf as prob_cf, total_num, called_num, correct, called_num::double / total
 ORACLE["q_transcript_coords"] = f"""with {GFF}, o as (select *, coalesce(sum("end" - start) over (partition by parent order by rank, start, "end" rows between unbounded preceding and 1 preceding), 0) as begin_ from exons),
 b as (select parent, chrom, strand, begin_ + i as site, case when strand = '-' then "end" - 1 - i else start + i end as pos from (select *, unnest(range(0, "end" - start)) as i from o))
 select parent, chrom, strand, count(*) as n, cast(sum(site * (pos % 1000)) as bigint) as mixed, cast(max(site) as bigint) as last from b group by 1, 2, 3"""
+
+PLACED = f"""{GFF}, o as (select *, coalesce(sum("end" - start) over (partition by parent order by rank, start, "end" rows between unbounded preceding and 1 preceding), 0) as begin_ from exons)"""
+ORACLE["q_to_genome"] = f"""with {PLACED}, p as (select l_orderkey::varchar as parent, l_suppkey % 97 as site, l_linenumber as line from lineitem)
+select parent, chrom, strand, count(*) as n, cast(sum(line * (case when strand = '-' then "end" - 1 - (site - begin_) else start + (site - begin_) end)) as bigint) as places
+from p join o using (parent) where site >= begin_ and site < begin_ + "end" - start group by 1, 2, 3"""
+ORACLE["q_to_transcripts"] = f"""with {PLACED}, p as (select 'chr' || (o_custkey % 5 + 1) as chrom, o_custkey * 100 + o_orderkey % 50 as pos, o_orderkey from orders)
+select o_orderkey, count(*) as n, cast(sum(begin_ + case when strand = '-' then "end" - 1 - pos else pos - start end) as bigint) as places
+from p join o using (chrom) where pos >= start and pos < "end" group by 1"""
+ORACLE["q_interval_join_uneven"] = """with a as (select l_orderkey, 'chr' || (l_orderkey % 5 + 1) as chrom, min(l_partkey) as start, max(l_partkey) + 1 as "end" from lineitem where l_orderkey % 50 = 0 group by 1, 2),
+b as (select 'chr' || (l_orderkey % 5 + 1) as chrom, l_partkey as start, l_partkey + cast(l_quantity as bigint) as "end", l_suppkey from lineitem)
+select l_orderkey as long_l_orderkey, count(*) as n, cast(sum(l_suppkey) as bigint) as s from a join b on a.chrom = b.chrom and a.start < b."end" and b.start < a."end" group by 1"""
+ORACLE["q_motif_class_sites"] = f"""with {CONTIGS}, n as (select count(*) as n from documents),
+r as (select 'doc' || (l_orderkey % n) as name, l_partkey % 700 as pos, case when l_linenumber % 2 = 0 then '-' else '+' end as strand from lineitem, n),
+t as (select r.*, case when strand = '+' then substr(seq, cast(pos + 1 as int), 3) when pos >= 2 then {RC.format('substr(seq, cast(pos - 1 as int), 3)')} else '' end as three from r left join contigs using (name))
+select strand, {CLASS.format("coalesce(three, '')")} as motif, count(*) as n, cast(sum(pos) as bigint) as places from t group by 1, 2"""
+ORACLE["q_shuffle_order"] = f"""with {SAMPLES}, p as (select idx, case methy_label when 1 then 0 else 1 end as part from samples), n as (select part, count(*) as n from p group by part),
+k as (select greatest(1, ceil(sum(n) / 500.0)::bigint) as buckets from n),
+r as (select idx, part, n, buckets, (row_number() over (partition by part order by md5('2|' || part || '|' || idx), idx) - 1) * buckets // n as bucket from p join n using (part), k)
+select idx, part, cast((select sum((r.bucket * n.n + r.buckets - 1) // r.buckets) from n) + row_number() over (partition by bucket order by md5('3|' || part || '|' || idx), part, idx) - 1 as bigint) as position from r"""
+ORACLE["q_denoise"] = f"""with {SAMPLES}, pos as (select * from samples where methy_label = 1 and prob_1 >= 0.75), t as (select count(*) as total from pos),
+h as (select n.n, ceil(total * (p.n::double / total)) as quota from (select k_mer, count(*) as n from samples where methy_label <> 1 group by 1) n left join (select k_mer, count(*) as n from pos group by 1) p using (k_mer), t),
+u as (select greatest(coalesce(ceil((total - coalesce((select sum(least(quota, n)) from h where quota is not null), 0)) / nullif((select count(*) from h where quota is null), 0)), 0), 0) as share from t),
+g as (select sum(least(coalesce(quota, share), n)) as got, sum(n - least(coalesce(quota, share), n)) filter (quota is not null or share > 0) as left_ from h, u)
+select 1 as methy_label, total as n from t union all select 0, cast(got + greatest(least(total - got, left_), 0) as bigint) from g, t"""
+#: Six digits, half to even, by the shortest decimals that stand for the double.
+EVEN = '''(select (f + case when t - f > 0.5 or (t - f = 0.5 and abs(f) % 2 = 1) then 1 else 0 end)::double / 1000000.0::double from (select t, floor(t) as f from (select cast(cast({0} as varchar) as decimal(30,20)) * 1000000 as t)))'''
+#: A number of six digits as Java writes it: below a thousandth, with an exponent.
+JAVA = """case when {0} <> 0 and abs({0}) < 0.001 then case when {0} < 0 then '-' else '' end
+  || cast(round(abs({0}) * 1000000) / pow(10, len(cast(cast(round(abs({0}) * 1000000) as int) as varchar)) - 1) as varchar) || 'E-' || (7 - len(cast(cast(round(abs({0}) * 1000000) as int) as varchar))) else cast({0} as varchar) end"""
+ORACLE["q_feature_text"] = f"""with {located(5, "'CG'", 2)}, s as (select read_id, unnest(range(0, len(raw))) as i, unnest(raw) as v from reads),
+  m as (select read_id, median(v) as m from s group by 1), d as (select read_id, median(abs(v - m)) as d from s join m using (read_id) group by 1),
+  z as (select read_id, i // 4 as base, list(round_even((v - m) / (d / 0.6744897501960817::double), 6) order by i) as v from s join m using (read_id) join d using (read_id) group by 1, 2),
+  a as (select *, list_reduce(list_prepend(0.0::double, v), lambda x, y: x + y) / 4 as mean from z),
+  g as (select *, sqrt(list_reduce(list_prepend(0.0::double, v), lambda x, y: x + (y - mean) * (y - mean)) / 4) as std from a),
+  h as (select read_id, base, v, {EVEN.format('mean')} as mean, {EVEN.format('std')} as std from g),
+  b as (select chrom, pos, strand, read_id, k_mer, i + j as base from located, (select unnest(range(-2, 3)) as j)),
+  e as (select chrom, pos, strand, read_id, k_mer, base, {JAVA.format('mean')} as mean, {JAVA.format('std')} as std, array_to_string(list_transform(v, lambda x: {JAVA.format('x')}), ',') as raw from b join h using (read_id, base))
+select chrom, pos, strand as alignstrand, -1::bigint as pos_in_strand, read_id as readname, 't' as read_strand, k_mer, string_agg(mean, ',' order by base) as signal_means, string_agg(std, ',' order by base) as signal_stds,
+  string_agg('4', ',' order by base) as signal_lens, string_agg(raw, ';' order by base) as raw_signals, 1 as methy_label from e group by chrom, pos, strand, read_id, k_mer"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import sequence as S
 from ..functions import signal as G
-from ..operators import annotation, denoise, evaluate, extract, frequency, motifs, samples, score, train
+from ..operators import annotation, denoise, evaluate, extract, frequency, intervals, motifs, network, samples, score, train
 from . import views as V
 
 RENAMED = {f"chr{i}": f"Chr{i}" for i in range(1, 6)}
@@ -87,7 +87,7 @@ def q_combine_strands_bed(spark, d):
 
 @query
 def q_motif_scan(spark, d):
-    return S.scan_motifs(V.contigs(spark, d), ["CG"], size=300)
+    return S.scan_motifs(V.contigs(spark, d), ["CG"])
 
 
 @query
@@ -116,9 +116,17 @@ def q_motif_class(spark, d):
 @query
 def q_motif_class_ref(spark, d):
     """All cytosines of both strands that have two bases after them on the minus strand."""
-    c = V.contigs(spark, d)
-    plus, minus = S.scan_motifs(c, ["C"]).withColumn("strand", F.lit("+")), S.scan_motifs(c, ["G"]).filter("pos >= 2").withColumn("strand", F.lit("-"))
-    return motifs.failures(motifs.classify_by_reference(plus.unionByName(minus).withColumnRenamed("name", "chrom"), c))
+    return motifs.failures(motifs.reference_sites(V.contigs(spark, d)))
+
+
+@query
+def q_motif_class_sites(spark, d):
+    """Sites from elsewhere (a place in a document for each line item) by the reference's bases."""
+    t = V.table(spark, d, "lineitem")
+    n = V.table(spark, d, "documents").count()
+    rows = t.select(F.concat(F.lit("doc"), F.expr(f"l_orderkey % {n}").cast("string")).alias("chrom"), (F.col("l_partkey") % 700).alias("pos"), F.when(F.col("l_linenumber") % 2 == 0, "-").otherwise("+").alias("strand"))
+    marked = motifs.classify_by_reference(rows, motifs.reference_sites(V.contigs(spark, d)))
+    return marked.groupBy("strand", F.coalesce("motif", F.lit("failed")).alias("motif")).agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("places"))
 
 
 @query
@@ -206,7 +214,18 @@ def q_feature_text(spark, d):
 def q_interval_join(spark, d):
     r = V.signals(spark, d).select("chrom", F.col("chrom_start").alias("start"), (F.col("chrom_start") + 16).alias("end"), "read_id")
     a = V.table(spark, d, "part").select(F.concat(F.lit("chr"), (F.col("p_partkey") % 5 + 1).cast("string")).alias("chrom"), F.col("p_partkey").alias("start"), (F.col("p_partkey") + F.col("p_size")).alias("end"), "p_partkey")
-    return extract.bin_join(r, a, 64).select("read_read_id", "region_p_partkey")
+    return intervals.interval_join(r, a, ("read", "region")).select("read_read_id", "region_p_partkey")
+
+
+@query
+def q_interval_join_uneven(spark, d):
+    """Windows of an order's parts, some over all keys, with those of single items: lengths from 1 to all there is."""
+    t = V.table(spark, d, "lineitem")
+    chrom = F.concat(F.lit("chr"), (F.col("l_orderkey") % 5 + 1).cast("string")).alias("chrom")
+    short = t.select(chrom, F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("end"), F.col("l_suppkey").alias("s"))
+    long = t.groupBy("l_orderkey").agg(F.min("l_partkey").alias("start"), (F.max("l_partkey") + 1).alias("end")).filter("l_orderkey % 50 = 0").withColumn("chrom", F.concat(F.lit("chr"), (F.col("l_orderkey") % 5 + 1).cast("string")))
+    both = intervals.interval_join(long, short, ("long", "short"))
+    return both.groupBy("long_l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum("short_s").alias("s"))
 
 
 @query
@@ -256,6 +275,13 @@ def q_shuffle_concat(spark, d):
     return both.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("first"))
 
 
+@query
+def q_shuffle_order(spark, d):
+    """Where each sample comes to stand when positives and negatives are shuffled together."""
+    s = V.samples(spark, d)
+    return samples.mixed_order([samples.with_label(s, 1), samples.with_label(s, 0)], 2, stretch=500).select("idx", "part", "position")
+
+
 @query
 def q_first_n(spark, d):
     return samples.first_n(V.samples(spark, d), "chrom", 40, 3).select("chrom", "idx")
@@ -307,25 +333,38 @@ def q_denoise(spark, d):
     return kept.groupBy("methy_label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _noisy(spark, d):
-    """Samples among whose positives are rows that were called unmethylated."""
-    label = ((F.col("methy_label") == 1) | F.col("truth")).cast("int")
-    return V.samples(spark, d).withColumn("methy_label", label).withColumn("m", F.col("prob_1").cast("double"))
+def _labelled(spark, d):
+    """Features of sites, labelled by the level of their middle base; one label in eight is wrong. idx is unique."""
+    f = extract.features(V.signals(spark, d), ["C"], k=5, width=6)
+    idx = F.concat_ws("/", "readname", "pos")
+    high = F.element_at("signal_means", 3) > 0
+    return f.withColumn("idx", idx).withColumn("methy_label", F.when(F.md5(idx) < "2", ~high).otherwise(high).cast("int"))
+
+
+SMALL = network.Schedule(epochs=6, batch=8, rate=0.02, decay=0.7, dropout=0.0, workers=2, enough=0.95)
 
 
 @query
 def q_denoise_trained(spark, d):
-    """One iteration of three rounds in which halves learn to score each other."""
-    kept = denoise.denoise(_noisy(spark, d), score.Linear(("m",)), 1)
+    """One iteration of two rounds in which networks that are trained on halves score each other; wrong labels go."""
+    kept = denoise.denoise(_labelled(spark, d), network.Network(score.BiLSTM.random(1, 5, 6, 8, joined_layers=1), SMALL), 1, 2)
     return kept.groupBy("methy_label").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def q_train_network(spark, d):
+    """A network learns on one half of the samples; each epoch is measured on the other."""
+    half, rows = samples.chance(7, "idx") < "8", _labelled(spark, d)
+    _, log = network.fit(rows.filter(half), score.BiLSTM.random(2, 5, 6, 8, joined_layers=1), SMALL, rows.filter(~half))
+    return spark.createDataFrame(log, network.LOG).select("epoch", "steps", F.round("loss", 2).alias("loss"), F.round("accuracy", 2).alias("accuracy"))
+
+
 @query
 def q_train_linear(spark, d):
     """Settings learn on one half of the samples; the best is measured on the other."""
     half = samples.chance(7, "idx") < "8"
-    rows = _noisy(spark, d)
-    settings = [score.Linear(("m",), settings={"maxIter": 20, "regParam": r}) for r in (0.1, 0.01, 0.001)]
+    rows = _labelled(spark, d).select("idx", "methy_label", *(F.col("signal_means")[i].alias(f"m{i}") for i in range(5)))
+    settings = [score.Linear(tuple(f"m{i}" for i in range(5)), settings={"maxIter": 20, "regParam": r}) for r in (0.1, 0.01, 0.001)]
     best, _ = train.train(rows.filter(half), rows.filter(~half), settings)
     return train.quality(best.transform(rows.filter(~half)))
 
@@ -400,9 +439,27 @@ def q_transcript_len(spark, d):
 
 @query
 def q_transcript_coords(spark, d):
-    """Sums of the coordinates of each transcript, so ties of rank don't matter beyond their order by start."""
-    c = annotation.transcript_coordinates(annotation.annotate(V.annotation(spark, d)))
-    return c.groupBy("parent", "chrom", "strand").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("at") * (F.col("pos") % 1000)).alias("mixed"), F.max("at").alias("last"))
+    """Sums of the coordinates of each transcript, exon by exon, so ties of rank don't matter beyond their order by start."""
+    placed = annotation.transcript_map(annotation.annotate(V.annotation(spark, d))).filter("length > 0")
+    bases = F.sequence(F.col("begin"), F.col("begin") + F.col("length") - 1)
+    mixed = F.aggregate(bases, F.lit(0).cast("long"), lambda a, at: a + at * (annotation.place(at) % 1000))
+    return placed.groupBy("parent", "chrom", "strand").agg(F.sum("length").alias("n"), F.sum(mixed).alias("mixed"), (F.max(F.col("begin") + F.col("length")) - 1).alias("last"))
+
+
+@query
+def q_to_genome(spark, d):
+    """A place in a transcript for each line item: its supplier's number from the start, on from other transcripts' ends nothing."""
+    placed = annotation.transcript_map(annotation.annotate(V.annotation(spark, d)))
+    points = V.table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("parent"), (F.col("l_suppkey") % 97).alias("at"), F.col("l_linenumber").alias("line"))
+    return annotation.to_genome(placed, points).groupBy("parent", "chrom", "strand").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("pos") * F.col("line")).alias("places"))
+
+
+@query
+def q_to_transcripts(spark, d):
+    """The bases of transcripts at a place in the genome for each order."""
+    placed = annotation.transcript_map(annotation.annotate(V.annotation(spark, d)))
+    points = V.table(spark, d, "orders").select(F.concat(F.lit("chr"), (F.col("o_custkey") % 5 + 1).cast("string")).alias("chrom"), (F.col("o_custkey") * 100 + F.col("o_orderkey") % 50).alias("pos"), "o_orderkey")
+    return annotation.to_transcripts(placed, points).groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum("at").alias("places"))
 
 
 @query

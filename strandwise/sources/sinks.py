@@ -55,3 +55,8 @@ def annotation(df: DataFrame, path: str) -> None:
 
 def evaluation(df: DataFrame, path: str) -> None:
     tsv(df, path, one_file=True, header=True)
+
+
+def probabilities(stats: DataFrame, path: str) -> None:
+    """The number of each sample and its mean probability, in the order of numbers."""
+    tsv(stats.orderBy("idx").select("idx", "mean_prob"), path)

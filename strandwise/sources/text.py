@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators.annotation import annotate
 from ..operators.extract import from_text
+from ..operators.tables import written
 
 
 def tsv(spark: SparkSession, paths: str | Sequence[str], schema: str, contains: str | None = None) -> DataFrame:
@@ -23,25 +24,51 @@ def tsv(spark: SparkSession, paths: str | Sequence[str], schema: str, contains:
     return reader.csv(paths)
 
 
-def ordered(rows: DataFrame) -> DataFrame:
-    """Add `line`, which orders rows as their files do (files by name, lines by place)."""
-    return rows.withColumn("line", F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at")))
+def numbered(rows: DataFrame) -> DataFrame:
+    """Add `line` (file, at): the file and the number of the row in it, from 0 without gaps, whatever splits the file is read in.
+
+    `rows` come straight from files, a row a line. Spark numbers the rows of a task; what a split's first row has, and how many rows lie in the splits
+    before it, is one row a split, which meets the rows. Nothing is sorted.
+    """
+    told = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    splits = told.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    line = F.struct(F.col("_file").alias("file"), (F.col("_before") + F.col("_id") - F.col("_first")).alias("at"))
+    return told.join(splits, ["_file", "_block"]).withColumn("line", line).drop("_file", "_block", "_id", "_first", "_before")
+
+
+def lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """value and line of the lines of text files."""
+    return numbered(spark.read.text([paths] if isinstance(paths, str) else list(paths)))
+
+
+def at_lines(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The numbered rows whose `line` is among those of `wanted` (line); a lookup, without a sort."""
+    return rows.join(wanted.select("line").distinct(), "line", "left_semi")
+
+
+def without_lines(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The other rows."""
+    return rows.join(wanted.select("line").distinct(), "line", "left_anti")
 
 
 def calls(spark: SparkSession, paths, contains: str | None = None) -> DataFrame:
-    return ordered(tsv(spark, paths, schemas.CALLS, contains))
+    return numbered(tsv(spark, paths, schemas.CALLS, contains))
 
 
 def frequencies(spark: SparkSession, paths, contains: str | None = None) -> DataFrame:
-    return ordered(tsv(spark, paths, schemas.FREQ, contains))
+    return numbered(tsv(spark, paths, schemas.FREQ, contains))
 
 
 def bed(spark: SparkSession, paths) -> DataFrame:
     return tsv(spark, paths, schemas.BED)
 
 
-def features(spark: SparkSession, paths, contains: str | None = None) -> DataFrame:
-    return from_text(tsv(spark, paths, schemas.FEATURE_TEXT, contains))
+def features(spark: SparkSession, paths, contains: str | None = None, with_lines: bool = False) -> DataFrame:
+    """Features of files; `with_lines` adds their line, by which training addresses samples."""
+    rows = tsv(spark, paths, schemas.FEATURE_TEXT, contains)
+    return from_text(numbered(rows) if with_lines else rows)
 
 
 def reads(spark: SparkSession, path: str) -> DataFrame:
@@ -52,7 +79,7 @@ def reads(spark: SparkSession, path: str) -> DataFrame:
 def fasta(spark: SparkSession, path: str, upper: bool = True) -> DataFrame:
     """name (to the first space), seq and len of each contig; those without a sequence go.
 
-    A record is what stands between lines that begin with >.
+    A record is what stands between lines that begin with >. For large contigs, see fasta_tiles.
     """
     text = spark.read.option("lineSep", "\n>").text(path)
     body = F.regexp_replace(F.col("value"), "^>", "")
@@ -61,6 +88,55 @@ def fasta(spark: SparkSession, path: str, upper: bool = True) -> DataFrame:
     return rows.withColumn("len", F.length("seq").cast("long")).filter("len > 0")
 
 
+def fasta_lines(spark: SparkSession, path: str, upper: bool = True) -> DataFrame:
+    """name, record, at, bases of each line of sequence: `at` is the place of its first base in the contig, record (file, line) tells records apart.
+
+    Files are read in splits. Within a split, lines are in their order; each split then has one row for what it leaves to the next: the
+    last header in it and the bases after that, carried over splits without headers. So a contig of any length is read by many tasks,
+    and no row holds more than a line.
+    """
+    value = F.regexp_replace("value", r"\s", "")
+    head = F.col("value").startswith(">")
+    told = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    told = told.select("file", "block", "id", F.when(head, F.struct(F.regexp_extract("value", r"^>(\S*)", 1).alias("name"), F.col("block").alias("block"), F.col("id").alias("id"))).alias("head"), F.when(~head, F.upper(value) if upper else value).alias("bases"))
+    rows = written(told.filter("head is not null or bases <> ''"), "fasta-lines")
+    size = F.coalesce(F.length("bases"), F.lit(0)).cast("long")
+    inside = Window.partitionBy("file", "block").orderBy("id")
+    rows = rows.withColumn("mine", F.last("head", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("size", size)
+    rows = rows.withColumn("before", F.coalesce(F.sum("size").over(Window.partitionBy("file", "block", "mine").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # What each split leaves: its last header, if it has one, and the bases after it.
+    ends = rows.groupBy("file", "block").agg(F.max_by(F.struct("mine", (F.col("before") + F.col("size")).alias("bases")), "id").alias("end"))
+    files = Window.partitionBy("file").orderBy("block")
+    ends = ends.select("file", "block", "end.mine", "end.bases")
+    runs = ends.withColumn("run", F.count("mine").over(files))  # splits since the same header share a run
+    carry = Window.partitionBy("file", "run").orderBy("block")
+    runs = runs.select("file", "block", F.first("mine").over(carry).alias("mine"), F.sum("bases").over(carry).alias("bases"))
+    given = runs.select("file", "block", F.lag("mine").over(files).alias("given"), F.lag("bases").over(files).alias("given_bases"))
+    rows = rows.filter("bases is not null").join(given, ["file", "block"])
+    first = F.col("mine").isNull()
+    of = F.coalesce("mine", "given")
+    at = F.col("before") + F.when(first, F.coalesce("given_bases", F.lit(0))).otherwise(0)
+    return rows.select(of["name"].alias("name"), F.struct("file", of["block"].alias("block"), of["id"].alias("id")).alias("record"), at.alias("at"), "bases").filter("name is not null")
+
+
+def fasta_lengths(lines: DataFrame) -> DataFrame:
+    """name and len of each contig, from its lines."""
+    return lines.groupBy("name", "record").agg(F.sum(F.length("bases").cast("long")).alias("len")).select("name", "len")
+
+
+def fasta_tiles(lines: DataFrame, left: int = 0, right: int = 0, size: int = 1 << 18) -> DataFrame:
+    """Tiles of contigs as functions.sequence.tiles gives them, made of lines (see fasta_lines): a line goes to each tile that it has bases of."""
+    whole = lines.groupBy("record").agg(F.sum(F.length("bases").cast("long")).alias("whole"))
+    stop = F.col("at") + F.length("bases")
+    ks = F.sequence(F.greatest(F.lit(0), F.floor((F.col("at") - right) / size)), F.floor((stop - 1 + left) / size))
+    each = lines.select("*", F.explode(ks).alias("k")).withColumn("first", F.greatest(F.col("k") * size - left, F.lit(0))).withColumn("end", (F.col("k") + 1) * size + right)
+    skip = F.greatest(F.col("first") - F.col("at"), F.lit(0)).cast("int")
+    piece = F.substring("bases", skip + 1, (F.least(stop, F.col("end")) - F.col("at")).cast("int") - skip)
+    parts = each.withColumn("piece", piece).filter("piece <> ''").groupBy("name", "record", "k", "first").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("x"))
+    rows = parts.join(whole, "record").filter(F.col("k") * size < F.col("whole"))
+    return rows.select("name", (F.col("k") * size).alias("begin"), "first", F.array_join("x.piece", "").alias("part"), "whole")
+
+
 def contig_names(spark: SparkSession, source: str) -> DataFrame:
     """Names of a FASTA file (as they are), a file of a name a line, or a comma-separated list (sorted, distinct)."""
     if "/" not in source and "." not in source:
@@ -93,3 +169,8 @@ def gff3(spark: SparkSession, path: str) -> DataFrame:
 def count_lines(spark: SparkSession, path: str, header: bool = False) -> int:
     n = spark.read.text(path).count()
     return max(0, n - 1) if header else n
+
+
+def is_empty(spark: SparkSession, path: str) -> bool:
+    """Whether files have no line; looks at one."""
+    return spark.read.text(path).isEmpty()

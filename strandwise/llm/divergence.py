@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,7 @@ from .common import save
 
 #: Terms are runs of ASCII letters and bytes of other characters; only A-Z are lowered.
 TERM, BETWEEN = re.compile(rb"[A-Za-z\x80-\xff]+"), re.compile(rb"[^A-Za-z\x80-\xff]")
-SLICE, HELD = 1 << 20, 300_000
+SLICE, HELD = 1 << 20, 800_000
 UNIT = 1_000_000_000
 COUNTS = "lang string, source string, term string, n long, n_docs long"
 SKY = "lang string, source string, term string, n long, lang_n long"
@@ -81,60 +81,65 @@ def shares(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
     return 1 + out
 
 
-def skyband(n: Sequence[int], lang_n: Sequence[int], names: Sequence[bytes], k: int) -> list[int]:
+def skyband(n: np.ndarray, lang_n: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
     """Places of the terms that fewer than k others dominate: n not lower, lang_n not higher, and earlier in UTF-8.
 
     In the order of falling n, rising lang_n and name, dominators come first, and who is dominated by k others is dominated by k
     that stay, so each term is compared with those that stayed.
     """
-    order = sorted(range(len(names)), key=lambda i: (-n[i], lang_n[i], names[i]))
     rank = np.empty(len(names), dtype=np.int64)
-    rank[sorted(range(len(names)), key=lambda i: names[i])] = np.arange(len(names))
-    low = np.asarray(lang_n, dtype=np.int64)
-    stay: list[int] = []
+    rank[np.argsort(names, kind="stable")] = np.arange(len(names))
+    order = np.lexsort((rank, lang_n, -n))
+    low, place = lang_n[order], rank[order]
+    stay = np.zeros(0, dtype=np.int64)
     for at in range(0, len(order), 512):
-        block = np.array(order[at : at + 512])
-        kept = np.array(stay, dtype=np.int64)
-        over = ((low[kept][None, :] <= low[block][:, None]) & (rank[kept][None, :] < rank[block][:, None])).sum(axis=1)
-        fresh: list[int] = []
-        for i, above in zip(block[over < k].tolist(), over[over < k].tolist()):
-            if above + sum(1 for j in fresh if low[j] <= low[i] and rank[j] < rank[i]) < k:
-                fresh.append(i)
-        stay += fresh
-    return stay
+        block = slice(at, at + 512)
+        over = ((low[stay] <= low[block, None]) & (place[stay] < place[block, None])).sum(axis=1)
+        some = at + np.flatnonzero(over < k)
+        # A block's terms count all of each other: k that dominate one that goes dominate whatever that one does.
+        own = (low[some] <= low[some, None]) & (place[some] < place[some, None]) & (some < some[:, None])
+        stay = np.concatenate([stay, some[over[some - at] + own.sum(axis=1) < k]])
+    return order[stay]
 
 
-def _narrowed(held: dict, k: int) -> Iterator[tuple[tuple[str, str], list]]:
-    for group, (n, lang_n, names) in held.items():
-        stay = skyband(n, lang_n, names, k)
-        yield group, [[x[i] for i in stay] for x in (n, lang_n, names)]
+def _narrowed(held: dict, k: int) -> dict:
+    return {group: [x[stay] for x in columns] for group, columns in held.items() for stay in [skyband(*columns, k)]}
 
 
 def _table(held: dict) -> pa.Table:
-    cells: list[list] = [[], [], [], [], []]
-    for (lang, source), (n, lang_n, names) in held.items():
-        for column, values in zip(cells, ([lang] * len(n), [source] * len(n), names, n, lang_n)):
-            column += values
-    types = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64())
-    table = pa.table({c: pa.array(x, t) for c, x, t in zip(("lang", "source", "term", "n", "lang_n"), cells, types)})
-    return table.set_column(2, "term", table.column("term").cast(pa.string()))
+    sizes = [len(columns[0]) for columns in held.values()]
+    langs, sources = ([g[i] for g, m in zip(held, sizes) for _ in range(m)] for i in (0, 1))
+    n, lang_n, names = (np.concatenate([columns[i] for columns in held.values()]) if held else [] for i in range(3))
+    return pa.table({"lang": pa.array(langs, pa.string()), "source": pa.array(sources, pa.string()), "term": pa.array(names, pa.binary()).cast(pa.string()), "n": pa.array(n, pa.int64()), "lang_n": pa.array(lang_n, pa.int64())})
+
+
+def _codes(column: pa.Array) -> tuple[np.ndarray, list[str]]:
+    known = column.dictionary_encode()
+    return known.indices.to_numpy(zero_copy_only=False).astype(np.int64), known.dictionary.to_pylist()
 
 
 def local_skybands(kept: DataFrame, k: int) -> DataFrame:
     """The skyband of each group's terms within each partition of `kept` (lang, term, lang_n, sources)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], list] = {}
+        held: dict[tuple[str, str], list[np.ndarray]] = {}
         for batch in batches:
-            names = batch.column("term").cast(pa.binary()).to_pylist()
-            for lang, name, lang_n, sources in zip(batch.column("lang").to_pylist(), names, batch.column("lang_n").to_pylist(), batch.column("sources").to_pylist()):
-                for each in sources:
-                    if each["n"] > 0:
-                        of = held.setdefault((lang, each["source"]), [[], [], []])
-                        of[0].append(each["n"])
-                        of[1].append(lang_n)
-                        of[2].append(name)
-            held = dict(_narrowed(held, k))
+            lists = batch.column("sources")
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            n = lists.flatten().field("n").to_numpy(zero_copy_only=False)
+            (lang, langs), (source, sources) = _codes(batch.column("lang")), _codes(lists.flatten().field("source"))
+            names = np.array(batch.column("term").cast(pa.binary()).to_pylist(), dtype=object)
+            lang_n = batch.column("lang_n").to_numpy(zero_copy_only=False)
+            group = lang[row] * max(1, len(sources)) + source
+            order = np.argsort(group, kind="stable")
+            order = order[n[order] > 0]
+            for some in np.split(order, np.flatnonzero(np.diff(group[order])) + 1) if len(order) else []:
+                at = row[some]
+                columns = [n[some], lang_n[at], names[at]]
+                key = (langs[group[some[0]] // len(sources)], sources[group[some[0]] % len(sources)])
+                columns = [np.concatenate(x) for x in zip(held[key], columns)] if key in held else columns
+                stay = skyband(*columns, k)
+                held[key] = [x[stay] for x in columns]
             if sum(len(x[0]) for x in held.values()) > HELD:
                 yield from _table(held).to_batches()
                 held = {}
@@ -147,9 +152,8 @@ def merged_skybands(bands: DataFrame, k: int) -> DataFrame:
     """One skyband for each lang, source and slot."""
 
     def run(table: pa.Table) -> pa.Table:
-        group = (table.column("lang")[0].as_py(), table.column("source")[0].as_py())
-        held = {group: [table.column("n").to_pylist(), table.column("lang_n").to_pylist(), table.column("term").cast(pa.binary()).to_pylist()]}
-        return _table(dict(_narrowed(held, k)))
+        columns = [table.column("n").to_numpy(), table.column("lang_n").to_numpy(), np.array(table.column("term").cast(pa.binary()).to_pylist(), dtype=object)]
+        return _table(_narrowed({(table.column("lang")[0].as_py(), table.column("source")[0].as_py()): columns}, k))
 
     return bands.groupBy("lang", "source", "slot").applyInArrow(run, SKY)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from ..functions.numbers import divided
 from .samples import first_n
@@ -39,15 +40,19 @@ def batch_accuracy(calls: DataFrame, number: Column, batch: int = 512) -> DataFr
 def auroc(calls: DataFrame) -> DataFrame:
     """The area under the ROC curve by prob_1, 0 with one class only.
 
-    Calls are counted by score first, and scores (0 to 1, any digits) fall into 65537 buckets: one window sums over buckets,
-    the other within each.
+    Calls are counted by score first. Decimal scores of six digits are a million and one at most, so one window sums over them. Scores of any
+    digits (0 to 1) fall into 65537 buckets: one window sums over buckets, the other within each.
     """
     by_score = calls.groupBy("prob_1").agg(F.count_if(F.col("truth")).alias("p"), F.count_if(~F.col("truth")).alias("q"))
-    by_score = by_score.withColumn("_b", F.floor(F.col("prob_1") * 65536))
     up_to = lambda w: F.coalesce(F.sum("q").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    buckets = by_score.groupBy("_b").agg(F.sum("q").alias("q")).select(F.col("_b").alias("_c"), up_to(Window.orderBy("_b")).alias("_before"))
-    by_score = by_score.join(buckets, F.col("_b").eqNullSafe(F.col("_c")))
-    below = F.col("_before") + up_to(Window.partitionBy("_b").orderBy("prob_1"))
+    kind = calls.schema["prob_1"].dataType
+    if isinstance(kind, DecimalType) and kind.scale <= 6:
+        below = up_to(Window.orderBy("prob_1"))
+    else:
+        by_score = by_score.withColumn("_b", F.floor(F.col("prob_1") * 65536))
+        buckets = by_score.groupBy("_b").agg(F.sum("q").alias("q")).select(F.col("_b").alias("_c"), up_to(Window.orderBy("_b")).alias("_before"))
+        by_score = by_score.join(buckets, F.col("_b").eqNullSafe(F.col("_c")))
+        below = F.col("_before") + up_to(Window.partitionBy("_b").orderBy("prob_1"))
     area = by_score.withColumn("_a", F.col("p") * (below + F.col("q") / F.lit(2.0))).agg(F.sum("_a").alias("a"), F.sum("p").alias("p"), F.sum("q").alias("q"))
     return area.select(divided(F.col("a"), F.col("p") * F.col("q")).alias("auc"))
 

@@ -81,6 +81,11 @@ class BiLSTM:
         x = np.exp(x - x.max(axis=1, keepdims=True))
         return x / x.sum(axis=1, keepdims=True)
 
+    def name(self) -> str:
+        """What tells a kind of model apart in names: its branches and, where bases have a branch, which inputs that has."""
+        kind = f"{self.module}_bilstm"
+        return kind if self.module == "signal" else f"{kind}_{'with' if self.use_base else 'no'}_base_{'with' if self.use_length else 'no'}_slen"
+
     def parameters(self) -> int:
         return int(sum(w.size for w in self.weights.values()))
 

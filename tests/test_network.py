@@ -123,6 +123,11 @@ def test_partial_update():
             network.updated(model.weights, wrong)
 
 
+def test_names_of_models():
+    named = lambda **k: score.BiLSTM({}, **k).name()
+    assert [named(), named(module="seq", use_base=False), named(module="signal", use_length=False)] == ["both_bilstm_with_base_with_slen", "seq_bilstm_no_base_with_slen", "signal_bilstm"]
+
+
 class Killed(Exception):
     pass
 

@@ -37,10 +37,6 @@ def strand_position(strand: Column, pos: Column, contig_length: Column) -> Colum
     return F.when(contig_length.isNull(), F.lit(-1)).when(strand == "-", contig_length - 1 - pos).otherwise(pos).cast("long")
 
 
-def truth(text: Column) -> Column:
-    return F.lower(text).isin("yes", "true", "t", "1")
-
-
 def divided(a: Column, b: Column) -> Column:
     """a / b, or 0 where b is 0."""
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import save
@@ -85,14 +85,11 @@ def balanced_parts(x: np.ndarray, near: np.ndarray, parts: int, rounds: int = 12
     return part
 
 
-def fit(sample: np.ndarray, parts: int, k: int = 20, recall: float = 0.96, steps: int = 150, seed: int = 3) -> Router:
-    """Partition the neighbour graph of the sample and learn to route.
+def fit(sample: np.ndarray, parts: int, k: int = 20, steps: int = 150, seed: int = 3) -> Router:
+    """Partition the neighbour graph of the sample and learn to route; `probes` is all partitions until it is measured.
 
-    The classifier's target for a vector is how its neighbours spread over the partitions. Every eighth vector is held out of graph
-    and classifier: `probes` is the least number of partitions in which these find `recall` of their neighbours among
-    the others. Vectors of a larger table are nearer to their neighbours than those of a sample, so this errs to the safe side.
+    The classifier's target for a vector is how its neighbours spread over the partitions.
     """
-    held, sample = sample[7::8], np.delete(sample, np.s_[7::8], axis=0)
     n, d = sample.shape
     near = neighbour_lists(sample, min(k, n - 1))
     part = balanced_parts(sample, near, parts, seed=seed)
@@ -112,13 +109,42 @@ def fit(sample: np.ndarray, parts: int, k: int = 20, recall: float = 0.96, steps
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-10)
         w, b = w - step[:-1], b - step[-1]
-    router = Router(w * scale, b, parts)
-    if len(held):
-        home, order = router.order(sample)[:, 0], router.order(held)
-        wanted = np.argsort(-(held @ sample.T), axis=1, kind="stable")[:, :k]
-        at = np.take_along_axis(np.argsort(order, axis=1), home[wanted], axis=1)  # where a neighbour's partition stands in a query's order
-        router.probes = int(np.searchsorted(np.cumsum(np.bincount(at.ravel(), minlength=parts)) / at.size, recall) + 1)
-    return router
+    return Router(w * scale, b, parts)
+
+
+def measured_probes(index: DataFrame, asked: DataFrame, router: Router, k: int, recall: float, held: int = 256) -> int:
+    """The least number of partitions in which `held` of the queries find `recall` of their true neighbours.
+
+    True neighbours are those among all indexed vectors (vec_id, v, part), by brute force: each task keeps the k best of each of the few
+    queries, which are merged. So what the router misses is seen, whatever the norms of vectors are; and nothing is left to what a sample shows.
+    """
+    picked = asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(held).toPandas()
+    if not len(picked):
+        return len(router.intercept)
+    queries = np.array(picked["v"].tolist(), dtype=np.float64)
+    own = picked["vec_id"].to_numpy()
+    place = np.argsort(router.order(queries), axis=1)  # where a partition stands in a query's order
+    shared = index.sparkSession.sparkContext.broadcast((queries, own, place))
+
+    def run(batches):
+        q, ids, order = shared.value
+        best, at = np.full((len(q), 0), -np.inf), np.zeros((len(q), 0), dtype=np.int64)
+        for batch in batches:
+            v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            s = q @ v.T
+            s[ids[:, None] == batch.column("vec_id").to_numpy()[None, :]] = -np.inf
+            best, at = np.hstack([best, s]), np.hstack([at, order[:, batch.column("part").to_numpy()]])
+            if best.shape[1] > k:
+                top = np.argpartition(-best, k - 1, axis=1)[:, :k]
+                best, at = np.take_along_axis(best, top, axis=1), np.take_along_axis(at, top, axis=1)
+        row, col = np.nonzero(best > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(best[row, col]), pa.array(at[row, col].astype(np.int32))], names=["query", "score", "place"])
+
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "place"))
+    true = index.select("vec_id", "v", "part").mapInArrow(run, "query int, score double, place int").withColumn("rank", rank).filter(F.col("rank") <= k)
+    counts = {r.place: r["count"] for r in true.groupBy("place").count().collect()}  # a row a partition
+    sums = np.cumsum([counts.get(p, 0) for p in range(len(router.intercept))])
+    return int(np.searchsorted(sums, recall * sums[-1]) + 1) if len(counts) else len(router.intercept)
 
 
 def _matrix(table: pa.Table, name: str) -> np.ndarray:
@@ -132,7 +158,8 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, id
     `queries` are rows of the same columns, whose own id is no candidate; without it, those whose id is divisible by 20. The router is
     fitted on at most `sample` vectors, taken by a hash of their id: 256 for each of about sqrt(n) / 4 partitions, a power of two
     from 2 on, or 64 where `sample` allows no more; so beyond some millions of vectors `sample` has to grow, too. Every vector is
-    indexed, in its most probable partition, and each query is routed to the router's `probes` most probable partitions. There, vectors and queries meet in blocks of
+    indexed, in its most probable partition, and each query is routed to its `probes` most probable partitions: as many as some of the queries need for
+    `recall` of their true neighbours in the whole table (see measured_probes). There, vectors and queries meet in blocks of
     at most about `block` rows, so a partition of any size, and one vector repeated any number of times, is spread over tasks.
     Scores that a block's matrix product puts among the k best, all ties included, are computed again row by row in
     double precision, then ordered by score and id.
@@ -155,7 +182,7 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, id
         parts *= 2
     picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(sample, max(2048, 256 * parts))).select("v").toPandas()["v"]
     x = np.array(picked.tolist(), dtype=np.float64)
-    router = fit(x, parts, k, recall) if len(x) >= 4 else Router(np.zeros((dims.d, 1)), np.zeros(1), 1)
+    router = fit(x, parts, k) if len(x) >= 4 else Router(np.zeros((dims.d, 1)), np.zeros(1), 1)
     shared = spark.sparkContext.broadcast(router)
 
     def route(probes: int):
@@ -174,6 +201,7 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, id
     # However uneven the partitions are, those that a query looks at hold k candidates, or all there are.
     filled = sorted(r["count"] for r in base.groupBy("part").count().collect())  # a row a partition
     enough = len(router.intercept) - len(filled) + int(np.searchsorted(np.cumsum(filled), k + 1)) + 1
+    router.probes = measured_probes(base, asked, router, k, recall)
     asked = save(asked.mapInArrow(route(max(router.probes, enough)), routed), "ann-queries")
     count = lambda df, name: df.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
     blocks = F.broadcast(count(base, "blocks").join(count(asked, "asking"), "part"))  # a row a partition

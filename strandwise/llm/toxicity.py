@@ -97,7 +97,7 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[str]]]:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, error: float = 3.0, passes: int = 200, penalty: float = 1e-4) -> Model:
     """Learn from labelled rows that are not held out.
 
-    At most `per_class` rows of each class are taken, by a hash of their id; their whole texts count. For each n-gram
+    At most `per_class` rows of each class are taken, by a hash of their id and text, so repeated ids don't make them more; their whole texts count. For each n-gram
     Spark sums its values over the rows of either class; those whose log-count ratio is `error` times its standard error or more
     are features, however many there are. A logistic regression then weighs them, each scaled by its ratio. The driver gets the
     features and their values in the sampled rows: with the defaults, 8000 rows at most.
@@ -107,10 +107,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, error: float
     known = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = save(known, "toxic-labels")
     prior = {r.toxic: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    take = lambda y: known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-    picked = F.broadcast(take(1).union(take(0)))
-    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(picked, "doc_id")
-    texts = save(texts.repartition(8), "toxic-sample")
+    take = lambda rows, y, *order: rows.filter(F.col("toxic") == y).orderBy(*order).limit(per_class)
+    both = lambda rows, *order: take(rows, 1, *order).union(take(rows, 0, *order))
+    # Ids first, so that no other text is looked at; an id may have any number of rows, so these are counted next, by hashes alone; then texts.
+    whole = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    hashed = whole.join(F.broadcast(both(known, F.xxhash64("doc_id"), "doc_id")), "doc_id").select("doc_id", "toxic", "h")
+    picked = save(both(hashed, F.xxhash64("doc_id"), "doc_id", "h").groupBy("doc_id", "toxic", "h").agg(F.count(F.lit(1)).cast("int").alias("times")), "toxic-picked")
+    texts = whole.join(F.broadcast(picked), ["doc_id", "h"]).groupBy("doc_id", "h", "toxic", "times").agg(F.first("text").alias("text"))
+    texts = texts.select("doc_id", "text", "toxic", F.explode(F.array_repeat(F.lit(0), F.col("times"))))
+    texts = save(texts.repartition(docs.sparkSession.sparkContext.defaultParallelism).select("doc_id", "text", "toxic"), "toxic-sample")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

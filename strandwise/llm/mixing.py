@@ -54,15 +54,16 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     `keep` names further columns to return, as keep_<name>; rows are sorted only if `ordered`; `passes` adds `positions`, that of
     each pass that begins within the target.
     """
+    # The text's digest takes part, so rows without an id, or with one id, are in as many buckets as others.
+    key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit("")))))
     named = docs.select(
-        F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_key"),
-        F.xxhash64("text").alias("_tie"), *(F.col(c).alias(f"keep_{c}") for c in keep),
+        F.col("doc_id"), F.col("source"), key.alias("_key"), n_words(F.col("text")).alias("size"), *(F.col(c).alias(f"keep_{c}") for c in keep),
     )
     base = save(named, "mix-rows")
     n = n_buckets(base.count())
     base = base.withColumn("_bucket", F.floor(F.conv(F.substring("_key", 1, 4), 16, 10).cast("long") * n / 65536).cast("long"))
     goals = save(targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most, leans), "mix-targets")
-    placed = running(base, ["source"], "_bucket", [F.col("_key"), F.col("doc_id"), F.col("size"), F.col("_tie")], F.col("size"), "_start", "_whole")
+    placed = running(base, ["source"], "_bucket", [F.col("_key"), F.col("doc_id"), F.col("size")], F.col("size"), "_start", "_whole")
     g = goals.select(F.col("source").alias("_source"), "source_size", "target", "lean", F.round("target").cast("long").alias("_goal"))
     d = placed.join(g, F.col("source").eqNullSafe(F.col("_source")))
     rounds = F.sequence(F.lit(0), F.lit(int(most)))

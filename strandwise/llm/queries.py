@@ -86,7 +86,7 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from d
 OP8_SQL = r"""
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
-    md5('mix:' || coalesce(cast(doc_id as varchar), '')) as k
+    md5('mix:|' || coalesce(cast(doc_id as varchar), '') || '|' || md5(coalesce(text, ''))) as k
   from documents),
 s as (
   select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) - 1 as i from d group by source),

@@ -250,10 +250,12 @@ def test_neighbours(spark):
 def vectors(kind, n, d=32):
     rng = np.random.default_rng(8)
     x = rng.standard_normal((n, d))
-    return x + 6 * rng.standard_normal((25, d))[rng.integers(0, 25, n)] if kind == "clustered" else x
+    if kind.startswith("clustered"):
+        x = x + 6 * rng.standard_normal((25, d))[rng.integers(0, 25, n)]
+    return x * np.exp(rng.standard_normal((n, 1))) if kind.endswith("uneven") else x
 
 
-@pytest.mark.parametrize("name", ["sf0.001", "sf0.01", "sf0.1", "clustered", "random"])
+@pytest.mark.parametrize("name", ["sf0.001", "sf0.01", "sf0.1", "clustered", "random", "uneven", "clustered uneven"])
 def test_recall_of_routed_search(spark, monkeypatch, name):
     """Recall against brute force, through at least two learned partitions."""
     if name.startswith("sf"):
@@ -310,39 +312,144 @@ def test_licence_query_inherits_from_upper_directories(spark, tmp_path):
     assert any(r.basis == "inherited" and len(r.from_dir) < len(own(r)) for r in found)
 
 
-def plain_scores(texts, templates):
-    """The best template of each text over its lines, paragraphs and whole, by a plain cosine."""
+def plain_units(texts, templates):
+    """For each text, its units (the whole, paragraphs, lines) with their best template: kind, score, name, whether it is long; by a plain cosine."""
     templates = sorted(templates, key=lambda t: t[0])
-    vocabulary = {t for _, x in templates for t in licences.terms(x)}
-    df = Counter(t for x in texts for t in set(licences.terms(x or "")) & vocabulary)
+    texts = [re.sub(licences.NOTICE, r"\1", t or "") for t in texts]
+    vocabulary = {t for _, x, *_ in templates for t in licences.terms(x)}
+    df = Counter(t for x in texts for t in set(licences.terms(x)) & vocabulary)
     idf = {t: np.log((1 + len(texts)) / (1 + df[t])) + 1 for t in vocabulary}
     other, out = sum(idf.values()) / len(idf), []
-    vectors = licences.weights(idf, [x for _, x in templates])
+    vectors = licences.weights(idf, [x for _, x, *_ in templates])
     for text in texts:
-        best = (0.0, None)
-        for unit in [text or "", *re.split(r"\r?\n[^A-Za-z0-9\r\n]*\r?\n", text or ""), *re.split("[\r\n]+", text or "")]:
+        found = []
+        paragraphs = [x for x in re.split(r"\r?\n[^A-Za-z0-9\r\n]*\r?\n", text) if "\n" in x]
+        for kind, unit in [(0, text), *((1, x) for x in paragraphs), *((2, x) for x in re.split("[\r\n]+", text))]:
             words = Counter(licences.terms(unit))
             own = {t: n * idf[t] for t, n in words.items() if t in vocabulary}
             norm = np.sqrt(sum(x * x for x in own.values()) + other**2 * sum(n * n for t, n in words.items() if t not in vocabulary))
-            for (name, _), v in zip(templates, vectors):
-                if own and (s := sum(x * v.get(t, 0.0) for t, x in own.items()) / norm) > best[0] + 1e-12:
-                    best = (s, name)
-        out.append(best)
+            best = (kind, 0.0, None, False)
+            for (name, template, *needs), v in zip(templates, vectors):
+                if own and all(t in own for t in " ".join(needs).split()) and (s := sum(x * v.get(t, 0.0) for t, x in own.items()) / norm) > best[1] + 1e-12:
+                    best = (kind, s, name, len(licences.terms(template)) >= licences.LONG)
+            found.append(best)
+        out.append(found)
     return out
 
 
+def best_of(units, limit):
+    """The best of units at the limit or above: of a long template first, then by score."""
+    some = [u for u in units if u[1] >= limit]
+    return max(some, key=lambda u: (u[3], round(u[1], 12))) if some else None
+
+
+def plain_scan(rows):
+    """doc_id to licence and basis, with licence files and inheritance, by plain loops; `rows` have doc_id, path, text."""
+    units, declared, out = plain_units([t for _, _, t in rows], licences.TEMPLATES), {}, {}
+    names = {n.lower(): n for n, *_ in licences.TEMPLATES}
+    order = sorted(names.values())
+    for (_, path, _), found in zip(rows, units):
+        if not path or "/" not in path:
+            continue
+        if re.search(licences.LICENCE_NAME, path):
+            best = best_of([u for u in found if u[0] < 2], 0.6)
+        else:
+            best = best_of([u for u in found if u[0] == 0], 0.75) if re.search(licences.PLAIN_NAME, path) else None
+        if best:
+            declared.setdefault(path.rsplit("/", 1)[0], []).append((best[3], round(best[1], 9), -order.index(best[2]), best[2]))
+    for (i, path, text), found in zip(rows, units):
+        tag = re.search(licences.SPDX, text or "")
+        tag = tag and names.get(re.sub(licences.SPDX_TAIL, "", tag[1]).lower())
+        best = best_of(found, 0.75)
+        if tag or best:
+            out[i] = (tag or best[2], "statement")
+            continue
+        parts = path.split("/")[:-1] if path else []
+        above = next((d for n in range(len(parts), 0, -1) if (d := "/".join(parts[:n])) in declared), None)
+        out[i] = (max(declared[above])[-1], "inherited") if above else (None, "none")
+    return out
+
+
+def scanned(spark, rows):
+    return {r.doc_id: (r.licence, r.basis) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), F.col("path")).collect()}
+
+
 def test_licence_scores_against_plain_cosine(spark):
     """Scores equal those of a plain version, and pruning by telling terms loses none above the threshold."""
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     texts = [(r.doc_id, r.text) for r in d.collect()]
-    want = {i: (name, round(s, 9)) for (i, _), (s, name) in zip(texts, plain_scores([x for _, x in texts], licences.TEMPLATES)) if s >= 0.75}
+    best = {i: best_of(units, 0.75) for (i, _), units in zip(texts, plain_units([x for _, x in texts], licences.TEMPLATES))}
+    want = {i: (b[2], round(b[1], 9)) for i, b in best.items() if b}
     found = {r.doc_id: (r.licence, round(r.score, 9)) for r in licences.scan(d, F.lit("a/b.c")).filter("basis = 'statement'").collect()}
     assert found == want and want
 
 
+BSD = """Copyright (c) 2019, {0}.
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution.
+{1}
+THIS SOFTWARE IS PROVIDED BY THE REGENTS AND CONTRIBUTORS ``AS IS'' AND
+ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE
+ARE DISCLAIMED.
+"""
+THIRD = "3. Neither the name of the University nor the names of its contributors\n   may be used to endorse or promote products derived from this software\n   without specific prior written permission.\n"
+
+
+def headers():
+    """Headers and files as they stand in the world, and what they are."""
+    text = lambda name, k=-1: textwrap.fill([x for n, x, *_ in licences.TEMPLATES if n == name][k], 70)
+    commented = lambda x, mark="// ": "\n".join(mark + y for y in x.split("\n"))
+    return {
+        "BSD-3-Clause": [BSD.format("The Regents", THIRD), commented(BSD.format("A. Writer", THIRD), " * ") + "\n\nint main() { return 0; }\n" * 9],
+        "BSD-2-Clause": [BSD.format("A. Writer", ""), "/*\n" + commented(BSD.format("A. Writer", ""), " * ") + "\n */\n" + "x = y;\n" * 40],
+        "ISC": ["Copyright (c) 2004 A. Writer. All rights reserved.\n\n" + text("ISC")],
+        "LGPL-2.1": [commented(text("LGPL-2.1")) + "\n\ncode;\n" * 20], "LGPL-2.0": [text("LGPL-2.0")], "LGPL-3.0": [text("LGPL-3.0", 1)],
+        "GPL-1.0": [text("GPL-1.0")], "GPL-2.0": [commented(text("GPL-2.0"), "# "), "x\n// SPDX-License-Identifier: GPL-2.0-or-later\ny"], "GPL-3.0": ["SPDX-License-Identifier: GPL-3.0-only", text("GPL-3.0")],
+        "Apache-2.0": ["# SPDX-License-Identifier: Apache-2.0\nimport os\n" * 3, "Copyright 2020 The Authors. All rights reserved.\n\n" + text("Apache-2.0")], "MIT": ["/* SPDX-License-Identifier: (MIT OR Apache-2.0) */"],
+        "GFDL-1.2": [text("GFDL-1.2")], "GFDL-1.3": [text("GFDL-1.3")], "MPL-1.1": [text("MPL-1.1")], "MPL-2.0": [text("MPL-2.0")], "proprietary": ["All rights reserved.", "code\n// All rights reserved.\nmore code"],
+        None: ["Copyright 2020 A. Writer.\nAll rights reserved.\nmodule x", "// SPDX-License-Identifier: Zlib", "Redistribution and use in source and binary forms, with or without modification, are permitted.", "the license, version 9, of this software"],
+    }
+
+
+def test_licences_of_real_headers(spark):
+    """Each header is its own licence or none, never another one; the plain version says the same of files and directories."""
+    rows, want = [], {}
+    for name, texts in headers().items():
+        for t in texts:
+            i = len(rows)
+            rows.append((i, f"{i}/x.c", t))
+            want[i] = (name, "statement" if name else "none")
+    assert scanned(spark, rows) == want == plain_scan(rows)
+    tree = [(i, f"t/{i % 7}/{'LICENSE' if i % 3 else 'notes'}", t) for i, _, t in rows] + [(100 + i, f"t/{i % 9}/deep/er/f.c", "words") for i in range(18)] + [(200, "t/COPYING", BSD.format("x", THIRD)), (201, "top", "w"), (202, None, "w")]
+    found = scanned(spark, tree)
+    assert found == plain_scan(tree) and {b for _, b in found.values()} == {"statement", "inherited", "none"}
+
+
+def test_licences_of_common_files(spark):
+    """Whole files of licences: each declares itself for its tree."""
+    folder = Path("/usr/share/common-licenses")
+    if not folder.is_dir():
+        pytest.skip("no licence files here")
+    own = {"BSD": "BSD-3-Clause", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "Artistic": "Artistic-1.0"}
+    names = [p.name for p in sorted(folder.iterdir()) if not p.is_symlink()]
+    rows = [(i, f"{n}/LICENSE", (folder / n).read_text(errors="replace")) for i, n in enumerate(names)] + [(100 + i, f"{n}/src/a.py", "pass") for i, n in enumerate(names)]
+    found = scanned(spark, rows)
+    assert {n: found[100 + i][0] for i, n in enumerate(names)} == {n: own.get(n, n) for n in names}
+    assert all(found[i][0] in (None, own.get(n, n)) for i, n in enumerate(names))
+
+
 def test_licences_as_they_stand_in_files(spark):
     """Full texts and wrapped headers, with marks of comments, are found; prose and headers of code declare nothing for others."""
-    texts = {k: v for k, v in licences.TEMPLATES if len(v) > 150}
+    texts = {k: v for k, v, *_ in reversed(licences.TEMPLATES) if len(v) > 150}
     wrap = lambda text, mark, width: "\n".join(mark + text[i : i + width] for i in range(0, len(text), width)) if width else text
     gpl = textwrap.fill(texts["GPL-3.0"], 60)
     rows = [
@@ -405,3 +512,26 @@ def test_perfect_hash_of_any_size():
         h = bpe.PerfectHash(keys)
         assert sorted(h.at.tolist()) == list(range(n)) and all(h.index(k) == i for i, k in enumerate(keys))
     assert bpe.PerfectHash([b"a", b"b", b"c", b"d", b"e"], tries=2).seed > 0
+
+
+def test_toxicity_sample_is_bounded_in_rows(spark, monkeypatch):
+    """Repeated ids and repeated rows don't make the sample larger than twice `per_class`."""
+    rows = [(i, f"word{i % 9} bad text {'awful' if i % 2 else 'kind'} {j}") for i in range(40) for j in range(30)] + [(1, "the same row")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("toxic", F.lit("clash"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    sizes, plain = [], toxicity.save
+    monkeypatch.setattr(toxicity, "save", lambda df, name: (lambda out: (sizes.append(out.count()) if name == "toxic-sample" else None, out)[1])(plain(df, name)))
+    for limit, most in ((1, 2), (50, 100), (4000, 8000)):
+        toxicity.fit(docs, labels, per_class=limit)
+        assert 0 < sizes[-1] <= most
+    free = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert sizes[-1] == sum(i in free for i, _ in rows)
+
+
+def test_mixing_spreads_rows_without_ids(spark, monkeypatch):
+    """Rows that share an id, or have none, fall into as many buckets as others."""
+    seen, plain = [], mixing.running
+    monkeypatch.setattr(mixing, "running", lambda df, group, bucket, *a: (seen.append(df.select(bucket).distinct().count()), plain(df, group, bucket, *a))[1])
+    rows = [(None, "s", f"text {i}") for i in range(6000)] + [(5, "s", f"more text {i}") for i in range(6000)]
+    found = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).agg(F.sum("taken"), F.first("target")).first()
+    assert seen[0] > 16 and found[0] == round(found[1])

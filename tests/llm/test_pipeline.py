@@ -1,8 +1,13 @@
 """The pipeline on small tables, stage by stage."""
 
+import sys
+from pathlib import Path
+
 import corpus_pipeline as C
 from strandwise.llm import mixing
 
+sys.path.insert(0, str(Path(__file__).parent))
+
 
 def test_stages(spark):
     d = "/root/testdata/sf0.001"
@@ -55,3 +60,41 @@ def test_order_of_training(spark):
     assert [r.doc_id for r in C.mix_sources(spark, docs, d).collect()] == want
     words, targets = sum(len(r.positions) * r.size for r in mixed), {r.source: r.target for r in mixed}
     assert 0 <= words - sum(targets.values()) <= sum(max(r.size for r in mixed if r.source == s) for s in targets) + len(targets)
+
+
+def test_stages_put_together_lazily(spark):
+    """A stage over the plan of another reads what that one wrote; files go once nothing reads them."""
+    rows = [(i, f"text number {i // 2} of the table and some more words", "en", "a", 5) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    near = C.drop_near_copies(spark, C.drop_copies(spark, docs, ""), "")
+    assert sorted(r.doc_id for r in C.mix_sources(spark, near, "").distinct().collect()) == sorted(r.doc_id for r in near.collect()) == list(range(1, 20, 2))
+    C.drop_copies(spark, docs, "").count()
+    left = list(C._left)
+    C.drop_copies(spark, docs, "").count()
+    assert not set(left) & set(C._left)
+
+
+def test_pipeline_against_plain_versions(spark, tmp_path):
+    """What the classifier keeps goes through plain versions of the other stages; the pipeline gives the same rows."""
+    import duckdb
+    import pandas as pd
+    import public_tokenizers as P
+    import tiktoken
+
+    from strandwise.llm.queries import OP8_SQL
+
+    import brute
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    kept = C.drop_toxic(spark, docs, d).collect()
+    last = {}
+    for r in sorted(kept, key=lambda r: r.doc_id):
+        last[r.text or ""] = r
+    rows = list(last.values())
+    of = {i: c for i, _, c in brute.jaccard_components([(r.doc_id, r.text) for r in rows], 5, (80, 100))}
+    documents = pd.DataFrame([r.asDict() for r in rows if of[r.doc_id] == r.doc_id])  # noqa: F841
+    copies = {i: n for i, n in duckdb.sql(OP8_SQL).df()[["doc_id", "copies"]].itertuples(index=False)}
+    coder = tiktoken.Encoding("x", pat_str=P.PATTERN, mergeable_ranks=tiktoken.load.load_tiktoken_bpe(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    want = sorted((r.doc_id, len(coder.encode_ordinary(r.text or ""))) for r in documents.itertuples() for _ in range(int(copies[r.doc_id])))
+    assert sorted((r.doc_id, r.n_tokens) for r in C.run(spark, d).select("doc_id", "n_tokens").collect()) == want and len(want) > 50

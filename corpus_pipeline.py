@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents. Near copies are dropped by row, so ids may be null or repeat.
-A stage removes what the one before it left in the shared folder, so run one pipeline at a time in a process.
+A stage removes what earlier ones left in the shared folder and its input doesn't read, so run one pipeline at a time in a process.
 """
 
 from __future__ import annotations
@@ -20,22 +20,34 @@ from strandwise.llm.common import collecting, new_folder, remove, row_keys, save
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-#: Folders that the last stage wrote on its way; its output is written when the next one starts.
-_spent: list[str] = []
+#: Folders that stages of this process wrote on their way and that are still there.
+_left: list[str] = []
 
 
 def stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """A stage first removes what the one before it wrote on its way to `docs`, which is written by now."""
+    """A stage first removes what earlier ones left, but for folders that its input still reads from.
+
+    An input that was written and read again reads from none, so disks hold what one stage needs; inputs that are plans over an earlier stage keep
+    what that one wrote, however many stages are put together.
+    """
 
     @functools.wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        remove(spark, _spent)
-        with collecting(_spent):
+        read = docs.inputFiles()
+        kept = [folder for folder in _left if any(_name(folder) in file for file in read)]
+        remove(spark, [folder for folder in _left if folder not in kept])
+        _left[:] = kept
+        with collecting(_left):
             return function(spark, docs, sf_dir)
 
     return run_stage
 
 
+def _name(folder: str) -> str:
+    """A folder's own name, which no other has."""
+    return f"/{folder.rstrip('/').rsplit('/', 1)[1]}/"
+
+
 @stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it learns from the labels of documents that are here."""

@@ -106,7 +106,7 @@ def scan(docs: DataFrame, path: Column, templates: Sequence[tuple[str, ...]] = T
     text are its lines, its paragraphs (headers may be wrapped; marks of comments are no words) and the whole text; "all rights reserved" after a
     copyright isn't part of any. A unit is compared with the templates whose needed terms (versions, names) it has. One whose cosine
     with a template is `threshold` or more is a statement. A document's best one gives its licence (basis
-    `statement`): one of a template of LONG terms before any other, then by score (ties: the first template by licence and place); before all
+    `statement`): one of a template of LONG terms before any other, then by score of nine digits (ties: the first template by licence and place); before all
     of them comes an SPDX tag that names a template's licence, with score 1. A file that is named as one is a licence file if
     its best paragraph or the whole text reaches `file_threshold`; another one whose name has no ending, or that of a
     plain text, if its whole text reaches `threshold`. It declares the licence of its directory; of several, the best in the same order, then the first
@@ -181,7 +181,7 @@ def scan(docs: DataFrame, path: Column, templates: Sequence[tuple[str, ...]] = T
     marked = rows.select("doc_id", "path", tag.alias("tag"), F.when(F.arrays_overlap(_terms(F.col("text")), F.array(*map(F.lit, tell[low])).cast("array<string>")), units).alias("units"))
     named = F.col("path").rlike(LICENCE_NAME)
     of_file = F.filter("units", lambda e: F.when(named, e["kind"] < 2).otherwise((e["kind"] == 0) & F.col("path").rlike(PLAIN_NAME)))
-    in_order = lambda b, limit: F.struct((b["long"] & (b["score"] >= limit)).alias("whole"), b["score"].alias("score"), b["place"].alias("place"), b["name"].alias("name"))
+    in_order = lambda b, limit: F.struct((b["long"] & (b["score"] >= limit)).alias("whole"), F.round(b["score"], 9).alias("score"), b["place"].alias("place"), b["name"].alias("name"))
     own = F.array_max(F.transform("units", lambda e: F.struct(in_order(e["b"], threshold).alias("b"), e["kind"].alias("kind"), e["line"].alias("line"))))
     whole = F.array_max(F.transform(of_file, lambda e: in_order(e["b"], F.when(named, file_threshold).otherwise(threshold))))
     marked = marked.select("doc_id", "path", "tag", own.alias("own"), whole.alias("whole"))

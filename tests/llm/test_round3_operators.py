@@ -211,3 +211,34 @@ def test_topk_stops_on_proof():
         left = block.possible(q, 10, None, np.zeros(3000, dtype=bool))
         scores = v @ q
         assert set(np.argsort(-scores, kind="stable")[:10]) <= set(left.tolist()) and len(left) < 1500
+
+
+# Sharding
+
+
+@pytest.mark.parametrize("shards", [40, 7])
+def test_sharding_against_plain_ranks(spark, shards):
+    """Positions, shards and slots by plain sorts; only the seeded hashes come from Spark."""
+    from pyspark.sql import functions as F
+
+    from strandwise.llm import common, sharding
+
+    rng = random.Random(9)
+    rows = [(i if i % 50 else None, rng.choice(["x", "y" * rng.randint(0, 9), None, ""]), rng.choice(["a", "a", "a", "b", None])) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    keyed = docs.select("doc_id", "source", (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text).alias("crc")).withColumn("key", F.xxhash64(F.lit(7), "doc_id", "crc", "size")).withColumn("s", F.xxhash64("source")).collect()
+    bits = common.n_buckets(len(rows))
+    low = lambda x: (x is not None, x if x is not None else 0)
+    by = defaultdict(list)
+    for r in keyed:
+        by[r.source].append(r)
+    placed = []
+    for source, some in by.items():
+        some.sort(key=lambda r: (r.key % bits, r.key, low(r.doc_id), r.size, r.crc))
+        placed += [((rank + 0.5) / len(some), r) for rank, r in enumerate(some)]
+    placed.sort(key=lambda p: (p[0], p[1].s, (p[1].source is not None, p[1].source or ""), p[1].key, low(p[1].doc_id), p[1].size, p[1].crc))
+    n = len(rows)
+    want = [(r.doc_id, r.size, r.crc, at * shards // n, at - -(-(at * shards // n) * n // shards)) for at, (_, r) in enumerate(placed)]
+    found = sharding.interleave(docs, shards).select("doc_id", "size", "text_crc32", "shard", "slot")
+    assert got(found) == sorted(want, key=str)

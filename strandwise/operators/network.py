@@ -20,6 +20,7 @@ from .tables import exists, new_folder, remove, removed, written
 from .train import quality
 
 SHARD = 8192
+KINDS = ("weights", "first", "second")
 SENT = "part int, kind string, shard int, n long, steps long, loss double, hits long, values array<float>"
 LOG = "epoch int, steps long, workers int, loss double, trained double, accuracy double, best double, saved boolean, stop boolean"
 INPUTS = ("k_mer", "signal_means", "signal_stds", "signal_lens", "raw_signals")
@@ -238,11 +239,25 @@ def updated(weights: Mapping[str, np.ndarray], given: Mapping[str, np.ndarray])
 
 @dataclass
 class State:
+    """Weights and the optimiser's moments, as flat vectors."""
+
     weights: np.ndarray
     first: np.ndarray
     second: np.ndarray
     steps: int = 0
 
+    def table(self) -> pa.Table:
+        """kind, shard, steps, values: pieces of SHARD numbers."""
+        cells = [(kind, i // SHARD, self.steps, getattr(self, kind)[i : i + SHARD]) for kind in KINDS for i in range(0, len(self.weights), SHARD)]
+        return pa.table(dict(zip(("kind", "shard", "steps", "values"), (pa.array(x, t) for x, t in zip(zip(*cells), (pa.string(), pa.int32(), pa.int64(), pa.list_(pa.float32())))))))
+
+    @classmethod
+    def of(cls, table: pa.Table, steps: int) -> State:
+        table = table.sort_by("shard")
+        kinds = np.array(table.column("kind").to_pylist())
+        values = table.column("values").combine_chunks()
+        return cls(*(values.filter(pa.array(kinds == kind)).flatten().to_numpy(zero_copy_only=False).astype(np.float32) for kind in KINDS), steps)
+
 
 def one_sync(rows: DataFrame, model: score.BiLSTM, state: State, schedule: Schedule, epoch: int, sync: int, workers: int) -> tuple[State, float, float]:
     """One pass over a share of the epoch's rows: each task steps through its own, then weights and moments are averaged by rows.
@@ -285,10 +300,9 @@ def one_sync(rows: DataFrame, model: score.BiLSTM, state: State, schedule: Sched
     told = sent.filter("kind = 'weights' and shard = 0").agg(F.sum("n").alias("n"), F.max("steps").alias("steps"), F.sum("loss").alias("loss"), F.sum("hits").alias("hits")).first()
     if told.n is None:
         return state, 0.0, 0.0
-    means = sent.groupBy("kind", "shard").applyInArrow(average, "kind string, shard int, values array<float>").collect()  # the size of the model, three times
+    means = sent.groupBy("kind", "shard").applyInArrow(average, "kind string, shard int, values array<float>").toArrow()  # the size of the model, three times
     removed(sent)
-    pick = lambda kind: np.concatenate([np.array(r["values"], dtype=np.float32) for r in sorted(means, key=lambda r: r.shard) if r.kind == kind])
-    return State(pick("weights"), pick("first"), pick("second"), told.steps), told.loss / told.n, told.hits / told.n
+    return State.of(means, told.steps), told.loss / told.n, told.hits / told.n
 
 
 def batched(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[tuple, np.ndarray]]:
@@ -311,13 +325,12 @@ def batched(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[tupl
 
 
 def _save(spark, state: State, path: str) -> None:
-    rows = [(k, state.steps, getattr(state, k).tolist()) for k in ("weights", "first", "second")]
-    spark.createDataFrame(rows, "kind string, steps long, values array<float>").write.mode("overwrite").parquet(path)
+    spark.createDataFrame(state.table()).write.mode("overwrite").parquet(path)
 
 
 def _load(spark, path: str) -> State:
-    rows = {r.kind: r for r in spark.read.parquet(path).collect()}
-    return State(*(np.array(rows[k]["values"], dtype=np.float32) for k in ("weights", "first", "second")), rows["weights"].steps)
+    table = spark.read.parquet(path).toArrow()
+    return State.of(table, table.column("steps")[0].as_py())
 
 
 def fit(rows: DataFrame, model: score.BiLSTM, schedule: Schedule = Schedule(), valid: DataFrame | None = None, path: str | None = None) -> tuple[score.BiLSTM, list[dict]]:

@@ -114,12 +114,15 @@ class BiLSTM:
 
 
 def save_weights(spark, weights: Mapping[str, np.ndarray], path: str) -> None:
-    rows = [(k, list(v.shape), v.ravel().astype(float).tolist()) for k, v in weights.items()]
-    spark.createDataFrame(rows, "name string, shape array<int>, values array<float>").write.mode("overwrite").parquet(path)
+    cells = {"name": pa.array(list(weights)), "shape": pa.array([list(v.shape) for v in weights.values()], pa.list_(pa.int32())), "values": pa.array([v.ravel().astype(np.float32) for v in weights.values()], pa.list_(pa.float32()))}
+    spark.createDataFrame(pa.table(cells)).write.mode("overwrite").parquet(path)
 
 
 def load_weights(spark, path: str) -> dict[str, np.ndarray]:
-    return {r.name: np.array(r["values"], dtype=np.float32).reshape(r["shape"]) for r in spark.read.parquet(path).collect()}
+    """Weights by name; a model has a fixed size."""
+    table = spark.read.parquet(path).toArrow()
+    cells = zip(table.column("name").to_pylist(), table.column("shape").to_pylist(), table.column("values"))
+    return {name: values.values.to_numpy(zero_copy_only=False).astype(np.float32).reshape(shape) for name, shape, values in cells}
 
 
 def load_checkpoint(path: str, names: Mapping[str, str]) -> dict[str, np.ndarray]:

@@ -80,6 +80,7 @@ def test_pipeline_against_plain_versions(spark, tmp_path):
     import pandas as pd
     import public_tokenizers as P
     import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
 
     from strandwise.llm.queries import OP8_SQL
 
@@ -95,6 +96,6 @@ def test_pipeline_against_plain_versions(spark, tmp_path):
     of = {i: c for i, _, c in brute.jaccard_components([(r.doc_id, r.text) for r in rows], 5, (80, 100))}
     documents = pd.DataFrame([r.asDict() for r in rows if of[r.doc_id] == r.doc_id])  # noqa: F841
     copies = {i: n for i, n in duckdb.sql(OP8_SQL).df()[["doc_id", "copies"]].itertuples(index=False)}
-    coder = tiktoken.Encoding("x", pat_str=P.PATTERN, mergeable_ranks=tiktoken.load.load_tiktoken_bpe(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    coder = tiktoken.Encoding("x", pat_str=P.PATTERN, mergeable_ranks=load_tiktoken_bpe(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
     want = sorted((r.doc_id, len(coder.encode_ordinary(r.text or ""))) for r in documents.itertuples() for _ in range(int(copies[r.doc_id])))
     assert sorted((r.doc_id, r.n_tokens) for r in C.run(spark, d).select("doc_id", "n_tokens").collect()) == want and len(want) > 50

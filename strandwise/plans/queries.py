@@ -439,11 +439,18 @@ def q_transcript_len(spark, d):
 
 @query
 def q_transcript_coords(spark, d):
-    """Sums of the coordinates of each transcript, exon by exon, so ties of rank don't matter beyond their order by start."""
+    """Sums of the coordinates of each transcript, so ties of rank don't matter beyond their order by start.
+
+    Exons are cut where the last three digits of a position begin anew; there, a position has u = pos % 1000 from `low` to `high`, and its place in
+    the transcript is c + s * u. So sums come from those of u and of its square.
+    """
     placed = annotation.transcript_map(annotation.annotate(V.annotation(spark, d))).filter("length > 0")
-    bases = F.sequence(F.col("begin"), F.col("begin") + F.col("length") - 1)
-    mixed = F.aggregate(bases, F.lit(0).cast("long"), lambda a, at: a + at * (annotation.place(at) % 1000))
-    return placed.groupBy("parent", "chrom", "strand").agg(F.sum("length").alias("n"), F.sum(mixed).alias("mixed"), (F.max(F.col("begin") + F.col("length")) - 1).alias("last"))
+    cut = placed.withColumn("k", F.explode(F.sequence(F.expr("start div 1000"), F.expr("(end - 1) div 1000"))))
+    cut = cut.withColumns({"low": F.greatest(F.col("start") - F.col("k") * 1000, F.lit(0)), "high": F.least(F.col("end") - 1 - F.col("k") * 1000, F.lit(999)), "s": F.when(F.col("strand") == "-", -1).otherwise(1)})
+    c = F.col("begin") + F.when(F.col("strand") == "-", F.col("end") - 1 - F.col("k") * 1000).otherwise(F.col("k") * 1000 - F.col("start"))
+    one = F.expr("(high * (high + 1) - (low - 1) * low) div 2")
+    two = F.expr("(high * (high + 1) * (2 * high + 1) - (low - 1) * low * (2 * low - 1)) div 6")
+    return cut.groupBy("parent", "chrom", "strand").agg(F.sum(F.col("high") - F.col("low") + 1).alias("n"), F.sum(c * one + F.col("s") * two).alias("mixed"), (F.max(F.col("begin") + F.col("length")) - 1).alias("last"))
 
 
 @query

@@ -125,3 +125,17 @@ def test_sql_functions(spark):
     bases = spark.sql("select parent, b.at, chrom, strand, b.pos from exons, lateral transcript_bases(start, end, begin, strand) b order by parent, at").collect()
     assert bases == annotation.transcript_coordinates(rows).orderBy("parent", "at").collect()
     assert "BatchEvalPython" not in spark.sql("select reverse_complement(s), rectangle(array(1.0D), 3, s, 1) from seqs")._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("width", [1 << 12, 16])
+def test_overlap_totals_make_no_pairs(spark, width):
+    a, b = uneven(1, 120, 90), uneven(2, 150, 60)
+    schema = "chrom string, start long, end long, id long"
+    left, right = spark.createDataFrame(a, schema).repartition(3), spark.createDataFrame([(*x[:3], None if x[3] % 3 == 0 else x[3]) for x in b], schema.replace("id", "v")).repartition(2)
+    got = {r.id: (r.n, r.v) for r in intervals.overlap_totals(left, right, ["v"], width).collect()}
+    want = {}
+    for x in a:
+        met = [y[3] for y in b if x[0] and x[0] == y[0] and x[1] < x[2] and y[1] < y[2] and x[1] < y[2] and y[1] < x[2]]
+        values = [v for v in met if v % 3]
+        want |= {x[3]: (len(met), sum(values) if values else None)} if met else {}
+    assert got == want and sum(n for n, _ in got.values()) > 5000

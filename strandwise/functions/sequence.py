@@ -7,6 +7,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,6 +95,21 @@ def tiles(contigs: DataFrame, left: int = 0, right: int = 0, size: int = 512, la
     return cut(pieces, F.col("begin"), F.col("end"), size).drop("end")
 
 
+#: Bases of tiles that a kernel looks at together; what it finds in them is one Arrow batch.
+SCANNED = 1 << 18
+
+
+def few_bases(batches: Iterator[pa.RecordBatch], most: int = SCANNED) -> Iterator[pa.RecordBatch]:
+    """Slices of batches of tiles whose parts have `most` bytes together, or that are one tile, so no result grows with Spark's batches."""
+    for batch in batches:
+        at = 0
+        ends = np.cumsum(pc.binary_length(batch.column("part")).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        while at < batch.num_rows:
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            yield batch.slice(at, upto - at)
+            at = upto
+
+
 def scan_motifs(contigs: DataFrame, motifs: Iterable[str], offset: int = 0, size: int = 1 << 18) -> DataFrame:
     """name and pos of each motif's base `offset`, overlaps included, in contigs of name and seq (a byte a base)."""
     motifs = list(motifs)
@@ -110,7 +126,7 @@ def scan_tiles(cut: DataFrame, motifs: Iterable[str], offset: int = 0) -> DataFr
     width = len(codes[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_bases(batches):
             names, found, sizes = batch.column("name"), [np.zeros(0, dtype=np.int64)], []
             for begin, part in zip(batch.column("begin").to_pylist(), batch.column("part").to_pylist()):
                 x = np.frombuffer(part.encode("latin-1", "replace"), dtype=np.uint8)
@@ -147,7 +163,7 @@ def scan_cytosines(cut: DataFrame, size: int) -> DataFrame:
     lut[[ord(b) for b in DNA]] = [ord(b) for b in DNA_COMPLEMENT]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_bases(batches):
             columns = (batch.column(c).to_pylist() for c in ("begin", "first", "end", "part"))
             out: list[tuple] = []
             for i, (begin, first, end, part) in enumerate(zip(*columns)):

@@ -27,6 +27,11 @@ def percent_floor(rmet: Column) -> Column:
     return (F.round(rmet + F.lit(0.000001), 2) * F.lit(100.0)).cast("int")
 
 
+def around(x: Column, digits: int = 6) -> Column:
+    """A double of so many digits as NumPy's around makes it: scaled, to the nearest whole number (half to even), and back. A little below zero is -0.0."""
+    return F.rint(x * F.lit(10.0**digits)) / F.lit(10.0**digits)
+
+
 def genome_position(strand: Column, start: Column, length: Column, at: Column) -> Column:
     """The forward coordinate of a place in a read."""
     return F.when(strand == "-", start + length - 1 - at).otherwise(start + at)

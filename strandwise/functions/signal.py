@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numbers import around
+
 #: The 0.75 quantile of the normal distribution: what scales a median deviation to a standard deviation.
 NORMAL_QUARTILE = 0.6744897501960817
 
@@ -42,7 +44,7 @@ def normalize(x: Column, method: str = "mad", digits: int = 6) -> Column:
         raise ValueError(f"unknown method: {method}")
 
     def scaled(v: Column, shift: Column, scale: Column) -> Column:
-        return F.when(scale == 0, v).otherwise(F.transform(v, lambda e: F.bround((e - shift) / scale, digits)))
+        return F.when(scale == 0, v).otherwise(F.transform(v, lambda e: around((e - shift) / scale, digits)))
 
     return let(x, lambda v: let(centre(v), lambda shift: let(spread(v, shift), lambda scale: scaled(v, shift, scale))))
 

@@ -2,10 +2,13 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from strandwise import cli
+from strandwise.functions import numbers as N
 from strandwise.functions import sequence as S
 from strandwise.functions import signal as G
 from strandwise.functions.sql import register_functions
@@ -139,3 +142,34 @@ def test_overlap_totals_make_no_pairs(spark, width):
         values = [v for v in met if v % 3]
         want |= {x[3]: (len(met), sum(values) if values else None)} if met else {}
     assert got == want and sum(n for n, _ in got.values()) > 5000
+
+
+def test_kernels_yield_bounded_batches():
+    """A batch of tiles is looked at in slices, so what a kernel holds doesn't grow with the batch."""
+    batch = pa.RecordBatch.from_pydict({"name": list("abcdef"), "part": ["C" * n for n in (3, 4, 0, 20, 1, 1)]})
+    slices = list(S.few_bases(iter([batch]), 7))
+    assert [s.column("name").to_pylist() for s in slices] == [["a", "b", "c"], ["d"], ["e", "f"]]
+
+
+def test_first_n_shuffles_few_rows(spark):
+    """Beyond the row limit of Spark's windows, only rows up to a class's n-th are ranked."""
+    rows = spark.range(40_000).select(F.col("id").cast("string").alias("idx"), F.when(F.col("id") % 10 > 0, F.col("id") % 2 == 0).alias("truth"))
+    found = samples.first_n(rows, "truth", 2000, 4)
+    want = {}
+    for r in rows.withColumn("c", samples.chance(4, "idx")).collect():
+        want.setdefault(r.truth, []).append((r.c, r.idx))
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.truth, set()).add(r.idx)
+    assert got == {k: {i for _, i in sorted(v)[:2000]} for k, v in want.items()}
+    near = [m for m in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in m]
+    assert near, "rows are narrowed by a class's last digits first"
+
+
+def test_rounding_of_features(spark):
+    """Six digits by scaling, as NumPy has it: halves that a double doesn't hit, and a sign that stays on zero."""
+    values = [(k + 0.5) / 1e6 for k in range(31690, 32690)] + [-1e-7, 2e-7, -0.0020]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", N.around(F.col("v")).alias("a"), F.bround("v", 6).alias("b")).orderBy("i").collect()
+    assert [str(r.a) for r in rows] == [str(x) for x in np.around(values, 6).tolist()] and [r.a for r in rows] != [r.b for r in rows]
+    raw = spark.createDataFrame([([0.0, 1.0, -1.0, -1e-7],)], "raw array<double>")
+    assert str(raw.select(G.normalize(F.col("raw"), "zscore", 6)[3].alias("v")).first().v) == "-0.0"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -78,13 +78,14 @@ def motif_sites(motifs: Sequence[str], offset: int, half: int) -> Column:
 
 def features(
     reads: DataFrame, motifs: Sequence[str], contigs: DataFrame | None = None, positions: DataFrame | None = None, region: Region = Region(), offset: int = 0, k: int = 13, width: int = 16, label: int = 1, method: str = "mad", seed: int = 0,
-    counts: Observation | None = None,
+    counts: Observation | None = None, rounded: Callable[[Column, int], Column] = F.bround,
 ) -> DataFrame:
     """One row for each motif site of each usable read, at least k // 2 bases from its ends, in the region, at the positions.
 
     The region prunes reads before their signal is touched. Positions meet sites as pairs of a read's key and a place, without
     signal or events; those of reads that keep a site are fetched by key afterwards, and normalised once a read. `contigs` (name, len) gives
-    pos_in_strand, -1 where unknown. `counts` observes the reads (see observed).
+    pos_in_strand, -1 where unknown. `counts` observes the reads (see observed). `rounded` makes six digits of means and deviations: by their
+    shortest decimals, or as numbers.around does.
     """
     half, n = k // 2, F.size("events")
     seen = reads if counts is None else observed(reads, counts)
@@ -115,7 +116,7 @@ def features(
     return rows.select(
         "chrom", "pos", F.col("align_strand").alias("alignstrand"), N.strand_position(F.col("align_strand"), F.col("pos"), length).alias("pos_in_strand"),
         F.col("read_id").alias("readname"), "read_strand", F.array_join(F.transform("near", lambda e: e["base"]), "").alias("k_mer"),
-        F.transform("parts", lambda p: F.bround(G.mean(p), 6)).alias("signal_means"), F.transform("parts", lambda p: F.bround(G.std(p), 6)).alias("signal_stds"),
+        F.transform("parts", lambda p: rounded(G.mean(p), 6)).alias("signal_means"), F.transform("parts", lambda p: rounded(G.std(p), 6)).alias("signal_stds"),
         F.transform("near", lambda e: e["length"]).alias("signal_lens"), F.transform("parts", lambda p, i: G.rectangle(p, width, key(i), seed)).alias("raw_signals"), F.lit(label).alias("methy_label"),
     )
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.signal import let
 from .intervals import carried, interval_join
+from .tables import written
 
 
 def attributes(text: Column) -> Column:
@@ -16,13 +19,18 @@ def attributes(text: Column) -> Column:
     return let(pairs, lambda ps: F.map_from_arrays(names(ps), F.transform(names(ps), lambda k: F.element_at(F.filter(ps, lambda p: p[0] == k), -1)[1])))
 
 
+def attribute(text: Column, key: str, after_colon: bool = False) -> Column:
+    """What attributes() has for a key, by one regular expression instead of a map: null without it; the second part by colons if there is one and it is asked for."""
+    skip, stop = ("(?:=[^;=:]*(?=:))?", ":") if after_colon else ("", "")
+    value = F.regexp_extract(text, rf"(?s)\A(?:.*;)? *{re.escape(key)}(?==){skip}([={stop}][^;={stop}]*?)(?:[={stop}]| *(?:;|\z))", 1)
+    return F.when(value != "", F.substring(value, 2, 2**31 - 1))
+
+
 def annotate(gff: DataFrame) -> DataFrame:
     """Add attrs, id, parent and rank to rows with 1-based starts, which become 0-based."""
-    rows = gff.withColumn("start", F.col("start") - 1).withColumn("attrs", attributes(F.col("attributes")))
-    after = lambda k: F.coalesce(F.try_element_at(F.split(F.try_element_at(F.col("attrs"), F.lit(k)), ":"), F.lit(2)), F.try_element_at(F.col("attrs"), F.lit(k)))
-    name = F.try_element_at(F.col("attrs"), F.lit("Name"))
-    rank = F.try_element_at(F.col("attrs"), F.lit("rank")).cast("int")
-    return rows.withColumn("id", F.coalesce(after("ID"), name)).withColumn("parent", after("Parent")).withColumn("rank", rank)
+    text = F.col("attributes")
+    found = {"attrs": attributes(text), "id": F.coalesce(attribute(text, "ID", True), attribute(text, "Name")), "parent": attribute(text, "Parent", True), "rank": attribute(text, "rank").cast("int")}
+    return gff.withColumn("start", F.col("start") - 1).withColumns(found)
 
 
 def with_attribute(rows: DataFrame, key: str, value: str) -> DataFrame:
@@ -73,7 +81,8 @@ def to_genome(placed: DataFrame, points: DataFrame) -> DataFrame:
 def to_transcripts(placed: DataFrame, points: DataFrame) -> DataFrame:
     """Points (chrom, pos, and other columns) with parent, strand and at of each transcript that has an exon there."""
     spots = points.withColumns({"start": F.col("pos"), "end": F.col("pos") + 1})
-    both = interval_join(spots, placed.select("chrom", "start", "end", "parent", "strand", "begin"), ("point", "exon"))
+    exon = written(placed.select("chrom", "start", "end", "parent", "strand", "begin"), "exons")  # the join reads it twice
+    both = interval_join(spots, exon, ("point", "exon"))
     at = F.col("exon_begin") + F.when(F.col("exon_strand") == "-", F.col("exon_end") - 1 - F.col("point_pos")).otherwise(F.col("point_pos") - F.col("exon_start"))
     return both.select(*(F.col(f"point_{c}").alias(c) for c in points.columns), F.col("exon_parent").alias("parent"), F.col("exon_strand").alias("strand"), at.alias("at"))
 

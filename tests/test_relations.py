@@ -173,3 +173,13 @@ def test_rounding_of_features(spark):
     assert [str(r.a) for r in rows] == [str(x) for x in np.around(values, 6).tolist()] and [r.a for r in rows] != [r.b for r in rows]
     raw = spark.createDataFrame([([0.0, 1.0, -1.0, -1e-7],)], "raw array<double>")
     assert str(raw.select(G.normalize(F.col("raw"), "zscore", 6)[3].alias("v")).first().v) == "-0.0"
+
+
+def test_one_attribute_is_what_the_map_has(spark):
+    texts = ["Parent=a:b;Name=x", " Parent=1 ; Parent = 2;Parent=3=4;", "Parent=;x", "aParent=1;Parent= 5 =6;y=1", "Parent=  ;", "x;Parent", ";;Parent=a\n", "Parent=a\n;q=1", "Name=Parent=5", "\nParent=7", "", None, "Parent=1;;Parent=2 ", "=3;Parent==4", "Parent=9;Parent", "Parent=a:b:c;", "Parent=a:", "Parent=:b ", "Parent:a=b", "Parent=a: b =c:d", "Parent=a=b:c"]
+    value = F.try_element_at(annotation.attributes(F.col("t")), F.lit("Parent"))
+    second = F.coalesce(F.try_element_at(F.split(value, ":"), F.lit(2)), value)
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(second.alias("a"), annotation.attribute(F.col("t"), "Parent", True).alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.try_element_at(annotation.attributes(F.col("t")), F.lit("Parent")).alias("a"), annotation.attribute(F.col("t"), "Parent").alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows]

@@ -62,9 +62,10 @@ def lstm(x: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray) -> tuple[np
     out, gates, cells = (np.empty((n, steps, m), x.dtype) for m in (hidden, 4 * hidden, hidden))
     for t in range(steps):
         z = into[:, t] + h @ u.T
-        z[:, : 2 * hidden], z[:, 3 * hidden :] = score.sigmoid(z[:, : 2 * hidden]), score.sigmoid(z[:, 3 * hidden :])
-        z[:, 2 * hidden : 3 * hidden] = np.tanh(z[:, 2 * hidden : 3 * hidden])
-        i, f, g, o = np.split(z, 4, axis=1)
+        bent = np.tanh(z[:, 2 * hidden : 3 * hidden])
+        z = score.sigmoid(z)
+        z[:, 2 * hidden : 3 * hidden] = bent
+        i, f, g, o = z[:, :hidden], z[:, hidden : 2 * hidden], bent, z[:, 3 * hidden :]
         c = f * c + i * g
         h = o * np.tanh(c)
         out[:, t], gates[:, t], cells[:, t] = h, z, c
@@ -78,12 +79,13 @@ def lstm_back(d: np.ndarray, kept: tuple, w: np.ndarray, u: np.ndarray) -> tuple
     dz = np.empty((n, steps, 4 * hidden), x.dtype)
     dh, dc = np.zeros((n, hidden), x.dtype), np.zeros((n, hidden), x.dtype)
     for t in range(steps - 1, -1, -1):
-        i, f, g, o = np.split(gates[:, t], 4, axis=1)
+        i, f, g, o = (gates[:, t, j * hidden : (j + 1) * hidden] for j in range(4))
         before = cells[:, t - 1] if t else np.zeros_like(dc)
         bent = np.tanh(cells[:, t])
         dh = dh + d[:, t]
         dc = dc + dh * o * (1 - bent**2)
-        dz[:, t] = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dc * i * (1 - g**2), dh * bent * o * (1 - o)], axis=1)
+        for j, part in enumerate((dc * g * i * (1 - i), dc * before * f * (1 - f), dc * i * (1 - g**2), dh * bent * o * (1 - o))):
+            dz[:, t, j * hidden : (j + 1) * hidden] = part
         dh, dc = dz[:, t] @ u, dc * f
     flat = dz.reshape(-1, 4 * hidden)
     earlier = np.concatenate([np.zeros((n, 1, hidden), x.dtype), out[:, :-1]], axis=1)
@@ -350,6 +352,12 @@ def fit(rows: DataFrame, model: score.BiLSTM, schedule: Schedule = Schedule(), v
     workers = log[0]["workers"] if log else schedule.workers or spark.sparkContext.defaultParallelism
     size = sum(w.size for w in model.weights.values())
     state = _load(spark, f"{path}/state/{len(log) - 1:04d}") if log else State(flat(model.weights), np.zeros(size, np.float32), np.zeros(size, np.float32))
+    # Each epoch reads the rows anew, so what they are made of is computed once.
+    inputs = [] if len(log) >= schedule.epochs or (log and log[-1]["stop"]) else [written(rows.select("idx", *INPUTS, "methy_label"), "training")]
+    rows = inputs[0] if inputs else rows
+    if inputs and valid is not None:
+        valid = written(valid.select(*INPUTS, "methy_label"), "validation")
+        inputs.append(valid)
     for epoch in range(len(log), schedule.epochs):
         if log and log[-1]["stop"]:
             break
@@ -372,6 +380,7 @@ def fit(rows: DataFrame, model: score.BiLSTM, schedule: Schedule = Schedule(), v
         remove(spark, [f"{path}/state/{e:04d}" for e in range(epoch) if e != kept])
     kept = max((e["epoch"] for e in log if e["saved"]), default=None)
     best = model if kept is None else replace(model, weights=shaped(_load(spark, f"{path}/state/{kept:04d}").weights, model.weights))
+    removed(*inputs)
     if owned:
         remove(spark, [path])
     return best, log

@@ -22,7 +22,7 @@ CODES[[ord(b) for b in S.DNA_CODES]] = np.arange(len(S.DNA_CODES))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-np.clip(x, -60, 60)))
+    return 1.0 / (1.0 + np.exp(-np.minimum(np.maximum(x, -60), 60)))
 
 
 @dataclass

@@ -181,3 +181,21 @@ def test_train_command(spark, labelled, tmp_path):
     assert text.calls(spark, f"{at}/calls").count() == labelled.count()
     run("clean", "--features", f"{at}/features", *shape, "--iterations", "1", "--rounds", "1", "--epochs", "1", "--workers", "2", "--probabilities", f"{at}/probs", "--report", f"{at}/log", "--out", f"{at}/clean")
     assert spark.read.text(f"{at}/probs").count() == labelled.count() and 0 < spark.read.text(f"{at}/clean").count()
+
+
+def test_rows_are_made_once(spark):
+    """Epochs read rows that were written, not what the rows were made of."""
+    schema = "idx string, k_mer string, signal_means array<double>, signal_stds array<double>, signal_lens array<int>, raw_signals array<array<double>>, methy_label int"
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    data = [(str(i), "ACGTA", [i % 2 - 0.5] * 5, [0.1] * 5, [4] * 5, [[0.1 * j for j in range(6)]] * 5, i % 2) for i in range(24)]
+    rows = spark.createDataFrame(data, schema).mapInArrow(run, schema)
+    from strandwise.operators import network, score
+
+    _, log = network.fit(rows, score.BiLSTM.random(1, 5, 6, 4, joined_layers=1), network.Schedule(epochs=3, least_epochs=3, batch=8, workers=2), rows)
+    assert len(log) == 3 and made.value == 48

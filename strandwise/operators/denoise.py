@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,19 +13,21 @@ from ..functions.numbers import divided
 from . import samples as P
 from .tables import exists, new_folder, removed, written
 
+#: Fits that run at the same time.
+FITS = 4
 LOG = "iteration int, all_pos long, all_neg long, kept_pos long, kept_neg long, ratio double, stop boolean"
 
 
 def rounds(rows: DataFrame, scorer, n: int = 3, seed: int = 0) -> DataFrame:
-    """idx and prob_1, n times a row: in each round, random halves score each other."""
-    out = None
+    """idx and prob_1, n times a row: in each round, random halves score each other. Fits don't need each other, so FITS of them run at once."""
+    pairs = []
     for r in range(n):
         half = F.conv(F.substring(P.chance(seed + r, "idx"), 1, 1), 16, 10).cast("int") < 8
         a, b = rows.filter(half), rows.filter(~half)
-        for train, test in ((a, b), (b, a)):
-            scored = scorer.fit(train).transform(test).select("idx", "prob_1")
-            out = scored if out is None else out.unionByName(scored)
-    return out
+        pairs += [(a, b), (b, a)]
+    with ThreadPoolExecutor(FITS) as pool:
+        fitted = list(pool.map(inheritable_thread_target(rows.sparkSession)(scorer.fit), [train for train, _ in pairs]))
+    return reduce(DataFrame.unionByName, (f.transform(test).select("idx", "prob_1") for f, (_, test) in zip(fitted, pairs)))
 
 
 def statistics(scores: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def rounds(rows: DataFrame, scorer, n: int = 3, seed: int = 0) -> DataFrame:
     """idx and prob_1, n times a row: in each round, random halves score each other. Fits don't need each other, so FITS of them run at once."""
     pairs = []
     for r in range(n):
-        half = F.conv(F.substring(P.chance(seed + r, "idx"), 1, 1), 16, 10).cast("int") < 8
+        half = P.chance(seed + r, "idx") < "8"
         a, b = rows.filter(half), rows.filter(~half)
         pairs += [(a, b), (b, a)]
     with ThreadPoolExecutor(FITS) as pool:
@@ -58,13 +58,18 @@ def denoise(
 
     Only counts come to the driver. Each iteration writes the probabilities of its rows, the rows it leaves, and then an entry of its log
     under `path`: a call with the same path goes on after the last iteration that has an entry, and gives the rows of one call that was never
-    stopped. `report`, a list, gets the log.
+    stopped. `report`, a list, gets the log. An iteration reads rows and negatives several times, so what is given is made once and kept in a table.
     """
-    spark, pool = rows.sparkSession, rows.filter(F.col("methy_label") != 1)
+    spark = rows.sparkSession
     path = path or new_folder(spark, "denoise")
     log: list[dict] = []
     while exists(spark, f"{path}/{len(log):04d}/log/_SUCCESS"):
         log.append(spark.read.schema(LOG).parquet(f"{path}/{len(log):04d}/log").first().asDict())
+    if len(log) >= iterations or log and log[-1]["stop"]:
+        given = None
+    else:
+        given = rows = written(rows, "denoise-given")
+        pool = given.filter(F.col("methy_label") != 1)
     if log:
         rows = spark.read.schema(rows.schema).parquet(f"{path}/{len(log) - 1:04d}/rows")
     for i in range(len(log), iterations):
@@ -82,6 +87,8 @@ def denoise(
         rows = spark.read.schema(rows.schema).parquet(f"{at}/rows")
         removed(kept)
         log.append(entry)
+    if given is not None:
+        removed(given)
     if report is not None:
         report += log
     return rows

@@ -130,8 +130,8 @@ def select_like(positive: DataFrame, negative: DataFrame, seed: int = 0) -> Data
 
     Of a k-mer that positives have, ceil(total * ratio) rows; if these are fewer than the positives, the rest is shared
     evenly among the other k-mers; what still lacks comes from the rows that are left. Quotas come from counts of k-mers, so
-    the three steps are one ranking within k-mers and one choice among what is left. A k-mer's rows are ranked in buckets, so a
-    frequent one isn't sorted in one task.
+    the three steps are one ranking within k-mers and one choice among what is left. Counts of a k-mer's buckets tell the one in
+    which its quota ends: those before are taken whole, those after are not, and only that one's rows are shuffled and ranked.
     """
     ratios = written(kmer_ratios(positive).select("k_mer", "n", "ratio"), "ratios")
     total = ratios.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -142,17 +142,22 @@ def select_like(positive: DataFrame, negative: DataFrame, seed: int = 0) -> Data
     lack = total - sums.got
     share = -(-lack // sums.others) if lack > 0 and sums.others else 0
     quotas = have.select("k_mer", F.coalesce(F.col("_quota"), F.lit(share)).cast("long").alias("_quota"))
-    before = F.sum("m").over(Window.partitionBy("k_mer").orderBy("_b")) - F.col("m")
-    placed = buckets.select("k_mer", "_b", before.alias("_before")).join(quotas, "k_mer")
-    rank = F.row_number().over(Window.partitionBy("k_mer", "_b").orderBy(chance(seed, "idx"), "idx"))
-    ranked = negative.withColumn("_b", _bucket(seed)).join(placed, ["k_mer", "_b"]).withColumn("_r", F.col("_before") + rank).drop("_b", "_before")
-    picked = ranked.filter(F.col("_r") <= F.col("_quota")).drop("_r", "_quota")
+    upto = F.sum("m").over(Window.partitionBy("k_mer").orderBy("_b"))  # 16 ** DIGITS rows a k-mer at most
+    ends = buckets.withColumn("_upto", upto).join(quotas, "k_mer").filter(F.col("_upto") >= F.col("_quota"))
+    ends = ends.groupBy("k_mer").agg(F.min("_b").alias("_end"), F.min_by(F.col("_quota") - F.col("_upto") + F.col("m"), "_b").alias("_of_end"))
+    ends = quotas.join(ends, "k_mer", "left").select("k_mer", F.coalesce("_end", F.lit("g")).alias("_end"), "_of_end")  # g comes after all digits: all are taken
+    placed = negative.withColumn("_b", _bucket(seed)).join(written(ends, "ends"), "k_mer")
+    rank = F.row_number().over(Window.partitionBy("k_mer").orderBy(chance(seed, "idx"), "idx"))
+    last = placed.filter(F.col("_b") == F.col("_end")).withColumn("_r", rank)
+    own = ("_b", "_end", "_of_end", "_r")
+    picked = placed.filter(F.col("_b") < F.col("_end")).drop(*own).unionByName(last.filter(F.col("_r") <= F.col("_of_end")).drop(*own))
     # Rows of other k-mers are in the pool only if a share of theirs was taken.
     taken = have.select(F.sum(F.least(F.coalesce(F.col("_quota"), F.lit(share)), F.col("n")))).first()[0] or 0
     if taken >= total:
         return picked
-    pool = ranked.filter(F.col("_r") > F.col("_quota")).join(have.filter(F.col("_quota").isNotNull() | F.lit(share > 0)).select("k_mer"), "k_mer", "left_semi")
-    return picked.unionByName(sample(pool.drop("_r", "_quota"), int(total - taken), seed + 1))
+    left = placed.filter(F.col("_b") > F.col("_end")).drop(*own).unionByName(last.filter(F.col("_r") > F.col("_of_end")).drop(*own))
+    pool = left.join(have.filter(F.col("_quota").isNotNull() | F.lit(share > 0)).select("k_mer"), "k_mer", "left_semi")
+    return picked.unionByName(sample(pool, int(total - taken), seed + 1))
 
 
 def read_runs(rows: DataFrame, reads: int, order: list[str], within: str) -> DataFrame:

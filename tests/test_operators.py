@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandwise.functions import numbers as N
@@ -216,6 +217,43 @@ def test_denoise(spark):
     assert kept.filter("methy_label = 1 and prob_1 < 0.75").isEmpty()
 
 
+def shuffled(df):
+    """How many rows go through each exchange of a plan once it has run."""
+    df.collect()
+    todo, found = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "Exchange":
+            found.append(node.metrics().apply("shuffleRecordsWritten").value())
+        inner = [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in name else []
+        todo += inner + [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_select_like_shuffles_few_rows(spark):
+    """Only rows of the bucket in which a quota ends are ranked; the choice is that of ranks over all rows."""
+    pos = spark.createDataFrame([(i, "AB"[i % 2]) for i in range(1000)], "idx int, k_mer string")
+    neg = spark.createDataFrame([(i, "AB"[i % 2]) for i in range(4000)], "idx int, k_mer string")
+    picked = samples.select_like(pos, neg, 7)
+    first = neg.withColumn("r", F.row_number().over(Window.partitionBy("k_mer").orderBy(samples.chance(7, "idx"), "idx"))).filter("r <= 500")
+    assert sorted(r.idx for r in picked.collect()) == sorted(r.idx for r in first.collect())
+    assert sum(shuffled(picked)) < 100
+
+
+def test_denoise_makes_what_is_given_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def score_of(i):
+        made.add(1)
+        return i % 10 / 10
+
+    given = spark.range(200).select(F.col("id").alias("idx"), F.lit("A").alias("k_mer"), (F.col("id") % 2).cast("int").alias("methy_label"), score_of("id").alias("prob_1"))
+    kept = denoise.denoise(given, score.Fixed("prob_1"), 2, 1, 0.5, 0.99)
+    assert kept.filter("methy_label = 1").count() == 60 and kept.filter("methy_label = 0").count() == 60 and made.value == 200
+
+
 def test_files_round_trip(spark, tmp_path):
     f = extract.features(V.signals(spark, D), ["C"], k=3, width=4)
     sinks.features(f, f"{tmp_path}/features", gzip=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,14 +78,17 @@ def frequency_file_to_bed(freq: DataFrame, order: Sequence[str], min_coverage: i
 
 
 def combine(parts: Sequence[DataFrame], order: Sequence[str] = ("pos_in_strand",)) -> DataFrame:
-    """Sum frequency tables by (chrom, pos, strand); within a table the last of equal sites by `order` counts, and of attributes the last table's."""
-    rows = None
-    for i, part in enumerate(parts):
-        once = part.groupBy("chrom", "pos", "strand").agg(F.max_by(F.struct("pos_in_strand", "k_mer", *MEASURES), F.struct(*order)).alias("r"))
-        once = once.select("chrom", "pos", "strand", "r.*", F.lit(i).alias("part"))
-        rows = once if rows is None else rows.unionByName(once)
-    sums = rows.groupBy("chrom", "pos", "strand").agg(*(F.sum(m).alias(m) for m in MEASURES), F.max_by(F.struct("pos_in_strand", "k_mer"), "part").alias("last"))
-    return with_rmet(sums.select("chrom", "pos", "strand", *MEASURES, "last.*"))
+    """Sum frequency tables by (chrom, pos, strand); within a table the last of equal sites by `order` counts, and of attributes the last table's.
+
+    Each table is dealt by site before the tables meet, so a task that makes a table's rows doesn't hold another's, and one sort by site and
+    table serves both groupings.
+    """
+    sites = ("chrom", "pos", "strand")
+    columns = dict.fromkeys((*sites, "pos_in_strand", "k_mer", *MEASURES, *order))
+    rows = reduce(DataFrame.unionByName, (p.select(*columns, F.lit(i).alias("part")).repartition(*sites) for i, p in enumerate(parts)))
+    once = rows.groupBy(*sites, "part").agg(F.max_by(F.struct("pos_in_strand", "k_mer", *MEASURES), F.struct(*order)).alias("r"))
+    sums = once.select(*sites, "part", "r.*").groupBy(*sites).agg(*(F.sum(m).alias(m) for m in MEASURES), F.max_by(F.struct("pos_in_strand", "k_mer"), "part").alias("last"))
+    return with_rmet(sums.select(*sites, *MEASURES, "last.*"))
 
 
 def fold(rows: DataFrame, pos: str = "pos") -> DataFrame:

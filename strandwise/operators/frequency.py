@@ -81,11 +81,12 @@ def combine(parts: Sequence[DataFrame], order: Sequence[str] = ("pos_in_strand",
     """Sum frequency tables by (chrom, pos, strand); within a table the last of equal sites by `order` counts, and of attributes the last table's.
 
     Each table is dealt by site before the tables meet, so a task that makes a table's rows doesn't hold another's, and one sort by site and
-    table serves both groupings.
+    table serves both groupings. The number of tasks is given, so that few small rows aren't gathered in tasks whose sort and sums take much memory.
     """
+    tasks = int(parts[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sites = ("chrom", "pos", "strand")
     columns = dict.fromkeys((*sites, "pos_in_strand", "k_mer", *MEASURES, *order))
-    rows = reduce(DataFrame.unionByName, (p.select(*columns, F.lit(i).alias("part")).repartition(*sites) for i, p in enumerate(parts)))
+    rows = reduce(DataFrame.unionByName, (p.select(*columns, F.lit(i).alias("part")).repartition(tasks, *sites) for i, p in enumerate(parts)))
     once = rows.groupBy(*sites, "part").agg(F.max_by(F.struct("pos_in_strand", "k_mer", *MEASURES), F.struct(*order)).alias("r"))
     sums = once.select(*sites, "part", "r.*").groupBy(*sites).agg(*(F.sum(m).alias(m) for m in MEASURES), F.max_by(F.struct("pos_in_strand", "k_mer"), "part").alias("last"))
     return with_rmet(sums.select(*sites, *MEASURES, "last.*"))

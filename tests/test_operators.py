@@ -96,13 +96,19 @@ def test_combine_sorts_once(spark):
     """Tables are dealt by site before they meet; after that there is one sort, and the last of equal sites and the last table's attributes count."""
     c = V.calls(spark, D)
     plan = frequency.combine([frequency.site_frequency(c.filter(f"ord1 % 2 = {i}"), V.ORDER) for i in (0, 1)])._jdf.queryExecution().executedPlan().toString()
-    after, dealt, _ = plan.partition("REPARTITION_BY_COL")
-    assert dealt and after.count("Sort [") == 1 and plan.count("REPARTITION_BY_COL") == 2
+    after, dealt, _ = plan.partition("REPARTITION_BY_NUM")
+    assert dealt and after.count("Sort [") == 1 and plan.count("REPARTITION_BY_NUM") == 2
     rows = [[("c", 5, "+", 1, 1.0, 2.0, 1, 1, 2, 0.5, "old"), ("c", 5, "+", 9, 4.0, 8.0, 2, 0, 2, 1.0, "late"), ("c", 5, "-", 3, 0.5, 0.5, 1, 0, 1, 1.0, "minus")], [("c", 5, "+", 4, 16.0, 32.0, 0, 4, 4, 0.0, "last")], [("c", 6, "+", 6, 1.0, 1.0, 0, 1, 1, 0.0, "own")]]
     out = frequency.combine([spark.createDataFrame(r, V_FREQ) for r in rows]).orderBy("pos", "strand").collect()
     assert [tuple(r) for r in out] == [("c", 5, "+", 4, 20.0, 40.0, 2, 4, 6, 2 / 6, "last"), ("c", 5, "-", 3, 0.5, 0.5, 1, 0, 1, 1.0, "minus"), ("c", 6, "+", 6, 1.0, 1.0, 0, 1, 1, 0.0, "own")]
 
 
+def test_bed_combine_keeps_its_tasks(spark):
+    """Sums of few columns are made in as many tasks as the session asks for, however small the tables are."""
+    bed = QUERIES["q_bed_combine"](spark, D)
+    assert bed.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_rename_and_bed(spark):
     f = spark.createDataFrame([("a", 1, "+", 1, 0.0, 1.0, 1, 0, 1, 1.0, "k"), ("a", 1, "+", 1, 0.0, 2.0, 1, 1, 2, 0.5, "k")], "chrom string, pos long, strand string, pos_in_strand long, prob_0_sum double, prob_1_sum double, met long, unmet long, coverage long, rmet double, k_mer string")
     assert [r.percent for r in frequency.frequency_file_to_bed(f, ["prob_1_sum"], 1, {"a": "A"}).collect()] == [50]
